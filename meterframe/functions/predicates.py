@@ -14,8 +14,8 @@ from typing import Any, Union
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterframe.functions.metadata import json_path, meta_text, meta_variant, strip_prefix, variant_type
-from meterframe.functions.timecalc import ntz
+from meterframe.functions.metadata import meta_text, meta_variant, strip_prefix, variant_type
+from meterframe.functions.timecalc import ntz, rfc3339_nano
 
 # Fixed names of the filter language.
 GROUP_OPS = ("and", "or")
@@ -95,12 +95,6 @@ def to_column(tree: Filter | None) -> Column:
     raise ValueError(f"unsupported filter field {tree.field!r}")
 
 
-def rfc3339_nano(column: Column) -> Column:
-    """Time text without trailing zeros in the fraction."""
-    text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
-
-
 def value_text(value: Any) -> str:
     """Text form of a filter value: true/false, shortest number, else as is."""
     if isinstance(value, bool):
@@ -213,7 +207,6 @@ __all__ = [
     "any_of",
     "from_dict",
     "to_column",
-    "json_path",
     "meta_strict_equal",
     "meta_text_equals",
     "metadata_map_matches",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterframe.schema import BUCKET_SIZES, PERIODS
@@ -69,8 +69,18 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return ts + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+def truncated_to_second(ts: Column) -> Column:
+    return F.substring(ts.cast("string"), 1, 19).cast(NTZ)
+
+
 def rfc3339(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """`2024-01-31T10:00:00Z`, whole seconds."""
+    return F.concat(F.replace(F.substring(ts.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
+def rfc3339_nano(ts: Column) -> Column:
+    """With the fraction, but without its trailing zeros."""
+    return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 # --- anchored periods ---------------------------------------------------------
@@ -78,29 +88,27 @@ def rfc3339(ts: Column) -> Column:
 # A period chain starts at an anchor and repeatedly adds one day, week, month or
 # year. Calendar addition overflows instead of clamping (Jan 31 + 1 month = Mar 3)
 # and the next step continues from the overflowed date. Overflow can happen only
-# once: it lands on day 1 to 3, which every month has. So the n-th boundary has a
-# closed form: plain `add_months` up to the overflow step, `add_months` from the
-# overflowed date after it.
+# once: it lands on day 1 to 3, which every month has. So a month or year chain is
+# two plain `add_months` chains: from the anchor, and from the overflowed date after
+# a known number of steps. Window edges are therefore plain date arithmetic, with no
+# enumeration of windows and no range join.
+#
+# The steps are separate projections, which keeps each expression small enough for
+# whole-stage code generation.
 
 
 def _month_overflow_step(day: Column) -> Column:
     """How many monthly steps from date `day` until its day is missing; NULL if never."""
     dom = F.dayofmonth(day)
     month = F.month(day)
-    first = F.trunc(day, "MM")
     # Day 31: the next month unless that one has 31 days too (July, December).
     step_31 = F.when(month.isin(7, 12), 2).otherwise(1)
     # Day 30: the next February.
-    months_to_february = F.pmod(F.lit(13) - month, F.lit(12)) + 1
+    to_february = F.pmod(F.lit(13) - month, F.lit(12)) + 1
     # Day 29: the next February without a leap day (leap years are never adjacent).
-    february = F.add_months(first, months_to_february)
-    february_is_leap = F.dayofmonth(F.last_day(february)) == 29
-    step_29 = F.when(february_is_leap, months_to_february + 12).otherwise(months_to_february)
-    return (
-        F.when(dom == 31, step_31)
-        .when(dom == 30, months_to_february)
-        .when(dom == 29, step_29)
-    )
+    february_end = F.last_day(F.add_months(F.trunc(day, "MM"), to_february))
+    step_29 = to_february + F.when(F.dayofmonth(february_end) == 29, 12).otherwise(0)
+    return F.when(dom == 31, step_31).when(dom == 30, to_february).when(dom == 29, step_29)
 
 
 def _year_overflow_step(day: Column) -> Column:
@@ -109,55 +117,140 @@ def _year_overflow_step(day: Column) -> Column:
 
 def _overflow_date(day: Column, months: Column) -> Column:
     """`day` plus `months` with calendar overflow into the following month."""
-    first = F.add_months(F.trunc(day, "MM"), months)
-    return F.date_add(first, F.dayofmonth(day) - 1)
+    return F.date_add(F.add_months(F.trunc(day, "MM"), months), F.dayofmonth(day) - 1)
+
+
+WIDTH = {"day": 1, "week": 7, "month": 1, "year": 12}
+
+
+def _with_chain(df: DataFrame, anchor: str, periods: list[str]) -> DataFrame:
+    """Adds the anchor's date and time of day, and where month and year chains overflow."""
+    unknown = [p for p in periods if p not in PERIODS]
+    if unknown:
+        raise ValueError(f"period must be one of {PERIODS}: {unknown[0]!r}")
+    df = df.withColumns({"__day": F.to_date(anchor), "__tod": time_of_day(F.col(anchor))})
+    steps = {}
+    if "month" in periods:
+        steps["__month_step"] = _month_overflow_step(F.col("__day"))
+    if "year" in periods:
+        steps["__year_step"] = _year_overflow_step(F.col("__day"))
+    if not steps:
+        return df
+    df = df.withColumns(steps)
+    return df.withColumns(
+        {
+            name.replace("step", "base"): _overflow_date(
+                F.col("__day"), F.col(name) * WIDTH[name.strip("_").split("_")[0]]
+            )
+            for name in steps
+        }
+    )
 
 
-def boundary(anchor: Column, period: str, n: Column) -> Column:
-    """The n-th boundary of the chain from `anchor` (n = 0 is the anchor)."""
-    day = F.to_date(anchor)
+def _boundary(period: str, n: Column) -> Column:
+    """The n-th boundary; needs the columns of `_with_chain`."""
+    day, width = F.col("__day"), WIDTH[period]
     if period in ("day", "week"):
-        width = 1 if period == "day" else 7
         date = F.date_add(day, (n * width).cast("int"))
-    elif period in ("month", "year"):
-        width = 1 if period == "month" else 12
-        step = _month_overflow_step(day) if period == "month" else _year_overflow_step(day)
-        overflowed = F.add_months(_overflow_date(day, step * width), ((n - step) * width).cast("int"))
-        plain = F.add_months(day, (n * width).cast("int"))
-        date = F.when(n >= step, overflowed).otherwise(plain)
-    else:
-        raise ValueError(f"period must be one of {PERIODS}: {period!r}")
-    return date.cast(NTZ) + time_of_day(anchor)
-
-
-def period_index(anchor: Column, period: str, ts: Column) -> Column:
-    """Index of the window holding `ts`; 0 when `ts` lies before the anchor."""
-    day = F.to_date(anchor)
-    if period in ("day", "week"):
-        days = F.datediff(F.to_date(ts), day) - (time_of_day(ts) < time_of_day(anchor)).cast("int")
-        index = days if period == "day" else F.floor(days / 7).cast("int")
     else:
-        months = (F.year(ts) - F.year(day)) * 12 + F.month(ts) - F.month(day)
-        guess = months if period == "month" else F.year(ts) - F.year(day)
-        index = (
-            F.when(boundary(anchor, period, guess) <= ts, guess)
-            .when(boundary(anchor, period, guess - 1) <= ts, guess - 1)
-            .otherwise(guess - 2)
+        step, base = F.col(f"__{period}_step"), F.col(f"__{period}_base")
+        overflowed = F.add_months(base, ((n - step) * width).cast("int"))
+        date = F.when(n >= step, overflowed).otherwise(F.add_months(day, (n * width).cast("int")))
+    return date.cast(NTZ) + F.col("__tod")
+
+
+def with_period_index(df: DataFrame, ts: Column, periods: list[str], anchor: str) -> DataFrame:
+    """Adds `__<period>_n`, the index of the window holding `ts` (0 before the anchor)."""
+    df = _with_chain(df, anchor, periods).withColumn("__ts", ts)
+    moment, day = F.col("__ts"), F.col("__day")
+    steps = {}
+    for period in periods:
+        if period in ("day", "week"):
+            days = F.datediff(F.to_date(moment), day) - (time_of_day(moment) < F.col("__tod")).cast("int")
+            steps[f"__{period}_n"] = F.greatest(F.floor(days / WIDTH[period]).cast("int"), F.lit(0))
+        else:
+            base = F.col(f"__{period}_base")
+            on_base = F.coalesce(moment >= base.cast(NTZ) + F.col("__tod"), F.lit(False))
+            steps[f"__{period}_on_base"] = on_base
+    df = df.withColumns(steps)
+    calendar = [p for p in periods if p in ("month", "year")]
+    if not calendar:
+        return df
+    # The chain that `ts` lies on, and the whole months (years) since its start.
+    chains = {f"__{p}_chain": F.when(F.col(f"__{p}_on_base"), F.col(f"__{p}_base")).otherwise(day) for p in calendar}
+    df = df.withColumns(chains)
+    guesses = {}
+    for period in calendar:
+        chain = F.col(f"__{period}_chain")
+        years = F.year(moment) - F.year(chain)
+        months = years * 12 + F.month(moment) - F.month(chain)
+        guesses[f"__{period}_guess"] = years if period == "year" else months
+    df = df.withColumns(guesses)
+    indexes = {}
+    for period in calendar:
+        chain, guess = F.col(f"__{period}_chain"), F.col(f"__{period}_guess")
+        reached = F.add_months(chain, guess * WIDTH[period]).cast(NTZ) + F.col("__tod") <= moment
+        done = F.greatest(F.when(reached, guess).otherwise(guess - 1), F.lit(0))
+        step = F.col(f"__{period}_step")
+        # Before the overflow the last plain step is `step - 1` (`least` skips NULL).
+        indexes[f"__{period}_n"] = F.when(F.col(f"__{period}_on_base"), step + done).otherwise(
+            F.least(done, step - 1)
         )
-    return F.greatest(index, F.lit(0))
-
-
-def period_start(anchor: Column, period: str, ts: Column) -> Column:
-    return boundary(anchor, period, period_index(anchor, period, ts))
+    return df.withColumns(indexes)
+
+
+def with_windows(
+    df: DataFrame, ts: Column, periods: list[str] = PERIODS, anchor: str = "period_anchor_at"
+) -> DataFrame:
+    """Adds `<period>_window`, a struct of `period_start` and `period_end`, per period.
+
+    The window holds `ts`; it is the first one when `ts` lies before the anchor.
+    """
+    columns = df.columns
+    df = with_period_index(df, ts, periods, anchor)
+    windows = [
+        F.struct(
+            _boundary(p, F.col(f"__{p}_n")).alias("period_start"),
+            _boundary(p, F.col(f"__{p}_n") + 1).alias("period_end"),
+        ).alias(f"{p}_window")
+        for p in periods
+    ]
+    return df.select(*columns, *windows)
+
+
+def with_window_of(df: DataFrame, ts: Column, period: str = "period", anchor: str = "period_anchor_at") -> DataFrame:
+    """Adds `period_start` and `period_end` for the period named in a column."""
+    columns = df.columns
+    placed = with_windows(df, ts, PERIODS, anchor)
+    picked = F.when(F.col(period) == PERIODS[0], F.col(f"{PERIODS[0]}_window"))
+    for name in PERIODS[1:]:
+        picked = picked.when(F.col(period) == name, F.col(f"{name}_window"))
+    return placed.select(*columns, picked.alias("w")).select(*columns, "w.period_start", "w.period_end")
+
+
+def windows_until(df: DataFrame, until: Column, periods: list[str], anchor: str = "period_anchor_at") -> DataFrame:
+    """One row per window that starts before `until`; always at least the first one."""
+    columns = df.columns
+    last_moment = until - F.expr("INTERVAL 0.000001 SECOND")
+    indexed = with_period_index(df, last_moment, periods, anchor)
+    result = None
+    for period in periods:
+        numbered = indexed.withColumn("__n", F.explode(F.sequence(F.lit(0), F.col(f"__{period}_n"))))
+        rows = numbered.select(
+            *columns,
+            F.lit(period).alias("period"),
+            _boundary(period, F.col("__n")).alias("period_start"),
+            _boundary(period, F.col("__n") + 1).alias("period_end"),
+        )
+        result = rows if result is None else result.unionByName(rows)
+    return result
 
 
-def period_end(anchor: Column, period: str, ts: Column) -> Column:
-    return boundary(anchor, period, period_index(anchor, period, ts) + 1)
+def day_index(ts: Column, anchor: Column) -> Column:
+    """Index of the day window of `anchor` that holds `ts`."""
+    return F.datediff(F.to_date(ts), F.to_date(anchor)) - (time_of_day(ts) < time_of_day(anchor)).cast("int")
 
 
-def by_period(period: Column, build) -> Column:
-    """Pick `build(name)` by the value of a period column."""
-    result = F.when(period == PERIODS[0], build(PERIODS[0]))
-    for name in PERIODS[1:]:
-        result = result.when(period == name, build(name))
-    return result
+def day_boundary(anchor: Column, n: Column) -> Column:
+    """Start of the n-th day window of `anchor`."""
+    return F.date_add(F.to_date(anchor), n).cast(NTZ) + time_of_day(anchor)

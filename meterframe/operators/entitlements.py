@@ -19,13 +19,14 @@ from meterframe.functions.aggregates import (
     partial_value,
 )
 from meterframe.functions.timecalc import (
-    boundary,
-    by_period,
+    day_boundary,
+    day_index,
     ntz,
-    period_end,
-    period_index,
-    period_start,
     seconds_between,
+    truncated_to_second,
+    windows_until,
+    with_window_of,
+    with_windows,
 )
 from meterframe.operators.joins import side_join
 from meterframe.schema import NAME_MAX_CHARS, PERIODS, WARNING_DEFAULT_PERCENT
@@ -143,8 +144,7 @@ def assign(assignments: DataFrame, commands: DataFrame) -> DataFrame:
     runs_until = F.when(runs, F.coalesce("unassigned_at", forever))
     rows = rows.withColumn("covered_until", F.max(runs_until).over(earlier))
     covered = F.coalesce(F.col("covered_until") >= F.col("issued_at"), F.lit(False))
-    truncated = F.date_trunc("second", "assigned_at").cast("timestamp_ntz")
-    chain_anchor = F.when(~is_command, F.col("period_anchor_at")).when(~covered, truncated)
+    chain_anchor = F.when(~is_command, F.col("period_anchor_at")).when(~covered, truncated_to_second(F.col("assigned_at")))
     rows = rows.withColumn("chain_anchor", chain_anchor).withColumn("runs", runs)
     inherited = F.last(F.when(F.col("runs"), F.col("chain_anchor")), ignorenulls=True).over(earlier)
     rows = rows.withColumn("period_anchor_at", F.coalesce("chain_anchor", inherited))
@@ -302,22 +302,8 @@ def period_windows(assignments: DataFrame, until: str | datetime, periods: list[
 
     The first window is emitted even if the anchor lies after `until`.
     """
-    end = ntz(until)
     anchors = assignments.select(*SUBJECT, "period_anchor_at").distinct()
-    result = None
-    for period in periods:
-        anchor = F.col("period_anchor_at")
-        last = F.when(end > anchor, period_index(anchor, period, end - F.expr("INTERVAL 0.000001 SECOND")))
-        n = F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0))))
-        rows = anchors.select("*", F.lit(period).alias("period"), n.alias("n")).select(
-            *SUBJECT,
-            "period_anchor_at",
-            "period",
-            boundary(anchor, period, F.col("n")).alias("period_start"),
-            boundary(anchor, period, F.col("n") + 1).alias("period_end"),
-        )
-        result = rows if result is None else result.unionByName(rows)
-    return result
+    return windows_until(anchors, ntz(until), periods)
 
 
 def counter_partials(events: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -333,24 +319,17 @@ def counter_partials(events: DataFrame, assignments: DataFrame) -> DataFrame:
     placed = with_assignment(events.select(*columns), assignments)
     placed = placed.filter(F.col("event_time") >= anchor)
     daily = placed.groupBy(
-        *SUBJECT, "meter_name", "period_anchor_at", period_index(anchor, "day", F.col("event_time")).alias("day_index")
+        *SUBJECT, "meter_name", "period_anchor_at", day_index(F.col("event_time"), anchor).alias("day_index")
     ).agg(*partial_of_events())
     return merge_counters(_fan_out(daily))
 
 
 def _fan_out(daily: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Day-window partials, once for each period window that holds the day window."""
-    anchor = F.col("period_anchor_at")
-    daily = daily.withColumn("day_start", boundary(anchor, "day", F.col("day_index")))
-    window = [
-        F.struct(
-            F.lit(period).alias("period"),
-            period_start(anchor, period, F.col("day_start")).alias("period_start"),
-            period_end(anchor, period, F.col("day_start")).alias("period_end"),
-        )
-        for period in PERIODS
-    ]
-    return daily.select(*SUBJECT, "meter_name", *keep, F.inline(F.array(*window)), *PARTIAL_COLUMNS)
+    day_start = day_boundary(F.col("period_anchor_at"), F.col("day_index"))
+    placed = with_windows(daily, day_start)
+    windows = [F.struct(F.lit(p).alias("period"), F.col(f"{p}_window.*")) for p in PERIODS]
+    return placed.select(*SUBJECT, "meter_name", *keep, F.inline(F.array(*windows)), *PARTIAL_COLUMNS)
 
 
 def merge_counters(partials: DataFrame) -> DataFrame:
@@ -394,14 +373,9 @@ def above_zero(value: Column) -> Column:
 def _usage(rows: DataFrame, meters: DataFrame, counters: DataFrame, now: str | datetime) -> DataFrame:
     """Adds window, `current` and `event_count` to rows of subject, anchor, meter and period."""
     at = ntz(now)
-    anchor = F.col("period_anchor_at")
     side = meters.select("workspace_id", F.col("name").alias("meter_name"), "aggregation", "unit")
-    placed = side_join(rows, side, ["workspace_id", "meter_name"], spread=F.xxhash64("subject")).withColumns(
-        {
-            "period_start": by_period(F.col("period"), lambda p: period_start(anchor, p, at)),
-            "period_end": by_period(F.col("period"), lambda p: period_end(anchor, p, at)),
-        }
-    )
+    metered = side_join(rows, side, ["workspace_id", "meter_name"], spread=F.xxhash64("subject"))
+    placed = with_window_of(metered, at)
     # Windows that are over cannot match; dropping them first keeps the join small.
     live = counters.filter(F.col("period_end") > at)
     joined = placed.join(live, COUNTER_KEY, "left")
@@ -639,7 +613,7 @@ def replay_transitions(
         "plan_id",
         "valid_from",
         "period_anchor_at",
-        period_index(anchor, "day", time).alias("day_index"),
+        day_index(time, anchor).alias("day_index"),
         tick.alias("tick"),
     ).agg(*partial_of_events())
 

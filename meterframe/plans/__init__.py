@@ -1 +1,6 @@
 """Registered queries over the driver's tables, each next to its SQL oracle."""
+
+from meterframe.plans import usage  # noqa: F401  (registers its queries)
+from meterframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -24,7 +24,7 @@ def usage_from_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def as_usage(events: DataFrame) -> DataFrame:
     """Event-stream rows (batch or streaming) as usage events."""
-    hour = F.date_format("ts", "yyyy-MM-dd HH:00:00")
+    hour = F.substring(F.col("ts").cast("string"), 1, 13)
     return events.select(
         F.col("event_id").cast("string").alias("id"),
         workspace_of(F.col("user_id")).alias("workspace_id"),
