@@ -97,7 +97,7 @@ def bucket_subject_day_sum(spark, folder):
     ctes(EV)
     + """SELECT date_trunc('day', event_time)::TIMESTAMP AS bucket_start, subject,
   json_extract_string(metadata, '$.k') AS k, round(sum(quantity), 6) AS quantity
-FROM ev WHERE meter_name = 'purchase' AND workspace_id = 'ws_1' GROUP BY 1, 2, 3""",
+FROM ev WHERE meter_name = 'purchase' GROUP BY 1, 2, 3""",
 )
 def bucket_grouped(spark, folder):
     rows = buckets(
@@ -107,7 +107,6 @@ def bucket_grouped(spark, folder):
         END,
         "day",
         "sum",
-        workspace="ws_1",
         group_by="subject, metadata.k, k",
     )
     return rounded(rows, "quantity")
@@ -270,14 +269,14 @@ def _register_ranges() -> None:
 
         def total(spark, folder, aggregation=aggregation, digits=digits):
             usage = usage_from_events(spark, folder)
-            rows = aggregate_range(usage, "view", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z", aggregation, "ws_1")
+            rows = aggregate_range(usage, "view", "2024-01-05T00:00:00Z", "2024-01-20T00:00:00Z", aggregation)
             return rounded(rows, "quantity", digits=digits)
 
         query(
             f"aggregate_{aggregation}",
             ctes(EV)
             + f"""SELECT round(coalesce({measure}, 0.0), {digits}) AS quantity, count(*) AS usage_events
-FROM ev WHERE meter_name = 'view' AND workspace_id = 'ws_1' AND {where}""",
+FROM ev WHERE meter_name = 'view' AND {where}""",
         )(total)
 
         def by_subject(spark, folder, aggregation=aggregation, digits=digits):
@@ -342,10 +341,10 @@ def breakdown_share(spark, folder):
     "dimension_values",
     ctes(EV)
     + """SELECT json_extract_string(metadata, '$.k') AS value, count(*) AS usage_events
-FROM ev WHERE meter_name = 'signup' AND workspace_id = 'ws_0' GROUP BY 1""",
+FROM ev WHERE meter_name = 'signup' GROUP BY 1""",
 )
 def dimension_value_counts(spark, folder):
-    return dimension_values(usage_from_events(spark, folder), "signup", "k", workspace="ws_0")
+    return dimension_values(usage_from_events(spark, folder), "signup", "k")
 
 
 @query(
@@ -399,25 +398,23 @@ def workspace_stats(spark, folder):
 
 # --- pages ------------------------------------------------------------------------------
 
-_PAGE = "SELECT id, subject, meter_name, quantity, event_time FROM ev WHERE workspace_id = 'ws_0'"
+_PAGE = "SELECT id, subject, meter_name, quantity, event_time FROM ev"
 
 
 @query("event_page_first", ctes(EV) + _PAGE + " ORDER BY event_time DESC, id DESC LIMIT 51")
 def event_page_first(spark, folder):
-    rows = scan(usage_from_events(spark, folder), workspace="ws_0")
-    return paging.event_page(rows, 50).select("id", "subject", "meter_name", "quantity", "event_time")
+    return paging.event_page(usage_from_events(spark, folder), 50).select("id", "subject", "meter_name", "quantity", "event_time")
 
 
 @query(
     "event_page_next",
     ctes(EV)
     + _PAGE
-    + """ AND (event_time < TIMESTAMP '2024-01-15 00:00:00'
+    + """ WHERE (event_time < TIMESTAMP '2024-01-15 00:00:00'
   OR (event_time = TIMESTAMP '2024-01-15 00:00:00' AND id < '500')) ORDER BY event_time DESC, id DESC LIMIT 51""",
 )
 def event_page_next(spark, folder):
-    rows = scan(usage_from_events(spark, folder), workspace="ws_0")
-    got = paging.event_page(rows, 50, (datetime(2024, 1, 15), "500"))
+    got = paging.event_page(usage_from_events(spark, folder), 50, (datetime(2024, 1, 15), "500"))
     return got.select("id", "subject", "meter_name", "quantity", "event_time")
 
 
@@ -455,11 +452,11 @@ def subject_page_next(spark, folder):
 
 @query(
     "meter_page",
-    ctes(EV, MET) + "SELECT id, name FROM met WHERE workspace_id = 'ws_1' AND name > 'click' ORDER BY name LIMIT 4",
+    ctes(EV, MET) + "SELECT name FROM met GROUP BY name HAVING name > 'click' ORDER BY name LIMIT 4",
 )
 def meter_page(spark, folder):
-    meters = meters_from_usage(usage_from_events(spark, folder)).filter("workspace_id = 'ws_1'")
-    return paging.meter_page(meters, 3, ("click",)).select("id", "name")
+    names = meters_from_usage(usage_from_events(spark, folder)).select("name").distinct()
+    return paging.meter_page(names, 3, ("click",))
 
 
 @query(
@@ -544,7 +541,7 @@ def csv_buckets(spark, folder):
   CASE WHEN quantity = floor(quantity) THEN CAST(CAST(quantity AS BIGINT) AS VARCHAR) ELSE CAST(quantity AS VARCHAR) END
     AS quantity,
   replace(metadata, ': ', ':') AS metadata, id, idempotency_key
-FROM ev WHERE workspace_id = 'ws_2'""",
+FROM ev""",
 )
 def csv_events(spark, folder):
-    return event_csv(scan(usage_from_events(spark, folder), workspace="ws_2"))
+    return event_csv(usage_from_events(spark, folder))
