@@ -32,6 +32,11 @@ def json_path_column(key: Column) -> Column:
     return F.when(key.rlike(DIMENSION_NAME_PATTERN), body)
 
 
+def json_text(metadata: Column, path: Column) -> Column:
+    """`get_json_object` with a path held in a column."""
+    return F.call_function("get_json_object", metadata, path)
+
+
 def meta_text(key: str, metadata: Column | None = None) -> Column:
     """Text form of the value at `key`; NULL when missing or JSON null."""
     source = F.col("metadata") if metadata is None else metadata

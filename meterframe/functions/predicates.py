@@ -14,7 +14,7 @@ from typing import Any, Union
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterframe.functions.metadata import meta_text, meta_variant, strip_prefix, variant_type
+from meterframe.functions.metadata import json_text, meta_text, meta_variant, strip_prefix, variant_type
 from meterframe.functions.timecalc import ntz, rfc3339_nano
 
 # Fixed names of the filter language.
@@ -174,7 +174,7 @@ def metadata_map_matches(conditions: Column, metadata: Column) -> Column:
 
     def holds(entry: Column) -> Column:
         path = F.concat(F.lit("$['"), F.replace(entry["key"], F.lit("."), F.lit("']['")), F.lit("']"))
-        return F.coalesce(F.get_json_object(metadata, path) == entry["value"], F.lit(False))
+        return F.coalesce(json_text(metadata, path) == entry["value"], F.lit(False))
 
     none = conditions.isNull() | (F.size(conditions) == 0)
     return none | F.forall(F.map_entries(conditions), holds)
@@ -188,7 +188,7 @@ def metadata_map_matches_strictly(conditions: Column, metadata: Column) -> Colum
         path = F.concat(F.lit("$['"), F.replace(entry["key"], F.lit("."), F.lit("']['")), F.lit("']"))
         value = F.try_variant_get(variant, path, "variant")
         is_string = F.schema_of_variant(value) == "STRING"
-        return F.coalesce(is_string & (F.get_json_object(metadata, path) == entry["value"]), F.lit(False))
+        return F.coalesce(is_string & (json_text(metadata, path) == entry["value"]), F.lit(False))
 
     none = conditions.isNull() | (F.size(conditions) == 0)
     return none | F.forall(F.map_entries(conditions), holds)

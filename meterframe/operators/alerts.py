@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.functions.aggregates import merge_partials, partial_of_events, partial_value
-from meterframe.functions.metadata import json_path_column
+from meterframe.functions.metadata import json_path_column, json_text
 from meterframe.functions.predicates import metadata_map_matches, metadata_map_matches_strictly
 from meterframe.functions.timecalc import ntz, plus_seconds, rfc3339, seconds_between, utc_naive
 from meterframe.operators.ingest import subject_error
@@ -150,7 +150,7 @@ def _match(events: DataFrame, rules: DataFrame, strict_groups: bool, in_window:
     group_value = (
         F.when(F.col("group_key") == "", "")
         .when(F.col("group_key") == "subject", F.col("subject"))
-        .otherwise(F.get_json_object("metadata", F.col("group_path")))
+        .otherwise(json_text(F.col("metadata"), F.col("group_path")))
     )
     valued = joined.withColumn("group_value", group_value)
     return valued.filter((F.col("group_key") == "") | (F.coalesce("group_value", F.lit("")) != ""))

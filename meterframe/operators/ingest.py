@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from meterframe.functions.metadata import variant_type
 from meterframe.functions.predicates import metadata_map_matches
@@ -153,7 +154,7 @@ def nest_dotted_keys(text: str, names: list[str]) -> tuple[str, str | None]:
     return json.dumps(data, separators=(",", ":"), ensure_ascii=False), None
 
 
-@F.pandas_udf("metadata string, metadata_error string")
+@F.pandas_udf(StructType([StructField("metadata", StringType()), StructField("metadata_error", StringType())]))
 def _nest(metadata: pd.Series, names: pd.Series) -> pd.DataFrame:
     rows = [nest_dotted_keys(text, list(keys)) for text, keys in zip(metadata, names)]
     return pd.DataFrame(rows, columns=["metadata", "metadata_error"])

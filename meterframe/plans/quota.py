@@ -9,7 +9,8 @@ from meterframe.functions.timecalc import ntz
 from meterframe.operators import entitlements as ent
 from meterframe.plans.registry import EV, MET, ORD, ctes, query, rounded
 from meterframe.schema import PLAN, PLAN_LIMIT
-from meterframe.sources.tables import meters_from_usage, table, usage_from_events, usage_from_orders, workspace_of
+from meterframe.session import materialize
+from meterframe.sources.tables import event_meters, table, usage_from_events, usage_from_orders, workspace_of
 
 NOW = "2024-01-25T12:00:00Z"
 BEFORE = "2024-01-24T12:00:00Z"
@@ -75,6 +76,11 @@ def plans(spark: SparkSession) -> DataFrame:
 
 
 def assignments(spark: SparkSession, folder: str) -> DataFrame:
+    """The assignment history, written once as the table it stands for."""
+    return materialize(derived_assignments(spark, folder), "assignments")
+
+
+def derived_assignments(spark: SparkSession, folder: str) -> DataFrame:
     users = table(spark, folder, "events").select(F.col("user_id").alias("u")).distinct()
     u = F.col("u")
     started = ntz("2024-01-01T00:00:00Z") + F.make_dt_interval(days=u % 7, hours=u % 24)
@@ -183,7 +189,7 @@ class _Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.usage = usage_from_events(spark, folder)
-        self.meters = meters_from_usage(self.usage)
+        self.meters = event_meters(spark, folder)
         self.assignments = assignments(spark, folder)
         self.limits = limits(spark)
         self.counters = ent.counter_partials(self.usage, self.assignments)

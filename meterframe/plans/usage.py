@@ -15,7 +15,7 @@ from meterframe.plans.registry import EV, ITM, MET, ORD, ctes, query, rounded
 from meterframe.schema import AGGREGATIONS
 from meterframe.sources.sinks import bucket_csv, event_csv
 from meterframe.sources.tables import (
-    meters_from_usage,
+    event_meters,
     usage_from_events,
     usage_from_lineitem,
     usage_from_orders,
@@ -371,7 +371,7 @@ FROM met m LEFT JOIN (SELECT * FROM ev WHERE event_time >= TIMESTAMP '2024-01-20
 def meter_stats(spark, folder):
     usage = usage_from_events(spark, folder)
     recent = scan(usage, start="2024-01-20T00:00:00Z").filter(F.col("meter_name") != "error")
-    return stats.meter_stats(recent, meters_from_usage(usage))
+    return stats.meter_stats(recent, event_meters(spark, folder))
 
 
 @query(
@@ -393,7 +393,7 @@ def subject_stats(spark, folder):
 )
 def workspace_stats(spark, folder):
     usage = usage_from_events(spark, folder)
-    return stats.workspace_stats(usage, meters_from_usage(usage))
+    return stats.workspace_stats(usage, event_meters(spark, folder))
 
 
 # --- pages ------------------------------------------------------------------------------
@@ -455,7 +455,7 @@ def subject_page_next(spark, folder):
     ctes(EV, MET) + "SELECT name FROM met GROUP BY name HAVING name > 'click' ORDER BY name LIMIT 4",
 )
 def meter_page(spark, folder):
-    names = meters_from_usage(usage_from_events(spark, folder)).select("name").distinct()
+    names = event_meters(spark, folder).select("name").distinct()
     return paging.meter_page(names, 3, ("click",))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterframe.session import materialize
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -126,7 +128,13 @@ def meters_from_usage(usage: DataFrame) -> DataFrame:
     )
 
 
+def event_meters(spark: SparkSession, folder: str) -> DataFrame:
+    """The meters of the event table, written once as the catalog table they stand for."""
+    return materialize(meters_from_usage(usage_from_events(spark, folder)), "meters")
+
+
 __all__ = [
+    "event_meters",
     "as_usage",
     "meters_from_usage",
     "raw_from_usage",
