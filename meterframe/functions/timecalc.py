@@ -69,6 +69,18 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
     return ts + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+def as_instant(ts: Column) -> Column:
+    """A UTC wall-clock value as an instant (`timestamp`), whatever the session zone."""
+    micros = (ts - ntz("1970-01-01T00:00:00Z")).cast("interval second").cast("decimal(18,6)") * 1_000_000
+    return F.timestamp_micros(micros.cast("bigint"))
+
+
+def from_instant(instant: Column) -> Column:
+    """The UTC wall-clock value of an instant, whatever the session zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return ntz("1970-01-01T00:00:00Z") + F.make_dt_interval(secs=seconds)
+
+
 def truncated_to_second(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 1, 19).cast(NTZ)
 

@@ -226,20 +226,10 @@ def already_stored(firsts: DataFrame, stored: DataFrame) -> DataFrame:
     are few and builds a runtime bloom filter or shuffles both sides when not.
     """
     keys = ["workspace_id", "idempotency_key"]
-    if "key_bucket" in stored.columns:
-        firsts = firsts.withColumn("key_bucket", key_bucket())
-        keys = ["key_bucket", *keys]
     batch_keys = firsts.filter(F.col("idempotency_key").isNotNull()).select(*keys)
     return stored.join(batch_keys, keys, "left_semi")
 
 
-KEY_BUCKETS = 512
-
-
-def key_bucket() -> Column:
-    return F.pmod(F.xxhash64("workspace_id", "idempotency_key"), F.lit(KEY_BUCKETS)).cast("int")
-
-
 def accept(firsts: DataFrame, matched: DataFrame) -> DataFrame:
     """First rows whose key is not stored yet."""
     keys = ["workspace_id", "idempotency_key"]

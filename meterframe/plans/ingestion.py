@@ -22,8 +22,8 @@ SPLIT = "2024-01-16T00:30:00Z"
 # have a subject outside the grammar.
 
 
-def faulty_raw(spark, folder) -> DataFrame:
-    raw = raw_from_usage(usage_from_events(spark, folder))
+def faulty_raw(usage: DataFrame) -> DataFrame:
+    raw = raw_from_usage(usage)
     meter, quantity = F.col("meter"), F.col("quantity")
     as_text = F.regexp_replace("metadata", r"(\d+)", '"$1"')
     return raw.withColumns(
@@ -66,7 +66,7 @@ part2 AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_ke
 
 def _validated(spark, folder) -> DataFrame:
     meters = event_meters(spark, folder).filter("name <> 'error'")
-    return ingest.validate(faulty_raw(spark, folder), meters, NOW)
+    return ingest.validate(faulty_raw(usage_from_events(spark, folder)), meters, NOW)
 
 
 @query("ingest_failed", ctes(EV, RAW) + """SELECT workspace_id, index,

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterframe.functions.timecalc import from_instant
 from meterframe.schema import RAW_EVENT
 
 # On disk `metadata` is a JSON object; reading it as a string keeps its text.
 _JSON_SCHEMA = RAW_EVENT.replace("`timestamp` timestamp_ntz", "`timestamp` string")
 
 
-def rfc3339_to_ntz(text):
-    """RFC 3339 text with any offset as a UTC NTZ value; NULL when absent or malformed."""
-    instant = F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+def rfc3339_to_ntz(text: Column) -> Column:
+    """RFC 3339 text with any offset as a UTC value; NULL when absent or malformed."""
+    return from_instant(F.try_to_timestamp(F.nullif(F.trim(text), F.lit(""))))
 
 
 def typed_raw(rows: DataFrame) -> DataFrame:

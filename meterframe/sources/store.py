@@ -2,19 +2,23 @@
 
 Layout (every table is partitioned by the columns in brackets):
 
-    events     [workspace_id, meter_name, event_date, batch_id]
-    keys       [key_bucket, batch_id]       idempotency keys with their event ids
-    duplicates [batch_id]                   originals returned for duplicates
-    counters   [batch_id]                   mergeable quota counter partials
-    runs       [batch_id]                   ingestion log
-    ledger     [batch_id]                   committed batches, written last
-    staging    [batch_id]                   validated rows of one batch
-    quota_*    [batch_id]                   quota states, events and period snapshots
-    alert_*    [batch_id]                   alert states and events
+    events     [event_date, batch_id]   sorted by workspace, meter, subject and time
+    keys       [batch_id]               idempotency keys: event id and date
+    duplicates [batch_id]               originals returned for duplicates
+    counters   [batch_id]               mergeable quota counter partials
+    runs       [batch_id]               ingestion log
+    ledger     [batch_id]               committed batches, written last
+    staging    [batch_id]               validated rows of one batch
+    quota_*    [batch_id]               quota states, events and period snapshots
+    alert_*    [batch_id]               alert states and events
 
 A batch writes only its own `batch_id` partitions and overwrites them dynamically,
 and readers see only batches in the ledger. A batch that failed half way can thus be
 run again with the same id, and a committed one is answered from the tables.
+
+Folders by date rather than by tenant and meter keep the number of files of a small
+batch small; inside a file the sort order lets parquet skip the pages of other
+tenants and meters.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterframe.functions.timecalc import ntz
@@ -30,7 +34,8 @@ from meterframe.operators import alerts, entitlements, ingest
 from meterframe.operators.joins import latest_by, side_join
 from meterframe.schema import ALERT_STATE, EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
 
-EVENTS_SCHEMA = f"{USAGE_EVENT}, event_date date, batch_id string"
+EVENTS_SCHEMA = f"{USAGE_EVENT}, ingest_batch string, event_date date, batch_id string"
+KEYS_SCHEMA = "workspace_id string, idempotency_key string, id string, event_date date, batch_id string"
 POINT = "struct<event_time:timestamp_ntz,received_at:timestamp_ntz,id:string,quantity:double>"
 COUNTERS_SCHEMA = (
     "workspace_id string, subject string, meter_name string, period string, "
@@ -56,11 +61,13 @@ ALERT_EVENT_SCHEMA = (
     "id string, workspace_id string, rule_id string, group_key string, group_value string, type string, "
     "value double, message string, created_at timestamp_ntz, batch_id string"
 )
-LEDGER_SCHEMA = "workspace_id string, batch_key string, kind string, committed_at timestamp_ntz, batch_id string"
+LEDGER_SCHEMA = (
+    "workspace_id string, kind string, committed_at timestamp_ntz, replaces array<string>, batch_id string"
+)
 
 PARTITIONS = {
-    "events": ["workspace_id", "meter_name", "event_date", "batch_id"],
-    "keys": ["key_bucket", "batch_id"],
+    "events": ["event_date", "batch_id"],
+    "keys": ["batch_id"],
     "duplicates": ["batch_id"],
     "counters": ["batch_id"],
     "runs": ["batch_id"],
@@ -74,7 +81,7 @@ PARTITIONS = {
 }
 SCHEMAS = {
     "events": EVENTS_SCHEMA,
-    "keys": f"{USAGE_EVENT}, key_bucket int, batch_id string",
+    "keys": KEYS_SCHEMA,
     "duplicates": f"index long, {USAGE_EVENT}, batch_id string",
     "counters": COUNTERS_SCHEMA,
     "runs": f"{INGESTION_RUN}, batch_id string",
@@ -122,14 +129,23 @@ class EventStore:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
+    def committed(self) -> DataFrame:
+        """Ids of the batches that readers see: committed and not compacted away."""
+        ledger = self.raw_table("ledger")
+        replaced = ledger.select(F.explode("replaces").alias("batch_id"))
+        return ledger.select("batch_id").distinct().join(replaced, "batch_id", "left_anti")
+
     def table(self, table: str) -> DataFrame:
         """Rows of committed batches only.
 
-        The ledger's batch ids meet the `batch_id` partition column, so uncommitted
-        partitions are pruned before they are read.
+        The ledger's batch ids meet the `batch_id` partition column, so other folders
+        are pruned before they are read.
         """
-        committed = self.raw_table("ledger").select("batch_id").distinct()
-        return self.raw_table(table).join(committed, "batch_id", "left_semi")
+        return self.raw_table(table).join(self.committed(), "batch_id", "left_semi")
+
+    def own(self, table: str, batch_id: str) -> DataFrame:
+        """What one batch wrote, committed or not."""
+        return self.raw_table(table).filter(F.col("batch_id") == batch_id).drop("batch_id")
 
     def events(self) -> DataFrame:
         return self.table("events").select(*EVENT_COLUMNS, "event_date")
@@ -137,15 +153,17 @@ class EventStore:
     def write(self, table: str, rows: DataFrame, batch_id: str) -> None:
         """Replace this batch's partitions of a table.
 
-        `rebalance` groups rows by partition folder, splits folders that hold much
-        data over several tasks and merges small ones, so neither hot meters nor
-        tiny files pile up.
+        `rebalance` splits large outputs over several tasks, also within one folder,
+        and merges small ones, so neither hot meters nor tiny files pile up.
         """
         rows = rows.withColumn("batch_id", F.lit(batch_id))
-        folders = [c for c in PARTITIONS[table] if c != "batch_id"]
-        rows = rows.hint("rebalance", *folders) if folders else rows.hint("rebalance")
         if table == "events":
-            rows = rows.sortWithinPartitions(*folders, "subject", "event_time")
+            cluster = ["event_date", "workspace_id", "meter_name"]
+            rows = rows.hint("rebalance", *cluster).sortWithinPartitions(*cluster, "subject", "event_time")
+        elif table == "keys":
+            rows = rows.hint("rebalance").sortWithinPartitions("workspace_id", "idempotency_key")
+        else:
+            rows = rows.hint("rebalance")
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -180,43 +198,48 @@ class EventStore:
         # A written table instead of a cache: several steps read it, and it survives
         # lost executors.
         self.write("staging", validated, batch_id)
-        staged = self.raw_table("staging").filter(F.col("batch_id") == batch_id).drop("batch_id")
+        staged = self.own("staging", batch_id)
         ok = ingest.valid_rows(staged)
         if reject_known_ids:
             clash = ingest.conflicting_ids(ok, self.events())
             if not clash.isEmpty():
                 raise ValueError("event id conflicts with a stored event")
 
-        stored = self.table("keys").filter(F.col("batch_id") != batch_id).drop("batch_id")
         firsts = ingest.dedupe_batch(ok)
-        matched = ingest.already_stored(firsts, stored)
+        matched = ingest.already_stored(firsts, self.table("keys"))
         accepted = ingest.accept(firsts, matched).select(*EVENT_COLUMNS)
-        self.write("events", accepted.withColumn("event_date", F.to_date("event_time")), batch_id)
-
-        mine = self.raw_table("events").filter(F.col("batch_id") == batch_id).drop("batch_id")
-        keyed = mine.filter(F.col("idempotency_key").isNotNull()).drop("event_date")
-        self.write("keys", keyed.withColumn("key_bucket", ingest.key_bucket()), batch_id)
-        self.write("duplicates", ingest.duplicates(ok, firsts, matched.drop("key_bucket")), batch_id)
+        dated = accepted.select("*", F.lit(batch_id).alias("ingest_batch"), F.to_date("event_time").alias("event_date"))
+        self.write("events", dated, batch_id)
+
+        mine = self.own("events", batch_id)
+        keyed = mine.filter(F.col("idempotency_key").isNotNull())
+        self.write("keys", keyed.select("workspace_id", "idempotency_key", "id", "event_date"), batch_id)
+        # The originals are fetched by date folder and id, so only folders that hold
+        # one are read.
+        wanted = matched.select("event_date", "id")
+        originals = self.events().join(wanted, ["event_date", "id"], "left_semi").select(*EVENT_COLUMNS)
+        self.write("duplicates", ingest.duplicates(ok, firsts, originals), batch_id)
         if assignments is not None:
-            self.write("counters", entitlements.counter_partials(mine.drop("event_date"), assignments), batch_id)
+            partials = entitlements.counter_partials(mine.select(*EVENT_COLUMNS), assignments)
+            self.write("counters", partials, batch_id)
         runs = ingest.ingestion_runs(staged, mine, kind, batch_id, now)
         self.write("runs", runs, batch_id)
         ledger = runs.select(
             "workspace_id",
-            F.lit(batch_id).alias("batch_key"),
             F.lit(kind).alias("kind"),
             ntz(now).alias("committed_at"),
+            F.array().cast("array<string>").alias("replaces"),
         )
-        self.write("ledger", ledger, batch_id)
+        self.write("ledger", ledger.coalesce(1), batch_id)
         return self.result(batch_id, ingest.failures(staged), replayed=False)
 
     def result(self, batch_id: str, failed: DataFrame, replayed: bool) -> IngestResult:
-        def own(table):
-            return self.raw_table(table).filter(F.col("batch_id") == batch_id).drop("batch_id")
-
+        """A batch's rows; after compaction they are found by their `ingest_batch`."""
+        moved = self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
+        events = self.table("events") if moved else self.own("events", batch_id)
         return IngestResult(
-            own("events").select(*EVENT_COLUMNS),
-            own("duplicates").select("index", *EVENT_COLUMNS),
+            events.filter(F.col("ingest_batch") == batch_id).select(*EVENT_COLUMNS),
+            self.own("duplicates", batch_id).select("index", *EVENT_COLUMNS),
             failed,
             replayed,
         )
@@ -226,7 +249,50 @@ class EventStore:
         return entitlements.merge_counters(self.table("counters"))
 
     def runs(self) -> DataFrame:
-        return self.table("runs").drop("batch_id")
+        return self.raw_table("runs").join(self.raw_table("ledger").select("batch_id"), "batch_id", "left_semi").drop(
+            "batch_id"
+        )
+
+    # --- compaction ---------------------------------------------------------------
+
+    def compact(self, batch_id: str, now: str | datetime) -> None:
+        """Merge all committed batches into one: fewer files, merged counters and states.
+
+        The new batch's single ledger row names the batches it replaces, so readers
+        switch from the old files to the new ones at once. `vacuum` removes the old
+        files later, when no running query reads them any more.
+        """
+        if self.is_committed(batch_id):
+            return
+        old = [row["batch_id"] for row in self.committed().collect()]
+        self.write("events", self.table("events").drop("batch_id"), batch_id)
+        self.write("keys", self.table("keys").drop("batch_id"), batch_id)
+        self.write("counters", self.counters(), batch_id)
+        self.write("quota_states", self.quota_states(), batch_id)
+        self.write("quota_snapshots", self.quota_snapshots(), batch_id)
+        self.write("alert_states", self.alert_states(), batch_id)
+        for log in ("quota_events", "alert_events"):
+            self.write(log, self.table(log).drop("batch_id"), batch_id)
+        entry = self.spark.createDataFrame([(None, "compaction", None, old)], LEDGER_SCHEMA.rsplit(",", 1)[0])
+        self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders of replaced batches; returns them."""
+        replaced = self.raw_table("ledger").select(F.explode("replaces").alias("batch_id")).distinct()
+        doomed = []
+        for table in ("events", "keys", "counters", "quota_states", "quota_snapshots", "alert_states", "quota_events", "alert_events"):
+            if self.exists(table):
+                rows = self.raw_table(table).select("batch_id", _folder().alias("folder")).distinct()
+                stale = rows.join(replaced, "batch_id", "left_semi")
+                doomed += [row["folder"] for row in stale.toLocalIterator()]
+        self._delete(doomed)
+        return doomed
+
+    def _delete(self, folders: list[str]) -> None:
+        jvm = self.spark._jvm
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     # --- evaluation state ---------------------------------------------------------
 
@@ -286,45 +352,51 @@ class EventStore:
     # --- retention --------------------------------------------------------------
 
     def prune(self, cutoffs: DataFrame, batch_id: str) -> list[str]:
-        """Remove events older than their meter's cutoff.
+        """Remove events older than their meter's cutoff; returns the dropped folders.
 
-        Whole `event_date` folders before the cutoff day are dropped without reading
-        them. Only folders of the cutoff day itself are rewritten. Keys and counters
-        stay, so deduplication and quotas survive pruning. Returns the dropped folders.
+        A date folder older than every cutoff is dropped without reading it. A folder
+        that some cutoff has reached is rewritten with the rows that stay, each row in
+        the batch it came with. Keys and counters stay, so deduplication and quotas
+        survive pruning.
         """
         folders = PARTITIONS["events"]
         meter = ["workspace_id", "meter_name"]
+        limits = cutoffs.select(*meter, "cutoff")
+        bounds = limits.agg(F.to_date(F.min("cutoff")).alias("lowest"), F.to_date(F.max("cutoff")).alias("highest")).first()
         stored = self.table("events")
-        # A distinct over partition values and file folders reads no data columns.
-        folder = F.regexp_replace("_metadata.file_path", "/[^/]+$", "")
-        listed = self.raw_table("events").select(*folders, folder.alias("folder")).distinct()
-        listed = side_join(listed, cutoffs.select(*meter, "cutoff"), meter, spread=F.xxhash64("folder"))
-        expired = listed.filter(F.col("event_date") < F.to_date("cutoff"))
-        boundary = listed.filter(
-            (F.col("event_date") == F.to_date("cutoff"))
-            & (F.col("cutoff") > F.col("event_date").cast("timestamp_ntz"))
-        )
+        # Folder names and row counts only, no data columns. Meters without a
+        # definition keep their events, so a folder goes only if all its meters are known.
+        known = side_join(stored.select(*folders, *meter), limits, meter, "left", spread=F.xxhash64("event_date"))
+        in_reach = F.col("event_date") <= F.lit(bounds["highest"])
+        old = F.col("event_date").cast("timestamp_ntz") < F.col("cutoff")
+        touched = known.filter(in_reach & old).select(*folders).distinct()
 
         kept_path = f"{self.root}/staging_prune/{batch_id}"
-        kept = side_join(stored, boundary.select(*folders, "cutoff"), folders)
-        kept.filter(F.col("event_time") >= F.col("cutoff")).drop("cutoff").write.mode("overwrite").parquet(kept_path)
+        rows = side_join(stored.filter(in_reach), limits, meter, "left")
+        keep = F.col("cutoff").isNull() | (F.col("event_time") >= F.col("cutoff"))
+        kept = rows.filter(keep).drop("cutoff").join(touched, folders, "left_semi")
+        kept.write.mode("overwrite").parquet(kept_path)
         survivors = self.spark.read.schema(EVENTS_SCHEMA).parquet(kept_path)
-        emptied = boundary.join(survivors.select(*folders).distinct(), folders, "left_anti")
-        # Only folder names go to the driver, one task's worth at a time. They are read
-        # before anything is removed.
-        doomed = expired.select("folder").unionByName(emptied.select("folder"))
-        names = [row["folder"] for row in doomed.toLocalIterator()]
+
+        named = self.raw_table("events").select(*folders, _folder().alias("folder")).distinct()
+        emptied = named.join(touched, folders, "left_semi").join(
+            survivors.select(*folders).distinct(), folders, "left_anti"
+        )
+        # Read before anything is removed; one task's worth of names at a time.
+        doomed = [row["folder"] for row in emptied.select("folder").toLocalIterator()]
+        cluster = ["event_date", "batch_id", *meter]
         (
-            survivors.hint("rebalance", *folders)
-            .sortWithinPartitions(*folders, "subject", "event_time")
+            survivors.hint("rebalance", *cluster)
+            .sortWithinPartitions(*cluster, "subject", "event_time")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*folders)
             .parquet(self.path("events"))
         )
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path, True)
-        return names
+        self._delete(doomed)
+        return doomed
+
+
+def _folder() -> Column:
+    """The folder a row's file lies in."""
+    return F.regexp_replace("_metadata.file_path", "/[^/]+$", "")

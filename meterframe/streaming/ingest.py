@@ -6,8 +6,10 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meterframe.functions.timecalc import as_instant
 from meterframe.sources.store import EventStore
 
 
@@ -56,6 +58,8 @@ def drop_repeats_within(events: DataFrame, delay: str) -> DataFrame:
     The opt-in alternative to the exact key table: memory stays bounded, but a repeat
     that comes later than `delay` after the first event time is accepted again.
     """
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
+    timed = events.withColumn("event_instant", as_instant(F.col("event_time")))
+    kept = timed.withWatermark("event_instant", delay).dropDuplicatesWithinWatermark(
         ["workspace_id", "idempotency_key"]
     )
+    return kept.drop("event_instant")

@@ -12,33 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterframe.functions.aggregates import aggregate
-from meterframe.functions.timecalc import bucket_start
+from meterframe.functions.timecalc import as_instant, bucket_start, from_instant
 
 WINDOW_LENGTH = {"hour": "1 hour", "day": "1 day"}
 
 
-def tumbling(events: DataFrame, size: str, lateness: str, group_by: list[str], aggregation: str = "sum") -> DataFrame:
-    """Hour or day buckets of a stream, final once the watermark passes."""
-    window = F.window("event_time", WINDOW_LENGTH[size])
+def _windowed(events: DataFrame, lateness: str, window: list[str], group_by: list[str], aggregation: str) -> DataFrame:
+    # Watermarks need an instant; the event time itself is a UTC wall-clock value.
+    timed = events.withColumn("event_instant", as_instant(F.col("event_time")))
     return (
-        events.withWatermark("event_time", lateness)
-        .groupBy(window.alias("w"), *group_by)
+        timed.withWatermark("event_instant", lateness)
+        .groupBy(F.window("event_instant", *window).alias("w"), *group_by)
         .agg(aggregate(aggregation).alias("quantity"), F.count(F.lit(1)).alias("usage_events"))
-        .select(F.col("w.start").alias("bucket_start"), *group_by, "quantity", "usage_events")
     )
 
 
+def tumbling(events: DataFrame, size: str, lateness: str, group_by: list[str], aggregation: str = "sum") -> DataFrame:
+    """Hour or day buckets of a stream, final once the watermark passes."""
+    rows = _windowed(events, lateness, [WINDOW_LENGTH[size]], group_by, aggregation)
+    return rows.select(from_instant(F.col("w.start")).alias("bucket_start"), *group_by, "quantity", "usage_events")
+
+
 def sliding(
     events: DataFrame, length: str, slide: str, lateness: str, group_by: list[str], aggregation: str = "sum"
 ) -> DataFrame:
     """Look-back windows `[tick - length, tick)` at every slide."""
-    window = F.window("event_time", length, slide)
-    return (
-        events.withWatermark("event_time", lateness)
-        .groupBy(window.alias("w"), *group_by)
-        .agg(aggregate(aggregation).alias("quantity"), F.count(F.lit(1)).alias("usage_events"))
-        .select(F.col("w.end").alias("tick_at"), *group_by, "quantity", "usage_events")
-    )
+    rows = _windowed(events, lateness, [length, slide], group_by, aggregation)
+    return rows.select(from_instant(F.col("w.end")).alias("tick_at"), *group_by, "quantity", "usage_events")
 
 
 def start_bucket_partials(
