@@ -9,6 +9,8 @@ Layout (every table is partitioned by the columns in brackets):
     runs       [batch_id]               ingestion log
     ledger     [batch_id]               committed batches, written last
     staging    [batch_id]               validated rows of one batch
+    firsts     [batch_id]               its first row per idempotency key
+    matched    [batch_id]               stored keys that it repeats
     quota_*    [batch_id]               quota states, events and period snapshots
     alert_*    [batch_id]               alert states and events
 
@@ -73,6 +75,8 @@ PARTITIONS = {
     "runs": ["batch_id"],
     "ledger": ["batch_id"],
     "staging": ["batch_id"],
+    "firsts": ["batch_id"],
+    "matched": ["batch_id"],
     "quota_states": ["batch_id"],
     "quota_events": ["batch_id"],
     "quota_snapshots": ["batch_id"],
@@ -87,6 +91,8 @@ SCHEMAS = {
     "runs": f"{INGESTION_RUN}, batch_id string",
     "ledger": LEDGER_SCHEMA,
     "staging": f"index long, {USAGE_EVENT}, code string, message string, batch_id string",
+    "firsts": f"index long, {USAGE_EVENT}, copies long, batch_id string",
+    "matched": KEYS_SCHEMA,
     "quota_states": QUOTA_STATE_SCHEMA,
     "quota_events": QUOTA_EVENT_SCHEMA,
     "quota_snapshots": QUOTA_SNAPSHOT_SCHEMA,
@@ -195,8 +201,9 @@ class EventStore:
         if self.is_committed(batch_id):
             return self.result(batch_id, ingest.failures(validated), replayed=True)
 
-        # A written table instead of a cache: several steps read it, and it survives
-        # lost executors.
+        # Written tables instead of caches: several steps read them, each costly input
+        # (raw payload, deduplication, key table) is read once, and lost executors do
+        # no harm.
         self.write("staging", validated, batch_id)
         staged = self.own("staging", batch_id)
         ok = ingest.valid_rows(staged)
@@ -205,8 +212,11 @@ class EventStore:
             if not clash.isEmpty():
                 raise ValueError("event id conflicts with a stored event")
 
-        firsts = ingest.dedupe_batch(ok)
-        matched = ingest.already_stored(firsts, self.table("keys"))
+        self.write("firsts", ingest.dedupe_batch(ok), batch_id)
+        firsts = self.own("firsts", batch_id)
+        stored_keys = self.table("keys").filter(F.col("batch_id") != batch_id).drop("batch_id")
+        self.write("matched", ingest.already_stored(firsts, stored_keys), batch_id)
+        matched = self.own("matched", batch_id)
         accepted = ingest.accept(firsts, matched).select(*EVENT_COLUMNS)
         dated = accepted.select("*", F.lit(batch_id).alias("ingest_batch"), F.to_date("event_time").alias("event_date"))
         self.write("events", dated, batch_id)
@@ -354,18 +364,19 @@ class EventStore:
     def prune(self, cutoffs: DataFrame, batch_id: str) -> list[str]:
         """Remove events older than their meter's cutoff; returns the dropped folders.
 
-        A date folder older than every cutoff is dropped without reading it. A folder
-        that some cutoff has reached is rewritten with the rows that stay, each row in
-        the batch it came with. Keys and counters stay, so deduplication and quotas
+        Folders that no cutoff has reached are not read. One that some cutoff has reached
+        is rewritten with the rows that stay, in the batch they came with, and dropped
+        when none stays. Keys and counters stay, so deduplication and quotas
         survive pruning.
         """
         folders = PARTITIONS["events"]
         meter = ["workspace_id", "meter_name"]
         limits = cutoffs.select(*meter, "cutoff")
-        bounds = limits.agg(F.to_date(F.min("cutoff")).alias("lowest"), F.to_date(F.max("cutoff")).alias("highest")).first()
+        bounds = limits.agg(F.to_date(F.max("cutoff")).alias("highest")).first()
+        if bounds["highest"] is None:
+            return []
         stored = self.table("events")
-        # Folder names and row counts only, no data columns. Meters without a
-        # definition keep their events, so a folder goes only if all its meters are known.
+        # Only tenant, meter and folder are read to find the folders that change.
         known = side_join(stored.select(*folders, *meter), limits, meter, "left", spread=F.xxhash64("event_date"))
         in_reach = F.col("event_date") <= F.lit(bounds["highest"])
         old = F.col("event_date").cast("timestamp_ntz") < F.col("cutoff")
