@@ -6,6 +6,7 @@ its meter, and is reduced to (rule, group) partials before anything is shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,9 @@ from meterframe.functions.metadata import json_path_column, json_text
 from meterframe.functions.predicates import metadata_map_matches, metadata_map_matches_strictly
 from meterframe.functions.timecalc import ntz, plus_seconds, rfc3339, seconds_between, utc_naive
 from meterframe.operators.ingest import subject_error
-from meterframe.operators.joins import side_join, with_latest_delivery
+from meterframe.operators.joins import BROADCAST_MAX_ROWS, side_join, with_latest_delivery
 from meterframe.operators.paging import LOG_ORDER, page
-from meterframe.operators.scan import in_range
+from meterframe.operators.scan import scan
 from meterframe.schema import COMPARATORS, DIMENSION_NAME_PATTERN, NAME_MAX_CHARS
 
 OK, ALERTING, NO_DATA, ERROR = "ok", "alerting", "no_data", "error"
@@ -107,8 +108,7 @@ def compare(comparator: Column, value: Column, threshold: Column) -> Column:
 def _rule_side(rules: DataFrame, meters: DataFrame) -> DataFrame:
     """Rules with their meter's aggregation, columns prefixed so they cannot clash."""
     aggregation = meters.select("workspace_id", F.col("name").alias("meter_name"), "aggregation")
-    joined = side_join(rules, aggregation, ["workspace_id", "meter_name"], spread=F.xxhash64("rule_id"))
-    return joined.select(
+    return rules.join(aggregation, ["workspace_id", "meter_name"]).select(
         "workspace_id",
         "meter_name",
         "rule_id",
@@ -124,14 +124,28 @@ def _rule_side(rules: DataFrame, meters: DataFrame) -> DataFrame:
     )
 
 
-def _rule_needs(rules: DataFrame) -> tuple[int, bool]:
-    """Longest window, and whether any rule needs first or last. One row to the driver."""
-    ordered = F.col("rule_aggregation").isin("first", "last")
-    row = rules.agg(F.max("window_seconds").alias("longest"), F.max(ordered).alias("ordered")).first()
-    return row["longest"] or 0, bool(row["ordered"])
+@dataclass
+class RuleFacts:
+    """What the plan needs to know about the rules; one row read by the driver."""
+
+    longest_window: int
+    ordered: bool  # some rule needs first or last
+    small: bool  # the rules may be broadcast
 
+    @classmethod
+    def of(cls, side: DataFrame) -> "RuleFacts":
+        ordered = F.col("rule_aggregation").isin("first", "last")
+        row = side.agg(
+            F.max("window_seconds").alias("longest"),
+            F.max(ordered).alias("ordered"),
+            F.count(F.lit(1)).alias("rules"),
+        ).first()
+        return cls(int(row["longest"] or 0), bool(row["ordered"]), row["rules"] <= BROADCAST_MAX_ROWS)
 
-def _match(events: DataFrame, rules: DataFrame, strict_groups: bool, in_window: Column | None) -> DataFrame:
+
+def _match(
+    events: DataFrame, rules: DataFrame, facts: RuleFacts, strict_groups: bool, in_window: Column | None = None
+) -> DataFrame:
     """Events joined with the rules they count for, plus their group value.
 
     Metadata conditions compare as text; `strict_groups` makes grouped rules compare
@@ -146,7 +160,7 @@ def _match(events: DataFrame, rules: DataFrame, strict_groups: bool, in_window:
     residual = (subject.isNull() | (subject == "") | (subject == F.col("subject"))) & same_metadata
     if in_window is not None:
         residual = residual & in_window
-    joined = side_join(events, rules, ["workspace_id", "meter_name"], residual=residual)
+    joined = side_join(events, rules, ["workspace_id", "meter_name"], residual=residual, small=facts.small)
     group_value = (
         F.when(F.col("group_key") == "", "")
         .when(F.col("group_key") == "subject", F.col("subject"))
@@ -161,13 +175,13 @@ def rule_values(
 ) -> DataFrame:
     """Value and event count per (rule, group) over `[now - window, now)`."""
     side = _rule_side(rules, meters)
-    longest, ordered = _rule_needs(side)
+    facts = RuleFacts.of(side)
     end = utc_naive(now)
-    recent = events.filter(in_range(F.col("event_time"), end - timedelta(seconds=int(longest)), end))
+    recent = scan(events, start=end - timedelta(seconds=facts.longest_window), end=end)
     in_window = F.col("event_time") >= plus_seconds(ntz(now), -F.col("window_seconds"))
-    matched = _match(recent, side, strict_groups, in_window)
-    partials = matched.groupBy(*GROUP, "rule_aggregation", "window_seconds").agg(*partial_of_events(ordered))
-    return partials.select(*GROUP, _value(ordered).alias("value"), F.col("event_count").alias("usage_events"))
+    matched = _match(recent, side, facts, strict_groups, in_window)
+    partials = matched.groupBy(*GROUP, "rule_aggregation", "window_seconds").agg(*partial_of_events(facts.ordered))
+    return partials.select(*GROUP, _value(facts.ordered).alias("value"), F.col("event_count").alias("usage_events"))
 
 
 def _value(ordered: bool) -> Column:
@@ -209,25 +223,28 @@ def evaluate(
     rule_columns = enabled.select(
         "workspace_id", "rule_id", F.col("group_by").alias("rule_group"), "comparator", "threshold"
     )
+    # New values meet remembered groups in one aggregation: a group is there if it has
+    # events now or had a state before.
     values = rule_values(enabled, events, meters, now, strict_groups)
-    before = previous.select(*GROUP, F.col("status").alias("previous_status"))
-
-    # Remembered groups of grouped rules, and the single row of global rules, must
-    # appear even without events.
-    single = enabled.filter(F.col("group_by") == "").select(
-        "workspace_id", "rule_id", F.lit("").alias("group_key"), F.lit("").alias("group_value")
+    new = values.select(*GROUP, "value", "usage_events", F.lit(None).cast("string").alias("previous_status"))
+    before = previous.select(
+        *GROUP,
+        F.lit(None).cast("double").alias("value"),
+        F.lit(None).cast("long").alias("usage_events"),
+        F.col("status").alias("previous_status"),
+    )
+    groups = (
+        new.unionByName(before)
+        .groupBy(*GROUP)
+        .agg(*[F.max(c).alias(c) for c in ("value", "usage_events", "previous_status")])
     )
-    known = values.join(before, GROUP, "full_outer").join(single.withColumn("is_single", F.lit(True)), GROUP, "full_outer")
-    expected = known.filter(
-        F.col("usage_events").isNotNull() | (F.col("group_key") != "") | F.col("is_single")
-    ).drop("is_single")
     same_kind = (F.col("rule_group") == "") == (F.col("group_key") == "")
-    with_rule = expected.join(rule_columns, ["workspace_id", "rule_id"]).filter(same_kind).drop("rule_group")
+    with_rule = groups.join(rule_columns, ["workspace_id", "rule_id"]).filter(same_kind).drop("rule_group")
 
+    # Rules without any group: global ones without events, grouped ones never seen.
     silent = (
-        rule_columns.filter(F.col("rule_group") != "")
+        rule_columns.drop("rule_group")
         .join(with_rule.select("workspace_id", "rule_id").distinct(), ["workspace_id", "rule_id"], "left_anti")
-        .select("workspace_id", "rule_id", "comparator", "threshold")
         .withColumns(
             {
                 "group_key": F.lit(""),
@@ -372,7 +389,7 @@ def outbox(alert_events: DataFrame, rules: DataFrame, state_rows: DataFrame) ->
         "message",
         rfc3339(F.col("created_at")).alias("created_at"),
     )
-    joined = side_join(alert_events, rule, ["workspace_id", "rule_id"]).join(state, GROUP, "left")
+    joined = alert_events.join(rule, ["workspace_id", "rule_id"]).join(state, GROUP, "left")
     return joined.select(
         F.col("id").alias("event_id"),
         "workspace_id",
@@ -409,10 +426,11 @@ def backtest_values(
     """
     begin, finish = utc_naive(start), utc_naive(end)
     side = _rule_side(normalize_rules(rules).filter("enabled"), meters)
-    longest, ordered = _rule_needs(side)
+    facts = RuleFacts.of(side)
+    ordered = facts.ordered
     side = side.withColumn("pane_seconds", _gcd(F.col("window_seconds"), F.col("evaluation_interval_seconds")))
-    recent = events.filter(in_range(F.col("event_time"), begin - timedelta(seconds=int(longest)), finish))
-    matched = _match(recent, side, strict_groups, None)
+    recent = scan(events, start=begin - timedelta(seconds=facts.longest_window), end=finish)
+    matched = _match(recent, side, facts, strict_groups)
 
     carried = ["rule_aggregation", "window_seconds", "evaluation_interval_seconds", "pane_seconds", "comparator", "threshold"]
     pane = F.floor(seconds_between(ntz(start), F.col("event_time")) / F.col("pane_seconds"))

@@ -187,9 +187,7 @@ def validate_plans(plans: DataFrame, limits: DataFrame, meters: DataFrame) -> Da
         .withColumn("message", F.lit("duplicate limit for meter and period"))
     )
     known = meters.select("workspace_id", F.col("name").alias("meter_name"), F.lit(True).alias("known"))
-    looked_up = side_join(
-        clean, known, ["workspace_id", "meter_name"], "left", spread=F.xxhash64("plan_id", "period")
-    )
+    looked_up = clean.join(known, ["workspace_id", "meter_name"], "left")
     limit_value, warning = F.col("limit_value"), F.col("warning_percent")
     infinite = F.lit(float("inf"))
     limit_error = (
@@ -274,7 +272,7 @@ def new_versions(
         normalize_limits(new_limits).join(mapping, key).withColumn("plan_id", F.col("new_id")).select(*limits.columns)
     )
 
-    live = side_join(assignments.filter(not_ended(at)), mapping, key)
+    live = assignments.filter(not_ended(at)).join(mapping, key)
     per_subject = live.groupBy(*SUBJECT).agg(
         F.min_by("new_id", "assigned_at").alias("plan_id"), F.min("assigned_at").alias("starts")
     )
@@ -374,7 +372,7 @@ def _usage(rows: DataFrame, meters: DataFrame, counters: DataFrame, now: str | d
     """Adds window, `current` and `event_count` to rows of subject, anchor, meter and period."""
     at = ntz(now)
     side = meters.select("workspace_id", F.col("name").alias("meter_name"), "aggregation", "unit")
-    metered = side_join(rows, side, ["workspace_id", "meter_name"], spread=F.xxhash64("subject"))
+    metered = rows.join(side, ["workspace_id", "meter_name"])
     placed = with_window_of(metered, at)
     # Windows that are over cannot match; dropping them first keeps the join small.
     live = counters.filter(F.col("period_end") > at)
@@ -393,7 +391,7 @@ def progress(
 ) -> DataFrame:
     """Usage against every limit of the plan each subject has now."""
     active = assignment_at(assignments, now).select(*SUBJECT, "plan_id", "period_anchor_at")
-    rows = side_join(active, limits, ["workspace_id", "plan_id"], spread=F.xxhash64("subject"))
+    rows = active.join(limits, ["workspace_id", "plan_id"])
     used = _usage(rows, meters, counters, now)
     current, limit = F.col("current"), F.col("limit_value")
     return used.select(
@@ -683,13 +681,9 @@ def preview(
     )
     both = old.join(new, key, "full_outer")
     plans = proposed_limits.select("workspace_id", "plan_id").distinct()
-    subjects = side_join(
-        assignments.filter(not_ended(at)).select(*SUBJECT, "plan_id", "period_anchor_at"),
-        plans,
-        ["workspace_id", "plan_id"],
-        spread=F.xxhash64("subject"),
-    )
-    rows = side_join(subjects, both, ["workspace_id", "plan_id"], spread=F.xxhash64("subject"))
+    subjects = assignments.filter(not_ended(at)).select(*SUBJECT, "plan_id", "period_anchor_at")
+    subjects = subjects.join(plans, ["workspace_id", "plan_id"], "left_semi")
+    rows = subjects.join(both, ["workspace_id", "plan_id"])
     used = _usage(rows, meters, counters, now)
     current = F.col("current")
 
@@ -756,5 +750,4 @@ def list_assignments(
         F.col("name").alias("plan_name"),
         F.col("version").alias("plan_version"),
     )
-    joined = side_join(rows, side, ["workspace_id", "plan_id"], spread=F.xxhash64("subject"))
-    return joined.withColumn("status", assignment_status(now))
+    return rows.join(side, ["workspace_id", "plan_id"]).withColumn("status", assignment_status(now))

@@ -1,4 +1,7 @@
-"""Joins of the event table (or another large table) with a smaller side.
+"""Joins of the event table with a smaller side.
+
+Joins between catalog, assignment and counter tables need none of this: they are plain
+`join` calls, for which Spark picks and, at run time, revises the strategy.
 
 Two physical shapes, chosen by a check of the smaller side's row count:
 
@@ -46,11 +49,13 @@ def side_join(
     residual: Column | None = None,
     spread: Column | None = None,
     max_rows: int = BROADCAST_MAX_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Equi join on `keys` plus an optional residual condition.
 
     `side` must not share column names with `facts` other than `keys`. `spread` is a
     hash of a column that varies between the rows of one key (default: the event id).
+    `small` passes on a size check the caller has already made.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -61,7 +66,7 @@ def side_join(
     if residual is not None:
         condition = condition & residual
     drop = [f"__{key}" for key in keys]
-    if fits(side, max_rows):
+    if fits(side, max_rows) if small is None else small:
         return facts.join(F.broadcast(renamed), condition, how).drop(*drop)
 
     hot = hot_keys(facts, keys).withColumn("__hot", F.lit(True))
