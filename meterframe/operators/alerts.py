@@ -21,6 +21,7 @@ from meterframe.operators.joins import BROADCAST_MAX_ROWS, side_join, with_lates
 from meterframe.operators.paging import LOG_ORDER, page
 from meterframe.operators.scan import scan
 from meterframe.schema import COMPARATORS, DIMENSION_NAME_PATTERN, NAME_MAX_CHARS
+from meterframe.session import materialize
 
 OK, ALERTING, NO_DATA, ERROR = "ok", "alerting", "no_data", "error"
 GROUP = ["workspace_id", "rule_id", "group_key", "group_value"]
@@ -238,6 +239,8 @@ def evaluate(
         .groupBy(*GROUP)
         .agg(*[F.max(c).alias(c) for c in ("value", "usage_events", "previous_status")])
     )
+    # Used twice below; written, so that the events are read once.
+    groups = materialize(groups, "alert-groups")
     same_kind = (F.col("rule_group") == "") == (F.col("group_key") == "")
     with_rule = groups.join(rule_columns, ["workspace_id", "rule_id"]).filter(same_kind).drop("rule_group")
 

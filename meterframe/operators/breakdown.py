@@ -12,6 +12,7 @@ from meterframe.functions.metadata import field_value, strip_prefix
 from meterframe.functions.predicates import Filter
 from meterframe.functions.timecalc import utc_naive
 from meterframe.operators.scan import scan
+from meterframe.session import materialize
 
 
 def _range_seconds(start, end):
@@ -97,8 +98,10 @@ def dimension_values(
 def share_of_max(items: DataFrame, floor: float = 4.0) -> DataFrame:
     """Each item's quantity as a percentage of the largest one, at least `floor`.
 
-    The maximum is a scalar subquery: no window over the whole result and no join.
+    The items are written first, so the events behind them are read once; the maximum
+    is a scalar subquery over them: no window over the whole result and no join.
     """
+    items = materialize(items, "breakdown")
     top = items.agg(F.max("quantity")).scalar()
     share = F.greatest(F.lit(floor), F.col("quantity") / top * 100)
     return items.withColumn("share", F.when(top <= 0, F.lit(floor)).otherwise(share))

@@ -28,8 +28,9 @@ from meterframe.functions.timecalc import (
     with_window_of,
     with_windows,
 )
-from meterframe.operators.joins import side_join
+from meterframe.operators.joins import fits, side_join
 from meterframe.schema import NAME_MAX_CHARS, PERIODS, WARNING_DEFAULT_PERCENT
+from meterframe.session import materialize
 
 OK, WARNING, EXCEEDED = "ok", "warning", "exceeded"
 NO_PLAN, NOT_IN_PLAN = "no_plan", "not_in_plan"
@@ -83,7 +84,9 @@ def with_assignment(
     """Events with the plan and anchor in effect at their event time (as-of join)."""
     time = F.col("event_time")
     residual = (time >= F.col("valid_from")) & (F.col("valid_to").isNull() | (time < F.col("valid_to")))
-    joined = side_join(events, effective_intervals(assignments), SUBJECT, how, residual)
+    # There are at most as many intervals as assignments.
+    small = fits(assignments)
+    joined = side_join(events, effective_intervals(assignments), SUBJECT, how, residual, small=small)
     return joined.drop("valid_to") if keep_start else joined.drop("valid_from", "valid_to")
 
 
@@ -451,8 +454,10 @@ def check(
     standing = progress(assignments, first_limits(limits), meters, counters, now).select(
         *key, "plan_id", "period", "period_start", "period_end", "current", "limit_value", "warning_percent"
     )
+    # Written, because the size check and the join both read it.
+    standing = materialize(standing, "standing")
     spread = F.xxhash64("request_id")
-    rows = side_join(requests, plan_now, SUBJECT, "left", spread=spread)
+    rows = side_join(requests, plan_now, SUBJECT, "left", spread=spread, small=fits(assignments))
     rows = side_join(rows, standing, key, "left", spread=spread)
     projected, limit = F.col("current") + F.col("quantity"), F.col("limit_value")
     known = F.col("plan_id").isNotNull()
@@ -564,7 +569,7 @@ def events_of(evaluated: DataFrame) -> DataFrame:
     )
 
 
-def snapshots(progress_rows: DataFrame) -> DataFrame:
+def snapshots(progress_rows: DataFrame, *extra: Column) -> DataFrame:
     """Period snapshot values: what the plan includes, and the overage beyond it."""
     current, limit = F.col("current"), F.col("limit_value")
     return progress_rows.select(
@@ -579,6 +584,7 @@ def snapshots(progress_rows: DataFrame) -> DataFrame:
         "remaining",
         "warning_percent",
         "event_count",
+        *extra,
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from meterframe.functions.metadata import variant_type
 from meterframe.functions.predicates import metadata_map_matches
 from meterframe.functions.timecalc import ntz
-from meterframe.operators.joins import side_join
+from meterframe.operators.joins import fits, side_join
 from meterframe.schema import DIMENSION, EVENT_COLUMNS, SUBJECT_MAX_BYTES, SUBJECT_PATTERN
 
 INVALID = "invalid_input"
@@ -241,7 +241,8 @@ def duplicates(ok: DataFrame, firsts: DataFrame, matched: DataFrame) -> DataFram
 
     The original is the stored event if the key was stored before, else the first
     row of the batch. The join salts hot keys, so a key repeated very often does not
-    land in one task.
+    land in one task. `firsts` and `matched` should be written tables: they are read
+    several times.
     """
     keys = ["workspace_id", "idempotency_key"]
     body = [c for c in EVENT_COLUMNS if c not in keys]
@@ -251,7 +252,8 @@ def duplicates(ok: DataFrame, firsts: DataFrame, matched: DataFrame) -> DataFram
         *keys, F.struct(*body).alias("original"), F.lit(False).alias("was_stored")
     )
     candidates = ok.filter(F.col("idempotency_key").isNotNull()).select("index", "id", *keys)
-    joined = side_join(candidates, stored.unionByName(fresh), keys)
+    small = fits(matched) and fits(batch)
+    joined = side_join(candidates, stored.unionByName(fresh), keys, small=small)
     repeated = joined.filter(F.col("was_stored") | (F.col("id") != F.col("original.id")))
     return repeated.select("index", *keys, "original.*").select("index", *EVENT_COLUMNS)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.operators.buckets import group_column, group_fields
+from meterframe.session import materialize
 
 
 def humanize(name: str) -> str:
@@ -48,8 +49,10 @@ def gap_fill(series_rows: DataFrame) -> DataFrame:
 
     The axis is the set of observed buckets. Its length, like the number of points of
     one series, is bounded by the query range and bucket size, not by the event count.
-    It reaches the rows as a scalar subquery, so there is no join.
+    It reaches the rows as a scalar subquery, so there is no join. The rows are written
+    first, because both the axis and the points read them.
     """
+    series_rows = materialize(series_rows, "series")
     axis = series_rows.agg(F.array_sort(F.collect_set("bucket_start"))).scalar()
     points = series_rows.groupBy("series").agg(
         F.map_from_entries(F.collect_list(F.struct("bucket_start", "quantity"))).alias("points")

@@ -11,8 +11,9 @@ Layout (every table is partitioned by the columns in brackets):
     staging    [batch_id]               validated rows of one batch
     firsts     [batch_id]               its first row per idempotency key
     matched    [batch_id]               stored keys that it repeats
-    quota_*    [batch_id]               quota states, events and period snapshots
-    alert_*    [batch_id]               alert states and events
+    originals  [batch_id]               the events behind those keys
+    quota_evaluations, alert_evaluations [batch_id]
+                                        evaluation log; states, events and snapshots are views of it
 
 A batch writes only its own `batch_id` partitions and overwrites them dynamically,
 and readers see only batches in the ledger. A batch that failed half way can thus be
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from meterframe.functions.timecalc import ntz
 from meterframe.operators import alerts, entitlements, ingest
 from meterframe.operators.joins import latest_by, side_join
-from meterframe.schema import ALERT_STATE, EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
+from meterframe.schema import EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
 
 EVENTS_SCHEMA = f"{USAGE_EVENT}, ingest_batch string, event_date date, batch_id string"
 KEYS_SCHEMA = "workspace_id string, idempotency_key string, id string, event_date date, batch_id string"
@@ -44,24 +45,15 @@ COUNTERS_SCHEMA = (
     "period_start timestamp_ntz, period_end timestamp_ntz, event_count long, quantity_sum double, "
     f"quantity_min double, quantity_max double, first_event {POINT}, last_event {POINT}, batch_id string"
 )
-STATE_KEY = "workspace_id string, subject string, meter_name string, plan_id string, period string"
-QUOTA_VALUES = "current double, limit_value double, remaining double, warning_percent double"
-QUOTA_STATE_SCHEMA = (
-    f"{STATE_KEY}, state string, current double, limit_value double, remaining double, "
-    "warning_percent double, message string, evaluated_at timestamp_ntz, batch_id string"
+QUOTA_EVALUATION = (
+    "workspace_id string, subject string, meter_name string, plan_id string, period string, "
+    "period_start timestamp_ntz, period_end timestamp_ntz, current double, limit_value double, remaining double, "
+    "warning_percent double, state string, event_count long, previous_state string, message string, "
+    "event_type string, evaluated_at timestamp_ntz"
 )
-QUOTA_EVENT_SCHEMA = (
-    f"id string, {STATE_KEY}, previous_state string, state string, type string, {QUOTA_VALUES}, "
-    "message string, created_at timestamp_ntz, batch_id string"
-)
-QUOTA_SNAPSHOT_SCHEMA = (
-    f"{STATE_KEY}, period_start timestamp_ntz, period_end timestamp_ntz, state string, current double, "
-    "limit_value double, included double, overage double, remaining double, warning_percent double, "
-    "event_count long, updated_at timestamp_ntz, batch_id string"
-)
-ALERT_EVENT_SCHEMA = (
-    "id string, workspace_id string, rule_id string, group_key string, group_value string, type string, "
-    "value double, message string, created_at timestamp_ntz, batch_id string"
+ALERT_EVALUATION = (
+    "workspace_id string, rule_id string, group_key string, group_value string, status string, value double, "
+    "usage_events long, message string, previous_status string, event_type string, evaluated_at timestamp_ntz"
 )
 LEDGER_SCHEMA = (
     "workspace_id string, kind string, committed_at timestamp_ntz, replaces array<string>, batch_id string"
@@ -77,11 +69,9 @@ PARTITIONS = {
     "staging": ["batch_id"],
     "firsts": ["batch_id"],
     "matched": ["batch_id"],
-    "quota_states": ["batch_id"],
-    "quota_events": ["batch_id"],
-    "quota_snapshots": ["batch_id"],
-    "alert_states": ["batch_id"],
-    "alert_events": ["batch_id"],
+    "originals": ["batch_id"],
+    "quota_evaluations": ["batch_id"],
+    "alert_evaluations": ["batch_id"],
 }
 SCHEMAS = {
     "events": EVENTS_SCHEMA,
@@ -93,11 +83,13 @@ SCHEMAS = {
     "staging": f"index long, {USAGE_EVENT}, code string, message string, batch_id string",
     "firsts": f"index long, {USAGE_EVENT}, copies long, batch_id string",
     "matched": KEYS_SCHEMA,
-    "quota_states": QUOTA_STATE_SCHEMA,
-    "quota_events": QUOTA_EVENT_SCHEMA,
-    "quota_snapshots": QUOTA_SNAPSHOT_SCHEMA,
-    "alert_states": f"{ALERT_STATE}, batch_id string",
-    "alert_events": ALERT_EVENT_SCHEMA,
+    "originals": f"{USAGE_EVENT}, batch_id string",
+    "quota_evaluations": f"{QUOTA_EVALUATION}, batch_id string",
+    "alert_evaluations": f"{ALERT_EVALUATION}, batch_id string",
+}
+LOGS = {
+    "quota_evaluations": [*entitlements.STATE_KEY, "period_start"],
+    "alert_evaluations": alerts.GROUP,
 }
 
 
@@ -228,7 +220,8 @@ class EventStore:
         # one are read.
         wanted = matched.select("event_date", "id")
         originals = self.events().join(wanted, ["event_date", "id"], "left_semi").select(*EVENT_COLUMNS)
-        self.write("duplicates", ingest.duplicates(ok, firsts, originals), batch_id)
+        self.write("originals", originals, batch_id)
+        self.write("duplicates", ingest.duplicates(ok, firsts, self.own("originals", batch_id)), batch_id)
         if assignments is not None:
             partials = entitlements.counter_partials(mine.select(*EVENT_COLUMNS), assignments)
             self.write("counters", partials, batch_id)
@@ -278,11 +271,11 @@ class EventStore:
         self.write("events", self.table("events").drop("batch_id"), batch_id)
         self.write("keys", self.table("keys").drop("batch_id"), batch_id)
         self.write("counters", self.counters(), batch_id)
-        self.write("quota_states", self.quota_states(), batch_id)
-        self.write("quota_snapshots", self.quota_snapshots(), batch_id)
-        self.write("alert_states", self.alert_states(), batch_id)
-        for log in ("quota_events", "alert_events"):
-            self.write(log, self.table(log).drop("batch_id"), batch_id)
+        for log, key in LOGS.items():
+            rows = self.table(log).drop("batch_id")
+            # Events stay for good; of the other evaluations only the newest per key.
+            newest = latest_by(rows, key, ["evaluated_at"]).filter(F.col("event_type").isNull())
+            self.write(log, rows.filter(F.col("event_type").isNotNull()).unionByName(newest), batch_id)
         entry = self.spark.createDataFrame([(None, "compaction", None, old)], LEDGER_SCHEMA.rsplit(",", 1)[0])
         self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
 
@@ -290,7 +283,7 @@ class EventStore:
         """Delete the folders of replaced batches; returns them."""
         replaced = self.raw_table("ledger").select(F.explode("replaces").alias("batch_id")).distinct()
         doomed = []
-        for table in ("events", "keys", "counters", "quota_states", "quota_snapshots", "alert_states", "quota_events", "alert_events"):
+        for table in ("events", "keys", "counters", *LOGS):
             if self.exists(table):
                 rows = self.raw_table(table).select("batch_id", _folder().alias("folder")).distinct()
                 stale = rows.join(replaced, "batch_id", "left_semi")
@@ -306,30 +299,39 @@ class EventStore:
 
     # --- evaluation state ---------------------------------------------------------
 
-    def quota_states(self, without_batch: str | None = None) -> DataFrame:
-        """Latest state per key; `without_batch` leaves out a batch being evaluated again."""
-        rows = self.table("quota_states")
+    def _log(self, table: str, without_batch: str | None = None) -> DataFrame:
+        """Evaluation rows; `without_batch` leaves out a batch being evaluated again."""
+        rows = self.table(table)
         if without_batch is not None:
             rows = rows.filter(F.col("batch_id") != without_batch)
-        return latest_by(rows.drop("batch_id"), entitlements.STATE_KEY, ["evaluated_at"])
+        return rows.drop("batch_id")
 
-    def alert_states(self, without_batch: str | None = None) -> DataFrame:
-        rows = self.table("alert_states")
-        if without_batch is not None:
-            rows = rows.filter(F.col("batch_id") != without_batch)
-        return latest_by(rows.drop("batch_id"), alerts.GROUP, ["evaluated_at"])
+    def quota_states(self, without_batch: str | None = None) -> DataFrame:
+        """Latest quota state per key."""
+        rows = entitlements.states(self._log("quota_evaluations", without_batch))
+        return latest_by(rows, entitlements.STATE_KEY, ["evaluated_at"])
+
+    def quota_events(self) -> DataFrame:
+        return entitlements.events_of(self._log("quota_evaluations"))
 
     def quota_snapshots(self) -> DataFrame:
         """Latest snapshot per key and period start."""
-        rows = self.table("quota_snapshots").drop("batch_id")
-        return latest_by(rows, [*entitlements.STATE_KEY, "period_start"], ["updated_at"])
+        rows = self._log("quota_evaluations")
+        snapshots = entitlements.snapshots(rows, F.col("evaluated_at").alias("updated_at"))
+        return latest_by(snapshots, [*entitlements.STATE_KEY, "period_start"], ["updated_at"])
+
+    def alert_states(self, without_batch: str | None = None) -> DataFrame:
+        """Latest state per rule and group."""
+        return latest_by(alerts.states(self._log("alert_evaluations", without_batch)), alerts.GROUP, ["evaluated_at"])
+
+    def alert_events(self) -> DataFrame:
+        return alerts.events_of(self._log("alert_evaluations"))
 
     def evaluate_quotas(
         self, batch_id: str, assignments: DataFrame, limits: DataFrame, meters: DataFrame, now: str | datetime
     ) -> None:
-        """Evaluate the keys a batch touched; writes states, events and snapshots."""
-        mine = self.raw_table("events").filter(F.col("batch_id") == batch_id)
-        keys = ingest.affected_keys(mine)
+        """Evaluate the keys a batch touched; repeating it replaces its own log rows."""
+        keys = ingest.affected_keys(self.own("events", batch_id))
         # Only the touched subjects' assignments and counters take part.
         subjects = keys.select("workspace_id", "subject").distinct()
         touched = assignments.join(subjects, ["workspace_id", "subject"], "left_semi")
@@ -343,21 +345,15 @@ class EventStore:
             self.quota_states(without_batch=batch_id),
             now,
         )
-        self.write("quota_events", entitlements.events_of(evaluated), batch_id)
-        snapshots = entitlements.snapshots(evaluated).withColumn("updated_at", ntz(now))
-        self.write("quota_snapshots", snapshots, batch_id)
-        # The states go last: an evaluation that stops before them repeats in full.
-        self.write("quota_states", entitlements.states(evaluated), batch_id)
+        columns = [c.split()[0] for c in QUOTA_EVALUATION.split(", ")]
+        self.write("quota_evaluations", evaluated.select(*columns), batch_id)
 
     def evaluate_alerts(self, batch_id: str, rules: DataFrame, meters: DataFrame, now: str | datetime) -> None:
-        """Evaluate the rules a batch touched; writes alert events and states."""
-        mine = self.raw_table("events").filter(F.col("batch_id") == batch_id)
-        touched = ingest.matched_rules(mine.select(*EVENT_COLUMNS), rules)
+        """Evaluate the rules a batch touched; repeating it replaces its own log rows."""
+        touched = ingest.matched_rules(self.own("events", batch_id).select(*EVENT_COLUMNS), rules)
         active = rules.join(touched, ["workspace_id", "rule_id"], "left_semi")
         previous = alerts.of_known_rules(self.alert_states(without_batch=batch_id), active)
-        evaluated = alerts.evaluate(active, self.events(), meters, previous, now)
-        self.write("alert_events", alerts.events_of(evaluated), batch_id)
-        self.write("alert_states", alerts.states(evaluated), batch_id)
+        self.write("alert_evaluations", alerts.evaluate(active, self.events(), meters, previous, now), batch_id)
 
     # --- retention --------------------------------------------------------------
 

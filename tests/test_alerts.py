@@ -174,11 +174,11 @@ def test_store_evaluates_touched_rules(spark, make, rules):
     store.ingest(make.raw({"quantity": 12.0, "timestamp": at("2026-06-08 11:30")}), meters, "b1", NOW)
     store.evaluate_alerts("b1", table, meters, NOW)
     store.evaluate_alerts("b1", table, meters, NOW)
-    assert [(r["rule_id"], r["type"]) for r in store.table("alert_events").collect()] == [("r1", "triggered")]
+    assert [(r["rule_id"], r["type"]) for r in store.alert_events().collect()] == [("r1", "triggered")]
     later = "2026-06-08T13:00:00Z"
     store.ingest(make.raw({"quantity": 1.0, "timestamp": at("2026-06-08 12:59")}), meters, "b2", later)
     store.evaluate_alerts("b2", table, meters, later)
-    types = [r["type"] for r in store.table("alert_events").orderBy("created_at").collect()]
+    types = [r["type"] for r in store.alert_events().orderBy("created_at").collect()]
     assert types == ["triggered", "resolved"]
     assert [(r["rule_id"], r["status"]) for r in store.alert_states().collect()] == [("r1", "ok")]
 

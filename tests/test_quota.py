@@ -229,7 +229,7 @@ def test_plan_update_moves_subjects_and_keeps_the_anchor(spark, make):
     store.ingest(more, meters, "b3", later, assignments=assignments)
     store.evaluate_quotas("b3", assignments, limits, meters, later)
     store.evaluate_quotas("b3", assignments, limits, meters, later)
-    events = [(r["type"], r["plan_id"] == current["id"]) for r in store.table("quota_events").orderBy("created_at").collect()]
+    events = [(r["type"], r["plan_id"] == current["id"]) for r in store.quota_events().orderBy("created_at").collect()]
     assert events == [("exceeded", False), ("warning", True)]
     snapshot = store.quota_snapshots().filter(F.col("plan_id") == current["id"]).first()
     assert (snapshot["event_count"], snapshot["state"], snapshot["period_start"]) == (2, "warning", START)
