@@ -49,16 +49,24 @@ def meta_variant(key: str, metadata: Column | None = None) -> Column:
     return F.try_variant_get(F.try_parse_json(source), json_path(key), "variant")
 
 
+def meta_json(key: str, metadata: Column | None = None) -> Column:
+    """The value at `key` as JSON text, so strings keep their quotes; NULL when missing."""
+    return F.to_json(meta_variant(key, metadata))
+
+
+def meta_number(key: str, metadata: Column | None = None) -> Column:
+    """The value at `key` if it is a JSON number, else NULL (a quoted number is not one)."""
+    return meta_json(key, metadata).try_cast("double")
+
+
 def variant_type(value: Column) -> Column:
-    """`string`, `number`, `boolean`, `null`, or `other` for objects and arrays."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(schema.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
-        .otherwise("other")
-    )
+    """`string`, `number`, `boolean`, `null`, or `other`, told by the first JSON character.
+
+    NULL must be handled by the caller. The value is evaluated once.
+    """
+    kinds = {'"': "string", "t": "boolean", "f": "boolean", "n": "null", "{": "other", "[": "other"}
+    by_first = F.create_map(*[F.lit(part) for pair in kinds.items() for part in pair])
+    return F.coalesce(F.try_element_at(by_first, F.substring(F.to_json(value), 1, 1)), F.lit("number"))
 
 
 def field_value(field: str) -> Column:

@@ -14,7 +14,14 @@ from typing import Any, Union
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterframe.functions.metadata import json_text, meta_text, meta_variant, strip_prefix, variant_type
+from meterframe.functions.metadata import (
+    json_text,
+    meta_json,
+    meta_number,
+    meta_text,
+    meta_variant,
+    strip_prefix,
+)
 from meterframe.functions.timecalc import ntz, rfc3339_nano
 
 # Fixed names of the filter language.
@@ -144,23 +151,20 @@ def _metadata_condition(key: str, condition: Condition) -> Column:
     text_test = _ordered(meta_text(key), op, F.lit(value_text(value)))
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         # A number against a number compares by value, anything else by text.
-        variant = meta_variant(key)
-        number = F.try_variant_get(variant, "$", "double")
-        is_number = variant_type(variant) == "number"
-        return F.when(is_number, _ordered(number, op, F.lit(float(value)))).otherwise(text_test)
+        return F.coalesce(_ordered(meta_number(key), op, F.lit(float(value))), text_test)
     return text_test
 
 
 def meta_strict_equal(key: str, value: Any) -> Column:
     """Equality that also needs the JSON type to agree: "200" is not 200."""
-    variant = meta_variant(key)
     if isinstance(value, bool):
-        wanted, typed = "boolean", F.try_variant_get(variant, "$", "boolean") == F.lit(value)
+        test = meta_json(key) == F.lit(value_text(value))
     elif isinstance(value, (int, float)):
-        wanted, typed = "number", F.try_variant_get(variant, "$", "double") == F.lit(float(value))
+        test = meta_number(key) == F.lit(float(value))
     else:
-        wanted, typed = "string", F.try_variant_get(variant, "$", "string") == F.lit(str(value))
-    return F.coalesce((variant_type(variant) == wanted) & typed, F.lit(False))
+        # The text test rejects most rows before the type is looked at.
+        test = (meta_text(key) == F.lit(str(value))) & meta_json(key).startswith('"')
+    return F.coalesce(test, F.lit(False))
 
 
 def meta_text_equals(pairs: dict[str, str]) -> Column:
@@ -182,13 +186,12 @@ def metadata_map_matches(conditions: Column, metadata: Column) -> Column:
 
 def metadata_map_matches_strictly(conditions: Column, metadata: Column) -> Column:
     """As `metadata_map_matches`, but the metadata value must be a JSON string."""
-    variant = F.try_parse_json(metadata)
 
     def holds(entry: Column) -> Column:
         path = F.concat(F.lit("$['"), F.replace(entry["key"], F.lit("."), F.lit("']['")), F.lit("']"))
-        value = F.try_variant_get(variant, path, "variant")
-        is_string = F.schema_of_variant(value) == "STRING"
-        return F.coalesce(is_string & (json_text(metadata, path) == entry["value"]), F.lit(False))
+        same = json_text(metadata, path) == entry["value"]
+        quoted = F.to_json(F.try_variant_get(F.try_parse_json(metadata), path, "variant")).startswith('"')
+        return F.coalesce(same & quoted, F.lit(False))
 
     none = conditions.isNull() | (F.size(conditions) == 0)
     return none | F.forall(F.map_entries(conditions), holds)

@@ -37,13 +37,12 @@ def _path(name: Column, nested: bool) -> Column:
     return F.concat(F.lit("$['"), inner, F.lit("']"))
 
 
-def dimension_error(dimensions: Column, metadata: Column) -> Column:
-    """Message for the first declared dimension the metadata breaks, else NULL.
+def dimension_error(dimensions: Column, parsed: Column) -> Column:
+    """Message for the first declared dimension the parsed metadata breaks, else NULL.
 
     The literal dotted key wins over the nested path. Deprecated dimensions are not
     required; a present value must have the declared type.
     """
-    parsed = F.try_parse_json(metadata)
 
     def check(dimension: Column) -> Column:
         name = dimension["name"]
@@ -93,11 +92,16 @@ def clean(raw: DataFrame, now, batch_id: str = "") -> DataFrame:
 
 
 def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", received_at: Column | None = None) -> DataFrame:
-    """Event columns plus `index`, `code` and `message`; the latter two are NULL when valid."""
+    """Event columns plus `index`, `code` and `message`; the latter two are NULL when valid.
+
+    Write the result before splitting it: a filter on `message` would be pushed into the
+    checks and run them once per use.
+    """
     rows = resolve_meters(clean(raw, now, batch_id), meters)
     rows = normalize_metadata(rows, meters)
-    parsed_type = F.schema_of_variant(F.try_parse_json("metadata"))
-    bad_json = parsed_type.isNull() | ~parsed_type.startswith("OBJECT")
+    # Parsed once per row; a column of its own keeps the checks from parsing again.
+    rows = rows.withColumn("parsed", F.try_parse_json("metadata"))
+    bad_json = F.col("parsed").isNull() | ~F.ltrim("metadata").startswith("{")
     message = (
         F.when(F.col("meter").isNull() | (F.col("meter") == ""), "meter is required")
         .when(F.col("meter_found").isNull(), F.concat(F.lit('meter "'), F.col("meter"), F.lit('" was not found')))
@@ -105,7 +109,7 @@ def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", receive
         .when(F.col("metadata_error").isNotNull(), F.col("metadata_error"))
         .otherwise(
             F.coalesce(
-                dimension_error(F.col("meter_dimensions"), F.col("metadata")),
+                dimension_error(F.col("meter_dimensions"), F.col("parsed")),
                 subject_error(F.col("subject")),
                 F.when(
                     F.col("quantity").isNull() | F.isnan("quantity") | (F.col("quantity") <= 0),
@@ -193,7 +197,7 @@ def normalize_metadata(rows: DataFrame, meters: DataFrame) -> DataFrame:
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.col("code").isNull()).drop("code", "message")
+    return validated.filter(F.col("message").isNull()).drop("code", "message")
 
 
 def failures(validated: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ part2 AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_ke
 
 def _validated(spark, folder) -> DataFrame:
     meters = event_meters(spark, folder).filter("name <> 'error'")
-    return ingest.validate(faulty_raw(usage_from_events(spark, folder)), meters, NOW)
+    validated = ingest.validate(faulty_raw(usage_from_events(spark, folder)), meters, NOW)
+    return materialize(validated, "validated")
 
 
 @query("ingest_failed", ctes(EV, RAW) + """SELECT workspace_id, index,
@@ -87,11 +88,12 @@ def ingest_accepted(spark, folder):
 
 def _batch_parts(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A stored first batch and a second one that overlaps it: (ok, firsts, matched)."""
-    ok = materialize(ingest.valid_rows(_validated(spark, folder)), "valid-rows")
+    ok = ingest.valid_rows(_validated(spark, folder))
     first = ingest.dedupe_batch(ok.filter(F.col("event_time") < ntz(SPLIT)))
     second = ok.filter(F.col("event_time") >= ntz("2024-01-15T00:00:00Z"))
-    firsts = ingest.dedupe_batch(second)
-    return second, firsts, ingest.already_stored(firsts, first.select(*EVENT_COLUMNS))
+    firsts = materialize(ingest.dedupe_batch(second), "firsts")
+    matched = materialize(ingest.already_stored(firsts, first.select(*EVENT_COLUMNS)), "matched")
+    return second, firsts, matched
 
 
 @query(
@@ -154,7 +156,7 @@ def ingest_conflicting_ids(spark, folder):
   count(*) FILTER (message IS NOT NULL) AS failed, TIMESTAMP '2024-02-01' AS created_at FROM chk c GROUP BY workspace_id""",
 )
 def ingest_run(spark, folder):
-    validated = materialize(_validated(spark, folder), "validated")
+    validated = _validated(spark, folder)
     accepted = ingest.dedupe_batch(ingest.valid_rows(validated))
     return ingest.ingestion_runs(validated, accepted, "bulk", "run-1", NOW)
 

@@ -20,6 +20,10 @@ DEFAULTS = {
 }
 
 
+# Folders of local sessions without a configured shared folder.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(
     app_name: str = "meterframe",
     master: str | None = None,
@@ -54,9 +58,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    fallback = tempfile.mkdtemp(prefix="meterframe-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="meterframe-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

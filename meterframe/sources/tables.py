@@ -68,8 +68,8 @@ def usage_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_totalprice").alias("quantity"),
         F.col("o_orderdate").alias("event_time"),
         F.col("o_orderdate").alias("received_at"),
-        F.to_json(
-            F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+        F.concat(
+            F.lit('{"priority":"'), "o_orderpriority", F.lit('","status":"'), "o_orderstatus", F.lit('"}')
         ).alias("metadata"),
     )
 
@@ -87,11 +87,14 @@ def usage_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         F.col("l_shipdate").alias("event_time"),
         F.col("l_shipdate").alias("received_at"),
-        F.to_json(
-            F.struct(
-                F.col("l_returnflag").alias("flag"),
-                F.struct(F.col("l_linestatus").alias("line"), F.col("l_discount").alias("discount")).alias("terms"),
-            )
+        F.concat(
+            F.lit('{"flag":"'),
+            "l_returnflag",
+            F.lit('","terms":{"line":"'),
+            "l_linestatus",
+            F.lit('","discount":'),
+            F.col("l_discount").cast("string"),
+            F.lit("}}"),
         ).alias("metadata"),
     )
 
