@@ -84,7 +84,8 @@ def clean(raw: DataFrame, now, batch_id: str = "") -> DataFrame:
         "workspace_id",
         F.nullif(F.trim("idempotency_key"), F.lit("")).alias("idempotency_key"),
         F.trim("subject").alias("subject"),
-        F.trim("meter").alias("meter"),
+        # Not NULL, so that rows without a meter can be spread like any other hot key.
+        F.coalesce(F.trim("meter"), F.lit("")).alias("meter"),
         "quantity",
         F.coalesce(F.col("timestamp"), ntz(now)).alias("timestamp"),
         F.coalesce("metadata", F.lit("{}")).alias("metadata"),
@@ -103,7 +104,7 @@ def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", receive
     rows = rows.withColumn("parsed", F.try_parse_json("metadata"))
     bad_json = F.col("parsed").isNull() | ~F.ltrim("metadata").startswith("{")
     message = (
-        F.when(F.col("meter").isNull() | (F.col("meter") == ""), "meter is required")
+        F.when(F.col("meter") == "", "meter is required")
         .when(F.col("meter_found").isNull(), F.concat(F.lit('meter "'), F.col("meter"), F.lit('" was not found')))
         .when(bad_json, "metadata must be a JSON object")
         .when(F.col("metadata_error").isNotNull(), F.col("metadata_error"))
@@ -235,9 +236,14 @@ def already_stored(firsts: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def accept(firsts: DataFrame, matched: DataFrame) -> DataFrame:
-    """First rows whose key is not stored yet."""
+    """First rows whose key is not stored yet.
+
+    Rows without a key stay out of the join: their NULL keys would all meet in one task.
+    """
     keys = ["workspace_id", "idempotency_key"]
-    return firsts.join(matched.select(*keys), keys, "left_anti")
+    has_key = F.col("idempotency_key").isNotNull()
+    fresh = firsts.filter(has_key).join(matched.select(*keys), keys, "left_anti")
+    return fresh.select(*firsts.columns).unionByName(firsts.filter(~has_key))
 
 
 def duplicates(ok: DataFrame, firsts: DataFrame, matched: DataFrame) -> DataFrame:

@@ -660,33 +660,35 @@ def plan_preview_summary(spark, folder):
 
 @query(
     "plan_validation",
-    """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS plan_id, p_retailprice, p_size, p_type FROM part)
-SELECT 'ws' AS workspace_id, plan_id, 'meter' AS meter_name,
+    """WITH p AS (SELECT 'ws_' || CAST(p_partkey % 3 AS VARCHAR) AS workspace_id, CAST(p_partkey AS VARCHAR) AS plan_id,
+  p_brand, p_retailprice, p_size, p_type FROM part)
+SELECT workspace_id, plan_id, p_brand AS meter_name,
   CASE WHEN p_size <= 10 THEN 'day' WHEN p_size <= 45 THEN 'month' ELSE 'quarter' END AS period,
-  CASE WHEN p_size > 45 THEN 'unsupported plan period'
+  CASE WHEN p_brand = 'Brand#9' THEN 'meter was not found' WHEN p_size > 45 THEN 'unsupported plan period'
        WHEN 1800 - p_retailprice <= 0 THEN 'limit must be greater than zero'
        ELSE 'warning percent must be greater than zero and at most 100' END AS message
-FROM p WHERE p_size > 45 OR p_retailprice >= 1800 OR p_size * 3 > 100
+FROM p WHERE p_brand = 'Brand#9' OR p_size > 45 OR p_retailprice >= 1800 OR p_size * 3 > 100
 UNION ALL
-SELECT 'ws', CAST(p_partkey AS VARCHAR), NULL, NULL, 'plan name is required' FROM part WHERE p_type = 'ECONOMY'""",
+SELECT workspace_id, plan_id, NULL, NULL, 'plan name is required' FROM p WHERE p_type = 'ECONOMY'""",
 )
 def plan_validation(spark, folder):
-    """Parts as plans: the size gives period and warning, the price the limit."""
+    """Parts as plans: the brand is the meter, the size gives period and warning, the price the limit."""
     part = table(spark, folder, "part")
+    workspace = workspace_of(F.col("p_partkey")).alias("workspace_id")
     key = F.col("p_partkey").cast("string")
     size = F.col("p_size")
     plan_rows = part.select(
         key.alias("id"),
-        F.lit("ws").alias("workspace_id"),
+        workspace,
         F.when(F.col("p_type") == "ECONOMY", " ").otherwise(F.col("p_name")).alias("name"),
     )
     limit_rows = part.select(
-        F.lit("ws").alias("workspace_id"),
+        workspace,
         key.alias("plan_id"),
-        F.lit(" meter ").alias("meter_name"),
+        F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("meter_name"),
         F.when(size <= 10, " Day").when(size <= 45, "").otherwise("quarter").alias("period"),
         (F.lit(1800) - F.col("p_retailprice")).alias("limit_value"),
         (size * 3).cast("double").alias("warning_percent"),
     )
-    known = part.select(F.lit("ws").alias("workspace_id"), F.lit("meter").alias("name")).distinct()
+    known = part.filter("p_brand <> 'Brand#9'").select(workspace, F.col("p_brand").alias("name")).distinct()
     return ent.validate_plans(plan_rows, limit_rows, known)

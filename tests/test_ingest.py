@@ -143,9 +143,10 @@ def test_subjects_and_quantities(make):
     good = ["org_123", "customer-42", "acct.abc", "tenant:west"]
     bad = ["", "org 123", "org/123", "gggg-<>ddddd", "-org", "a" * 129]
     rows = [{"subject": s, "timestamp": T} for s in good + bad]
-    rows += [{"quantity": q, "timestamp": T} for q in (0.0, -1.0, float("nan"), None)] + [{"meter": "  ", "timestamp": T}]
+    rows += [{"quantity": q, "timestamp": T} for q in (0.0, -1.0, float("nan"), None)]
+    rows += [{"meter": "  ", "timestamp": T}, {"meter": None, "timestamp": T}]
     got = ingest.validate(make.raw(*rows), make.meters(), NOW).orderBy("index").collect()
-    assert [r["code"] for r in got] == [None] * 4 + ["invalid_input"] * 11
+    assert [r["code"] for r in got] == [None] * 4 + ["invalid_input"] * 12
 
 
 def test_event_time_defaults_to_now(make):

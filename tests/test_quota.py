@@ -93,6 +93,31 @@ def test_ties_first_kept_last_replaced(make):
     assert (row["first_quantity"], row["last_quantity"]) == (1.0, 3.0)
 
 
+def test_hot_subject_takes_the_salted_join(spark, make, monkeypatch):
+    """A third of all events belong to one subject: same counters as with a broadcast."""
+    rows = [
+        {
+            "subject": "hot" if i % 3 == 0 else f"s{i % 40}",
+            "event_time": START + timedelta(hours=i % 200, seconds=i),
+            "quantity": float(i % 17 + 1),
+        }
+        for i in range(900)
+    ]
+    usage = make.usage(*rows)
+    assignments = make.assignments(*[{"subject": s, "assigned_at": START} for s in ["hot", *{f"s{i}" for i in range(40)}]])
+
+    def counted():
+        df = ent.flat_counters(ent.counter_partials(usage, assignments))
+        plan = df._jdf.queryExecution().toString()
+        return sorted(map(tuple, df.collect())), plan
+
+    plain, _ = counted()
+    monkeypatch.setattr(ent, "fits", lambda *_: False)
+    salted, plan = counted()
+    assert "__salt" in plan
+    assert salted == plain
+
+
 def test_first_limit_goes_by_period_name(make):
     limits = make.limits({"period": "week"}, {"period": "day", "limit_value": 1.0}, {"period": "month"})
     assert [r["period"] for r in ent.first_limits(limits).collect()] == ["day"]
