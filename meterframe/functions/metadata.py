@@ -69,7 +69,20 @@ def variant_type(value: Column) -> Column:
     return F.coalesce(F.try_element_at(by_first, F.substring(F.to_json(value), 1, 1)), F.lit("number"))
 
 
-def field_value(field: str) -> Column:
-    """A group-by or breakdown field as text: `subject` or a metadata path."""
+def promoted_column(field: str) -> str:
+    """Name of the column that holds a promoted dimension."""
+    return f"dim_{strip_prefix(field)}"
+
+
+def field_value(field: str, columns: list[str] = ()) -> Column:
+    """A group-by or breakdown field as text: `subject` or a metadata path.
+
+    A dimension that the store promoted to a column of its own is read from there, so
+    the metadata is neither read nor parsed.
+    """
     field = strip_prefix(field)
-    return F.col("subject") if field == "subject" else meta_text(field)
+    if field == "subject":
+        return F.col("subject")
+    if promoted_column(field) in columns:
+        return F.col(f"`{promoted_column(field)}`")
+    return meta_text(field)

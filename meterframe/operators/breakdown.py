@@ -57,7 +57,7 @@ def breakdown(
     """
     rows = scan(events, workspace, meter, subject, start, end, filter)
     result = (
-        rows.select(field_value(field).alias("value"), "quantity", "event_time", "id")
+        rows.select(field_value(field, rows.columns).alias("value"), "quantity", "event_time", "id")
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
         .groupBy("value")
         .agg(
@@ -85,7 +85,7 @@ def dimension_values(
         raise ValueError("dimension values need a metadata field")
     rows = scan(events, workspace, meter, subject, start, end)
     result = (
-        rows.select(field_value(field).alias("value"))
+        rows.select(field_value(field, rows.columns).alias("value"))
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("usage_events"))

@@ -64,7 +64,7 @@ def buckets(
     keys = [bucket_start(F.col("event_time"), size).alias("bucket_start")]
     names = [group_column(f) for f in fields]
     for field, name in zip(fields, names):
-        value = field_value(field)
+        value = field_value(field, rows.columns)
         keys.append((value if field == "subject" else F.coalesce(value, F.lit(MISSING_GROUP))).alias(name))
 
     # A rate is the bucket's event count over its length; the division needs no shuffle.

@@ -32,6 +32,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterframe.functions.metadata import meta_text, promoted_column
 from meterframe.functions.timecalc import ntz
 from meterframe.operators import alerts, entitlements, ingest
 from meterframe.operators.joins import latest_by, side_join
@@ -87,6 +88,7 @@ SCHEMAS = {
     "quota_evaluations": f"{QUOTA_EVALUATION}, batch_id string",
     "alert_evaluations": f"{ALERT_EVALUATION}, batch_id string",
 }
+STAGING = ("staging", "firsts", "matched", "originals")
 LOGS = {
     "quota_evaluations": [*entitlements.STATE_KEY, "period_start"],
     "alert_evaluations": alerts.GROUP,
@@ -104,9 +106,13 @@ class IngestResult:
 
 
 class EventStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, promote: tuple[str, ...] = ()):
+        """`promote` names metadata fields that are stored as text columns as well, for
+        dimensions that many queries group by. It is fixed for the life of a store."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.promote = promote
+        self.promoted = [promoted_column(field) for field in promote]
 
     # --- tables -----------------------------------------------------------------
 
@@ -123,9 +129,12 @@ class EventStore:
 
     def raw_table(self, table: str) -> DataFrame:
         """A table with uncommitted batches included; empty when never written."""
+        schema = SCHEMAS[table]
+        if table == "events":
+            schema = ", ".join([*[f"`{c}` string" for c in self.promoted], schema])
         if not self.exists(table):
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
     def committed(self) -> DataFrame:
         """Ids of the batches that readers see: committed and not compacted away."""
@@ -146,7 +155,8 @@ class EventStore:
         return self.raw_table(table).filter(F.col("batch_id") == batch_id).drop("batch_id")
 
     def events(self) -> DataFrame:
-        return self.table("events").select(*EVENT_COLUMNS, "event_date")
+        promoted = [F.col(f"`{c}`") for c in self.promoted]
+        return self.table("events").select(*EVENT_COLUMNS, "event_date", *promoted)
 
     def write(self, table: str, rows: DataFrame, batch_id: str) -> None:
         """Replace this batch's partitions of a table.
@@ -207,7 +217,12 @@ class EventStore:
         self.write("matched", ingest.already_stored(firsts, stored_keys), batch_id)
         matched = self.own("matched", batch_id)
         accepted = ingest.accept(firsts, matched).select(*EVENT_COLUMNS)
-        dated = accepted.select("*", F.lit(batch_id).alias("ingest_batch"), F.to_date("event_time").alias("event_date"))
+        dated = accepted.select(
+            "*",
+            F.lit(batch_id).alias("ingest_batch"),
+            F.to_date("event_time").alias("event_date"),
+            *[meta_text(field).alias(column) for field, column in zip(self.promote, self.promoted)],
+        )
         self.write("events", dated, batch_id)
 
         mine = self.own("events", batch_id)
@@ -277,13 +292,14 @@ class EventStore:
         self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
 
     def vacuum(self) -> list[str]:
-        """Delete the folders of replaced batches; returns them."""
+        """Delete the folders of replaced batches and the staging of committed ones."""
+        committed = self.raw_table("ledger").select("batch_id").distinct()
         replaced = self.raw_table("ledger").select(F.explode("replaces").alias("batch_id")).distinct()
         doomed = []
-        for table in ("events", "keys", "counters", *LOGS):
+        for table in (*STAGING, "events", "keys", "counters", *LOGS):
             if self.exists(table):
                 rows = self.raw_table(table).select("batch_id", _folder().alias("folder")).distinct()
-                stale = rows.join(replaced, "batch_id", "left_semi")
+                stale = rows.join(committed if table in STAGING else replaced, "batch_id", "left_semi")
                 doomed += [row["folder"] for row in stale.toLocalIterator()]
         self._delete(doomed)
         return doomed
@@ -380,7 +396,7 @@ class EventStore:
         keep = F.col("cutoff").isNull() | (F.col("event_time") >= F.col("cutoff"))
         kept = rows.filter(keep).drop("cutoff").join(touched, folders, "left_semi")
         kept.write.mode("overwrite").parquet(kept_path)
-        survivors = self.spark.read.schema(EVENTS_SCHEMA).parquet(kept_path)
+        survivors = self.spark.read.schema(self.raw_table("events").schema).parquet(kept_path)
 
         named = self.raw_table("events").select(*folders, _folder().alias("folder")).distinct()
         emptied = named.join(touched, folders, "left_semi").join(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import at, dim
 from meterframe.operators import catalog, ingest, joins, retention
 from meterframe.operators.breakdown import aggregate_range
+from meterframe.operators.buckets import buckets
 from meterframe.schema import RAW_EVENT
 from meterframe.session import scratch_path
 from meterframe.sources.readers import read_raw_json, stream_raw_json
@@ -167,6 +168,21 @@ def test_conflicting_ids(make, store):
         store.ingest(make.raw({"id": "x", "timestamp": T}), meters, "b2", NOW, reject_known_ids=True)
 
 
+def test_promoted_dimension_is_read_without_the_metadata(spark, make, capsys):
+    store = EventStore(spark, scratch_path(spark, "promoted"), promote=("service.tier",))
+    rows = [{"metadata": json.dumps({"service": {"tier": t}}), "timestamp": T, "quantity": q} for t, q in (("a", 1.0), ("b", 2.0), ("a", 4.0))]
+    store.ingest(make.raw(*rows, {"timestamp": T}), make.meters(), "b1", NOW)
+    got = buckets(
+        store.events(), "api_calls", "2026-06-08T00:00:00Z", "2026-06-09T00:00:00Z", workspace="ws", group_by="service.tier"
+    )
+    assert sorted((r["service_tier"], r["quantity"]) for r in got.collect()) == [("<nil>", 1.0), ("a", 5.0), ("b", 2.0)]
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    scan = next(line for line in plan.splitlines() if line.startswith("ReadSchema") and "quantity" in line)
+    assert "dim_service.tier" in scan and "metadata" not in scan
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
 def test_any_split_gives_the_same_store(spark, make):
     """Events ingested at once or in random batches: same events, same counters."""
     random = Random(3)
