@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meterframe.operators import entitlements as ent
 from meterframe.plans.ingestion import ONE_BATCH, RAW, faulty_raw
