@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from meterframe.llm import cover_tree, mixing, quality
 from meterframe.llm.common import read_table
 from meterframe.llm.token_counts import token_counts
 from meterframe.llm.transducer import encode_documents
@@ -29,10 +30,23 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(read_table(spark, folder, "documents"))
 
 
+def classify(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
 def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
 def encode(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,8 +54,11 @@ def encode(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_url_filter": url_filter,
     "op4_fingerprints": fingerprint,
+    "op6_quality": classify,
     "op7_token_counts": count_tokens,
+    "op8_cover_tree": near_vectors,
     "op9_bpe_transducer": encode,
+    "op10_mix": mix,
 }
 
 ORACLES = {
@@ -68,4 +85,20 @@ ORACLES = {
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op8_cover_tree": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+        roots AS (SELECT x, min(y) AS root FROM reach GROUP BY x)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(root, e.vec_id)) AS component_id,
+               e.vec_id <= coalesce(root, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id LEFT JOIN roots r ON r.x = e.vec_id
+    """,
 }
