@@ -89,8 +89,8 @@ ORACLES = {
         WITH RECURSIVE sound AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links AS (
             SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
             WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
