@@ -144,9 +144,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             for i in range(batch.num_rows):
                 slots, amounts = batch.column(2)[i].values, batch.column(3)[i].values
                 examples.append((slots.to_numpy(), amounts.to_numpy(), batch.column(1)[i].as_py()))
-        weights = train(examples)
-        used = np.flatnonzero(weights)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(weights[used])], ["slot", "weight"])
+        packed = train(examples).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["weights"])
 
     vectors = map_batches(
         found.select("doc_id", "text", "quality"),
@@ -154,10 +153,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         "doc_id bigint, quality int, slots array<bigint>, amounts array<double>",
     )
     ordered = vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("slots"))
-    learned = map_batches(ordered, learn, "slot bigint, weight double").toPandas()
-    weights = np.zeros((1 << BITS) + 1)
-    weights[learned["slot"].to_numpy()] = learned["weight"].to_numpy()
-    return weights
+    learned = map_batches(ordered, learn, "weights binary").collect()
+    return np.frombuffer(learned[0]["weights"], np.float32)
 
 
 def score(
@@ -167,7 +164,7 @@ def score(
 
     Null texts score as empty ones: the bias alone. One result row per input row.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
     kept = keep or ["doc_id"]
     rows = documents.select(documents["text"].alias("__text"), *kept)
 
