@@ -154,6 +154,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     )
     ordered = vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("slots"))
     learned = map_batches(ordered, learn, "weights binary").collect()
+    if not learned:  # Spark skips the task when no row can come
+        return np.zeros((1 << BITS) + 1, np.float32)
     return np.frombuffer(learned[0]["weights"], np.float32)
 
 

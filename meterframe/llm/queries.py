@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterframe.llm import cover_tree, mixing, quality
+from meterframe.llm import context_mixing, cover_tree, mixing, quality
 from meterframe.llm.common import read_table
 from meterframe.llm.token_counts import token_counts
 from meterframe.llm.transducer import encode_documents
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def score_language(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_documents(read_table(spark, folder, "documents"))
+
+
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(read_table(spark, folder, "pages"), rules)
@@ -52,6 +56,7 @@ def encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_context_mixing": score_language,
     "op3_url_filter": url_filter,
     "op4_fingerprints": fingerprint,
     "op6_quality": classify,
