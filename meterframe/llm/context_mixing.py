@@ -1,13 +1,13 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is a sequence of bytes between two boundary symbols, and a byte is eight binary
-decisions. For each order (0 to 4 bytes of context) a predictor counts zeros and ones per
+decisions. For each order (1 to 5 bytes of context) a predictor counts zeros and ones per
 hashed slot of (order, context, bits of the byte so far). The predictors' log odds are added up
 with weights; which set of weights is used is gated by the bit's position and by how much the
 two longest contexts have seen. The weights are learned online, and a last adaptive table
 refines the mixed probability. The sum of all decisions is the text's total bits.
 
-The counts come from all training texts. They are gathered as counts of five-byte grams, which
+The counts come from all training texts. They are gathered as counts of six-byte grams, which
 hold the counts of all orders; mixing and refinement learn online from those grams, each weighted
 by its count and predicted from the counts without one occurrence of itself, task by task, and
 the tasks' results are averaged. Scoring uses the frozen model, so that a text's score does not
@@ -32,9 +32,9 @@ from meterframe.session import materialize
 FOLDS, HELD_OUT = 7, 2
 BOUNDARY = 0xFF  # never a byte of UTF-8
 ORDERS = 5
-GRAM = ORDERS  # context of four bytes and the byte itself
-TABLE_BITS = 22
-BLOCK_BITS = 14
+GRAM = ORDERS + 1  # the longest context and the byte itself
+TABLE_BITS = (20, 20, 20, 22, 23)  # slots per order, whatever the size of the corpus
+BLOCK_BITS = 16
 GATES = 8 * 4 * 4
 BUCKETS = 33
 DELTA = 0.4
@@ -50,7 +50,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_keys(data: bytes) -> np.ndarray:
-    """The grams that end at each byte and at the end boundary, as 40-bit numbers."""
+    """The grams that end at each byte and at the end boundary, as 48-bit numbers."""
     padded = np.frombuffer(b"\xff" * (GRAM - 1) + data + b"\xff", np.uint8).astype(np.uint64)
     count = len(data) + 1
     key = padded[:count]
@@ -73,17 +73,13 @@ def to_codes(counts: np.ndarray) -> np.ndarray:
 
 
 def slots_of(key: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """The slot of each gram's context of `order` bytes and first `bit` bits of its byte."""
+    """The slot, in its order's table, of each gram's last `order + 1` context bytes and first `bit` bits."""
     symbol = key & np.uint64(0xFF)
     node = (symbol | np.uint64(0x100)) >> np.uint64(8 - bit)
-    context = (key >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
+    context = (key >> np.uint64(8)) & np.uint64((1 << (8 * (order + 1))) - 1)
     mixed = ((context << np.uint64(8) | node) * np.uint64(8) + np.uint64(order + 1)) * PRIME
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * PRIME) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1.0 - p))
+    return ((mixed * PRIME) >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -93,8 +89,14 @@ def squash(x: np.ndarray) -> np.ndarray:
 class Mixer:
     """Predicts the bits of grams from coded counts, gate weights and the refinement table."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None, refined: np.ndarray | None):
-        self.zeros, self.ones = zeros, ones
+    def __init__(
+        self,
+        zeros: list[np.ndarray],
+        ones: list[np.ndarray],
+        weights: np.ndarray | None = None,
+        refined: np.ndarray | None = None,
+    ):
+        self.zeros, self.ones = zeros, ones  # coded counts per order
         start = np.zeros((GATES, ORDERS + 1))
         start[:, :ORDERS] = 0.35
         self.weights = start if weights is None else weights
@@ -108,7 +110,7 @@ class Mixer:
         gate = np.full(len(key), bit * 16)
         for order in range(ORDERS):
             slot = slots_of(key, order, bit)
-            n0, n1 = LEVELS[self.zeros[slot]], LEVELS[self.ones[slot]]
+            n0, n1 = LEVELS[self.zeros[order][slot]], LEVELS[self.ones[order][slot]]
             if left_out:
                 n0, n1 = np.maximum(0.0, n0 - (1.0 - value)), np.maximum(0.0, n1 - value)
             x[:, order] = np.log((n1 + DELTA) / (n0 + DELTA))
@@ -225,7 +227,7 @@ def gather(training: DataFrame) -> DataFrame:
             pending.clear()
             grams.append((keys, counts))
             size = 0
-            if len(grams) >= 8:
+            if len(grams) >= 4:
                 merge()
 
         def merge() -> None:
@@ -271,35 +273,44 @@ def gather(training: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _read_grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, GRAM).astype(np.uint64)
-    key = raw[:, 0]
-    for i in range(1, GRAM):
-        key = (key << np.uint64(8)) | raw[:, i]
-    return key, batch.column(1).to_numpy().astype(np.float64)
+def _read_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams and counts of a task: a share of the distinct grams, 16 bytes each."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, GRAM).astype(np.uint64)
+        key = raw[:, 0]
+        for i in range(1, GRAM):
+            key = (key << np.uint64(8)) | raw[:, i]
+        keys.append(key)
+        counts.append(batch.column(1).to_numpy().astype(np.float64))
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def _packed(values: list) -> list[pa.Array]:
+    return [pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values]
 
 
-def count_table(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Coded zero and one counts of all slots: 2 * 2 ** TABLE_BITS bytes, whatever the corpus."""
+def count_table(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Coded zero and one counts of all slots, per order: about 31 MB, whatever the corpus."""
     width = 1 << BLOCK_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zeros, ones = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
-        for batch in batches:
-            key, count = _read_grams(batch)
-            for bit in range(8):
-                value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-                for order in range(ORDERS):
-                    slot = slots_of(key, order, bit)
-                    np.add.at(zeros, slot[~value], count[~value])
-                    np.add.at(ones, slot[value], count[value])
-        for block in range(1 << (TABLE_BITS - BLOCK_BITS)):
-            part = slice(block * width, (block + 1) * width)
-            used = np.flatnonzero((zeros[part] > 0) | (ones[part] > 0))
-            if len(used):
-                packed = [used.astype(np.uint16), zeros[part][used].astype(np.int64), ones[part][used].astype(np.int64)]
-                columns = [pa.array([block], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in packed]]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "at", "zeros", "ones"])
+        key, count = _read_grams(batches)
+        for order in range(ORDERS):
+            slots = [slots_of(key, order, bit) for bit in range(8)]
+            values = [((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool) for bit in range(8)]
+            slot, value, times = np.concatenate(slots), np.concatenate(values), np.tile(count, 8)
+            zeros = np.bincount(slot[~value], times[~value], 1 << TABLE_BITS[order])
+            ones = np.bincount(slot[value], times[value], 1 << TABLE_BITS[order])
+            for block in range(1 << (TABLE_BITS[order] - BLOCK_BITS)):
+                part = slice(block * width, (block + 1) * width)
+                used = np.flatnonzero((zeros[part] > 0) | (ones[part] > 0))
+                if len(used):
+                    packed = [used.astype(np.uint16), *(t[part][used].astype(np.int64) for t in (zeros, ones))]
+                    place = pa.array([order << 16 | block], pa.int32())
+                    yield pa.RecordBatch.from_arrays([place, *_packed(packed)], ["block", "at", "zeros", "ones"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -310,56 +321,52 @@ def count_table(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 place = np.frombuffer(at, np.uint16)
                 sums[block][0][place] += np.frombuffer(zeros, np.int64)
                 sums[block][1][place] += np.frombuffer(ones, np.int64)
-        for block, (zeros, ones) in sums.items():
-            columns = [to_codes(zeros).tobytes(), to_codes(ones).tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), *[pa.array([c], pa.binary()) for c in columns]], ["block", "zeros", "ones"]
-            )
+        for block, both in sums.items():
+            columns = [pa.array([block], pa.int32()), *_packed([to_codes(b) for b in both])]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "zeros", "ones"])
 
     parts = map_batches(grams, spread, "block int, at binary, zeros binary, ones binary")
-    summed = map_batches(
-        parts.repartition(parallelism(grams.sparkSession), "block"), total, "block int, zeros binary, ones binary"
-    )
-    zeros, ones = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(1 << TABLE_BITS, np.uint8)
-    for row in summed.toLocalIterator():
-        part = slice(row["block"] * width, (row["block"] + 1) * width)
-        zeros[part] = np.frombuffer(row["zeros"], np.uint8)
-        ones[part] = np.frombuffer(row["ones"], np.uint8)
+    dealt = parts.repartition(parallelism(grams.sparkSession), "block")
+    zeros = [np.zeros(1 << bits, np.uint8) for bits in TABLE_BITS]
+    ones = [np.zeros(1 << bits, np.uint8) for bits in TABLE_BITS]
+    for row in map_batches(dealt, total, "block int, zeros binary, ones binary").toLocalIterator():
+        order, block = row["block"] >> 16, row["block"] & 0xFFFF
+        part = slice(block * width, (block + 1) * width)
+        zeros[order][part] = np.frombuffer(row["zeros"], np.uint8)
+        ones[order][part] = np.frombuffer(row["ones"], np.uint8)
     return zeros, ones
 
 
-def learn_model(grams: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def learn_model(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """(zeros, ones, weights, refined): the counts, then online learning in two rounds."""
-    spark = grams.sparkSession
     zeros, ones = count_table(grams)
-    table = spark.sparkContext.broadcast((zeros, ones))
+    table = grams.sparkSession.sparkContext.broadcast((zeros, ones))
 
     def mixing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, use = Mixer(*table.value, None, None), np.zeros(GATES)
-        for batch in batches:
-            key, count = _read_grams(batch)
-            for start in range(0, len(key), BATCH):
-                mixer.learn(key[start : start + BATCH], count[start : start + BATCH], use)
-        if use.any():
-            columns = [pa.array([a.astype(np.float64).tobytes()], pa.binary()) for a in (mixer.weights, use)]
-            yield pa.RecordBatch.from_arrays(columns, ["weights", "use"])
+        mixer, use = Mixer(*table.value), np.zeros(GATES)
+        key, count = _read_grams(batches)
+        order = np.random.default_rng(0).permutation(len(key))
+        for start in range(0, len(key), BATCH):
+            some = order[start : start + BATCH]
+            mixer.learn(key[some], count[some], use)
+        if len(key):
+            yield pa.RecordBatch.from_arrays(_packed([mixer.weights, use]), ["weights", "use"])
 
     weights, use = np.zeros((GATES, ORDERS + 1)), np.zeros(GATES)
     for row in map_batches(grams, mixing, "weights binary, use binary").toLocalIterator():
         own = np.frombuffer(row["use"])
         weights += np.frombuffer(row["weights"]).reshape(GATES, -1) * own[:, None]
         use += own
-    start = Mixer(zeros, ones, None, None).weights
+    start = Mixer(zeros, ones).weights
     weights = np.where(use[:, None] > 0, weights / np.maximum(use, 1e-9)[:, None], start)
 
     def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, sums = Mixer(*table.value, weights, None), np.zeros((2, 256 * BUCKETS))
-        for batch in batches:
-            key, count = _read_grams(batch)
-            for start in range(0, len(key), BATCH):
-                mixer.refine(key[start : start + BATCH], count[start : start + BATCH], sums)
-        if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        mixer, sums = Mixer(*table.value, weights), np.zeros((2, 256 * BUCKETS))
+        key, count = _read_grams(batches)
+        for start in range(0, len(key), BATCH):
+            mixer.refine(key[start : start + BATCH], count[start : start + BATCH], sums)
+        if len(key):
+            yield pa.RecordBatch.from_arrays(_packed([sums]), ["sums"])
 
     sums = np.zeros((2, 256 * BUCKETS))
     for row in map_batches(grams, refining, "sums binary").toLocalIterator():
