@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterframe.llm import context_mixing, cover_tree, mixing, quality
+from meterframe.llm import context_mixing, cover_tree, jaccard_join, mixing, quality
 from meterframe.llm.common import read_table
 from meterframe.llm.token_counts import token_counts
 from meterframe.llm.transducer import encode_documents
@@ -34,6 +34,10 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_edits(read_table(spark, folder, "documents"))
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, folder, "documents")).drop("text_hash")
+
+
 def classify(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_context_mixing": score_language,
     "op3_url_filter": url_filter,
     "op4_fingerprints": fingerprint,
+    "op5_jaccard_join": near_copies,
     "op6_quality": classify,
     "op7_token_counts": count_tokens,
     "op8_cover_tree": near_vectors,
