@@ -40,7 +40,8 @@ BUCKETS = 33
 DELTA = 0.4
 RATE = 0.02
 BATCH = 4096
-MEMO_BITS = 20
+MEMO_BITS = 21
+PASS = 1 << 20
 FLUSH_WORDS = 400_000
 HEAD_WORDS = 100_000
 END = b" "  # the end token's key; no word holds a space
@@ -72,16 +73,24 @@ def to_codes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.searchsorted(LEVELS, counts, side="right") - 1, 0, 255).astype(np.uint8)
 
 
-def slots_of(key: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """The slot, in its order's table, of each gram's last `order + 1` context bytes and first `bit` bits."""
-    symbol = key & np.uint64(0xFF)
-    node = (symbol | np.uint64(0x100)) >> np.uint64(8 - bit)
+def context_hash(key: np.ndarray, order: int) -> np.ndarray:
+    """Hash of each gram's last `order + 1` context bytes, before the bits are added."""
     context = (key >> np.uint64(8)) & np.uint64((1 << (8 * (order + 1))) - 1)
-    mixed = ((context << np.uint64(8) | node) * np.uint64(8) + np.uint64(order + 1)) * PRIME
+    return (context << np.uint64(11)) * PRIME
+
+
+def finish_slot(base: np.ndarray, key: np.ndarray, order: int, bit: int) -> np.ndarray:
+    """The slot, in its order's table, of a context and the first `bit` bits of the byte."""
+    node = ((key & np.uint64(0xFF)) | np.uint64(0x100)) >> np.uint64(8 - bit)
+    mixed = base + (node * np.uint64(8) + np.uint64(order + 1)) * PRIME
     mixed ^= mixed >> np.uint64(29)
     return ((mixed * PRIME) >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64)
 
 
+def slots_of(key: np.ndarray, order: int, bit: int) -> np.ndarray:
+    return finish_slot(context_hash(key, order), key, order, bit)
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
@@ -100,6 +109,7 @@ class Mixer:
         start = np.zeros((GATES, ORDERS + 1))
         start[:, :ORDERS] = 0.35
         self.weights = start if weights is None else weights
+        self.pairs: tuple | None = None
         self.refined = refined
 
     def inputs(self, key: np.ndarray, bit: int, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,12 +160,30 @@ class Mixer:
         low = np.minimum(scaled.astype(np.int64), BUCKETS - 2)
         return node, low, scaled - low
 
+    def frozen(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Per order both codes of a slot in one number; for such a number, log odds and gate level."""
+        if self.pairs is None:
+            both = [z.astype(np.uint16) | (o.astype(np.uint16) << np.uint16(8)) for z, o in zip(self.zeros, self.ones)]
+            n1, n0 = np.meshgrid(LEVELS, LEVELS, indexing="ij")  # number = code1 * 256 + code0
+            seen = n0 + n1
+            level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
+            self.pairs = both, np.log((n1 + DELTA) / (n0 + DELTA)).ravel(), level.ravel()
+            self.zeros = self.ones = []
+        return self.pairs
+
     def cost(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte after its context."""
+        """log10 probability of each gram's byte after its context, from the frozen model."""
+        pairs, odds, levels = self.frozen()
         total = np.zeros(len(key))
+        bases = [context_hash(key, order) for order in range(ORDERS)]
         for bit in range(8):
-            x, gate, value = self.inputs(key, bit, left_out=False)
-            score = self.mixed(x, gate)
+            value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+            at = [pairs[order][finish_slot(bases[order], key, order, bit)] for order in range(ORDERS)]
+            gate = bit * 16 + levels[at[ORDERS - 1]] * 4 + levels[at[ORDERS - 2]]
+            score = self.weights[gate, ORDERS] * 0.3
+            for order in range(ORDERS):
+                score += self.weights[gate, order] * odds[at[order]]
+            score = np.clip(score, -12.0, 12.0)
             p = squash(score)
             if self.refined is not None:
                 node, low, part = self._place(key, bit, score)
@@ -180,12 +208,32 @@ class Scorer:
         self.keys = np.full(1 << MEMO_BITS, (1 << 64) - 1, np.uint64)
         self.costs = np.zeros(1 << MEMO_BITS)
 
-    def score(self, data: bytes) -> float:
-        key = gram_keys(data)
-        total = 0.0
-        for start in range(0, len(key), 1 << 16):
-            total += float(self._costs(key[start : start + (1 << 16)]).sum())
-        return total
+    def scores(self, data: list[bytes]) -> list[float]:
+        """log10 probabilities of texts. Texts share a pass over the model, long ones are cut."""
+        result = [0.0] * len(data)
+        keys: list[np.ndarray] = []
+        owners: list[int] = []
+        size = 0
+
+        def settle() -> None:
+            starts = np.cumsum([0, *(len(k) for k in keys[:-1])])
+            for owner, value in zip(owners, np.add.reduceat(self._costs(np.concatenate(keys)), starts).tolist()):
+                result[owner] += value
+            keys.clear()
+            owners.clear()
+
+        for i, text in enumerate(data):
+            key = gram_keys(text)
+            for start in range(0, len(key), PASS):
+                keys.append(key[start : start + PASS])
+                owners.append(i)
+                size += len(keys[-1])
+                if size >= PASS:
+                    settle()
+                    size = 0
+        if keys:
+            settle()
+        return result
 
     def _costs(self, key: np.ndarray) -> np.ndarray:
         at = ((key * PRIME) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
@@ -409,8 +457,9 @@ def score_documents(documents: DataFrame) -> DataFrame:
         scorer = _SCORERS[name]
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for text in texts(batch, "text"):
-                data = text.encode("utf-8")
+            rows_ = texts(batch, "text")
+            data = [text.encode("utf-8") for text in rows_]
+            for text, raw, score in zip(rows_, data, scorer.scores(data)):
                 tokens = words_of(text)
                 tokens.append(END)
                 seen = np.fromiter((common.get(t, 0) for t in tokens), np.int64, len(tokens))
@@ -419,8 +468,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
                     len(tokens),
                     int(np.count_nonzero(seen)),
                     float(np.log10(seen + 1.0).sum()),
-                    scorer.score(data),
-                    len(data),
+                    score,
+                    len(raw),
                     [{"key": k, "times": n} for k, n in rare.items()],
                 )
                 for column, value in zip(out, values):
