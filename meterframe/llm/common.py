@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
+# Texts can be long: a batch that goes to Python is bounded by bytes, not by rows alone.
+BATCH_BYTES = 4 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -40,8 +42,9 @@ def ship_package(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """`mapInArrow` with the package shipped to the workers."""
+    """`mapInArrow` with the package shipped to the workers and batches of bounded size."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

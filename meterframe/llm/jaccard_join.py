@@ -38,7 +38,7 @@ STEP = 32
 TOLERANCE = 1e-8
 BLOCK = 512
 BROADCAST_ROWS = 500_000  # of two longs each
-MEMO = 200_000
+MEMO = 100_000
 # Multipliers of the shingle hash and its finalizer.
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
