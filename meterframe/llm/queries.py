@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterframe.llm import context_mixing, cover_tree, jaccard_join, mixing, quality
+from meterframe.llm import context_mixing, cover_tree, jaccard_join, mixing, personal_data, quality
 from meterframe.llm.common import read_table
 from meterframe.llm.token_counts import token_counts
 from meterframe.llm.transducer import encode_documents
@@ -21,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def find_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(read_table(spark, folder, "documents"))
+
+
 def score_language(spark: SparkSession, folder: str) -> DataFrame:
     return context_mixing.score_documents(read_table(spark, folder, "documents"))
 
@@ -60,6 +64,7 @@ def encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": find_personal_data,
     "op2_context_mixing": score_language,
     "op3_url_filter": url_filter,
     "op4_fingerprints": fingerprint,
