@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meterframe.llm import graph
 from meterframe.llm.bpe import Memo
-from meterframe.llm.common import map_batches, parallelism
+from meterframe.llm.common import map_batches
 from meterframe.session import materialize
 
 SHINGLE = 5
@@ -222,9 +222,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
         "class",
     ).join(classes.select("class", "signature"), "class")
     keys = ["band", "bucket", "i", "j"]
-    placed = placed.select(*keys, "second", "class", "signature").repartition(
-        4 * parallelism(classes.sparkSession), *keys
-    )
+    placed = placed.select(*keys, "second", "class", "signature").repartition(*keys)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
@@ -277,7 +275,7 @@ def _verified(documents: DataFrame, classes: DataFrame, candidates: DataFrame) -
     found = found.select("class", "size", "text").dropDuplicates(["class"])  # a repeated row comes once
     keys = ["band", "bucket", "i", "j"]
     rows = candidates.join(found, "class").select(*keys, "position", "class", "size", "partners", "text")
-    placed = rows.repartition(4 * parallelism(documents.sparkSession), *keys).sortWithinPartitions(*keys, "position")
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "position")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
