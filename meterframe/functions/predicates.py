@@ -6,8 +6,10 @@ which Catalyst then splits and pushes towards the scan.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any, Union
 
@@ -107,12 +109,28 @@ def value_text(value: Any) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float):
-        return f"{value:g}"
+        return shortest_float(value)
     if isinstance(value, datetime):
         return value.isoformat()
     return str(value)
 
 
+def shortest_float(value: float) -> str:
+    """The shortest exact digits; with an exponent below 1e-4 and from 1e6, as in 1.234567e+06."""
+    if not math.isfinite(value):
+        return {"inf": "+Inf", "-inf": "-Inf"}.get(str(value), "NaN")
+    sign, digits, power = Decimal(repr(value)).normalize().as_tuple()
+    text = "".join(map(str, digits))
+    exponent = len(text) + power - 1 if text != "0" else 0
+    minus = "-" if sign else ""
+    if text == "0":
+        return f"{minus}0"
+    if exponent < -4 or exponent >= 6:
+        fraction = f".{text[1:]}" if len(text) > 1 else ""
+        return f"{minus}{text[0]}{fraction}e{exponent:+03d}"
+    return minus + format(Decimal((0, digits, power)), "f")
+
+
 def _compare(column: Column, condition: Condition, literal, text) -> Column:
     op = condition.op
     if op == "exists":

@@ -12,7 +12,7 @@ from meterframe.functions.metadata import field_value, strip_prefix
 from meterframe.functions.predicates import Filter
 from meterframe.functions.timecalc import bucket_seconds, bucket_start, utc_naive
 from meterframe.operators.scan import scan
-from meterframe.schema import GROUP_BY_MAX_FIELDS, MISSING_GROUP
+from meterframe.schema import MISSING_GROUP
 
 
 def group_fields(group_by: str | list[str] | tuple[str, ...] | None) -> list[str]:
@@ -20,10 +20,7 @@ def group_fields(group_by: str | list[str] | tuple[str, ...] | None) -> list[str
     if not group_by:
         return []
     parts = group_by.split(",") if isinstance(group_by, str) else list(group_by)
-    fields = list(dict.fromkeys(f for f in (strip_prefix(p) for p in parts) if f))
-    if len(fields) > GROUP_BY_MAX_FIELDS:
-        raise ValueError(f"at most {GROUP_BY_MAX_FIELDS} group-by fields are allowed")
-    return fields
+    return list(dict.fromkeys(f for f in (strip_prefix(p) for p in parts) if f))
 
 
 def group_column(field: str) -> str:

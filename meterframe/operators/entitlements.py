@@ -62,20 +62,49 @@ def assignment_at(assignments: DataFrame, at: str | datetime) -> DataFrame:
 def effective_intervals(assignments: DataFrame) -> DataFrame:
     """Assignments as disjoint `[valid_from, valid_to)` intervals.
 
-    Cancelled rows (ended before they start) drop out; a newer row ends an older one.
-    Histories written by `assign` never overlap otherwise, so each time has at most
+    Cancelled rows (ended before they start) drop out; of the rows alive at a time the newest
+    counts, so an older one comes back when a newer one ends before it. Each time has at most
     one interval and the event join needs no deduplication.
+
+    A newer row usually ends an older one for good, and then intervals follow from the next
+    start. Only the subjects with a row that outlives a newer one have their history cut at
+    every start and end, each piece taking its newest row.
     """
     real = assignments.filter(F.col("unassigned_at").isNull() | (F.col("unassigned_at") > F.col("assigned_at")))
     history = Window.partitionBy(*SUBJECT).orderBy("assigned_at", "updated_at")
-    valid_to = F.least("unassigned_at", F.lead("assigned_at").over(history))
-    return real.select(
-        *SUBJECT,
-        "plan_id",
-        "period_anchor_at",
+    earlier = history.rowsBetween(Window.unboundedPreceding, -1)
+    forever = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+    end = F.coalesce("unassigned_at", forever)
+    body = [*SUBJECT, "plan_id", "period_anchor_at"]
+    marked = real.select(
+        *body,
+        "updated_at",
         F.col("assigned_at").alias("valid_from"),
-        valid_to.alias("valid_to"),
-    ).filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+        end.alias("ends"),
+        F.least("unassigned_at", F.lead("assigned_at").over(history)).alias("valid_to"),
+        F.coalesce(F.max(end).over(earlier) > end, F.lit(False)).alias("outlived"),
+    )
+    marked = marked.withColumn("comes_back", F.max("outlived").over(Window.partitionBy(*SUBJECT)))
+    shape = [*body, "valid_from", "valid_to"]
+    simple = marked.filter(~F.col("comes_back")).select(*shape)
+
+    nested = marked.filter("comes_back").select(*body, "updated_at", "valid_from", "ends")
+    cuts = nested.select(*SUBJECT, F.explode(F.array("valid_from", "ends")).alias("cut")).distinct()
+    following = F.lead("cut").over(Window.partitionBy(*SUBJECT).orderBy("cut"))
+    pieces = cuts.select(*SUBJECT, "cut", following.alias("until")).filter(F.col("until").isNotNull())
+    alive = (F.col("valid_from") <= F.col("cut")) & (F.col("cut") < F.col("ends"))
+    row = F.struct("plan_id", "period_anchor_at")
+    newest = F.max_by(row, F.struct("valid_from", "updated_at")).alias("row")
+    cut_up = nested.join(pieces, SUBJECT).filter(alive).groupBy(*SUBJECT, "cut", "until").agg(newest)
+    cut_up = cut_up.select(
+        *SUBJECT,
+        "row.plan_id",
+        "row.period_anchor_at",
+        F.col("cut").alias("valid_from"),
+        F.when(F.col("until") < forever, F.col("until")).alias("valid_to"),
+    )
+    both = simple.unionByName(cut_up.select(*shape))
+    return both.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
 
 
 def with_assignment(
@@ -84,7 +113,7 @@ def with_assignment(
     """Events with the plan and anchor in effect at their event time (as-of join)."""
     time = F.col("event_time")
     residual = (time >= F.col("valid_from")) & (F.col("valid_to").isNull() | (time < F.col("valid_to")))
-    # There are at most as many intervals as assignments.
+    # There are at most two intervals per assignment.
     small = fits(assignments)
     joined = side_join(events, effective_intervals(assignments), SUBJECT, how, residual, small=small)
     return joined.drop("valid_to") if keep_start else joined.drop("valid_from", "valid_to")

@@ -72,14 +72,20 @@ def resolve_meters(raw: DataFrame, meters: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, now, batch_id: str = "") -> DataFrame:
-    """Trim text, default the event time and metadata, and give every row an id.
+    """Trim text, default the event time, index and metadata, and give every row an id.
 
-    Generated ids hash (workspace, batch, index), so a retried batch produces the
-    same ids again.
+    A row's position in the batch stands in for a missing index. Generated ids hash
+    (workspace, batch, position), so they differ between rows whatever the payload says,
+    and a retried batch, which reads the same rows, produces the same ids again.
+    `bad_timestamp` (optional) marks rows whose time could not be read.
     """
-    generated = F.sha2(F.concat_ws("|", "workspace_id", F.lit(batch_id), F.col("index").cast("string")), 256)
+    position = F.monotonically_increasing_id()
+    bad_time = F.col("bad_timestamp") if "bad_timestamp" in raw.columns else F.lit(False)
+    raw = raw.withColumn("bad_timestamp", F.coalesce(bad_time, F.lit(False))).withColumn("position", position)
+    space = F.coalesce("workspace_id", F.lit(""))
+    generated = F.sha2(F.concat_ws("|", space, F.lit(batch_id), F.col("position").cast("string")), 256)
     return raw.select(
-        "index",
+        F.coalesce(F.col("index"), F.col("position")).cast(raw.schema["index"].dataType).alias("index"),
         F.coalesce(F.nullif(F.trim("id"), F.lit("")), generated).alias("id"),
         "workspace_id",
         F.nullif(F.trim("idempotency_key"), F.lit("")).alias("idempotency_key"),
@@ -89,6 +95,7 @@ def clean(raw: DataFrame, now, batch_id: str = "") -> DataFrame:
         "quantity",
         F.coalesce(F.col("timestamp"), ntz(now)).alias("timestamp"),
         F.coalesce("metadata", F.lit("{}")).alias("metadata"),
+        "bad_timestamp",
     )
 
 
@@ -104,7 +111,8 @@ def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", receive
     rows = rows.withColumn("parsed", F.try_parse_json("metadata"))
     bad_json = F.col("parsed").isNull() | ~F.ltrim("metadata").startswith("{")
     message = (
-        F.when(F.col("meter") == "", "meter is required")
+        F.when(F.col("bad_timestamp"), "timestamp must be an RFC 3339 time")
+        .when(F.col("meter") == "", "meter is required")
         .when(F.col("meter_found").isNull(), F.concat(F.lit('meter "'), F.col("meter"), F.lit('" was not found')))
         .when(bad_json, "metadata must be a JSON object")
         .when(F.col("metadata_error").isNotNull(), F.col("metadata_error"))
@@ -119,7 +127,7 @@ def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", receive
             )
         )
     )
-    unknown_meter = F.col("meter_found").isNull() & (F.col("meter") != "")
+    unknown_meter = F.col("meter_found").isNull() & (F.col("meter") != "") & ~F.col("bad_timestamp")
     return rows.withColumn("message", message).select(
         "index",
         "id",
@@ -256,15 +264,18 @@ def duplicates(ok: DataFrame, firsts: DataFrame, matched: DataFrame) -> DataFram
     """
     keys = ["workspace_id", "idempotency_key"]
     body = [c for c in EVENT_COLUMNS if c not in keys]
-    stored = matched.select(*keys, F.struct(*body).alias("original"), F.lit(True).alias("was_stored"))
+    nothing = F.lit(None).cast(firsts.schema["index"].dataType).alias("first_index")
+    stored = matched.select(*keys, F.struct(*body).alias("original"), nothing)
     batch = firsts.filter(F.col("idempotency_key").isNotNull() & (F.col("copies") > 1))
     fresh = batch.join(stored.select(*keys), keys, "left_anti").select(
-        *keys, F.struct(*body).alias("original"), F.lit(False).alias("was_stored")
+        *keys, F.struct(*body).alias("original"), F.col("index").alias("first_index")
     )
     candidates = ok.filter(F.col("idempotency_key").isNotNull()).select("index", "id", *keys)
     small = fits(matched) and fits(batch)
     joined = side_join(candidates, stored.unionByName(fresh), keys, small=small)
-    repeated = joined.filter(F.col("was_stored") | (F.col("id") != F.col("original.id")))
+    # Ids may repeat within a batch, so the first row is told by its index as well.
+    is_first = (F.col("index") == F.col("first_index")) & (F.col("id") == F.col("original.id"))
+    repeated = joined.filter(F.col("first_index").isNull() | ~is_first)
     return repeated.select("index", *keys, "original.*").select("index", *EVENT_COLUMNS)
 
 

@@ -6,7 +6,7 @@ Joins between catalog, assignment and counter tables need none of this: they are
 Two physical shapes, chosen by a check of the smaller side's row count:
 
 * it fits the bound: broadcast, so the large side is not shuffled;
-* it does not: a shuffled join in which the heaviest keys are salted. A key that
+* it does not: a shuffled join in which keys with a large share of the rows are salted. A key that
   holds a third of all rows then spreads over `SALTS` partitions, and the salt in the
   join keys also makes a following `groupBy` shuffle its partial results instead of
   finishing a hot group in the join's own partition.
@@ -17,23 +17,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterframe.session import materialize
+
 BROADCAST_MAX_ROWS = 200_000
-HOT_KEYS = 1_000
+BROADCAST_MAX_BYTES = 32 << 20
+HOT_SHARE = 0.25  # of an even partition: a key with more of the rows is salted
 SALTS = 256
 
 
-def fits(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether `side` has at most `max_rows` rows; reads no further than that."""
-    return side.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def fits(side: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether `side` is small in rows and in bytes; reads no further than `max_rows`."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in side.columns])))
+    size = side.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(text).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
-def hot_keys(facts: DataFrame, keys: list[str], top: int = HOT_KEYS) -> DataFrame:
-    """The `top` most frequent keys. Any key outside holds less than 1/top of the rows.
+def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than `share` of an even partition's rows, written once.
 
-    Counting aggregates on the map side; the result is bounded by `top`.
+    Counting aggregates on the map side. At most partitions / share keys can be that heavy,
+    so the result is bounded, and any key outside fits into a partition several times.
     """
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), *keys).limit(top).select(*keys)
+    spark = facts.sparkSession
+    counts = materialize(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    even = total / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(counts.filter(F.col("n") > share * even).select(*keys), "hot-keys")
 
 
 def spread_by_row() -> Column:

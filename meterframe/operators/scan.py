@@ -15,10 +15,14 @@ def tenant(events: DataFrame, workspace: str, allowed_meters: tuple[str, ...] =
     """Rows of one workspace, optionally limited to a meter allow-list (`*` = all)."""
     if not workspace:
         raise ValueError("workspace is required")
-    rows = events.filter(F.col("workspace_id") == workspace)
+    return allowed(events.filter(F.col("workspace_id") == workspace), allowed_meters)
+
+
+def allowed(events: DataFrame, allowed_meters: tuple[str, ...]) -> DataFrame:
+    """Rows of the meters on an allow-list (empty or `*` = all)."""
     if allowed_meters and "*" not in allowed_meters:
-        rows = rows.filter(F.col("meter_name").isin(*allowed_meters))
-    return rows
+        return events.filter(F.col("meter_name").isin(*allowed_meters))
+    return events
 
 
 def in_range(column: Column, start: str | datetime | None, end: str | datetime | None) -> Column:
@@ -49,6 +53,8 @@ def scan(
     """
     if workspace is not None:
         events = tenant(events, workspace, allowed_meters)
+    else:
+        events = allowed(events, allowed_meters)
     if meter:
         events = events.filter(F.col("meter_name") == meter)
     if subject:

@@ -10,7 +10,8 @@ from meterframe.operators import catalog, exports, ingest, retention, stats
 from meterframe.plans.alerting import rules
 from meterframe.plans.registry import EV, MET, ctes, query
 from meterframe.schema import EVENT_COLUMNS
-from meterframe.session import materialize
+from meterframe.session import materialize, scratch_path
+from meterframe.sources.readers import read_raw_json
 from meterframe.sources.tables import event_meters, raw_from_usage, table, usage_from_events
 
 NOW = "2024-02-01T00:00:00Z"
@@ -205,15 +206,50 @@ def recent_run_totals(spark, folder):
     return stats.recent_totals(runs, 20)
 
 
+@query(
+    "source_json_batch",
+    ctes(EV)
+    + """SELECT workspace_id, meter_name, count(*) AS rows, count(*) AS ids, count(*) AS indexes,
+  count(*) FILTER (CAST(id AS BIGINT) % 7 = 0) AS bad_times,
+  round(sum(quantity) FILTER (CAST(id AS BIGINT) % 7 <> 0), 6) AS quantity,
+  max(event_time) FILTER (CAST(id AS BIGINT) % 7 <> 0) AS last_event_at
+FROM ev GROUP BY 1, 2""",
+)
+def source_json_batch(spark, folder):
+    """All events through JSON lines without ids or index; every seventh time is not a time."""
+    usage = usage_from_events(spark, folder)
+    stamp = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rows = usage.select(
+        "workspace_id",
+        "subject",
+        F.col("meter_name").alias("meter"),
+        "quantity",
+        F.when(F.col("id").cast("long") % 7 == 0, "not-a-time").otherwise(stamp).alias("timestamp"),
+        F.parse_json("metadata").alias("metadata"),
+    )
+    path = scratch_path(spark, "json-batch")
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    validated = materialize(ingest.validate(read_raw_json(spark, path), event_meters(spark, folder), NOW), "validated")
+    ok = F.col("code").isNull()
+    return validated.groupBy("workspace_id", "meter_name").agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.countDistinct("index").alias("indexes"),
+        F.count_if(F.col("message") == "timestamp must be an RFC 3339 time").alias("bad_times"),
+        F.round(F.sum(F.when(ok, F.col("quantity"))), 6).alias("quantity"),
+        F.max(F.when(ok, F.col("event_time"))).alias("last_event_at"),
+    )
+
+
 # --- retention -------------------------------------------------------------------------------
 
 _CUT = "cut AS (SELECT workspace_id, name AS meter_name, TIMESTAMP '2024-02-01' - to_days(event_retention_days) AS cutoff FROM met)"
-_RECENT = "SELECT * FROM ev WHERE meter_name <> 'signup'"
+_RECENT = "SELECT * FROM ev"
 
 
 def _prune_inputs(spark, folder):
     usage = usage_from_events(spark, folder)
-    return usage.filter("meter_name <> 'signup'"), retention.cutoffs(event_meters(spark, folder), NOW)
+    return usage, retention.cutoffs(event_meters(spark, folder), NOW)
 
 
 @query(

@@ -210,6 +210,33 @@ def assignment_asof(spark, folder):
     return joined.select("id", "subject", "event_time", "plan_id", "period_anchor_at")
 
 
+@query(
+    "assignment_asof_overlap",
+    ctes(EV, ASG)
+    + """, asg2 AS (SELECT workspace_id, subject, plan_id, assigned_at, unassigned_at FROM asg UNION ALL
+  SELECT workspace_id, subject, 'promo', started + INTERVAL 2 DAY, started + INTERVAL 4 DAY FROM st WHERE u % 3 = 0)
+SELECT id, plan_id FROM (SELECT e.id, a.plan_id, row_number() OVER (PARTITION BY e.id ORDER BY a.assigned_at DESC) AS rn
+  FROM ev e LEFT JOIN asg2 a ON a.workspace_id = e.workspace_id AND a.subject = e.subject
+   AND a.assigned_at <= e.event_time AND (a.unassigned_at IS NULL OR a.unassigned_at > e.event_time)) WHERE rn = 1""",
+)
+def assignment_asof_overlap(spark, folder):
+    """Some subjects have a two-day plan on top of their running one, which then comes back."""
+    history = assignments(spark, folder)
+    number = F.regexp_extract("subject", r"(\d+)$", 1).cast("long")
+    start = F.col("assigned_at") + F.expr("INTERVAL 2 DAY")
+    promo = history.filter(F.col("id").startswith("a1-") & (number % 3 == 0)).withColumns(
+        {
+            "id": F.concat(F.lit("p"), "id"),
+            "plan_id": F.lit("promo"),
+            "assigned_at": start,
+            "unassigned_at": F.col("assigned_at") + F.expr("INTERVAL 4 DAY"),
+            "updated_at": start,
+        }
+    )
+    joined = ent.with_assignment(usage_from_events(spark, folder), history.unionByName(promo), "left")
+    return joined.select("id", "plan_id")
+
+
 @query(
     "assignment_at",
     ctes(ASG)

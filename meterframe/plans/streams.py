@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meterframe.operators import entitlements as ent
 from meterframe.plans.ingestion import ONE_BATCH, RAW, faulty_raw
@@ -81,6 +82,21 @@ def stream_bounded_dedupe(spark, folder):
     return _drain(rows.select("workspace_id", "idempotency_key"), "stream-dedupe")
 
 
+@query(
+    "stream_bounded_dedupe_keyless",
+    ctes(EV)
+    + """SELECT workspace_id, idempotency_key, count(*) AS kept FROM (
+  SELECT DISTINCT workspace_id, idempotency_key FROM ev WHERE CAST(id AS BIGINT) % 10 <> 0
+  UNION ALL SELECT workspace_id, NULL FROM ev WHERE CAST(id AS BIGINT) % 10 = 0) GROUP BY 1, 2""",
+)
+def stream_bounded_dedupe_keyless(spark, folder):
+    """Every tenth event has no key; none of those is a repeat."""
+    keyed = F.when(F.col("id").cast("long") % 10 != 0, F.col("idempotency_key"))
+    rows = drop_repeats_within(usage_stream(spark, folder).withColumn("idempotency_key", keyed), "40 days")
+    kept = _drain(rows.select("workspace_id", "idempotency_key"), "stream-keyless")
+    return kept.groupBy("workspace_id", "idempotency_key").agg(F.count("*").alias("kept"))
+
+
 @query(
     "stream_ingest",
     ctes(EV, RAW, ONE_BATCH)

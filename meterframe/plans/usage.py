@@ -365,13 +365,11 @@ def dimension_values_topk(spark, folder):
     ctes(EV, MET)
     + """SELECT m.workspace_id, m.name AS meter_name, m.event_retention_days, count(e.id) AS usage_events,
   max(e.event_time) AS last_event_at
-FROM met m LEFT JOIN (SELECT * FROM ev WHERE event_time >= TIMESTAMP '2024-01-20' AND meter_name <> 'error') e
+FROM met m LEFT JOIN ev e
   ON e.workspace_id = m.workspace_id AND e.meter_name = m.name GROUP BY 1, 2, 3""",
 )
 def meter_stats(spark, folder):
-    usage = usage_from_events(spark, folder)
-    recent = scan(usage, start="2024-01-20T00:00:00Z").filter(F.col("meter_name") != "error")
-    return stats.meter_stats(recent, event_meters(spark, folder))
+    return stats.meter_stats(usage_from_events(spark, folder), event_meters(spark, folder))
 
 
 @query(

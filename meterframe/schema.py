@@ -88,5 +88,4 @@ NAME_MAX_CHARS = 120
 RETENTION_DEFAULT_DAYS = 90
 RETENTION_MAX_DAYS = 3650
 WARNING_DEFAULT_PERCENT = 80.0
-GROUP_BY_MAX_FIELDS = 5
 MISSING_GROUP = "<nil>"

@@ -18,7 +18,10 @@ def rfc3339_to_ntz(text: Column) -> Column:
 
 
 def typed_raw(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("timestamp", rfc3339_to_ntz(F.col("timestamp")))
+    """Typed times; `bad_timestamp` marks text that is not a time, which validation rejects."""
+    given = F.nullif(F.trim("timestamp"), F.lit(""))
+    parsed = rfc3339_to_ntz(F.col("timestamp"))
+    return rows.withColumn("bad_timestamp", given.isNotNull() & parsed.isNull()).withColumn("timestamp", parsed)
 
 
 def read_raw_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -10,17 +10,22 @@ from meterframe.operators.buckets import group_column, group_fields
 
 
 def plain_number(value: Column) -> Column:
-    """Shortest decimal text without an exponent: 9, 2.5, 0.000001."""
+    """Shortest decimal text without an exponent: 9, 2.5, 0.000001.
+
+    The digits are those of the shortest exact text; only the point is moved.
+    """
     text = value.cast("string")
-    # Whole values print without a fraction; an exponent is expanded through decimal,
-    # which has room for every double whose shortest text needs at most 38 digits.
-    whole = (value == F.floor(value)) & (F.abs(value) < 9e15)
-    expanded = F.regexp_replace(text.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return (
-        F.when(whole, value.cast("long").cast("string"))
-        .when(text.contains("E") & (F.abs(value) < 1e19), expanded)
-        .otherwise(text)
-    )
+    sign = F.regexp_extract(text, r"^(-?)", 1)
+    whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
+    fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)", 1), "0+$", "")
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    digits, point = F.concat(whole, fraction), F.length(whole) + power
+    size = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - size))
+    split = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+    shown = F.when(value == 0, "0").when(point <= 0, small).when(point >= size, large).otherwise(split)
+    return F.when(text.rlike("^-?[0-9]"), F.concat(sign, shown)).otherwise(text)
 
 
 def bucket_csv(
@@ -41,14 +46,14 @@ def bucket_csv(
 
 
 def event_csv(events: DataFrame) -> DataFrame:
-    """Events in the event CSV layout; metadata as compact JSON text."""
+    """Events in the event CSV layout; metadata as compact JSON text, or as stored if it does not parse."""
     return events.select(
         rfc3339(F.col("event_time")).alias("timestamp"),
         rfc3339(F.col("received_at")).alias("received_at"),
         "subject",
         F.col("meter_name").alias("meter"),
         plain_number(F.col("quantity")).alias("quantity"),
-        F.coalesce(F.to_json(F.try_parse_json("metadata")), F.lit("{}")).alias("metadata"),
+        F.coalesce(F.to_json(F.try_parse_json("metadata")), "metadata", F.lit("{}")).alias("metadata"),
         "id",
         F.coalesce("idempotency_key", F.lit("")).alias("idempotency_key"),
     )

@@ -57,7 +57,7 @@ ALERT_EVALUATION = (
     "usage_events long, message string, previous_status string, event_type string, evaluated_at timestamp_ntz"
 )
 LEDGER_SCHEMA = (
-    "workspace_id string, kind string, committed_at timestamp_ntz, replaces array<string>, batch_id string"
+    "workspace_id string, kind string, committed_at timestamp_ntz, batch_id string"
 )
 
 PARTITIONS = {
@@ -88,12 +88,6 @@ SCHEMAS = {
     "quota_evaluations": f"{QUOTA_EVALUATION}, batch_id string",
     "alert_evaluations": f"{ALERT_EVALUATION}, batch_id string",
 }
-STAGING = ("staging", "firsts", "matched", "originals")
-LOGS = {
-    "quota_evaluations": [*entitlements.STATE_KEY, "period_start"],
-    "alert_evaluations": alerts.GROUP,
-}
-
 
 @dataclass
 class IngestResult:
@@ -137,10 +131,8 @@ class EventStore:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def committed(self) -> DataFrame:
-        """Ids of the batches that readers see: committed and not compacted away."""
-        ledger = self.raw_table("ledger")
-        replaced = ledger.select(F.explode("replaces").alias("batch_id"))
-        return ledger.select("batch_id").distinct().join(replaced, "batch_id", "left_anti")
+        """Ids of the batches that readers see."""
+        return self.raw_table("ledger").select("batch_id").distinct()
 
     def table(self, table: str) -> DataFrame:
         """Rows of committed batches only.
@@ -178,6 +170,11 @@ class EventStore:
 
     # --- ingest -----------------------------------------------------------------
 
+    @staticmethod
+    def scoped(workspace: str, batch_id: str) -> str:
+        """The store-wide id of a tenant's batch."""
+        return f"{workspace}|{batch_id}"
+
     def is_committed(self, batch_id: str) -> bool:
         return not self.raw_table("ledger").filter(F.col("batch_id") == batch_id).isEmpty()
 
@@ -190,12 +187,18 @@ class EventStore:
         kind: str = "bulk",
         assignments: DataFrame | None = None,
         reject_known_ids: bool = False,
+        workspace: str | None = None,
     ) -> IngestResult:
         """Validate, deduplicate and append one batch; a committed batch is replayed.
 
         On replay the stored accepted and duplicate rows come back and the new payload
-        only contributes its own failures.
+        only contributes its own failures. With `workspace` the batch is that tenant's:
+        its rows alone are taken, and the same `batch_id` of another tenant is another
+        batch. Without, `batch_id` must be unique in the store (as a stream's are).
         """
+        if workspace is not None:
+            raw = raw.filter(F.col("workspace_id") == workspace)
+            batch_id = self.scoped(workspace, batch_id)
         validated = ingest.validate(raw, meters, now, batch_id)
         if self.is_committed(batch_id):
             return self.result(batch_id, ingest.failures(validated), replayed=True)
@@ -243,17 +246,14 @@ class EventStore:
             "workspace_id",
             F.lit(kind).alias("kind"),
             ntz(now).alias("committed_at"),
-            F.array().cast("array<string>").alias("replaces"),
         )
         self.write("ledger", ledger.coalesce(1), batch_id)
         return self.result(batch_id, ingest.failures(staged), replayed=False)
 
     def result(self, batch_id: str, failed: DataFrame, replayed: bool) -> IngestResult:
-        """A batch's rows; after compaction they are found by their `ingest_batch`."""
-        moved = self.committed().filter(F.col("batch_id") == batch_id).isEmpty()
-        events = self.table("events") if moved else self.own("events", batch_id)
+        """A batch's rows."""
         return IngestResult(
-            events.filter(F.col("ingest_batch") == batch_id).select(*EVENT_COLUMNS),
+            self.own("events", batch_id).select(*EVENT_COLUMNS),
             self.own("duplicates", batch_id).select("index", *EVENT_COLUMNS),
             failed,
             replayed,
@@ -268,42 +268,6 @@ class EventStore:
             "batch_id"
         )
 
-    # --- compaction ---------------------------------------------------------------
-
-    def compact(self, batch_id: str, now: str | datetime) -> None:
-        """Merge all committed batches into one: fewer files, merged counters and states.
-
-        The new batch's single ledger row names the batches it replaces, so readers
-        switch from the old files to the new ones at once. `vacuum` removes the old
-        files later, when no running query reads them any more.
-        """
-        if self.is_committed(batch_id):
-            return
-        old = [row["batch_id"] for row in self.committed().collect()]
-        self.write("events", self.table("events").drop("batch_id"), batch_id)
-        self.write("keys", self.table("keys").drop("batch_id"), batch_id)
-        self.write("counters", self.counters(), batch_id)
-        for log, key in LOGS.items():
-            rows = self.table(log).drop("batch_id")
-            # Events stay for good; of the other evaluations only the newest per key.
-            newest = latest_by(rows, key, ["evaluated_at"]).filter(F.col("event_type").isNull())
-            self.write(log, rows.filter(F.col("event_type").isNotNull()).unionByName(newest), batch_id)
-        entry = self.spark.createDataFrame([(None, "compaction", None, old)], LEDGER_SCHEMA.rsplit(",", 1)[0])
-        self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
-
-    def vacuum(self) -> list[str]:
-        """Delete the folders of replaced batches and the staging of committed ones."""
-        committed = self.raw_table("ledger").select("batch_id").distinct()
-        replaced = self.raw_table("ledger").select(F.explode("replaces").alias("batch_id")).distinct()
-        doomed = []
-        for table in (*STAGING, "events", "keys", "counters", *LOGS):
-            if self.exists(table):
-                rows = self.raw_table(table).select("batch_id", _folder().alias("folder")).distinct()
-                stale = rows.join(committed if table in STAGING else replaced, "batch_id", "left_semi")
-                doomed += [row["folder"] for row in stale.toLocalIterator()]
-        self._delete(doomed)
-        return doomed
-
     def _delete(self, folders: list[str]) -> None:
         jvm = self.spark._jvm
         for folder in folders:

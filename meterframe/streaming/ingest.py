@@ -56,10 +56,12 @@ def drop_repeats_within(events: DataFrame, delay: str) -> DataFrame:
     """Deduplicate by idempotency key with state that expires after `delay`.
 
     The opt-in alternative to the exact key table: memory stays bounded, but a repeat
-    that comes later than `delay` after the first event time is accepted again.
+    that comes later than `delay` after the first event time is accepted again. Events
+    without a key never repeat one another: they pass beside the state.
     """
-    timed = events.withColumn("event_instant", as_instant(F.col("event_time")))
+    has_key = F.col("idempotency_key").isNotNull()
+    timed = events.filter(has_key).withColumn("event_instant", as_instant(F.col("event_time")))
     kept = timed.withWatermark("event_instant", delay).dropDuplicatesWithinWatermark(
         ["workspace_id", "idempotency_key"]
     )
-    return kept.drop("event_instant")
+    return kept.drop("event_instant").unionByName(events.filter(~has_key))

@@ -143,8 +143,6 @@ def test_bad_queries_are_rejected(make):
         buckets(usage, "api_calls", NEXT, DAY)
     with pytest.raises(ValueError):
         buckets(usage, "api_calls", DAY, NEXT, group_by="unknown", declared_fields=["region"])
-    with pytest.raises(ValueError):
-        group_fields("a,b,c,d,e,f")
     with pytest.raises(ValueError):
         buckets(usage, "api_calls", DAY, NEXT, group_by="x'] or")
     assert group_fields(" metadata.region, region ,subject") == ["region", "subject"]
