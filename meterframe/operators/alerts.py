@@ -145,19 +145,16 @@ class RuleFacts:
 
 
 def _match(
-    events: DataFrame, rules: DataFrame, facts: RuleFacts, strict_groups: bool, in_window: Column | None = None
+    events: DataFrame, rules: DataFrame, facts: RuleFacts, in_window: Column | None = None
 ) -> DataFrame:
     """Events joined with the rules they count for, plus their group value.
 
-    Metadata conditions compare as text; `strict_groups` makes grouped rules compare
-    by JSON type instead. Events without a group value do not count for grouped rules.
+    Metadata conditions of global rules compare as text, those of grouped rules by JSON type. Events without a group value do not count for grouped rules.
     """
     subject = F.col("rule_subject")
     wanted, metadata = F.col("rule_metadata"), F.col("metadata")
-    same_metadata = metadata_map_matches(wanted, metadata)
-    if strict_groups:
-        strictly = metadata_map_matches_strictly(wanted, metadata)
-        same_metadata = F.when(F.col("group_key") == "", same_metadata).otherwise(strictly)
+    as_text, strictly = metadata_map_matches(wanted, metadata), metadata_map_matches_strictly(wanted, metadata)
+    same_metadata = F.when(F.col("group_key") == "", as_text).otherwise(strictly)
     residual = (subject.isNull() | (subject == "") | (subject == F.col("subject"))) & same_metadata
     if in_window is not None:
         residual = residual & in_window
@@ -172,7 +169,7 @@ def _match(
 
 
 def rule_values(
-    rules: DataFrame, events: DataFrame, meters: DataFrame, now: str | datetime, strict_groups: bool = False
+    rules: DataFrame, events: DataFrame, meters: DataFrame, now: str | datetime
 ) -> DataFrame:
     """Value and event count per (rule, group) over `[now - window, now)`."""
     side = _rule_side(rules, meters)
@@ -180,7 +177,7 @@ def rule_values(
     end = utc_naive(now)
     recent = scan(events, start=end - timedelta(seconds=facts.longest_window), end=end)
     in_window = F.col("event_time") >= plus_seconds(ntz(now), -F.col("window_seconds"))
-    matched = _match(recent, side, facts, strict_groups, in_window)
+    matched = _match(recent, side, facts, in_window)
     partials = matched.groupBy(*GROUP, "rule_aggregation", "window_seconds").agg(*partial_of_events(facts.ordered))
     return partials.select(*GROUP, _value(facts.ordered).alias("value"), F.col("event_count").alias("usage_events"))
 
@@ -209,7 +206,6 @@ def evaluate(
     meters: DataFrame,
     previous: DataFrame,
     now: str | datetime,
-    strict_groups: bool = False,
 ) -> DataFrame:
     """New state per (rule, group), with `previous_status` and `event_type`.
 
@@ -226,7 +222,7 @@ def evaluate(
     )
     # New values meet remembered groups in one aggregation: a group is there if it has
     # events now or had a state before.
-    values = rule_values(enabled, events, meters, now, strict_groups)
+    values = rule_values(enabled, events, meters, now)
     new = values.select(*GROUP, "value", "usage_events", F.lit(None).cast("string").alias("previous_status"))
     before = previous.select(
         *GROUP,
@@ -418,7 +414,6 @@ def backtest_values(
     meters: DataFrame,
     start: str | datetime,
     end: str | datetime,
-    strict_groups: bool = False,
 ) -> DataFrame:
     """Value per (rule, group, tick) for ticks that have events in their window.
 
@@ -433,7 +428,7 @@ def backtest_values(
     ordered = facts.ordered
     side = side.withColumn("pane_seconds", _gcd(F.col("window_seconds"), F.col("evaluation_interval_seconds")))
     recent = scan(events, start=begin - timedelta(seconds=facts.longest_window), end=finish)
-    matched = _match(recent, side, facts, strict_groups)
+    matched = _match(recent, side, facts)
 
     carried = ["rule_aggregation", "window_seconds", "evaluation_interval_seconds", "pane_seconds", "comparator", "threshold"]
     pane = F.floor(seconds_between(ntz(start), F.col("event_time")) / F.col("pane_seconds"))
@@ -462,14 +457,13 @@ def backtest(
     meters: DataFrame,
     start: str | datetime,
     end: str | datetime,
-    strict_groups: bool = False,
 ) -> DataFrame:
     """Triggered and resolved events the rules would have raised between two times.
 
     Ticks without events are `no_data`. They are not materialised: a gap after a tick
     means the next tick had no data, which resolves an alerting group there.
     """
-    ticks = backtest_values(rules, events, meters, start, end, strict_groups)
+    ticks = backtest_values(rules, events, meters, start, end)
     history = Window.partitionBy(*GROUP).orderBy("tick")
     total = (utc_naive(end) - utc_naive(start)).total_seconds()
     seen = ticks.withColumns(

@@ -49,17 +49,14 @@ def gap_fill(series_rows: DataFrame) -> DataFrame:
 
     The axis is the set of observed buckets. Its length, like the number of points of
     one series, is bounded by the query range and bucket size, not by the event count.
-    It reaches the rows as a scalar subquery, so there is no join. The rows are written
-    first, because both the axis and the points read them.
+    It reaches the series as a scalar subquery; the points come by an equi join. The rows
+    are written first, because the axis, the series and the points read them.
     """
     series_rows = materialize(series_rows, "series")
     axis = series_rows.agg(F.array_sort(F.collect_set("bucket_start"))).scalar()
-    points = series_rows.groupBy("series").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket_start", "quantity"))).alias("points")
-    )
-    dense = points.select("series", "points", F.explode(axis).alias("bucket_start"))
-    value = F.try_element_at(F.col("points"), F.col("bucket_start"))
-    return dense.select("series", "bucket_start", F.coalesce(value, F.lit(0.0)).alias("quantity"))
+    dense = series_rows.select("series").distinct().select("series", F.explode(axis).alias("bucket_start"))
+    filled = dense.join(series_rows, ["series", "bucket_start"], "left")
+    return filled.select("series", "bucket_start", F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
 
 
 def cumulative(series_rows: DataFrame) -> DataFrame:

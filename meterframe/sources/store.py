@@ -326,11 +326,19 @@ class EventStore:
         self.write("quota_evaluations", evaluated.select(*columns), batch_id)
 
     def evaluate_alerts(self, batch_id: str, rules: DataFrame, meters: DataFrame, now: str | datetime) -> None:
-        """Evaluate the rules a batch touched; repeating it replaces its own log rows."""
+        """Evaluate the rules that are due or that a batch touched; repeating it replaces its own log rows.
+
+        Due rules take part without events, so that a rule whose usage stops becomes `no_data`;
+        between batches call it with a fresh `batch_id`, which is then committed as a tick.
+        """
         touched = ingest.matched_rules(self.own("events", batch_id).select(*EVENT_COLUMNS), rules)
-        active = rules.join(touched, ["workspace_id", "rule_id"], "left_semi")
+        due = alerts.due_rules(rules, now).select("workspace_id", "rule_id")
+        active = rules.join(touched.unionByName(due), ["workspace_id", "rule_id"], "left_semi")
         previous = alerts.of_known_rules(self.alert_states(without_batch=batch_id), active)
         self.write("alert_evaluations", alerts.evaluate(active, self.events(), meters, previous, now), batch_id)
+        if not self.is_committed(batch_id):  # a tick of its own, without ingested events
+            entry = self.spark.createDataFrame([(None, "evaluation", None)], LEDGER_SCHEMA.rsplit(",", 1)[0])
+            self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
 
     # --- retention --------------------------------------------------------------
 

@@ -98,12 +98,11 @@ def test_silent_rules(spark, make, rules):
     assert {r["rule_id"] for r in due.collect()} == {"r1", "r2"}
 
 
-def test_metadata_text_and_strict(spark, make, rules):
+def test_grouped_rule_is_strict_on_metadata(spark, make, rules):
     events = usage(make, ("a", 5, "11:30", {"code": 200}), ("b", 5, "11:30", {"code": "200"}))
     rule = rules({"group_by": "subject", "metadata": {"code": "200"}})
-    for strict, groups in ((False, {"a", "b"}), (True, {"b"})):
-        got = alerts.evaluate(rule, events, make.meters(), no_states(spark), NOW, strict_groups=strict)
-        assert {r["group_value"] for r in got.collect()} == groups
+    got = alerts.evaluate(rule, events, make.meters(), no_states(spark), NOW)
+    assert {r["group_value"] for r in got.collect()} == {"b"}  # a grouped rule compares by type
 
 
 @pytest.mark.parametrize("comparator, hit", [("gt", False), ("gte", True), ("lt", False), ("lte", True), ("eq", True), ("neq", False)])
@@ -170,7 +169,8 @@ def test_rule_validation(rules):
 
 def test_store_evaluates_touched_rules(spark, make, rules):
     store = EventStore(spark, scratch_path(spark, "alerts"))
-    meters, table = make.meters(), rules({}, {"rule_id": "r2", "subject": "nobody"})
+    idle = {"next_evaluate_at": at("2027-01-01")}  # not due: only what a batch touches is evaluated
+    meters, table = make.meters(), rules(idle, {**idle, "rule_id": "r2", "subject": "nobody"})
     store.ingest(make.raw({"quantity": 12.0, "timestamp": at("2026-06-08 11:30")}), meters, "b1", NOW)
     store.evaluate_alerts("b1", table, meters, NOW)
     store.evaluate_alerts("b1", table, meters, NOW)
@@ -183,6 +183,26 @@ def test_store_evaluates_touched_rules(spark, make, rules):
     assert [(r["rule_id"], r["status"]) for r in store.alert_states().collect()] == [("r1", "ok")]
 
 
+def test_due_rule_without_usage_resolves(spark, make, rules):
+    store = EventStore(spark, scratch_path(spark, "alerts-due"))
+    meters = make.meters()
+    store.ingest(make.raw({"quantity": 12.0, "timestamp": at("2026-06-08 11:30")}), meters, "b1", NOW)
+    store.evaluate_alerts("b1", rules({"next_evaluate_at": at("2026-06-08 13:00")}), meters, NOW)
+    later = "2026-06-08T15:00:00Z"
+    store.evaluate_alerts("tick-1", rules({"next_evaluate_at": at("2026-06-08 13:00")}), meters, later)
+    types = [r["type"] for r in store.alert_events().orderBy("created_at").collect()]
+    assert types == ["triggered", "resolved"]
+    assert [r["status"] for r in store.alert_states().collect()] == ["no_data"]
+
+
+def test_grouped_rule_compares_metadata_by_type(spark, make, rules):
+    events = usage(make, ("a", 20, "11:30", {"status": 200}), ("b", 30, "11:40", {"status": "200"}))
+    table = rules({"group_by": "subject", "metadata": {"status": "200"}}, {"rule_id": "r2", "metadata": {"status": "200"}})
+    values = alerts.evaluate(table, events, make.meters(), no_states(spark), NOW).collect()
+    found = {(r["rule_id"], r["group_value"]): r["value"] for r in values}
+    assert found == {("r1", "b"): 30.0, ("r2", ""): 50.0}
+
+
 # --- saved queries and exports ----------------------------------------------------------
 
 
