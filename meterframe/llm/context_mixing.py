@@ -3,8 +3,8 @@
 A text is a sequence of bytes between two boundary symbols, and a byte is eight binary
 decisions. For each order (1 to 5 bytes of context) a predictor counts zeros and ones per
 hashed slot of (order, context, bits of the byte so far). The predictors' log odds are added up
-with weights; which set of weights is used is gated by the bit's position and by how much the
-two longest contexts have seen. The weights are learned online, and a last adaptive table
+with weights; which set of weights is used is gated by the bit's position, by how far back the
+context's last white space lies and by how much the two longest contexts have seen. The weights are learned online, and a last adaptive table
 refines the mixed probability. The sum of all decisions is the text's total bits.
 
 The counts come from all training texts. They are gathered as counts of six-byte grams, which
@@ -35,7 +35,7 @@ ORDERS = 5
 GRAM = ORDERS + 1  # the longest context and the byte itself
 TABLE_BITS = (20, 20, 20, 22, 23)  # slots per order, whatever the size of the corpus
 BLOCK_BITS = 16
-GATES = 8 * 4 * 4
+GATES = 8 * (ORDERS + 1) * 4 * 4  # bit, distance of the last white space, evidence of the two longest orders
 BUCKETS = 33
 DELTA = 0.4
 RATE = 0.02
@@ -91,6 +91,15 @@ def slots_of(key: np.ndarray, order: int, bit: int) -> np.ndarray:
     return finish_slot(context_hash(key, order), key, order, bit)
 
 
+def space_distance(key: np.ndarray) -> np.ndarray:
+    """How many context bytes follow each gram's last white space or boundary; `ORDERS` without one."""
+    distance = np.full(len(key), ORDERS)
+    for back in reversed(range(ORDERS)):
+        byte = (key >> np.uint64(8 * (back + 1))) & np.uint64(0xFF)
+        distance[(byte == 0x20) | (byte - np.uint64(9) < 5) | (byte == BOUNDARY)] = back
+    return distance
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
@@ -117,7 +126,7 @@ class Mixer:
         value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
         x = np.empty((len(key), ORDERS + 1))
         x[:, ORDERS] = 0.3
-        gate = np.full(len(key), bit * 16)
+        gate = (bit * (ORDERS + 1) + space_distance(key)) * 16
         for order in range(ORDERS):
             slot = slots_of(key, order, bit)
             n0, n1 = LEVELS[self.zeros[order][slot]], LEVELS[self.ones[order][slot]]
@@ -176,10 +185,11 @@ class Mixer:
         pairs, odds, levels = self.frozen()
         total = np.zeros(len(key))
         bases = [context_hash(key, order) for order in range(ORDERS)]
+        place = space_distance(key)
         for bit in range(8):
             value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
             at = [pairs[order][finish_slot(bases[order], key, order, bit)] for order in range(ORDERS)]
-            gate = bit * 16 + levels[at[ORDERS - 1]] * 4 + levels[at[ORDERS - 2]]
+            gate = (bit * (ORDERS + 1) + place) * 16 + levels[at[ORDERS - 1]] * 4 + levels[at[ORDERS - 2]]
             score = self.weights[gate, ORDERS] * 0.3
             for order in range(ORDERS):
                 score += self.weights[gate, order] * odds[at[order]]
