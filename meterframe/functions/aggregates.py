@@ -86,22 +86,24 @@ def partial_of_events(ordered: bool = True) -> list[Column]:
     return columns
 
 
-def merge_partials(ordered: bool = True) -> list[Column]:
-    """Partials from partials."""
-    columns = [
-        F.sum("event_count").alias("event_count"),
-        F.sum("quantity_sum").alias("quantity_sum"),
-        F.min("quantity_min").alias("quantity_min"),
-        F.max("quantity_max").alias("quantity_max"),
-    ]
+def merged(ordered: bool = True) -> dict[str, Column]:
+    """How each partial column merges, for an aggregation or a window."""
+    columns = {
+        "event_count": F.sum("event_count"),
+        "quantity_sum": F.sum("quantity_sum"),
+        "quantity_min": F.min("quantity_min"),
+        "quantity_max": F.max("quantity_max"),
+    }
     if ordered:
-        columns += [
-            F.min("first_event").alias("first_event"),
-            F.max("last_event").alias("last_event"),
-        ]
+        columns |= {"first_event": F.min("first_event"), "last_event": F.max("last_event")}
     return columns
 
 
+def merge_partials(ordered: bool = True) -> list[Column]:
+    """Partials from partials."""
+    return [column.alias(name) for name, column in merged(ordered).items()]
+
+
 def partial_value(
     aggregation: Column,
     seconds: Column,

@@ -12,12 +12,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterframe.functions.aggregates import merge_partials, partial_of_events, partial_value
+from meterframe.functions.aggregates import merge_partials, merged, partial_of_events, partial_value
 from meterframe.functions.metadata import json_path_column, json_text
 from meterframe.functions.predicates import metadata_map_matches, metadata_map_matches_strictly
 from meterframe.functions.timecalc import ntz, plus_seconds, rfc3339, seconds_between, utc_naive
 from meterframe.operators.ingest import subject_error
-from meterframe.operators.joins import BROADCAST_MAX_ROWS, side_join, with_latest_delivery
+from meterframe.operators.joins import fits, side_join, with_latest_delivery
 from meterframe.operators.paging import LOG_ORDER, page
 from meterframe.operators.scan import scan
 from meterframe.schema import COMPARATORS, DIMENSION_NAME_PATTERN, NAME_MAX_CHARS
@@ -30,6 +30,8 @@ GROUP = ["workspace_id", "rule_id", "group_key", "group_value"]
 WINDOW_DEFAULT, WINDOW_MIN, WINDOW_MAX = 3600, 60, 366 * 86400
 INTERVAL_DEFAULT, INTERVAL_MIN, INTERVAL_MAX = 60, 1, 86400
 
+TICKS_PER_PIECE = 4096
+
 
 # --- rules -------------------------------------------------------------------------
 
@@ -139,9 +141,8 @@ class RuleFacts:
         row = side.agg(
             F.max("window_seconds").alias("longest"),
             F.max(ordered).alias("ordered"),
-            F.count(F.lit(1)).alias("rules"),
         ).first()
-        return cls(int(row["longest"] or 0), bool(row["ordered"]), row["rules"] <= BROADCAST_MAX_ROWS)
+        return cls(int(row["longest"] or 0), bool(row["ordered"]), fits(side))
 
 
 def _match(
@@ -400,27 +401,45 @@ def outbox(alert_events: DataFrame, rules: DataFrame, state_rows: DataFrame) ->
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor; Euclid needs at most 48 rounds for these ranges."""
+    """Greatest common divisor; Euclid needs at most 91 rounds for any two longs."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(
         s["b"] > 0, F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
     ).otherwise(s)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(91)), start, step)["a"]
 
 
-def backtest_values(
+RULE_COLUMNS = [
+    *GROUP,
+    "rule_aggregation",
+    "window_seconds",
+    "evaluation_interval_seconds",
+    "pane_seconds",
+    "comparator",
+    "threshold",
+]
+
+
+def _floor_div(a: Column, b: Column) -> Column:
+    return F.floor(a / b).cast("long")
+
+
+def backtest_runs(
     rules: DataFrame,
     events: DataFrame,
     meters: DataFrame,
     start: str | datetime,
     end: str | datetime,
 ) -> DataFrame:
-    """Value per (rule, group, tick) for ticks that have events in their window.
-
-    Tick i is at `start + i * interval`, up to `end`, and looks back one window. The
-    windows overlap, so the events first reduce to panes of the greatest common divisor
-    of window and interval; each pane then counts for `window / interval` ticks. Events
-    are read once and never copied per tick.
+    """Per (rule, group): runs of ticks `first_tick..last_tick` whose windows hold the same events.
+
+    Tick i is at `start + i * interval`, up to `end`, and looks back one window. Ticks
+    without events are in no run. Events reduce to panes of the greatest common divisor
+    of window and interval, `span` panes to a window; a value can only change at a tick
+    where a pane enters or leaves, so there are at most two ticks to look at per pane,
+    however short the interval. The panes are cut into blocks of `span`: a window is the
+    tail of one block and the head of the next, and both are running aggregates within
+    their block. Nothing is copied per tick, and no frame is wider than a block.
     """
     begin, finish = utc_naive(start), utc_naive(end)
     side = _rule_side(normalize_rules(rules).filter("enabled"), meters)
@@ -429,28 +448,83 @@ def backtest_values(
     side = side.withColumn("pane_seconds", _gcd(F.col("window_seconds"), F.col("evaluation_interval_seconds")))
     recent = scan(events, start=begin - timedelta(seconds=facts.longest_window), end=finish)
     matched = _match(recent, side, facts)
-
-    carried = ["rule_aggregation", "window_seconds", "evaluation_interval_seconds", "pane_seconds", "comparator", "threshold"]
-    pane = F.floor(seconds_between(ntz(start), F.col("event_time")) / F.col("pane_seconds"))
-    panes = matched.groupBy(*GROUP, *carried, pane.alias("pane")).agg(*partial_of_events(ordered))
-
-    width, step = F.col("pane_seconds"), F.col("evaluation_interval_seconds")
-    first_tick = F.greatest(F.ceil((F.col("pane") + 1) * width / step), F.lit(0))
-    ticks = int((finish - begin).total_seconds())
-    last_tick = F.least(
-        F.floor((F.col("pane") * width + F.col("window_seconds")) / step), F.floor(F.lit(ticks) / step)
+    pane = F.floor(seconds_between(ntz(start), F.col("event_time")) / F.col("pane_seconds")).cast("long")
+    panes = matched.groupBy(*RULE_COLUMNS, pane.alias("at")).agg(*partial_of_events(ordered))
+    # Used twice below; written, so that the events are read once.
+    panes = materialize(panes, "backtest-panes")
+
+    span = _floor_div(F.col("window_seconds"), F.col("pane_seconds"))
+    stride = _floor_div(F.col("evaluation_interval_seconds"), F.col("pane_seconds"))
+    final_tick = _floor_div(F.lit(int((finish - begin).total_seconds())), F.col("evaluation_interval_seconds"))
+    # The window of tick t holds the panes t * stride - span .. t * stride - 1.
+    enters = F.greatest(_floor_div(F.col("at"), stride) + 1, F.lit(0))
+    leaves = _floor_div(F.col("at") + span, stride) + 1
+    changes = (
+        panes.select(*RULE_COLUMNS, F.explode(F.array(enters, leaves)).alias("tick"))
+        .filter((F.col("tick") >= 0) & (F.col("tick") <= final_tick))
+        .distinct()
     )
-    spread = panes.filter(first_tick <= last_tick).withColumn("tick", F.explode(F.sequence(first_tick, last_tick)))
-    per_tick = spread.groupBy(*GROUP, *carried, "tick").agg(*merge_partials(ordered))
+    low, high = F.col("tick") * stride - span, F.col("tick") * stride - 1
+    tail = F.struct(F.lit("tail").alias("part"), low.alias("at"))
+    head = F.struct(F.lit("head").alias("part"), high.alias("at"))
+    aligned = F.pmod(low, span) == 0  # the tail is the whole window
+    parts = F.when(aligned, F.array(tail)).otherwise(F.array(tail, head))
+    looks = changes.select(*RULE_COLUMNS, "tick", F.inline(parts))
+    block = _floor_div(F.col("at"), span)
+    rows = panes.unionByName(looks, allowMissingColumns=True).withColumn("block", block)
+    in_block = Window.partitionBy(*RULE_COLUMNS, "block").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    forward, backward = in_block.orderBy("at"), in_block.orderBy(F.desc("at"))
+    running = [
+        F.when(F.col("part") == "tail", column.over(backward)).otherwise(column.over(forward)).alias(name)
+        for name, column in merged(ordered).items()
+    ]
+    looked = rows.select(*RULE_COLUMNS, "tick", *running)
+    per_tick = looked.filter(F.col("tick").isNotNull()).groupBy(*RULE_COLUMNS, "tick").agg(*merge_partials(ordered))
+
+    next_change = F.lead("tick").over(Window.partitionBy(*RULE_COLUMNS).orderBy("tick"))
     hit = compare(F.col("comparator"), F.col("value"), F.col("threshold"))
     return (
-        per_tick.withColumn("value", _value(ordered))
+        per_tick.withColumn("last_tick", F.coalesce(next_change - 1, final_tick))
+        .filter(F.col("event_count") > 0)
+        .withColumn("value", _value(ordered))
         .withColumn("status", F.when(hit, ALERTING).otherwise(OK))
-        .withColumn("tick_at", plus_seconds(ntz(start), F.col("tick") * step))
-        .select(*GROUP, step.alias("interval_seconds"), "tick", "tick_at", "value", "event_count", "status")
+        .select(
+            *GROUP,
+            F.col("evaluation_interval_seconds").alias("interval_seconds"),
+            F.col("tick").alias("first_tick"),
+            "last_tick",
+            "value",
+            "event_count",
+            "status",
+        )
     )
 
 
+def _tick_at(start: str | datetime, tick: Column) -> Column:
+    return plus_seconds(ntz(start), tick * F.col("interval_seconds"))
+
+
+def backtest_values(
+    rules: DataFrame,
+    events: DataFrame,
+    meters: DataFrame,
+    start: str | datetime,
+    end: str | datetime,
+) -> DataFrame:
+    """Value per (rule, group, tick) for ticks that have events in their window.
+
+    The runs are written out tick by tick, in two steps, so that no array is long.
+    """
+    runs = backtest_runs(rules, events, meters, start, end)
+    length = F.col("last_tick") - F.col("first_tick") + 1
+    pieces = F.sequence(F.lit(0).cast("long"), _floor_div(length - 1, F.lit(TICKS_PER_PIECE)))
+    piece_start = F.col("first_tick") + F.col("piece") * TICKS_PER_PIECE
+    piece_end = F.least(piece_start + (TICKS_PER_PIECE - 1), F.col("last_tick"))
+    ticks = runs.withColumn("piece", F.explode(pieces)).withColumn("tick", F.explode(F.sequence(piece_start, piece_end)))
+    tick_at = _tick_at(start, F.col("tick"))
+    return ticks.select(*GROUP, "interval_seconds", "tick", tick_at.alias("tick_at"), "value", "event_count", "status")
+
+
 def backtest(
     rules: DataFrame,
     events: DataFrame,
@@ -460,28 +534,30 @@ def backtest(
 ) -> DataFrame:
     """Triggered and resolved events the rules would have raised between two times.
 
-    Ticks without events are `no_data`. They are not materialised: a gap after a tick
+    Ticks without events are `no_data`. They are not materialised: a gap after a run
     means the next tick had no data, which resolves an alerting group there.
     """
-    ticks = backtest_values(rules, events, meters, start, end)
-    history = Window.partitionBy(*GROUP).orderBy("tick")
+    runs = backtest_runs(rules, events, meters, start, end)
+    history = Window.partitionBy(*GROUP).orderBy("first_tick")
     total = (utc_naive(end) - utc_naive(start)).total_seconds()
-    seen = ticks.withColumns(
+    adjoins = F.lag("last_tick").over(history) == F.col("first_tick") - 1
+    seen = runs.withColumns(
         {
-            "before": F.when(F.lag("tick").over(history) == F.col("tick") - 1, F.lag("status").over(history)),
-            "gap_after": F.coalesce(F.lead("tick").over(history) > F.col("tick") + 1, F.lit(True)),
-            "has_next": (F.col("tick") + 1) * F.col("interval_seconds") <= total,
+            "before": F.when(adjoins, F.lag("status").over(history)),
+            "gap_after": F.coalesce(F.lead("first_tick").over(history) > F.col("last_tick") + 1, F.lit(True)),
+            "has_next": (F.col("last_tick") + 1) * F.col("interval_seconds") <= total,
         }
     )
     here = transition_type(F.col("before"), F.col("status"))
     vanishes = (F.col("status") == ALERTING) & F.col("gap_after") & F.col("has_next")
     now_event = F.when(
-        here.isNotNull(), F.struct(F.col("tick_at").alias("at"), here.alias("type"), F.col("value").alias("value"))
+        here.isNotNull(),
+        F.struct(_tick_at(start, F.col("first_tick")).alias("at"), here.alias("type"), F.col("value").alias("value")),
     )
     next_event = F.when(
         vanishes,
         F.struct(
-            plus_seconds(F.col("tick_at"), F.col("interval_seconds")).alias("at"),
+            _tick_at(start, F.col("last_tick") + 1).alias("at"),
             F.lit("resolved").alias("type"),
             F.lit(0.0).alias("value"),
         ),
