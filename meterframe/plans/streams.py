@@ -14,7 +14,15 @@ from meterframe.sources.readers import stream_parquet
 from meterframe.sources.store import EventStore
 from meterframe.sources.tables import as_usage, event_meters, raw_from_usage, table
 from meterframe.streaming.ingest import drop_repeats_within, start_ingest
-from meterframe.streaming.windows import read_bucket_partials, sliding, start_bucket_partials, tumbling
+from meterframe.streaming.windows import (
+    read_bucket_partials,
+    sliding,
+    sliding_of_partials,
+    start_bucket_partials,
+    tumbling,
+    tumbling_of_partials,
+    with_open_windows,
+)
 
 
 def usage_stream(spark, folder) -> DataFrame:
@@ -30,47 +38,54 @@ def _drain(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-# A window is emitted once the watermark (newest event minus the allowed lateness) has
-# passed its end.
-_CLOSED = "(SELECT max(event_time) - INTERVAL 1 DAY FROM ev)"
+def _partials(spark, folder, size: str, keys: list[str]) -> DataFrame:
+    """Bucket partials of the whole event stream."""
+    path = scratch_path(spark, f"stream-{size}-partials")
+    start_bucket_partials(usage_stream(spark, folder), size, keys, path, f"{path}-checkpoint").awaitTermination()
+    return read_bucket_partials(spark, path, keys)
 
 
 @query(
     "stream_tumbling_hour",
     ctes(EV)
-    + f"""SELECT date_trunc('hour', event_time)::TIMESTAMP AS bucket_start, meter_name, round(sum(quantity), 6) AS quantity,
-  count(*) AS usage_events FROM ev
-WHERE date_trunc('hour', event_time)::TIMESTAMP + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1, 2""",
+    + """SELECT date_trunc('hour', event_time)::TIMESTAMP AS bucket_start, meter_name, round(sum(quantity), 6) AS quantity,
+  count(*) AS usage_events FROM ev GROUP BY 1, 2""",
 )
 def stream_tumbling_hour(spark, folder):
-    rows = tumbling(usage_stream(spark, folder), "hour", "1 day", ["meter_name"])
-    return rounded(_drain(rows, "stream-hour"), "quantity")
+    """Hours that the watermark has closed from the standing query, the last day's from the partials."""
+    keys = ["meter_name"]
+    closed = _drain(tumbling(usage_stream(spark, folder), "hour", "1 day", keys), "stream-hour")
+    every = tumbling_of_partials(_partials(spark, folder, "hour", keys), "hour", keys)
+    return rounded(with_open_windows(closed, every, ["bucket_start", *keys]), "quantity")
 
 
 @query(
     "stream_sliding",
     ctes(EV)
-    + f"""SELECT date_trunc('hour', event_time)::TIMESTAMP + to_hours(CAST(i + 1 AS INTEGER)) AS tick_at, workspace_id, meter_name,
-  CAST(count(*) AS DOUBLE) AS quantity, count(*) AS usage_events FROM ev, range(0, 6) t(i)
-WHERE date_trunc('hour', event_time)::TIMESTAMP + to_hours(CAST(i + 1 AS INTEGER)) <= {_CLOSED} GROUP BY 1, 2, 3""",
+    + """SELECT date_trunc('hour', event_time)::TIMESTAMP + to_hours(CAST(i + 1 AS INTEGER)) AS tick_at, workspace_id, meter_name,
+  CAST(count(*) AS DOUBLE) AS quantity, count(*) AS usage_events FROM ev, range(0, 6) t(i) GROUP BY 1, 2, 3""",
 )
 def stream_sliding(spark, folder):
     """Six-hour look-back windows at every hour, as an alert rule sees them."""
     keys = ["workspace_id", "meter_name"]
-    return _drain(sliding(usage_stream(spark, folder), "6 hours", "1 hour", "1 day", keys, "count"), "stream-slide")
+    standing = sliding(usage_stream(spark, folder), "6 hours", "1 hour", "1 day", keys, "count")
+    every = sliding_of_partials(_partials(spark, folder, "hour", keys), "hour", 6, keys, "count")
+    return with_open_windows(_drain(standing, "stream-slide"), every, ["tick_at", *keys])
 
 
 @query(
     "stream_month_partials",
     ctes(EV)
     + """SELECT date_trunc('month', event_time)::TIMESTAMP AS bucket_start, subject, count(*) AS event_count,
-  round(sum(quantity), 6) AS quantity_sum, min(quantity) AS quantity_min, max(quantity) AS quantity_max FROM ev GROUP BY 1, 2""",
+  round(sum(quantity), 6) AS quantity_sum, min(quantity) AS quantity_min, max(quantity) AS quantity_max,
+  first(quantity ORDER BY event_time, received_at, id) AS quantity_first,
+  first(quantity ORDER BY event_time DESC, received_at DESC, id DESC) AS quantity_last FROM ev GROUP BY 1, 2""",
 )
 def stream_month_partials(spark, folder):
-    path = scratch_path(spark, "stream-month")
-    stream = usage_stream(spark, folder)
-    start_bucket_partials(stream, "month", ["subject"], path, f"{path}-checkpoint").awaitTermination()
-    return rounded(read_bucket_partials(spark, path, ["subject"]), "quantity_sum")
+    rows = _partials(spark, folder, "month", ["subject"]).withColumns(
+        {"quantity_first": F.col("first_event.quantity"), "quantity_last": F.col("last_event.quantity")}
+    )
+    return rounded(rows.drop("first_event", "last_event"), "quantity_sum")
 
 
 @query(
