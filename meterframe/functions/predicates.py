@@ -22,6 +22,7 @@ from meterframe.functions.metadata import (
     meta_number,
     meta_text,
     meta_variant,
+    promoted_column,
     strip_prefix,
 )
 from meterframe.functions.timecalc import ntz, rfc3339_nano
@@ -82,11 +83,12 @@ def from_dict(spec: dict | None) -> Filter | None:
     raise ValueError(f"unsupported filter type {spec.get('type')!r}")
 
 
-def to_column(tree: Filter | None) -> Column:
+def to_column(tree: Filter | None, columns: list[str] = ()) -> Column:
+    """The tree over a table with `columns`; promoted dimensions among them are read as columns."""
     if tree is None:
         return F.lit(True)
     if isinstance(tree, Group):
-        parts = [to_column(rule) for rule in tree.rules]
+        parts = [to_column(rule, columns) for rule in tree.rules]
         join = (lambda a, b: a & b) if tree.op == "and" else (lambda a, b: a | b)
         return reduce(join, parts)
     name = tree.field.strip()
@@ -100,7 +102,7 @@ def to_column(tree: Filter | None) -> Column:
             return column.isNotNull() & (column != "")
         return _compare(column, tree, lambda v: F.lit(value_text(v)), lambda c: c)
     if name.startswith("metadata."):
-        return _metadata_condition(strip_prefix(name), tree)
+        return _metadata_condition(strip_prefix(name), tree, columns)
     raise ValueError(f"unsupported filter field {tree.field!r}")
 
 
@@ -156,38 +158,49 @@ def _ordered(left: Column, op: str, right: Column) -> Column:
     return left <= right
 
 
-def _metadata_condition(key: str, condition: Condition) -> Column:
+def _text(key: str, columns: list[str]) -> Column:
+    """Text form of a metadata value, from its promoted column if there is one."""
+    promoted = promoted_column(key)
+    return F.col(f"`{promoted}`") if promoted in columns else meta_text(key)
+
+
+def _metadata_condition(key: str, condition: Condition, columns: list[str]) -> Column:
     op, value = condition.op, condition.value
     if op == "exists":
-        return meta_variant(key).isNotNull()
+        # Only a JSON null has no text and yet exists.
+        return _text(key, columns).isNotNull() | meta_variant(key).isNotNull()
     if op == "eq":
-        return meta_strict_equal(key, value)
+        return meta_strict_equal(key, value, columns)
     if op == "in":
-        return reduce(lambda a, b: a | b, [meta_strict_equal(key, v) for v in value])
+        return reduce(lambda a, b: a | b, [meta_strict_equal(key, v, columns) for v in value])
     if op == "contains":
-        return meta_text(key).contains(value_text(value))
-    text_test = _ordered(meta_text(key), op, F.lit(value_text(value)))
+        return _text(key, columns).contains(value_text(value))
+    text_test = _ordered(_text(key, columns), op, F.lit(value_text(value)))
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         # A number against a number compares by value, anything else by text.
         return F.coalesce(_ordered(meta_number(key), op, F.lit(float(value))), text_test)
     return text_test
 
 
-def meta_strict_equal(key: str, value: Any) -> Column:
-    """Equality that also needs the JSON type to agree: "200" is not 200."""
+def meta_strict_equal(key: str, value: Any, columns: list[str] = ()) -> Column:
+    """Equality that also needs the JSON type to agree: "200" is not 200.
+
+    The text test rejects most rows before the metadata is parsed for the type.
+    """
+    text = _text(key, columns)
     if isinstance(value, bool):
-        test = meta_json(key) == F.lit(value_text(value))
+        test = (text == F.lit(value_text(value))) & (meta_json(key) == F.lit(value_text(value)))
     elif isinstance(value, (int, float)):
-        test = meta_number(key) == F.lit(float(value))
+        number = F.lit(float(value))
+        test = (text.try_cast("double") == number) & (meta_number(key) == number)
     else:
-        # The text test rejects most rows before the type is looked at.
-        test = (meta_text(key) == F.lit(str(value))) & meta_json(key).startswith('"')
+        test = (text == F.lit(str(value))) & meta_json(key).startswith('"')
     return F.coalesce(test, F.lit(False))
 
 
-def meta_text_equals(pairs: dict[str, str]) -> Column:
+def meta_text_equals(pairs: dict[str, str], columns: list[str] = ()) -> Column:
     """AND of text equalities over metadata paths; a number matches its text form."""
-    tests = [meta_text(key) == F.lit(value) for key, value in pairs.items()]
+    tests = [_text(strip_prefix(key), columns) == F.lit(value) for key, value in pairs.items()]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

@@ -67,7 +67,7 @@ def scan(
             events = events.filter(F.col("event_date") <= F.lit(last.date()))
     events = events.filter(in_range(F.col("event_time"), start, end))
     if metadata:
-        events = events.filter(meta_text_equals(metadata))
+        events = events.filter(meta_text_equals(metadata, events.columns))
     if filter is not None:
-        events = events.filter(to_column(filter))
+        events = events.filter(to_column(filter, events.columns))
     return events

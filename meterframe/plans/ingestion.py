@@ -394,17 +394,25 @@ def meter_evolution(spark, folder):
 
 @query(
     "catalog_upsert",
-    """WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS id, l_shipdate AS updated_at, l_orderkey * 10 + l_linenumber AS payload
-  FROM lineitem)
-SELECT id, max(updated_at) AS updated_at FROM a GROUP BY 1""",
+    """WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS id, l_shipdate AS updated_at,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS added, l_orderkey * 10 + l_linenumber AS payload FROM lineitem),
+one AS (SELECT id, updated_at, added, max(payload) AS payload FROM a GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, added DESC) AS rn FROM one)
+SELECT id, updated_at, payload FROM r WHERE rn = 1""",
 )
 def catalog_upsert(spark, folder):
-    """Line items as versions of their part; the newest ship date stays."""
+    """Line items as versions of their part; the newest ship date stays, on equal dates a returned item."""
     rows = table(spark, folder, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("id"), F.col("l_shipdate").alias("updated_at"), "l_returnflag"
+        F.col("l_partkey").cast("string").alias("id"),
+        F.col("l_shipdate").alias("updated_at"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("payload"),
+        "l_returnflag",
     )
-    old, new = rows.filter("l_returnflag <> 'R'"), rows.filter("l_returnflag = 'R'")
-    return catalog.upsert(old, new, ["id"], "updated_at").select("id", "updated_at")
+    # One version per part and date on either side, as a catalog has.
+    newest = F.max("payload").alias("payload")
+    old = rows.filter("l_returnflag <> 'R'").groupBy("id", "updated_at").agg(newest)
+    new = rows.filter("l_returnflag = 'R'").groupBy("id", "updated_at").agg(newest)
+    return catalog.upsert(old, new, ["id"], "updated_at")
 
 
 @query(

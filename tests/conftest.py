@@ -1,6 +1,5 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
@@ -8,6 +7,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
+from sample_values import at  # noqa: E402
+
 from meterframe.schema import ASSIGNMENT, METER, PLAN, PLAN_LIMIT, RAW_EVENT, USAGE_EVENT  # noqa: E402
 from meterframe.session import build_session  # noqa: E402
 
@@ -30,11 +31,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def at(text: str) -> datetime:
-    """`2026-06-08 10:00` and longer forms as a naive UTC time."""
-    return datetime.fromisoformat(text)
-
-
 @pytest.fixture
 def make(spark):
     """Small tables from dictionaries; missing columns are NULL or a usable default."""
@@ -120,7 +116,3 @@ def _split(schema: str) -> list[str]:
             parts.append(schema[start:i])
             start = i + 1
     return [*parts, schema[start:]]
-
-
-def dim(name, kind="string", required=False, deprecated=False):
-    return (name, name, "", kind, required, deprecated)

@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from sample_values import at
 from meterframe.operators import alerts
 from meterframe.plans.spec import QuerySpec, overview, run_specs
 from meterframe.operators.exports import export_status, run_exports
@@ -140,6 +140,24 @@ def test_backtest_equals_evaluating_every_tick(spark, make, rules, aggregation):
     assert expected
 
 
+def test_backtest_of_a_short_interval_looks_at_changes_only(make, rules):
+    """Two days of one-second ticks; an event counts for the 3,600 ticks after it, a year's window for all."""
+    events, meters = usage(make, ("a", 12, "10:00:00.5", {}), ("a", 1, "10:30", {})), make.meters()
+    table = rules(
+        {"evaluation_interval_seconds": 1},
+        {"rule_id": "year", "window_seconds": 366 * 86400, "evaluation_interval_seconds": 1},
+    )
+    start, end = at("2026-06-07 00:00"), at("2026-06-09 00:00")
+    got = [(r["rule_id"], r["at"], r["type"], r["value"]) for r in alerts.backtest(table, events, meters, start, end).collect()]
+    assert sorted(got) == [
+        ("r1", at("2026-06-08 10:00:01"), "triggered", 12.0),
+        ("r1", at("2026-06-08 11:00:01"), "resolved", 1.0),
+        ("year", at("2026-06-08 10:00:01"), "triggered", 12.0),
+    ]
+    values = alerts.backtest_values(table.filter("rule_id = 'r1'"), events, meters, start, end)
+    assert values.groupBy().agg(F.count("*"), F.sum("event_count")).first()[:] == (5400, 7200)  # ticks 36,001 to 41,400 of the second day
+
+
 def test_primary_state_is_the_worst(make):
     rows = [
         {"group_key": "subject", "group_value": v, "status": s, "updated_at": at(f"2026-06-08 {t}")}

@@ -6,9 +6,10 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, dim
+from sample_values import at, dim
 from meterframe.operators import catalog, ingest, joins, retention
 from meterframe.operators.breakdown import aggregate_range
+from meterframe.functions.predicates import Condition
 from meterframe.operators.buckets import buckets
 from meterframe.schema import RAW_EVENT
 from meterframe.session import scratch_path
@@ -181,6 +182,20 @@ def test_promoted_dimension_is_read_without_the_metadata(spark, make, capsys):
     scan = next(line for line in plan.splitlines() if line.startswith("ReadSchema") and "quantity" in line)
     assert "dim_service.tier" in scan and "metadata" not in scan
     assert "PartitionFilters: [isnotnull(event_date" in plan
+    # A text filter on the dimension needs no metadata either; a typed one still tells text from other types.
+    day = ("2026-06-08T00:00:00Z", "2026-06-09T00:00:00Z")
+    for test in (
+        {"filter": Condition("metadata.service.tier", "contains", "a")},
+        {"metadata": {"service.tier": "a"}},
+        {"filter": Condition("metadata.service.tier", "eq", "a")},
+    ):
+        filtered = buckets(store.events(), "api_calls", *day, workspace="ws", **test)
+        assert [r["quantity"] for r in filtered.collect()] == [5.0]
+        filtered.explain("formatted")
+        plan = capsys.readouterr().out
+        scan = next(line for line in plan.splitlines() if line.startswith("ReadSchema") and "quantity" in line)
+        typed = "filter" in test and test["filter"].op == "eq"
+        assert "dim_service.tier" in scan and ("metadata" in scan) == typed
 
 
 def test_any_split_gives_the_same_store(spark, make):

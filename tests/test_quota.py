@@ -6,7 +6,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from sample_values import at
 from meterframe.operators import entitlements as ent
 from meterframe.schema import ASSIGNMENT
 from meterframe.session import scratch_path

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from sample_values import at
 from meterframe.functions.predicates import Condition, Group, all_of, any_of, from_dict, to_column
 from meterframe.operators import paging, series, stats
 from meterframe.operators.breakdown import aggregate_range, breakdown, dimension_values, share_of_max
