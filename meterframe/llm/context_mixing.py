@@ -61,16 +61,16 @@ def gram_keys(data: bytes) -> np.ndarray:
 
 
 def _levels() -> np.ndarray:
-    """Counts that a one-byte code stands for: exact up to 31, then in steps of about 7 %."""
+    """Counts that a code stands for: exact up to 31, then in steps of about 7 % past any 64-bit count."""
     low = np.arange(32, dtype=np.float64)
-    return np.concatenate((low, 32 * 1.07 ** np.arange(224)))
+    return np.concatenate((low, 32 * 1.07 ** np.arange(600)))
 
 
 LEVELS = _levels()
 
 
 def to_codes(counts: np.ndarray) -> np.ndarray:
-    return np.clip(np.searchsorted(LEVELS, counts, side="right") - 1, 0, 255).astype(np.uint8)
+    return (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint16)
 
 
 def context_hash(key: np.ndarray, order: int) -> np.ndarray:
@@ -163,8 +163,9 @@ class Mixer:
     def frozen(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Per order both codes of a slot in one number; for such a number, log odds and gate level."""
         if self.pairs is None:
-            both = [z.astype(np.uint16) | (o.astype(np.uint16) << np.uint16(8)) for z, o in zip(self.zeros, self.ones)]
-            n1, n0 = np.meshgrid(LEVELS, LEVELS, indexing="ij")  # number = code1 * 256 + code0
+            width = 1 + max(int(t.max()) for t in (*self.zeros, *self.ones))  # codes in use
+            both = [z + o.astype(np.uint32) * np.uint32(width) for z, o in zip(self.zeros, self.ones)]
+            n1, n0 = np.meshgrid(LEVELS[:width], LEVELS[:width], indexing="ij")  # number = code1 * width + code0
             seen = n0 + n1
             level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
             self.pairs = both, np.log((n1 + DELTA) / (n0 + DELTA)).ravel(), level.ravel()
@@ -341,7 +342,7 @@ def _packed(values: list) -> list[pa.Array]:
 
 
 def count_table(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Coded zero and one counts of all slots, per order: about 31 MB, whatever the corpus."""
+    """Coded zero and one counts of all slots, per order: about 63 MB, whatever the corpus."""
     width = 1 << BLOCK_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,13 +376,13 @@ def count_table(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
     parts = map_batches(grams, spread, "block int, at binary, zeros binary, ones binary")
     dealt = parts.repartition(parallelism(grams.sparkSession), "block")
-    zeros = [np.zeros(1 << bits, np.uint8) for bits in TABLE_BITS]
-    ones = [np.zeros(1 << bits, np.uint8) for bits in TABLE_BITS]
+    zeros = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
+    ones = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
     for row in map_batches(dealt, total, "block int, zeros binary, ones binary").toLocalIterator():
         order, block = row["block"] >> 16, row["block"] & 0xFFFF
         part = slice(block * width, (block + 1) * width)
-        zeros[order][part] = np.frombuffer(row["zeros"], np.uint8)
-        ones[order][part] = np.frombuffer(row["ones"], np.uint8)
+        zeros[order][part] = np.frombuffer(row["zeros"], np.uint16)
+        ones[order][part] = np.frombuffer(row["ones"], np.uint16)
     return zeros, ones
 
 

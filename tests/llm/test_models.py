@@ -123,6 +123,17 @@ def test_mixer_predicts_a_distribution():
     assert abs(scores[2] - float(mixer.cost(context_mixing.gram_keys(texts[2])).sum())) < 1e-6 * abs(scores[2])
 
 
+def test_counts_over_two_hundred_million_keep_their_ratio():
+    key = context_mixing.gram_keys(b"abcdef")[5:6]
+    tables = [[np.zeros(1 << b, np.int64) for b in context_mixing.TABLE_BITS] for _ in "01"]
+    for order, (zeros, ones) in enumerate(zip(*tables)):
+        at = context_mixing.slots_of(key, order, 0)
+        zeros[at], ones[at] = 3 * 10**8, 3 * 10 ** (9 + order)
+    x, _, _ = context_mixing.Mixer(*[[context_mixing.to_codes(t) for t in s] for s in tables]).inputs(key, 0, False)
+    assert np.allclose(x[0, : context_mixing.ORDERS], np.log(10.0) * np.arange(1, 6), atol=0.08)
+    assert context_mixing.to_codes(np.array([2**63 - 1])) < len(context_mixing.LEVELS) - 1
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
