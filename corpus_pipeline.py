@@ -15,6 +15,7 @@ from meterframe.llm import jaccard_join, mixing, personal_data, quality, transdu
 from meterframe.session import materialize
 
 SCORE = "__quality_score"
+POSITION = "position"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and the decoded text of each document."""
-    return transducer.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token count, digests of the ids and the decoded text, and training position of each document.
+
+    `docs` must be read from the files of the mixed documents, which hold their order.
+    """
+    placed = mixing.with_position(docs, POSITION)
+    return transducer.encode_documents(placed, public_tokenizers.path("word_bpe_49k.json"), keep=[POSITION])
 
 
 STAGES = [

@@ -11,7 +11,7 @@ import codecs
 import hashlib
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -184,9 +184,13 @@ _WORDS: dict[int, Words] = {}
 
 
 def encode_documents(
-    documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text"
+    documents: DataFrame,
+    tokenizer_path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded text.
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded text, and the columns of `keep`.
 
     For a vocabulary with word ends and no decoder (tokens joined by spaces). A null text is
     the empty text: no tokens, both hashes those of nothing. Null and repeated ids are passed
@@ -202,11 +206,13 @@ def encode_documents(
                 pa.array([d[0] for d in done], pa.int64()),
                 pa.array([d[1] for d in done], pa.string()),
                 pa.array([d[2] for d in done], pa.string()),
+                *batch.columns[2:],
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _mapped(documents, tokenizer_path, id_column, text_column, run, schema)
+    kinds = dict(documents.select(*keep).dtypes)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return _mapped(documents, tokenizer_path, id_column, text_column, run, schema, keep)
 
 
 def encode_ids(
@@ -260,8 +266,8 @@ def _worker(source: str) -> tuple[bpe.Vocabulary, Words, regex.Pattern]:
     return vocabulary, _WORDS[key], regex.compile(WORDS)
 
 
-def _mapped(documents, tokenizer_path, id_column, value_column, run, schema) -> DataFrame:
+def _mapped(documents, tokenizer_path, id_column, value_column, run, schema, keep=()) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(bpe.read_file(tokenizer_path))
-    rows = documents.select(documents[id_column].alias("doc_id"), documents[value_column].alias("text"))
+    rows = documents.select(documents[id_column].alias("doc_id"), documents[value_column].alias("text"), *keep)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_batches(rows, lambda batches: run(batches, shared.value), f"doc_id {kind}, {schema}")

@@ -5,8 +5,9 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from meterframe.llm import jaccard_join, personal_data, quality
+from meterframe.llm import jaccard_join, mixing, personal_data, quality
 from meterframe.llm.queries import QUERIES
+from meterframe.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,3 +50,21 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
+
+
+def test_positions_follow_the_schedule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix(docs, block_chars=4096)
+    plan = {r["doc_id"]: r for r in mixed.select("doc_id", "source", "mix.*").collect()}
+    written = materialize(mixing.in_order(mixed), "mixed")
+    assert len(written.inputFiles()) > 1
+    found = sorted(corpus_pipeline.encode(spark, written, FOLDER).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in found] == list(range(len(plan)))
+    order = [plan[r["doc_id"]] for r in found]
+    assert [(r["slot"], r["offset"]) for r in order] == sorted((r["slot"], r["offset"]) for r in order)
+    sizes = {}
+    for r in docs.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"])
+    slots = mixing.quantized(mixing.tempered(sizes))
+    for row in order:  # before a block, its source has had less than one block more or less than its share
+        assert abs(row["block"] - row["slot"] * slots[row["source"]] / mixing.PERIOD) < 1
