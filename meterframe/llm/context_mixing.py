@@ -1,18 +1,21 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of context bit predictors.
 
 A text is a sequence of bytes between two boundary symbols, and a byte is eight binary
 decisions. For each order (1 to 5 bytes of context) a predictor counts zeros and ones per
-hashed slot of (order, context, bits of the byte so far). The predictors' log odds are added up
+(order, context, bits of the byte so far). The predictors' log odds are added up
 with weights; which set of weights is used is gated by the bit's position and by how much the
 two longest contexts have seen. The weights are learned online, and a last adaptive table
 refines the mixed probability. The sum of all decisions is the text's total bits.
 
 The counts come from all training texts. They are gathered as counts of six-byte grams, which
-hold the counts of all orders; mixing and refinement learn online from those grams, each weighted
-by its count and predicted from the counts without one occurrence of itself, task by task, and
-the tasks' results are averaged. Scoring uses the frozen model, so that a text's score does not
-depend on the other texts in its task. Then a byte's cost depends on its gram alone, and a
-bounded memo of gram costs makes scoring one lookup per byte.
+hold the counts of all orders. Grams that share their last three context bytes go to one task, which
+has all counts of the orders 3 to 5 for them; those of the orders 1 and 2 are shared. The counts
+are exact: no slot is shared by two contexts, whatever the size of the corpus. Mixing and
+refinement learn online from the grams, each weighted by its count and predicted from the counts
+without one occurrence of itself, task by task, and the tasks' results are averaged. Scoring uses
+the frozen model, so that a text's score does not depend on the other texts in its task. Then a
+byte's cost depends on its gram alone: each distinct gram is costed once, frequent grams are looked
+up where the texts are, and the others go to a join.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.common import ROW, doc_remainder, map_batches, parallelism, texts, with_row
+from meterframe.llm.common import ROW, doc_remainder, map_batches, texts, with_row
 from meterframe.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
 BOUNDARY = 0xFF  # never a byte of UTF-8
 ORDERS = 5
 GRAM = ORDERS + 1  # the longest context and the byte itself
-TABLE_BITS = (20, 20, 20, 22, 23)  # slots per order, whatever the size of the corpus
-BLOCK_BITS = 16
+TABLE_BITS = (20, 20, 20, 22, 23)  # slots per order of a Mixer over hashed tables
+LOW_ORDERS = 2  # shared by all tasks: at most 2 ** 24 different three-byte grams
+PART_GRAMS = 50_000
+HEAD_GRAMS = 1 << 21
+HELD = np.uint64(1 << 48)  # marks the grams of texts that are not learned from
 GATES = 8 * 4 * 4
 BUCKETS = 33
 DELTA = 0.4
@@ -60,17 +66,34 @@ def gram_keys(data: bytes) -> np.ndarray:
     return key
 
 
-def _levels() -> np.ndarray:
-    """Counts that a code stands for: exact up to 31, then in steps of about 7 % past any 64-bit count."""
-    low = np.arange(32, dtype=np.float64)
-    return np.concatenate((low, 32 * 1.07 ** np.arange(600)))
+class Counts:
+    """How often keys occur, for ranges of keys: sorted distinct keys and running sums."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        sums = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        self.keys, self.sums = keys[starts], np.concatenate((np.zeros(1, np.int64), np.cumsum(sums, dtype=np.int64)))
 
-LEVELS = _levels()
+    def below(self, key: np.ndarray) -> np.ndarray:
+        return self.sums[np.searchsorted(self.keys, key)]
+
+    def branches(self, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each bit of the keys' last byte: zeros and ones after the bits before it."""
+        first = key & ~np.uint64(0xFF)
+        low, high = self.below(first), self.below(first + np.uint64(0x100))
+        for bit in range(8):
+            shift, half = np.uint64(8 - bit), np.uint64(1 << (7 - bit))
+            middle = self.below(((key >> shift) << shift) + half)
+            yield (middle - low).astype(np.float64), (high - middle).astype(np.float64)
+            one = (key & half) > 0
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
 
 
-def to_codes(counts: np.ndarray) -> np.ndarray:
-    return (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint16)
+def of_order(key: np.ndarray, order: int) -> np.ndarray:
+    """The last `order + 1` context bytes and the byte itself."""
+    return key & np.uint64((1 << (8 * (order + 2))) - 1)
 
 
 def context_hash(key: np.ndarray, order: int) -> np.ndarray:
@@ -96,7 +119,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predicts the bits of grams from coded counts, gate weights and the refinement table."""
+    """Predicts the bits of grams from counts in hashed tables, gate weights and the refinement table."""
 
     def __init__(
         self,
@@ -105,38 +128,43 @@ class Mixer:
         weights: np.ndarray | None = None,
         refined: np.ndarray | None = None,
     ):
-        self.zeros, self.ones = zeros, ones  # coded counts per order
-        start = np.zeros((GATES, ORDERS + 1))
-        start[:, :ORDERS] = 0.35
-        self.weights = start if weights is None else weights
-        self.pairs: tuple | None = None
+        self.zeros, self.ones = zeros, ones  # counts per order and slot
+        self.weights = start_weights() if weights is None else weights
         self.refined = refined
 
-    def inputs(self, key: np.ndarray, bit: int, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log odds per order and a constant, gate, the bit itself)."""
-        value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-        x = np.empty((len(key), ORDERS + 1))
-        x[:, ORDERS] = 0.3
-        gate = np.full(len(key), bit * 16)
-        for order in range(ORDERS):
-            slot = slots_of(key, order, bit)
-            n0, n1 = LEVELS[self.zeros[order][slot]], LEVELS[self.ones[order][slot]]
-            if left_out:
-                n0, n1 = np.maximum(0.0, n0 - (1.0 - value)), np.maximum(0.0, n1 - value)
-            x[:, order] = np.log((n1 + DELTA) / (n0 + DELTA))
-            if order >= ORDERS - 2:
-                seen = n0 + n1
-                level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
-                gate += level * (4 if order == ORDERS - 1 else 1)
-        return x, gate, value
+    def counts(self, key: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Per order and bit: the zeros and ones seen in each gram's context."""
+        slots = [[slots_of(key, order, bit) for bit in range(8)] for order in range(ORDERS)]
+        return [
+            [(zeros[s].astype(np.float64), ones[s].astype(np.float64)) for s in own]
+            for zeros, ones, own in zip(self.zeros, self.ones, slots)
+        ]
+
+    def inputs(self, key: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit (log odds per order and a constant, gate, the bit itself)."""
+        counts = self.counts(key)
+        for bit in range(8):
+            value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+            x = np.empty((len(key), ORDERS + 1))
+            x[:, ORDERS] = 0.3
+            gate = np.full(len(key), bit * 16)
+            for order in range(ORDERS):
+                n0, n1 = counts[order][bit]
+                if left_out:
+                    n0, n1 = np.maximum(0.0, n0 - (1.0 - value)), np.maximum(0.0, n1 - value)
+                x[:, order] = np.log((n1 + DELTA) / (n0 + DELTA))
+                if order >= ORDERS - 2:
+                    seen = n0 + n1
+                    level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
+                    gate += level * (4 if order == ORDERS - 1 else 1)
+            yield x, gate, value
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12.0, 12.0)
 
     def learn(self, key: np.ndarray, count: np.ndarray, use: np.ndarray) -> None:
         """One online step per bit position over a batch; `use` collects the weight of each gate."""
-        for bit in range(8):
-            x, gate, value = self.inputs(key, bit, left_out=True)
+        for x, gate, value in self.inputs(key, left_out=True):
             error = (value - squash(self.mixed(x, gate))) * count
             weight = np.bincount(gate, count, GATES)
             step = np.stack([np.bincount(gate, error * x[:, i], GATES) for i in range(ORDERS + 1)], axis=1)
@@ -145,8 +173,7 @@ class Mixer:
 
     def refine(self, key: np.ndarray, count: np.ndarray, table: np.ndarray) -> None:
         """Adds to `table` what followed each mixed probability, by node and bucket."""
-        for bit in range(8):
-            x, gate, value = self.inputs(key, bit, left_out=True)
+        for bit, (x, gate, value) in enumerate(self.inputs(key, left_out=True)):
             node, low, part = self._place(key, bit, self.mixed(x, gate))
             for bucket, share in ((low, 1.0 - part), (low + 1, part)):
                 at = node * BUCKETS + bucket
@@ -160,31 +187,11 @@ class Mixer:
         low = np.minimum(scaled.astype(np.int64), BUCKETS - 2)
         return node, low, scaled - low
 
-    def frozen(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Per order both codes of a slot in one number; for such a number, log odds and gate level."""
-        if self.pairs is None:
-            width = 1 + max(int(t.max()) for t in (*self.zeros, *self.ones))  # codes in use
-            both = [z + o.astype(np.uint32) * np.uint32(width) for z, o in zip(self.zeros, self.ones)]
-            n1, n0 = np.meshgrid(LEVELS[:width], LEVELS[:width], indexing="ij")  # number = code1 * width + code0
-            seen = n0 + n1
-            level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
-            self.pairs = both, np.log((n1 + DELTA) / (n0 + DELTA)).ravel(), level.ravel()
-            self.zeros = self.ones = []
-        return self.pairs
-
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's byte after its context, from the frozen model."""
-        pairs, odds, levels = self.frozen()
         total = np.zeros(len(key))
-        bases = [context_hash(key, order) for order in range(ORDERS)]
-        for bit in range(8):
-            value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-            at = [pairs[order][finish_slot(bases[order], key, order, bit)] for order in range(ORDERS)]
-            gate = bit * 16 + levels[at[ORDERS - 1]] * 4 + levels[at[ORDERS - 2]]
-            score = self.weights[gate, ORDERS] * 0.3
-            for order in range(ORDERS):
-                score += self.weights[gate, order] * odds[at[order]]
-            score = np.clip(score, -12.0, 12.0)
+        for bit, (x, gate, value) in enumerate(self.inputs(key, left_out=False)):
+            score = self.mixed(x, gate)
             p = squash(score)
             if self.refined is not None:
                 node, low, part = self._place(key, bit, score)
@@ -195,31 +202,78 @@ class Mixer:
         return total
 
 
+class ExactMixer(Mixer):
+    """A mixer over exact counts of each order."""
+
+    def __init__(self, exact: list[Counts], weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+        super().__init__([], [], weights, refined)
+        self.exact = exact
+
+    def counts(self, key: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        return [list(own.branches(of_order(key, order))) for order, own in enumerate(self.exact)]
+
+
+def start_weights() -> np.ndarray:
+    start = np.zeros((GATES, ORDERS + 1))
+    start[:, :ORDERS] = 0.35
+    return start
+
+
 def refinement(table: np.ndarray) -> np.ndarray:
     """Probability per node and bucket; a bucket without evidence keeps its own centre."""
     centre = np.tile(squash(np.linspace(-12.0, 12.0, BUCKETS)), 256)
     return (table[1] + 20.0 * centre) / (table[0] + 20.0)
 
 
+class HeadCosts:
+    """Costs of some grams; NaN for all others."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = np.concatenate((keys[order], [np.uint64((1 << 64) - 1)]))
+        self.costs = np.concatenate((costs[order], [np.nan]))
+
+    def cost(self, key: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.costs[at], np.nan)
+
+
 class Scorer:
     """Sums gram costs, with a direct-mapped memo of `2 ** MEMO_BITS` grams."""
 
-    def __init__(self, mixer: Mixer):
+    def __init__(self, mixer: Mixer | HeadCosts):
         self.mixer = mixer
         self.keys = np.full(1 << MEMO_BITS, (1 << 64) - 1, np.uint64)
         self.costs = np.zeros(1 << MEMO_BITS)
 
     def scores(self, data: list[bytes]) -> list[float]:
-        """log10 probabilities of texts. Texts share a pass over the model, long ones are cut."""
+        """log10 probabilities of texts."""
+        return self.split(data)[0]
+
+    def split(self, data: list[bytes]) -> tuple[list[float], list[list[np.ndarray]]]:
+        """Per text the sum of the costs that are known, and the grams without one.
+
+        Texts share a pass over the model, long ones are cut.
+        """
         result = [0.0] * len(data)
+        rest: list[list[np.ndarray]] = [[] for _ in data]
         keys: list[np.ndarray] = []
         owners: list[int] = []
         size = 0
 
         def settle() -> None:
             starts = np.cumsum([0, *(len(k) for k in keys[:-1])])
-            for owner, value in zip(owners, np.add.reduceat(self._costs(np.concatenate(keys)), starts).tolist()):
+            key = np.concatenate(keys)
+            cost = self._costs(key)
+            open_ = np.flatnonzero(np.isnan(cost))
+            cost[open_] = 0.0
+            for owner, value in zip(owners, np.add.reduceat(cost, starts).tolist()):
                 result[owner] += value
+            if len(open_):
+                cuts = np.searchsorted(open_, starts[1:])
+                for owner, some in zip(owners, np.split(key[open_], cuts)):
+                    if len(some):
+                        rest[owner].append(some)
             keys.clear()
             owners.clear()
 
@@ -234,7 +288,7 @@ class Scorer:
                     size = 0
         if keys:
             settle()
-        return result
+        return result, rest
 
     def _costs(self, key: np.ndarray) -> np.ndarray:
         at = ((key * PRIME) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
@@ -254,9 +308,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """(kind, key, n): counts of words (with the end token) and of grams over all rows.
+def gather(rows: DataFrame) -> DataFrame:
+    """(kind, key, n, held): counts of words (with the end token) and of grams in `text`.
 
+    `n` counts the rows to learn from, `held` the grams (not the words) of those with `held_out`.
     Counted per task in bounded memory first, then summed.
     """
 
@@ -266,9 +321,10 @@ def gather(training: DataFrame) -> DataFrame:
         pending: list[np.ndarray] = []
         size = 0
 
-        def packed(kind: int, keys, counts) -> pa.RecordBatch:
-            columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["kind", "key", "n"])
+        def packed(kind: int, keys, counts, held) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys, pa.binary())]
+            columns += [pa.array(counts, pa.int64()), pa.array(held, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "held"])
 
         def squeeze() -> None:
             nonlocal size
@@ -290,23 +346,28 @@ def gather(training: DataFrame) -> DataFrame:
             if grams:
                 merge()
                 keys, counts = grams.pop()
-                raw = keys.astype(">u8").tobytes()
+                raw = (keys & (HELD - np.uint64(1))).astype(">u8").tobytes()
+                learned = np.where(keys < HELD, counts, 0)
                 for start in range(0, len(keys), 50_000):
                     stop = min(start + 50_000, len(keys))
-                    yield packed(GRAM_KIND, [raw[8 * i + 8 - GRAM : 8 * i + 8] for i in range(start, stop)], counts[start:stop])
+                    some = [raw[8 * i + 8 - GRAM : 8 * i + 8] for i in range(start, stop)]
+                    yield packed(GRAM_KIND, some, learned[start:stop], (counts - learned)[start:stop])
 
         def drain_words() -> Iterator[pa.RecordBatch]:
             items = list(words.items())
             words.clear()
             for start in range(0, len(items), 50_000):
                 part = items[start : start + 50_000]
-                yield packed(WORD_KIND, [w for w, _ in part], [n for _, n in part])
+                yield packed(WORD_KIND, [w for w, _ in part], [n for _, n in part], np.zeros(len(part), np.int64))
 
         for batch in batches:
-            for text in texts(batch, "text"):
-                words.update(words_of(text))
-                words[END] += 1
+            for text, held in zip(texts(batch, "text"), batch.column(1).to_pylist()):
                 key = gram_keys(text.encode("utf-8"))
+                if held:
+                    key = key | HELD
+                else:
+                    words.update(words_of(text))
+                    words[END] += 1
                 pending.append(key)
                 size += len(key)
                 if size >= 4_000_000:
@@ -318,110 +379,114 @@ def gather(training: DataFrame) -> DataFrame:
         yield from drain_words()
         yield from drain()
 
-    rows = map_batches(training.select("text"), count, "kind byte, key binary, n bigint")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = map_batches(rows.select("text", "held_out"), count, "kind byte, key binary, n bigint, held bigint")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+
+
+def _numbers(keys: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width).astype(np.uint64)
+    key = np.zeros(len(raw), np.uint64)
+    for i in range(width):
+        key = (key << np.uint64(8)) | raw[:, i]
+    return key
 
 
-def _read_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """All grams and counts of a task: a share of the distinct grams, 16 bytes each."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+def _read_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams of a task in order, how often they are learned from, and how often held out."""
+    keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, GRAM).astype(np.uint64)
-        key = raw[:, 0]
-        for i in range(1, GRAM):
-            key = (key << np.uint64(8)) | raw[:, i]
-        keys.append(key)
-        counts.append(batch.column(1).to_numpy().astype(np.float64))
-    return np.concatenate(keys), np.concatenate(counts)
+        keys.append(_numbers(batch.column(0).to_pylist(), GRAM))
+        counts.append(batch.column(1).to_numpy())
+        held.append(batch.column(2).to_numpy())
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate(counts)[order], np.concatenate(held)[order]
 
 
 def _packed(values: list) -> list[pa.Array]:
     return [pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values]
 
 
-def count_table(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Coded zero and one counts of all slots, per order: about 63 MB, whatever the corpus."""
-    width = 1 << BLOCK_BITS
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count = _read_grams(batches)
-        for order in range(ORDERS):
-            slots = [slots_of(key, order, bit) for bit in range(8)]
-            values = [((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool) for bit in range(8)]
-            slot, value, times = np.concatenate(slots), np.concatenate(values), np.tile(count, 8)
-            zeros = np.bincount(slot[~value], times[~value], 1 << TABLE_BITS[order])
-            ones = np.bincount(slot[value], times[value], 1 << TABLE_BITS[order])
-            for block in range(1 << (TABLE_BITS[order] - BLOCK_BITS)):
-                part = slice(block * width, (block + 1) * width)
-                used = np.flatnonzero((zeros[part] > 0) | (ones[part] > 0))
-                if len(used):
-                    packed = [used.astype(np.uint16), *(t[part][used].astype(np.int64) for t in (zeros, ones))]
-                    place = pa.array([order << 16 | block], pa.int32())
-                    yield pa.RecordBatch.from_arrays([place, *_packed(packed)], ["block", "at", "zeros", "ones"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for block, at, zeros, ones in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if block not in sums:
-                    sums[block] = np.zeros(width, np.int64), np.zeros(width, np.int64)
-                place = np.frombuffer(at, np.uint16)
-                sums[block][0][place] += np.frombuffer(zeros, np.int64)
-                sums[block][1][place] += np.frombuffer(ones, np.int64)
-        for block, both in sums.items():
-            columns = [pa.array([block], pa.int32()), *_packed([to_codes(b) for b in both])]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "zeros", "ones"])
-
-    parts = map_batches(grams, spread, "block int, at binary, zeros binary, ones binary")
-    dealt = parts.repartition(parallelism(grams.sparkSession), "block")
-    zeros = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
-    ones = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
-    for row in map_batches(dealt, total, "block int, zeros binary, ones binary").toLocalIterator():
-        order, block = row["block"] >> 16, row["block"] & 0xFFFF
-        part = slice(block * width, (block + 1) * width)
-        zeros[order][part] = np.frombuffer(row["zeros"], np.uint16)
-        ones[order][part] = np.frombuffer(row["ones"], np.uint16)
-    return zeros, ones
-
-
-def learn_model(grams: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """(zeros, ones, weights, refined): the counts, then online learning in two rounds."""
-    zeros, ones = count_table(grams)
-    table = grams.sparkSession.sparkContext.broadcast((zeros, ones))
+def low_counts(grams: DataFrame) -> list[Counts]:
+    """Counts of the orders that all tasks share."""
+    short = F.substring("key", GRAM - LOW_ORDERS, LOW_ORDERS + 1)
+    found = grams.filter("n > 0").groupBy(short.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key = _numbers(found.column(0).to_pylist(), LOW_ORDERS + 1)
+    return [Counts(of_order(key, order), found.column(1).to_numpy()) for order in range(LOW_ORDERS)]
+
+
+def gram_costs(grams: DataFrame) -> DataFrame:
+    """(key as a number, cost, times) of each gram of (key, n, held), after learning in two rounds."""
+    context = GRAM - 1
+    parts = max(1, -(-grams.count() // PART_GRAMS))
+    dealt = grams.select("key", "n", "held").repartition(parts, F.substring("key", context - LOW_ORDERS, LOW_ORDERS + 1))
+    low = grams.sparkSession.sparkContext.broadcast(low_counts(grams))
+
+    def exact(key: np.ndarray, count: np.ndarray) -> list[Counts]:
+        return low.value + [Counts(of_order(key, order), count) for order in range(LOW_ORDERS, ORDERS)]
 
     def mixing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, use = Mixer(*table.value), np.zeros(GATES)
-        key, count = _read_grams(batches)
+        key, count, _ = _read_grams(batches)
+        key, count = key[count > 0], count[count > 0]
+        mixer, use = ExactMixer(exact(key, count)), np.zeros(GATES)
         order = np.random.default_rng(0).permutation(len(key))
         for start in range(0, len(key), BATCH):
-            some = order[start : start + BATCH]
-            mixer.learn(key[some], count[some], use)
+            some = np.sort(order[start : start + BATCH])
+            mixer.learn(key[some], count[some].astype(np.float64), use)
         if len(key):
             yield pa.RecordBatch.from_arrays(_packed([mixer.weights, use]), ["weights", "use"])
 
     weights, use = np.zeros((GATES, ORDERS + 1)), np.zeros(GATES)
-    for row in map_batches(grams, mixing, "weights binary, use binary").toLocalIterator():
+    for row in map_batches(dealt, mixing, "weights binary, use binary").toLocalIterator():
         own = np.frombuffer(row["use"])
         weights += np.frombuffer(row["weights"]).reshape(GATES, -1) * own[:, None]
         use += own
-    start = Mixer(zeros, ones).weights
-    weights = np.where(use[:, None] > 0, weights / np.maximum(use, 1e-9)[:, None], start)
+    weights = np.where(use[:, None] > 0, weights / np.maximum(use, 1e-9)[:, None], start_weights())
 
     def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, sums = Mixer(*table.value, weights), np.zeros((2, 256 * BUCKETS))
-        key, count = _read_grams(batches)
+        key, count, _ = _read_grams(batches)
+        key, count = key[count > 0], count[count > 0]
+        mixer, sums = ExactMixer(exact(key, count), weights), np.zeros((2, 256 * BUCKETS))
         for start in range(0, len(key), BATCH):
-            mixer.refine(key[start : start + BATCH], count[start : start + BATCH], sums)
+            mixer.refine(key[start : start + BATCH], count[start : start + BATCH].astype(np.float64), sums)
         if len(key):
             yield pa.RecordBatch.from_arrays(_packed([sums]), ["sums"])
 
     sums = np.zeros((2, 256 * BUCKETS))
-    for row in map_batches(grams, refining, "sums binary").toLocalIterator():
+    for row in map_batches(dealt, refining, "sums binary").toLocalIterator():
         sums += np.frombuffer(row["sums"]).reshape(2, -1)
-    table.unpersist()
-    return zeros, ones, weights, refinement(sums)
+    refined = refinement(sums)
+
+    def costing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, held = _read_grams(batches)
+        mixer = ExactMixer(exact(key, count), weights, refined)
+        for start in range(0, len(key), BATCH):
+            some = slice(start, start + BATCH)
+            columns = [key[some].astype(np.int64), mixer.cost(key[some]), (count + held)[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cost", "times"])
+
+    return map_batches(dealt, costing, "key bigint, cost double, times bigint")
+
+
+def head_costs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and costs of the most frequent grams, at most HEAD_GRAMS; equally frequent ones stay together."""
+    level = F.floor(F.log2("times") * 8)
+    least, total = None, 0
+    for row in sorted(costs.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > HEAD_GRAMS:
+            break
+        least = row["level"]
+    found = costs.filter(F.lit(False) if least is None else level >= least).select("key", "cost").toArrow()
+    return found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy()
+
+
+def _counted(rest: list[list[np.ndarray]]) -> pa.Array:
+    """Per text the distinct grams of its parts and how often each occurs."""
+    found = [np.unique(np.concatenate(r or [np.zeros(0, np.uint64)]), return_counts=True) for r in rest]
+    offsets = np.cumsum([0, *(len(keys) for keys, _ in found)]).astype(np.int32)
+    keys, times = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(2))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], ["key", "times"]))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -436,31 +501,33 @@ def score_documents(documents: DataFrame) -> DataFrame:
     the text with its end. Repeated rows count and are scored each; an empty training part
     gives counts of zero. Columns other than doc_id and text are not read.
 
-    Frequent words (a bounded number) are looked up where the texts are; the others go, once per
-    text, to a join with the full count table, so no vocabulary has to fit into memory.
+    Frequent words and grams (a bounded number) are looked up where the texts are; the others go,
+    once per text, to joins with the full tables, so no vocabulary has to fit into memory.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", "text")
     held_out = doc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT
-    counts = materialize(gather(rows.filter(~held_out)), "corpus-counts")
+    counts = materialize(gather(rows.withColumn("held_out", held_out)), "corpus-counts")
     words = counts.filter(F.col("kind") == WORD_KIND).select("key", "n")
-    grams = counts.filter(F.col("kind") == GRAM_KIND).select("key", "n")
+    grams = counts.filter(F.col("kind") == GRAM_KIND).select("key", "n", "held")
     size = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct = int(size["n"]), int(size["v"])
     head = {bytes(r["key"]): r["n"] for r in words.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).collect()}
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, head, learn_model(grams)))
+    costs = materialize(gram_costs(grams), "gram-costs")
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, head, head_costs(costs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, common, (zeros, ones, weights, refined) = shared.value
+        name, common, frequent = shared.value
         if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[name] = Scorer(Mixer(zeros, ones, weights, refined))
+            _SCORERS[name] = Scorer(HeadCosts(*frequent))
         scorer = _SCORERS[name]
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             rows_ = texts(batch, "text")
             data = [text.encode("utf-8") for text in rows_]
-            for text, raw, score in zip(rows_, data, scorer.scores(data)):
+            scores, rest = scorer.split(data)
+            for text, raw, score in zip(rows_, data, scores):
                 tokens = words_of(text)
                 tokens.append(END)
                 seen = np.fromiter((common.get(t, 0) for t in tokens), np.int64, len(tokens))
@@ -478,19 +545,26 @@ def score_documents(documents: DataFrame) -> DataFrame:
             rare_kind = pa.list_(pa.struct([("key", pa.binary()), ("times", pa.int64())]))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), rare_kind]
             columns = [batch.column(1), batch.column(2), *[pa.array(c, k) for c, k in zip(out, kinds)]]
-            names = [ROW, "doc_id", "n_tokens", "known", "head_score", "score", "n_bytes", "rare"]
+            names = [ROW, "doc_id", "n_tokens", "known", "head_score", "gram_score", "n_bytes", "rare", "rare_grams"]
+            columns.append(_counted(rest))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = (
-        f"{ROW} bigint, doc_id bigint, n_tokens bigint, known bigint, head_score double, score double, "
-        "n_bytes bigint, rare array<struct<key: binary, times: bigint>>"
+        f"{ROW} bigint, doc_id bigint, n_tokens bigint, known bigint, head_score double, gram_score double, "
+        "n_bytes bigint, rare array<struct<key: binary, times: bigint>>, rare_grams array<struct<key: bigint, times: bigint>>"
     )
     scored = materialize(map_batches(with_row(rows).select("text", ROW, "doc_id"), run, schema), "scored")
     rare = scored.select(ROW, F.explode("rare").alias("r")).select(ROW, "r.key", "r.times")
     found = rare.join(words, "key").groupBy(F.col(ROW).alias("found_row")).agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_score")
     )
-    joined = scored.drop("rare").join(found, F.col(ROW) == F.col("found_row"), "left")
+    rare_grams = scored.select(ROW, F.explode("rare_grams").alias("r")).select(ROW, "r.key", "r.times")
+    rest = rare_grams.join(costs.select("key", "cost"), "key").groupBy(F.col(ROW).alias("rest_row")).agg(
+        F.sum(F.col("times") * F.col("cost")).alias("rest_score")
+    )
+    joined = scored.drop("rare", "rare_grams").join(found, F.col(ROW) == F.col("found_row"), "left")
+    joined = joined.join(rest, F.col(ROW) == F.col("rest_row"), "left")
+    score = F.col("gram_score") + F.coalesce("rest_score", F.lit(0.0))
     norm = float(np.log10(total + distinct + 1))
     base = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
     return joined.select(
@@ -500,7 +574,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
-        (F.col("score") * F.lit(-float(np.log2(10.0))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (score * F.lit(-float(np.log2(10.0))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

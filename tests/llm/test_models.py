@@ -124,14 +124,36 @@ def test_mixer_predicts_a_distribution():
 
 
 def test_counts_over_two_hundred_million_keep_their_ratio():
-    key = context_mixing.gram_keys(b"abcdef")[5:6]
-    tables = [[np.zeros(1 << b, np.int64) for b in context_mixing.TABLE_BITS] for _ in "01"]
-    for order, (zeros, ones) in enumerate(zip(*tables)):
-        at = context_mixing.slots_of(key, order, 0)
-        zeros[at], ones[at] = 3 * 10**8, 3 * 10 ** (9 + order)
-    x, _, _ = context_mixing.Mixer(*[[context_mixing.to_codes(t) for t in s] for s in tables]).inputs(key, 0, False)
-    assert np.allclose(x[0, : context_mixing.ORDERS], np.log(10.0) * np.arange(1, 6), atol=0.08)
-    assert context_mixing.to_codes(np.array([2**63 - 1])) < len(context_mixing.LEVELS) - 1
+    keys = context_mixing.gram_keys(b"abcdef")[5] & ~np.uint64(0xFF) | np.array([0, 255], np.uint64)
+    exact = [
+        context_mixing.Counts(context_mixing.of_order(keys, order), np.array([3 * 10**8, 3 * 10 ** (9 + order)]))
+        for order in range(context_mixing.ORDERS)
+    ]
+    x, _, _ = next(context_mixing.ExactMixer(exact).inputs(keys, False))
+    assert np.allclose(x[0, : context_mixing.ORDERS], np.log(10.0) * np.arange(1, 6))
+
+
+def test_counts_of_every_context_apart():
+    random = np.random.default_rng(0)
+    keys = np.unique(random.integers(0, 1 << 48, 300_000, dtype=np.uint64))
+    counts = context_mixing.Counts(keys, np.ones(len(keys), np.int64))
+    seen = sum(sum(zeros + ones) for zeros, ones in list(counts.branches(keys[:2000]))[:1])
+    assert seen == 2000  # with hashed slots, contexts that share one would add up
+    other = np.setdiff1d(random.integers(0, 1 << 48, 1000, dtype=np.uint64) >> np.uint64(8), keys >> np.uint64(8))
+    assert not any((zeros + ones).any() for zeros, ones in counts.branches(other << np.uint64(8)))
+
+
+def test_scores_do_not_depend_on_the_frequent_grams(spark, monkeypatch):
+    docs = odd_documents(spark).unionByName(sf_documents(spark).selectExpr(
+        "doc_id + 100 doc_id", "text", "lang", "source", "n_chars", "0D score", "'m' mix", "1 quality"))
+    results = []
+    for size in (context_mixing.HEAD_GRAMS, 500, 0):
+        monkeypatch.setattr(context_mixing, "HEAD_GRAMS", size)
+        rows = context_mixing.score_documents(docs).collect()
+        results.append(sorted((str(r["doc_id"]), r["n_bytes"], r["score"]) for r in rows))
+    for other in results[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in results[0]]
+        assert np.allclose([r[2] for r in other], [r[2] for r in results[0]], rtol=1e-9)
 
 
 def test_quality_on_held_out_rows(spark):
