@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterframe.llm import context_mixing, cover_tree, jaccard_join, mixing, personal_data, quality
+from meterframe.llm import context_mixing, cover_tree, jaccard_join, merkle, mixing, personal_data, quality, rank_bpe, whitening
 from meterframe.llm.common import read_table
 from meterframe.llm.token_counts import token_counts
 from meterframe.llm.transducer import encode_documents
@@ -63,6 +63,21 @@ def encode(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def encode_by_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    # The words are the matches of public_tokenizers.PATTERN.
+    return rank_bpe.encode_documents(
+        read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    )
+
+
+def whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+def prove(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(read_table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_personal_data": find_personal_data,
     "op2_context_mixing": score_language,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_cover_tree": near_vectors,
     "op9_bpe_transducer": encode,
     "op10_mix": mix,
+    "op11_rank_bpe": encode_by_ranks,
+    "op12_whitening": whiten,
+    "op13_merkle": prove,
 }
 
 ORACLES = {
@@ -116,4 +134,77 @@ ORACLES = {
                e.vec_id <= coalesce(root, e.vec_id) AS kept
         FROM embeddings e LEFT JOIN counts c ON c.x = e.vec_id LEFT JOIN roots r ON r.x = e.vec_id
     """,
+    # CRC-32 bit by bit over the decimal id; the trees as lists of levels.
+    "op13_merkle": """
+        WITH RECURSIVE crc(doc_id, step, value) AS (
+            SELECT doc_id, 0, 4294967295::BIGINT FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+            UNION ALL
+            SELECT doc_id, step + 1, list_reduce(list_prepend(xor(value, ascii(substr(doc_id::VARCHAR, step + 1, 1))::BIGINT),
+                       [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                       lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)
+            FROM crc WHERE step < length(doc_id::VARCHAR)),
+        chosen AS (
+            SELECT doc_id FROM crc WHERE step = length(doc_id::VARCHAR) AND xor(value, 4294967295::BIGINT) % 7 = 0),
+        named AS (
+            SELECT d.*, row_number() OVER () AS id,
+                   CASE WHEN c.doc_id IS NULL THEN n_chars ELSE n_chars + 1 END AS other
+            FROM documents d LEFT JOIN chosen c ON c.doc_id = d.doc_id),
+        parts AS (
+            SELECT id, doc_id, lang,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                       || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS size,
+                   coalesce(strlen(other::VARCHAR) || ':' || other, '-') AS other_size,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM named),
+        hashed AS (
+            SELECT id, doc_id, lang, sha256(head || size || tail) AS leaf, sha256(head || other_size || tail) AS other FROM parts),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS place FROM hashed),
+        trees AS (
+            SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY lang
+            UNION ALL
+            SELECT lang, level + 1,
+                   list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+            FROM trees WHERE len(nodes) > 1),
+        subroots AS (SELECT lang, nodes[1] AS subroot FROM trees WHERE len(nodes) = 1),
+        top_leaves AS (
+            SELECT lang, subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM subroots),
+        tops AS (
+            SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM top_leaves
+            UNION ALL
+            SELECT level + 1,
+                   list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+            FROM tops WHERE len(nodes) > 1),
+        root AS (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1),
+        low AS (SELECT lang, level, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS place FROM trees WHERE len(nodes) > 1),
+        high AS (SELECT level, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS place FROM tops WHERE len(nodes) > 1),
+        depths AS (SELECT lang, max(level) AS depth FROM trees GROUP BY lang),
+        steps AS (
+            SELECT l.id, n.level, l.place // (1 << n.level) AS place, s.node AS sibling
+            FROM leaves l JOIN (SELECT DISTINCT lang, level FROM low) n ON n.lang IS NOT DISTINCT FROM l.lang
+            LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = n.level
+                AND s.place = xor(l.place // (1 << n.level), 1)
+            UNION ALL
+            SELECT l.id, d.depth + n.level, t.place // (1 << n.level), s.node
+            FROM leaves l JOIN top_leaves t ON t.lang IS NOT DISTINCT FROM l.lang
+            JOIN depths d ON d.lang IS NOT DISTINCT FROM l.lang
+            CROSS JOIN (SELECT DISTINCT level FROM high) n
+            LEFT JOIN high s ON s.level = n.level AND s.place = xor(t.place // (1 << n.level), 1)),
+        paths AS (
+            SELECT id, list({'place': place, 'sibling': coalesce(sibling, '')} ORDER BY level) AS path,
+                   string_agg(coalesce(sibling, ''), '' ORDER BY level) AS siblings
+            FROM steps GROUP BY id),
+        folds(id, step, own) AS (
+            SELECT id, 1::BIGINT, other FROM leaves
+            UNION ALL
+            SELECT f.id, f.step + 1, CASE WHEN p.path[f.step].place % 2 = 1 THEN sha256(p.path[f.step].sibling || f.own)
+                                        ELSE sha256(f.own || p.path[f.step].sibling) END
+            FROM folds f JOIN paths p USING (id) WHERE f.step <= len(p.path)),
+        ends AS (SELECT id, arg_max(own, step) AS folded_root FROM folds GROUP BY id)
+        SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, e.folded_root,
+               e.folded_root = r.root AS verified
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN root r
+        LEFT JOIN paths p ON p.id = l.id JOIN ends e ON e.id = l.id
+    """,
 }
