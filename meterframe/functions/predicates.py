@@ -16,15 +16,7 @@ from typing import Any, Union
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterframe.functions.metadata import (
-    json_text,
-    meta_json,
-    meta_number,
-    meta_text,
-    meta_variant,
-    promoted_column,
-    strip_prefix,
-)
+from meterframe.functions.metadata import json_path, json_text, meta_text, promoted_column, strip_prefix
 from meterframe.functions.timecalc import ntz, rfc3339_nano
 
 # Fixed names of the filter language.
@@ -84,13 +76,82 @@ def from_dict(spec: dict | None) -> Filter | None:
 
 
 def to_column(tree: Filter | None, columns: list[str] = ()) -> Column:
-    """The tree over a table with `columns`; promoted dimensions among them are read as columns."""
+    """The tree over a table with `columns`; promoted dimensions among them are read as columns.
+
+    Type-aware conditions share one parse of the metadata: the parts of the tree that need it
+    stand together behind the cheap text tests that any match must pass. The other parts stay
+    conditions of their own, which Catalyst pushes towards the scan.
+    """
+    plain, typed = [], []
+    for part in _conjuncts(tree):
+        (typed if _needs_types(part) else plain).append(part)
+    tests = [_test(part, columns, None) for part in plain]
+    if typed:
+        tests += [t for t in (_necessary(part, columns) for part in typed) if t is not None]
+        parsed = F.array(F.try_parse_json("metadata"))
+        tests.append(F.exists(parsed, lambda value: _all([_test(part, columns, value) for part in typed])))
+    return _all(tests) if tests else F.lit(True)
+
+
+def _all(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _conjuncts(tree: Filter | None) -> list[Filter]:
+    """The parts that must all hold."""
     if tree is None:
-        return F.lit(True)
+        return []
+    if isinstance(tree, Group) and tree.op == "and":
+        return [part for rule in tree.rules for part in _conjuncts(rule)]
+    return [tree]
+
+
+def _needs_types(tree: Filter) -> bool:
+    """Whether some condition depends on the JSON type of a metadata value."""
+    if isinstance(tree, Group):
+        return any(_needs_types(rule) for rule in tree.rules)
+    if not tree.field.strip().startswith("metadata."):
+        return False
+    return tree.op in ("exists", "eq", "in") or _is_number(tree.value) and tree.op != "contains"
+
+
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _necessary(tree: Filter, columns: list[str]) -> Column | None:
+    """A test without types that every row passes for which the tree holds; None if there is none."""
+    if isinstance(tree, Group):
+        parts = [_necessary(rule, columns) for rule in tree.rules]
+        if tree.op == "or":
+            return None if any(part is None for part in parts) else _any(parts)
+        known = [part for part in parts if part is not None]
+        return _all(known) if known else None
+    if not _needs_types(tree):
+        return _test(tree, columns, None)
+    if tree.op == "exists":  # a JSON null exists and has no text
+        return None
+    text = _text(strip_prefix(tree.field), columns)
+    if tree.op == "in":
+        return _any([_text_equal(text, value) for value in tree.value])
+    return _text_equal(text, tree.value) if tree.op == "eq" else text.isNotNull()
+
+
+def _text_equal(text: Column, value: Any) -> Column:
+    if _is_number(value):
+        return text.try_cast("double") == F.lit(float(value))
+    return text == F.lit(value_text(value) if isinstance(value, bool) else str(value))
+
+
+def _test(tree: Filter, columns: list[str], parsed: Column | None) -> Column:
+    """The tree's test; `parsed` is the metadata as VARIANT where a condition needs it."""
     if isinstance(tree, Group):
-        parts = [to_column(rule, columns) for rule in tree.rules]
-        join = (lambda a, b: a & b) if tree.op == "and" else (lambda a, b: a | b)
-        return reduce(join, parts)
+        parts = [_test(rule, columns, parsed) for rule in tree.rules]
+        return _all(parts) if tree.op == "and" else _any(parts)
     name = tree.field.strip()
     if name in TIME_FIELDS:
         return _compare(F.col(TIME_FIELDS[name]), tree, ntz, rfc3339_nano)
@@ -102,7 +163,7 @@ def to_column(tree: Filter | None, columns: list[str] = ()) -> Column:
             return column.isNotNull() & (column != "")
         return _compare(column, tree, lambda v: F.lit(value_text(v)), lambda c: c)
     if name.startswith("metadata."):
-        return _metadata_condition(strip_prefix(name), tree, columns)
+        return _metadata_condition(strip_prefix(name), tree, columns, parsed)
     raise ValueError(f"unsupported filter field {tree.field!r}")
 
 
@@ -164,38 +225,41 @@ def _text(key: str, columns: list[str]) -> Column:
     return F.col(f"`{promoted}`") if promoted in columns else meta_text(key)
 
 
-def _metadata_condition(key: str, condition: Condition, columns: list[str]) -> Column:
+def _metadata_condition(key: str, condition: Condition, columns: list[str], parsed: Column | None) -> Column:
     op, value = condition.op, condition.value
+    text = _text(key, columns)
+    if not _needs_types(condition):
+        if op == "contains":
+            return text.contains(value_text(value))
+        return _ordered(text, op, F.lit(value_text(value)))
+    found = F.try_variant_get(parsed, json_path(key), "variant")
     if op == "exists":
         # Only a JSON null has no text and yet exists.
-        return _text(key, columns).isNotNull() | meta_variant(key).isNotNull()
+        return text.isNotNull() | found.isNotNull()
+    json = F.to_json(found)
     if op == "eq":
-        return meta_strict_equal(key, value, columns)
+        return _strict_equal(text, json, value)
     if op == "in":
-        return reduce(lambda a, b: a | b, [meta_strict_equal(key, v, columns) for v in value])
-    if op == "contains":
-        return _text(key, columns).contains(value_text(value))
-    text_test = _ordered(_text(key, columns), op, F.lit(value_text(value)))
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        # A number against a number compares by value, anything else by text.
-        return F.coalesce(_ordered(meta_number(key), op, F.lit(float(value))), text_test)
-    return text_test
+        return _any([_strict_equal(text, json, v) for v in value])
+    # A number against a number compares by value, anything else by text.
+    text_test = _ordered(text, op, F.lit(value_text(value)))
+    return F.coalesce(_ordered(json.try_cast("double"), op, F.lit(float(value))), text_test)
 
 
-def meta_strict_equal(key: str, value: Any, columns: list[str] = ()) -> Column:
-    """Equality that also needs the JSON type to agree: "200" is not 200.
-
-    The text test rejects most rows before the metadata is parsed for the type.
-    """
-    text = _text(key, columns)
+def _strict_equal(text: Column, json: Column, value: Any) -> Column:
+    """Equality that also needs the JSON type to agree: "200" is not 200."""
     if isinstance(value, bool):
-        test = (text == F.lit(value_text(value))) & (meta_json(key) == F.lit(value_text(value)))
-    elif isinstance(value, (int, float)):
-        number = F.lit(float(value))
-        test = (text.try_cast("double") == number) & (meta_number(key) == number)
+        of_type = json == F.lit(value_text(value))
+    elif _is_number(value):
+        of_type = json.try_cast("double") == F.lit(float(value))
     else:
-        test = (text == F.lit(str(value))) & meta_json(key).startswith('"')
-    return F.coalesce(test, F.lit(False))
+        of_type = json.startswith('"')
+    return F.coalesce(_text_equal(text, value) & of_type, F.lit(False))
+
+
+def meta_strict_equal(key: str, value: Any, columns: list[str] = ()) -> Column:
+    """Type-strict equality of one metadata value."""
+    return to_column(Condition(f"metadata.{key}", "eq", value), columns)
 
 
 def meta_text_equals(pairs: dict[str, str], columns: list[str] = ()) -> Column:
@@ -216,16 +280,21 @@ def metadata_map_matches(conditions: Column, metadata: Column) -> Column:
 
 
 def metadata_map_matches_strictly(conditions: Column, metadata: Column) -> Column:
-    """As `metadata_map_matches`, but the metadata value must be a JSON string."""
+    """As `metadata_map_matches`, but the metadata values must be JSON strings.
 
-    def holds(entry: Column) -> Column:
-        path = F.concat(F.lit("$['"), F.replace(entry["key"], F.lit("."), F.lit("']['")), F.lit("']"))
-        same = json_text(metadata, path) == entry["value"]
-        quoted = F.to_json(F.try_variant_get(F.try_parse_json(metadata), path, "variant")).startswith('"')
-        return F.coalesce(same & quoted, F.lit(False))
+    The metadata is parsed once per pair of row and map, and only if all texts agree.
+    """
+
+    def quoted(parsed: Column) -> Column:
+        def holds(entry: Column) -> Column:
+            path = F.concat(F.lit("$['"), F.replace(entry["key"], F.lit("."), F.lit("']['")), F.lit("']"))
+            return F.coalesce(F.to_json(F.try_variant_get(parsed, path, "variant")).startswith('"'), F.lit(False))
+
+        return F.forall(F.map_entries(conditions), holds)
 
     none = conditions.isNull() | (F.size(conditions) == 0)
-    return none | F.forall(F.map_entries(conditions), holds)
+    same = metadata_map_matches(conditions, metadata)
+    return none | (same & F.exists(F.array(F.try_parse_json(metadata)), quoted))
 
 
 def subject_search(text: str) -> Column:

@@ -12,6 +12,7 @@ from meterframe.plans.registry import EV, MET, ctes, query
 from meterframe.schema import EVENT_COLUMNS
 from meterframe.session import materialize, scratch_path
 from meterframe.sources.readers import read_raw_json
+from meterframe.sources.store import EventStore
 from meterframe.sources.tables import event_meters, raw_from_usage, table, usage_from_events
 
 NOW = "2024-02-01T00:00:00Z"
@@ -137,6 +138,78 @@ def ingest_all_events(spark, folder):
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+_STORED_DAYS = """stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_key
+  ORDER BY CAST(id AS BIGINT)) AS rn FROM ev WHERE event_time < TIMESTAMP '2024-01-21') WHERE rn = 1),
+batch AS (SELECT * FROM ev WHERE event_time >= TIMESTAMP '2024-01-21' OR (event_time >= TIMESTAMP '2024-01-19'
+  AND subject LIKE '%7'))"""
+
+
+def _twenty_batches(spark, folder) -> tuple[EventStore, DataFrame]:
+    """A store that remembers the keys of twenty daily batches, and a later batch that repeats some."""
+    usage = usage_from_events(spark, folder)
+    earlier = usage.filter(F.col("event_time") < ntz("2024-01-21T00:00:00Z"))
+    first = F.min_by(F.struct("id", "event_time"), F.col("id").cast("bigint")).alias("first")
+    kept = earlier.groupBy("workspace_id", "idempotency_key").agg(first).select("workspace_id", "idempotency_key", "first.*")
+    store = EventStore(spark, scratch_path(spark, "many-batches"))
+    day = F.date_format("event_time", "'day-'dd")
+    store.write_keys(kept.withColumn("event_date", F.to_date("event_time")), day)
+    entries = kept.select(day.alias("batch_id")).distinct()
+    nobody = F.lit(None).cast("string").alias("workspace_id")
+    store.put("ledger", entries.select(nobody, F.lit("bulk").alias("kind"), ntz(NOW).alias("committed_at"), "batch_id"))
+    again = F.col("subject").endswith("7") & (F.col("event_time") >= ntz("2024-01-19T00:00:00Z"))
+    later = usage.filter((F.col("event_time") >= ntz("2024-01-21T00:00:00Z")) | again)
+    raw = raw_from_usage(later)
+    ok = ingest.valid_rows(ingest.validate(raw, event_meters(spark, folder), NOW, "day-21"))
+    return store, materialize(ingest.dedupe_batch(ok), "firsts")
+
+
+@query(
+    "ingest_many_batches",
+    ctes(EV, _STORED_DAYS)
+    + """SELECT s.workspace_id, s.idempotency_key, s.id, CAST(s.event_time AS DATE) AS event_date FROM stored s
+WHERE EXISTS (SELECT 1 FROM batch b WHERE b.workspace_id = s.workspace_id AND b.idempotency_key = s.idempotency_key
+  AND b.quantity > 0)""",
+)
+def ingest_many_batches(spark, folder):
+    """The originals that a batch repeats, looked up in its own buckets of the key table."""
+    store, firsts = _twenty_batches(spark, folder)
+    return store.matched_keys(firsts, "day-21")
+
+
+class _StopsHalfWay(EventStore):
+    """A store whose ingest ends between the events and the keys of a batch."""
+
+    def write_keys(self, events, batch_id):
+        raise InterruptedError
+
+
+@query(
+    "batch_replay",
+    ctes(EV)
+    + """SELECT * FROM (SELECT CASE rn WHEN 1 THEN 'accepted' ELSE 'duplicate' END AS outcome, id, subject, quantity
+  FROM (SELECT first(id) OVER w AS id, subject, first(quantity) OVER w AS quantity, row_number() OVER w AS rn
+    FROM ev WHERE workspace_id = 'ws_1' AND quantity > 0
+    WINDOW w AS (PARTITION BY idempotency_key ORDER BY CAST(id AS BIGINT))))""",
+)
+def batch_replay(spark, folder):
+    """A tenant's batch that stops after its events are written, runs again, and is then sent with other quantities.
+
+    The second run starts over and the replay answers from the tables: the first payload's rows.
+    """
+    path, meters = scratch_path(spark, "replay"), event_meters(spark, folder)
+    raw = raw_from_usage(usage_from_events(spark, folder))
+    try:
+        _StopsHalfWay(spark, path).ingest(raw, meters, "daily", NOW, workspace="ws_1")
+    except InterruptedError:
+        store = EventStore(spark, path)
+    store.ingest(raw, meters, "daily", NOW, workspace="ws_1")
+    other = raw.withColumn("quantity", F.col("quantity") + 1000)
+    again = store.ingest(other, meters, "daily", NOW, workspace="ws_1")
+    fields = ["id", "subject", "quantity"]
+    accepted = again.accepted.select(F.lit("accepted").alias("outcome"), *fields)
+    return accepted.unionByName(again.duplicates.select(F.lit("duplicate").alias("outcome"), *fields))
+
+
 @query(
     "ingest_conflicting_ids",
     ctes(EV, RAW, TWO_BATCHES)

@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterframe.functions.timecalc import ntz, utc_naive
 from meterframe.operators import entitlements as ent
 from meterframe.plans.ingestion import ONE_BATCH, RAW, faulty_raw
-from meterframe.plans.quota import ASG, CNT, WIN, assignments
+from meterframe.plans.quota import (
+    ASG,
+    BASE,
+    BEFORE,
+    CNT,
+    NOW,
+    SQL_NOW,
+    WIN,
+    _progress_sql,
+    _state,
+    assignments,
+    limits,
+)
 from meterframe.plans.registry import EV, ctes, query, rounded
 from meterframe.session import scratch_path
 from meterframe.sources.readers import stream_parquet
@@ -161,3 +174,59 @@ def stream_counters(spark, folder):
         "last_quantity",
     )
     return rounded(rows, "quantity_sum")
+
+
+_BATCH_ENDS = {1: "TIMESTAMP '2024-01-24 12:00:00'", 2: SQL_NOW}
+# The first row of each key, as the store accepts it.
+_ACCEPTED = """ev_ok AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_key
+  ORDER BY CAST(id AS BIGINT)) AS rn FROM ev WHERE quantity > 0) WHERE rn = 1)"""
+
+
+@query(
+    "stream_quota_states",
+    ctes(
+        *BASE,
+        _ACCEPTED,
+        *[f"ev{i} AS (SELECT * FROM ev_ok WHERE event_time < {end})" for i, end in _BATCH_ENDS.items()],
+        *[
+            CNT.replace("placed AS", f"placed{i} AS").replace("FROM ev e", f"FROM ev{i} e").replace("cnt AS", f"cnt{i} AS").replace(
+                "FROM placed e", f"FROM placed{i} e"
+            )
+            for i in _BATCH_ENDS
+        ],
+        *[
+            _progress_sql(f"seen{i}", "fst", end).replace("LEFT JOIN cnt c", f"LEFT JOIN cnt{i} c")
+            for i, end in _BATCH_ENDS.items()
+        ],
+        "keys1 AS (SELECT DISTINCT workspace_id, subject, meter_name FROM ev1)",
+        f"""keys2 AS (SELECT DISTINCT workspace_id, subject, meter_name FROM ev2
+  WHERE event_time >= {_BATCH_ENDS[1]})""",
+        "new AS (SELECT s.* FROM seen2 s SEMI JOIN keys2 USING (workspace_id, subject, meter_name))",
+        """old AS (SELECT s.* FROM seen1 s SEMI JOIN keys1 USING (workspace_id, subject, meter_name)
+  ANTI JOIN new USING (workspace_id, subject, meter_name, plan_id, period))""",
+        f"both_states AS (SELECT *, {SQL_NOW} AS at_time FROM new UNION ALL SELECT *, {_BATCH_ENDS[1]} FROM old)",
+    )
+    + f"""SELECT workspace_id, subject, meter_name, plan_id, period, {_state("current", "limit_value", "warning_percent")} AS state,
+  round(current, 6) AS current, limit_value, at_time AS evaluated_at FROM both_states""",
+)
+def stream_quota_states(spark, folder):
+    """Two micro-batches, each evaluated when it is committed: a key that the second one leaves alone keeps its state."""
+    path = scratch_path(spark, "stream-quota")
+    events = table(spark, folder, "events")
+    # One folder after the other, so that the stream takes them in this order.
+    for start, end in (("2023-01-01T00:00:00Z", BEFORE), (BEFORE, NOW)):
+        part = events.filter((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
+        part.coalesce(1).write.mode("append").parquet(f"{path}-input")
+    raw = raw_from_usage(as_usage(stream_parquet(spark, f"{path}-input", events.schema, max_files=1)))
+    store, meters = EventStore(spark, path), event_meters(spark, folder)
+    history, rules = assignments(spark, folder), limits(spark)
+    ticks = iter([utc_naive(BEFORE), utc_naive(NOW)])
+
+    def evaluate(batch_id, now):
+        store.evaluate_quotas(batch_id, history, rules, meters, now)
+
+    start_ingest(
+        store, raw, meters, f"{path}-checkpoint", assignments=history, after_batch=evaluate, clock=lambda: next(ticks)
+    ).awaitTermination()
+    rows = store.quota_states().select(*ent.STATE_KEY, "state", "current", "limit_value", "evaluated_at")
+    return rounded(rows, "current")

@@ -3,7 +3,7 @@
 Layout (every table is partitioned by the columns in brackets):
 
     events     [event_date, batch_id]   sorted by workspace, meter, subject and time
-    keys       [batch_id]               idempotency keys: event id and date
+    keys       [key_bucket, batch_id]   idempotency keys: event id and date, in hash buckets
     duplicates [batch_id]               originals returned for duplicates
     counters   [batch_id]               mergeable quota counter partials
     runs       [batch_id]               ingestion log
@@ -13,7 +13,9 @@ Layout (every table is partitioned by the columns in brackets):
     matched    [batch_id]               stored keys that it repeats
     originals  [batch_id]               the events behind those keys
     quota_evaluations, alert_evaluations [batch_id]
-                                        evaluation log; states, events and snapshots are views of it
+                                        evaluation log; events and snapshots are views of it
+    quota_current, alert_current [state_bucket, head]
+                                        current states in hash buckets; a batch replaces the buckets it touches
 
 A batch writes only its own `batch_id` partitions and overwrites them dynamically,
 and readers see only batches in the ledger. A batch that failed half way can thus be
@@ -22,12 +24,18 @@ run again with the same id, and a committed one is answered from the tables.
 Folders by date rather than by tenant and meter keep the number of files of a small
 batch small; inside a file the sort order lets parquet skip the pages of other
 tenants and meters.
+
+A batch looks for its keys in the buckets that they fall into, and an evaluation reads and
+replaces the buckets of the keys or rules it looks at, so neither depends on how many batches
+came before. A `head` names one version of a bucket and the batch that wrote it; the newest
+committed one counts, and the few before it stay for a batch that is run again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +47,12 @@ from meterframe.operators.joins import latest_by, side_join
 from meterframe.schema import EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
 
 EVENTS_SCHEMA = f"{USAGE_EVENT}, ingest_batch string, event_date date, batch_id string"
-KEYS_SCHEMA = "workspace_id string, idempotency_key string, id string, event_date date, batch_id string"
+KEYS_SCHEMA = "workspace_id string, idempotency_key string, id string, event_date date"
+# Buckets of a store's keys and current states; fixed for the life of a store.
+KEY_BUCKETS = 32
+STATE_BUCKETS = 8
+# Committed versions of a state bucket that stay.
+KEPT_HEADS = 2
 POINT = "struct<event_time:timestamp_ntz,received_at:timestamp_ntz,id:string,quantity:double>"
 COUNTERS_SCHEMA = (
     "workspace_id string, subject string, meter_name string, period string, "
@@ -56,13 +69,22 @@ ALERT_EVALUATION = (
     "workspace_id string, rule_id string, group_key string, group_value string, status string, value double, "
     "usage_events long, message string, previous_status string, event_type string, evaluated_at timestamp_ntz"
 )
+QUOTA_STATE = (
+    "workspace_id string, subject string, meter_name string, plan_id string, period string, state string, "
+    "current double, limit_value double, remaining double, warning_percent double, message string, "
+    "evaluated_at timestamp_ntz"
+)
+ALERT_STATE = (
+    "workspace_id string, rule_id string, group_key string, group_value string, status string, value double, "
+    "message string, evaluated_at timestamp_ntz, updated_at timestamp_ntz"
+)
 LEDGER_SCHEMA = (
     "workspace_id string, kind string, committed_at timestamp_ntz, batch_id string"
 )
 
 PARTITIONS = {
     "events": ["event_date", "batch_id"],
-    "keys": ["batch_id"],
+    "keys": ["key_bucket", "batch_id"],
     "duplicates": ["batch_id"],
     "counters": ["batch_id"],
     "runs": ["batch_id"],
@@ -73,22 +95,39 @@ PARTITIONS = {
     "originals": ["batch_id"],
     "quota_evaluations": ["batch_id"],
     "alert_evaluations": ["batch_id"],
+    "quota_current": ["state_bucket", "head"],
+    "alert_current": ["state_bucket", "head"],
+}
+# What decides a row's bucket, and how a table's rows are laid out when written.
+BUCKET_OF = {
+    "keys": ("key_bucket", ["workspace_id", "idempotency_key"], KEY_BUCKETS),
+    "quota_current": ("state_bucket", ["workspace_id", "subject"], STATE_BUCKETS),
+    "alert_current": ("state_bucket", ["workspace_id", "rule_id"], STATE_BUCKETS),
 }
 SCHEMAS = {
     "events": EVENTS_SCHEMA,
-    "keys": KEYS_SCHEMA,
+    "keys": f"{KEYS_SCHEMA}, key_bucket int, batch_id string",
     "duplicates": f"index long, {USAGE_EVENT}, batch_id string",
     "counters": COUNTERS_SCHEMA,
     "runs": f"{INGESTION_RUN}, batch_id string",
     "ledger": LEDGER_SCHEMA,
     "staging": f"index long, {USAGE_EVENT}, code string, message string, batch_id string",
     "firsts": f"index long, {USAGE_EVENT}, copies long, batch_id string",
-    "matched": KEYS_SCHEMA,
+    "matched": f"{KEYS_SCHEMA}, batch_id string",
     "originals": f"{USAGE_EVENT}, batch_id string",
     "quota_evaluations": f"{QUOTA_EVALUATION}, batch_id string",
     "alert_evaluations": f"{ALERT_EVALUATION}, batch_id string",
+    "quota_current": f"{QUOTA_STATE}, state_bucket int, head string",
+    "alert_current": f"{ALERT_STATE}, state_bucket int, head string",
 }
 
+
+def bucket(table: str) -> Column:
+    """The hash bucket of a row of a bucketed table."""
+    _, columns, buckets = BUCKET_OF[table]
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
 @dataclass
 class IngestResult:
     """What a batch did: DataFrames over the store's tables."""
@@ -157,7 +196,12 @@ class EventStore:
         is large, also within one date, and merge what is small, so neither hot meters
         nor tiny files pile up. The other tables are written as their plan produced them.
         """
-        rows = rows.withColumn("batch_id", F.lit(batch_id))
+        self.put(table, rows.withColumn("batch_id", F.lit(batch_id)))
+
+    def put(self, table: str, rows: DataFrame) -> None:
+        """Replace the partitions that `rows`, which hold the partition columns, fall into."""
+        if table in BUCKET_OF:  # one file for a bucket, more only if it is large
+            rows = rows.hint("rebalance", BUCKET_OF[table][0])
         if table == "events":
             cluster = ["event_date", "workspace_id", "meter_name"]
             rows = rows.hint("rebalance", *cluster).sortWithinPartitions(*cluster, "subject", "event_time")
@@ -216,8 +260,7 @@ class EventStore:
 
         self.write("firsts", ingest.dedupe_batch(ok), batch_id)
         firsts = self.own("firsts", batch_id)
-        stored_keys = self.table("keys").filter(F.col("batch_id") != batch_id).drop("batch_id")
-        self.write("matched", ingest.already_stored(firsts, stored_keys), batch_id)
+        self.write("matched", self.matched_keys(firsts, batch_id), batch_id)
         matched = self.own("matched", batch_id)
         accepted = ingest.accept(firsts, matched).select(*EVENT_COLUMNS)
         dated = accepted.select(
@@ -230,7 +273,7 @@ class EventStore:
 
         mine = self.own("events", batch_id)
         keyed = mine.filter(F.col("idempotency_key").isNotNull())
-        self.write("keys", keyed.select("workspace_id", "idempotency_key", "id", "event_date"), batch_id)
+        self.write_keys(keyed, batch_id)
         # The originals are fetched by date folder and id, so only folders that hold
         # one are read.
         wanted = matched.select("event_date", "id")
@@ -250,6 +293,33 @@ class EventStore:
         self.write("ledger", ledger.coalesce(1), batch_id)
         return self.result(batch_id, ingest.failures(staged), replayed=False)
 
+    def write_keys(self, events: DataFrame, batch_id: str | Column) -> None:
+        """Remember the keys of events under the batch, or the batches, they came with."""
+        batch = F.lit(batch_id) if isinstance(batch_id, str) else batch_id
+        columns = ["workspace_id", "idempotency_key", "id", "event_date"]
+        self.put("keys", events.select(*columns, bucket("keys").alias("key_bucket"), batch.alias("batch_id")))
+
+    def touched(self, table: str, rows: DataFrame) -> list[int]:
+        """The buckets of a table that rows fall into: at most the table's number of buckets."""
+        return sorted(r[0] for r in rows.select(bucket(table)).distinct().collect())
+
+    def buckets(self, table: str, numbers: list[int]) -> DataFrame:
+        """Rows of some buckets; other buckets are neither listed nor read."""
+        column = BUCKET_OF[table][0]
+        folders = [f"{self.path(table)}/{column}={n}" for n in numbers]
+        present = [f for f in folders if self._fs(f)[0].exists(self._fs(f)[1])]
+        if not present:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        reader = self.spark.read.option("basePath", self.path(table))
+        return reader.schema(SCHEMAS[table]).parquet(*present)
+
+    def matched_keys(self, firsts: DataFrame, batch_id: str) -> DataFrame:
+        """Keys of other committed batches that occur in a batch, looked up in its buckets only."""
+        keyed = firsts.filter(F.col("idempotency_key").isNotNull())
+        stored = self.buckets("keys", self.touched("keys", keyed)).filter(F.col("batch_id") != batch_id)
+        stored = stored.join(self.committed(), "batch_id", "left_semi").drop("batch_id", "key_bucket")
+        return ingest.already_stored(firsts, stored)
+
     def result(self, batch_id: str, failed: DataFrame, replayed: bool) -> IngestResult:
         """A batch's rows."""
         return IngestResult(
@@ -276,17 +346,67 @@ class EventStore:
 
     # --- evaluation state ---------------------------------------------------------
 
-    def _log(self, table: str, without_batch: str | None = None) -> DataFrame:
-        """Evaluation rows; `without_batch` leaves out a batch being evaluated again."""
-        rows = self.table(table)
+    def _log(self, table: str) -> DataFrame:
+        """Evaluation rows of committed batches."""
+        return self.table(table).drop("batch_id")
+
+    def _current(self, table: str, without_batch: str | None = None, numbers: list[int] | None = None) -> DataFrame | None:
+        """Rows of the newest committed version of each bucket (of some, if given), with its `head`.
+
+        Which version that is follows from the partition columns: at most a few rows per
+        bucket, whatever the number of batches. None when nothing was ever written.
+        """
+        if not self.exists(table):
+            return None
+        rows = self.raw_table(table)
+        if numbers is not None:
+            rows = rows.filter(F.col("state_bucket").isin(numbers) if numbers else F.lit(False))
+        newest = self._heads(rows, without_batch).groupBy("state_bucket").agg(F.max("head").alias("head")).collect()
+        chosen = [(F.col("state_bucket") == r["state_bucket"]) & (F.col("head") == r["head"]) for r in newest]
+        return rows.filter(reduce(lambda a, b: a | b, chosen, F.lit(False)))
+
+    def _heads(self, rows: DataFrame, without_batch: str | None = None) -> DataFrame:
+        """Versions of state buckets that committed batches wrote."""
+        heads = rows.select("state_bucket", "head").distinct()
+        heads = heads.withColumn("batch_id", F.regexp_extract("head", r"^\d+~(?s)(.*)$", 1))
         if without_batch is not None:
-            rows = rows.filter(F.col("batch_id") != without_batch)
-        return rows.drop("batch_id")
+            heads = heads.filter(F.col("batch_id") != without_batch)
+        return heads.join(self.committed(), "batch_id", "left_semi")
 
-    def quota_states(self, without_batch: str | None = None) -> DataFrame:
-        """Latest quota state per key."""
-        rows = entitlements.states(self._log("quota_evaluations", without_batch))
-        return latest_by(rows, entitlements.STATE_KEY, ["evaluated_at"])
+    def _replace(self, table: str, states: DataFrame, key: list[str], batch_id: str, numbers: list[int]) -> None:
+        """A new version of the touched buckets: their states with the new ones in place.
+
+        Versions beyond the kept ones go once this one is written. A version that a failed
+        batch left behind is not counted and goes with them.
+        """
+        before = self._current(table, batch_id, numbers)
+        fresh = states.withColumn("__new", F.lit(1))
+        if before is not None:
+            old = before.select(*states.columns).withColumn("__new", F.lit(0))
+            fresh = latest_by(fresh.unionByName(old), key, ["evaluated_at", "__new"])
+        version = 0
+        if self.exists(table):
+            newest = self.raw_table(table).agg(F.max("head")).first()[0]
+            version = int(newest.split("~", 1)[0]) + 1 if newest else 0
+        rows = fresh.drop("__new").withColumn("state_bucket", bucket(table))
+        self.put(table, rows.withColumn("head", F.lit(f"{version:012d}~{batch_id}")))
+        if version:
+            self._drop_old_heads(table, numbers, version)
+
+    def _drop_old_heads(self, table: str, numbers: list[int], version: int) -> None:
+        rows = self.raw_table(table).filter(F.col("state_bucket").isin(numbers))
+        kept = self._heads(rows).groupBy("state_bucket").agg(F.sort_array(F.collect_set("head"), asc=False).alias("heads"))
+        oldest = kept.select("state_bucket", F.try_element_at("heads", F.lit(KEPT_HEADS + 1)).alias("oldest"))
+        folders = rows.select("state_bucket", "head", _folder().alias("folder")).distinct()
+        doomed = folders.join(F.broadcast(oldest), "state_bucket").filter(F.col("head") <= F.col("oldest"))
+        self._delete([r["folder"] for r in doomed.select("folder").distinct().collect()])
+
+    def quota_states(self, without_batch: str | None = None, numbers: list[int] | None = None) -> DataFrame:
+        """Current quota state per key, of all buckets or of some."""
+        rows = self._current("quota_current", without_batch, numbers)
+        if rows is None:
+            return self.spark.createDataFrame([], QUOTA_STATE)
+        return rows.drop("state_bucket", "head")
 
     def quota_events(self) -> DataFrame:
         return entitlements.events_of(self._log("quota_evaluations"))
@@ -297,9 +417,12 @@ class EventStore:
         snapshots = entitlements.snapshots(rows, F.col("evaluated_at").alias("updated_at"))
         return latest_by(snapshots, [*entitlements.STATE_KEY, "period_start"], ["updated_at"])
 
-    def alert_states(self, without_batch: str | None = None) -> DataFrame:
-        """Latest state per rule and group."""
-        return latest_by(alerts.states(self._log("alert_evaluations", without_batch)), alerts.GROUP, ["evaluated_at"])
+    def alert_states(self, without_batch: str | None = None, numbers: list[int] | None = None) -> DataFrame:
+        """Current state per rule and group, of all buckets or of some."""
+        rows = self._current("alert_current", without_batch, numbers)
+        if rows is None:
+            return self.spark.createDataFrame([], ALERT_STATE)
+        return rows.drop("state_bucket", "head")
 
     def alert_events(self) -> DataFrame:
         return alerts.events_of(self._log("alert_evaluations"))
@@ -311,6 +434,7 @@ class EventStore:
         keys = ingest.affected_keys(self.own("events", batch_id))
         # Only the touched subjects' assignments and counters take part.
         subjects = keys.select("workspace_id", "subject").distinct()
+        numbers = self.touched("quota_current", subjects)
         touched = assignments.join(subjects, ["workspace_id", "subject"], "left_semi")
         counters = self.table("counters").join(subjects, ["workspace_id", "subject"], "left_semi")
         evaluated = entitlements.evaluate(
@@ -319,11 +443,13 @@ class EventStore:
             limits,
             meters,
             entitlements.merge_counters(counters),
-            self.quota_states(without_batch=batch_id),
+            self.quota_states(batch_id, numbers),
             now,
         )
         columns = [c.split()[0] for c in QUOTA_EVALUATION.split(", ")]
         self.write("quota_evaluations", evaluated.select(*columns), batch_id)
+        written = self.own("quota_evaluations", batch_id)
+        self._replace("quota_current", entitlements.states(written), entitlements.STATE_KEY, batch_id, numbers)
 
     def evaluate_alerts(self, batch_id: str, rules: DataFrame, meters: DataFrame, now: str | datetime) -> None:
         """Evaluate the rules that are due or that a batch touched; repeating it replaces its own log rows.
@@ -334,8 +460,11 @@ class EventStore:
         touched = ingest.matched_rules(self.own("events", batch_id).select(*EVENT_COLUMNS), rules)
         due = alerts.due_rules(rules, now).select("workspace_id", "rule_id")
         active = rules.join(touched.unionByName(due), ["workspace_id", "rule_id"], "left_semi")
-        previous = alerts.of_known_rules(self.alert_states(without_batch=batch_id), active)
+        numbers = self.touched("alert_current", active)
+        previous = alerts.of_known_rules(self.alert_states(batch_id, numbers), active)
         self.write("alert_evaluations", alerts.evaluate(active, self.events(), meters, previous, now), batch_id)
+        written = self.own("alert_evaluations", batch_id)
+        self._replace("alert_current", alerts.states(written), alerts.GROUP, batch_id, numbers)
         if not self.is_committed(batch_id):  # a tick of its own, without ingested events
             entry = self.spark.createDataFrame([(None, "evaluation", None)], LEDGER_SCHEMA.rsplit(",", 1)[0])
             self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)

@@ -11,6 +11,7 @@ from meterframe.operators import paging, series, stats
 from meterframe.operators.breakdown import aggregate_range, breakdown, dimension_values, share_of_max
 from meterframe.operators.buckets import buckets, group_fields, ordered
 from meterframe.operators.scan import scan
+from meterframe.session import materialize
 from meterframe.sources.sinks import plain_number, write_bucket_csv, write_event_csv
 
 DAY, NEXT = "2026-06-08T00:00:00Z", "2026-06-09T00:00:00Z"
@@ -312,3 +313,21 @@ def test_event_csv(make, tmp_path):
         "2026-06-08T11:00:00Z,2026-06-08T11:00:00Z,org_123,api_calls,3,{},e001,",
         '2026-06-08T10:00:00Z,2026-06-08T10:00:00Z,org_123,api_calls,2.5,"{""note"":""say \\""hi\\"", ok""}",e000,k1',
     ]
+
+
+def test_typed_conditions_share_one_parse(make, capsys):
+    row = {"event_time": at("2026-06-08"), "metadata": '{"a": {"b": 3}, "c": "x", "n": null}'}
+    usage = materialize(make.usage(row), "usage")
+    tree = all_of(
+        Condition("subject", "eq", "org_123"),
+        Condition("metadata.a.b", "gte", 2),
+        any_of(Condition("metadata.c", "in", ["x", "y"]), Condition("metadata.n", "exists")),
+        Condition("metadata.c", "neq", "z"),
+    )
+    rows = usage.filter(to_column(tree))
+    assert rows.count() == 1
+    rows.explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith("Condition")]
+    assert sum(line.count("parse_json") for line in filters) == 1
+    # The test without types stands before the parse.
+    assert filters[0].index("subject") < filters[0].index("parse_json")
