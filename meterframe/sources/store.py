@@ -14,6 +14,7 @@ Layout (every table is partitioned by the columns in brackets):
     originals  [batch_id]               the events behind those keys
     quota_evaluations, alert_evaluations [batch_id]
                                         evaluation log; events and snapshots are views of it
+    cutoffs    [batch_id]               retention: what a prune hides
     quota_current, alert_current [state_bucket, head]
                                         current states in hash buckets; a batch replaces the buckets it touches
 
@@ -48,6 +49,7 @@ from meterframe.schema import EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
 
 EVENTS_SCHEMA = f"{USAGE_EVENT}, ingest_batch string, event_date date, batch_id string"
 KEYS_SCHEMA = "workspace_id string, idempotency_key string, id string, event_date date"
+METER = ["workspace_id", "meter_name"]
 # Buckets of a store's keys and current states; fixed for the life of a store.
 KEY_BUCKETS = 32
 STATE_BUCKETS = 8
@@ -95,6 +97,7 @@ PARTITIONS = {
     "originals": ["batch_id"],
     "quota_evaluations": ["batch_id"],
     "alert_evaluations": ["batch_id"],
+    "cutoffs": ["batch_id"],
     "quota_current": ["state_bucket", "head"],
     "alert_current": ["state_bucket", "head"],
 }
@@ -117,6 +120,7 @@ SCHEMAS = {
     "originals": f"{USAGE_EVENT}, batch_id string",
     "quota_evaluations": f"{QUOTA_EVALUATION}, batch_id string",
     "alert_evaluations": f"{ALERT_EVALUATION}, batch_id string",
+    "cutoffs": "workspace_id string, meter_name string, cutoff timestamp_ntz, pruned_at timestamp_ntz, batch_id string",
     "quota_current": f"{QUOTA_STATE}, state_bucket int, head string",
     "alert_current": f"{ALERT_STATE}, state_bucket int, head string",
 }
@@ -186,8 +190,11 @@ class EventStore:
         return self.raw_table(table).filter(F.col("batch_id") == batch_id).drop("batch_id")
 
     def events(self) -> DataFrame:
+        """Committed events that no prune hides."""
         promoted = [F.col(f"`{c}`") for c in self.promoted]
-        return self.table("events").select(*EVENT_COLUMNS, "event_date", *promoted)
+        rows = self.table("events").select(*EVENT_COLUMNS, "event_date", *promoted)
+        cutoffs = self._cutoffs()
+        return rows if cutoffs is None else self._marked(rows, cutoffs).filter(~F.col("pruned")).drop("pruned")
 
     def write(self, table: str, rows: DataFrame, batch_id: str) -> None:
         """Replace this batch's partitions of a table.
@@ -471,49 +478,56 @@ class EventStore:
 
     # --- retention --------------------------------------------------------------
 
-    def prune(self, cutoffs: DataFrame, batch_id: str) -> list[str]:
-        """Remove events older than their meter's cutoff; returns the dropped folders.
+    def prune(self, cutoffs: DataFrame, batch_id: str, now: str | datetime) -> None:
+        """Hide the events that came by `now` and are older than their meter's cutoff.
 
-        Folders that no cutoff has reached are not read. One that some cutoff has reached
-        is rewritten with the rows that stay, in the batch they came with, and dropped
-        when none stays. Keys and counters stay, so deduplication and quotas
-        survive pruning.
+        Only cutoffs are written, and the ledger entry makes them count at once: a reader sees
+        all events or the pruned ones, never a part. Events that arrive later are new, however
+        old their time. Keys and counters stay, so deduplication and quotas survive pruning.
         """
-        folders = PARTITIONS["events"]
-        meter = ["workspace_id", "meter_name"]
-        limits = cutoffs.select(*meter, "cutoff")
-        bounds = limits.agg(F.to_date(F.max("cutoff")).alias("highest")).first()
-        if bounds["highest"] is None:
+        self.write("cutoffs", cutoffs.select(*METER, "cutoff", ntz(now).alias("pruned_at")), batch_id)
+        entry = self.spark.createDataFrame([(None, "prune", None)], LEDGER_SCHEMA.rsplit(",", 1)[0])
+        self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
+
+    def _cutoffs(self) -> DataFrame | None:
+        """Per meter the cutoffs that count, one row; those that a wider and later one covers drop out."""
+        if not self.exists("cutoffs"):
+            return None
+        cuts = F.collect_set(F.struct("cutoff", "pruned_at"))
+        found = self.table("cutoffs").groupBy(*METER).agg(cuts.alias("all_cuts"))
+
+        def covered(cut: Column) -> Column:
+            def covers(other: Column) -> Column:
+                wider = (other["cutoff"] >= cut["cutoff"]) & (other["pruned_at"] >= cut["pruned_at"])
+                return wider & (other != cut)
+
+            return F.exists("all_cuts", covers)
+
+        return found.select(*METER, F.filter("all_cuts", lambda cut: ~covered(cut)).alias("cuts"))
+
+    def _marked(self, events: DataFrame, cutoffs: DataFrame) -> DataFrame:
+        """Adds `pruned`: whether a cutoff hides the event."""
+        hidden = F.exists("cuts", lambda c: (F.col("event_time") < c["cutoff"]) & (F.col("received_at") <= c["pruned_at"]))
+        joined = side_join(events, cutoffs, METER, "left")
+        return joined.withColumn("pruned", F.coalesce(hidden, F.lit(False))).drop("cuts")
+
+    def sweep(self) -> list[str]:
+        """Delete the event folders of which nothing is visible any more; returns them.
+
+        No result changes. Run it when readers that began before the last `prune` are done.
+        Folders that no cutoff reaches are not read, and of the others no metadata is.
+        """
+        cutoffs = self._cutoffs()
+        if cutoffs is None:
             return []
-        stored = self.table("events")
-        # Only tenant, meter and folder are read to find the folders that change.
-        known = side_join(stored.select(*folders, *meter), limits, meter, "left", spread=F.xxhash64("event_date"))
-        in_reach = F.col("event_date") <= F.lit(bounds["highest"])
-        old = F.col("event_date").cast("timestamp_ntz") < F.col("cutoff")
-        touched = known.filter(in_reach & old).select(*folders).distinct()
-
-        kept_path = f"{self.root}/staging_prune/{batch_id}"
-        rows = side_join(stored.filter(in_reach), limits, meter, "left")
-        keep = F.col("cutoff").isNull() | (F.col("event_time") >= F.col("cutoff"))
-        kept = rows.filter(keep).drop("cutoff").join(touched, folders, "left_semi")
-        kept.write.mode("overwrite").parquet(kept_path)
-        survivors = self.spark.read.schema(self.raw_table("events").schema).parquet(kept_path)
-
-        named = self.raw_table("events").select(*folders, _folder().alias("folder")).distinct()
-        emptied = named.join(touched, folders, "left_semi").join(
-            survivors.select(*folders).distinct(), folders, "left_anti"
-        )
-        # Read before anything is removed; one task's worth of names at a time.
-        doomed = [row["folder"] for row in emptied.select("folder").toLocalIterator()]
-        cluster = ["event_date", "batch_id", *meter]
-        (
-            survivors.hint("rebalance", *cluster)
-            .sortWithinPartitions(*cluster, "subject", "event_time")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*folders)
-            .parquet(self.path("events"))
-        )
+        highest = cutoffs.agg(F.to_date(F.max(F.array_max("cuts.cutoff")))).first()[0]
+        if highest is None:
+            return []
+        reached = self.raw_table("events").filter(F.col("event_date") <= F.lit(highest))
+        rows = reached.select("event_date", "batch_id", *METER, "id", "event_time", "received_at", _folder().alias("folder"))
+        rows = rows.join(self.committed(), "batch_id", "left_semi")
+        dead = self._marked(rows, cutoffs).groupBy("event_date", "folder").agg(F.every("pruned").alias("dead"))
+        doomed = [r["folder"] for r in dead.filter("dead").select("folder").toLocalIterator()]
         self._delete(doomed)
         return doomed
 

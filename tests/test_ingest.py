@@ -10,6 +10,7 @@ from sample_values import at, dim
 from meterframe.operators import catalog, ingest, joins, retention
 from meterframe.operators.breakdown import aggregate_range
 from meterframe.functions.predicates import Condition
+from meterframe.functions.timecalc import ntz
 from meterframe.operators.buckets import buckets
 from meterframe.schema import RAW_EVENT
 from meterframe.session import scratch_path
@@ -280,12 +281,21 @@ def test_prune_is_strict_and_keeps_keys(make, store):
     run = retention.prune_run(counts, True, "r1", "2026-06-10T00:00:00Z").first()
     assert (run["deleted"], run["dry_run"], len(run["meters"])) == (2, True, 2)
     assert store.events().count() == 4
-    dropped = store.prune(cuts, "p1")
-    assert len(dropped) == 1
+    before, later = store.events(), "2026-06-10T00:00:00Z"
+    store.write("cutoffs", cuts.withColumn("pruned_at", ntz(later)), "stopped")  # a prune that ended before its entry
+    assert store.events().count() == 4
+    store.prune(cuts, "p1", later)
+    assert sorted(r["quantity"] for r in store.events().collect()) == [2.0, 5.0]
+    assert before.count() == 4  # a reader that began earlier sees all events
+    assert len(store.sweep()) == 1
     assert sorted(r["quantity"] for r in store.events().collect()) == [2.0, 5.0]
     again = make.raw({"timestamp": at("2026-06-09 10:00:00"), "idempotency_key": "old"})
     assert store.ingest(again, meters, "b2", NOW).accepted.count() == 0
-    assert store.prune(cuts, "p2") == []
+    assert store.sweep() == []
+    # What comes after the prune is new, however old.
+    late = make.raw({"timestamp": at("2026-06-01"), "quantity": 7.0})
+    store.ingest(late, meters, "b3", "2026-06-11T00:00:00Z")
+    assert sorted(r["quantity"] for r in store.events().collect()) == [2.0, 5.0, 7.0]
 
 
 # --- catalog -----------------------------------------------------------------------
