@@ -775,10 +775,18 @@ def list_rows(rows: DataFrame, order: list[tuple[str, bool]], limit: int, **equa
 
 
 def list_assignments(
-    assignments: DataFrame, plans: DataFrame, now: str | datetime, include_history: bool = False
+    assignments: DataFrame,
+    plans: DataFrame,
+    now: str | datetime,
+    include_history: bool = False,
+    subject: str | None = None,
+    plan_id: str | None = None,
 ) -> DataFrame:
     """Assignments with plan name and version and their status; open ones only by default."""
     rows = assignments if include_history else assignments.filter(not_ended(ntz(now)))
+    for column, value in (("subject", subject), ("plan_id", plan_id)):
+        if value:
+            rows = rows.filter(F.col(column) == value)
     side = plans.select(
         "workspace_id",
         F.col("id").alias("plan_id"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.plans.spec import QuerySpec, meter_definition, run_spec
+from meterframe.functions.predicates import from_dict, to_column
+from meterframe.plans.spec import QuerySpec, check_shared, definitions, named_groups, run_together
+from meterframe.session import materialize
 from meterframe.sources.sinks import write_bucket_csv
 
 # Fixed names of the export states.
@@ -17,20 +19,35 @@ NEEDS_ACTION = ("failed", "canceled")
 def run_exports(
     spark: SparkSession, specs: list[tuple[str, str]], events: DataFrame, meters: DataFrame, folder: str
 ) -> DataFrame:
-    """Run each `(id, spec JSON)` as its own job into `folder/id`; returns status rows.
+    """Run each `(id, spec JSON)` into `folder/id`; returns status rows.
 
-    One failing export does not stop the others, and a repeated id overwrites its own
-    output, so the batch can be run again.
+    All bucket specs share one scan of the events, whose result is written once. One
+    failing export does not stop the others, and a repeated id overwrites its own output,
+    so the batch can be run again.
     """
-    statuses = []
+    parsed: list[tuple[str, QuerySpec]] = []
+    failed: dict[str, str] = {}
     for key, text in specs:
-        path = f"{folder}/{key}"
         try:
-            spec = QuerySpec.from_json(text)
-            meter = meter_definition(meters, spec.workspace, spec.meter)
-            rows = run_spec(spec, events, meters)
+            parsed.append((key, QuerySpec.from_json(text)))
+        except Exception as error:  # any failure becomes this export's status
+            failed[key] = _first_line(error)
+    known = definitions([spec for _, spec in parsed], meters)
+    sound = []
+    for key, spec in parsed:
+        try:
+            check_shared(spec, known)
+            to_column(from_dict(spec.filter), events.columns)
+            sound.append((key, spec))
+        except Exception as error:
+            failed[key] = _first_line(error)
+    shared = materialize(run_together(sound, events, meters), "export-rows")
+    done: dict[str, str] = {}
+    for key, spec in sound:
+        meter, path = known[(spec.workspace, spec.meter)], f"{folder}/{key}"
+        try:
             write_bucket_csv(
-                rows,
+                named_groups(shared.filter(F.col("spec") == key), spec),
                 path,
                 spec.meter,
                 spec.bucket_size,
@@ -39,12 +56,19 @@ def run_exports(
                 list(spec.group_by),
                 single_file=spec.limit is not None,
             )
-            statuses.append((key, "completed", path, None))
-        except Exception as error:  # any failure becomes this export's status
-            statuses.append((key, "failed", None, str(error).splitlines()[0]))
+            done[key] = path
+        except Exception as error:
+            failed[key] = _first_line(error)
+    statuses = [
+        (key, "completed" if key in done else "failed", done.get(key), failed.get(key)) for key, _ in specs
+    ]
     return spark.createDataFrame(statuses, "id string, status string, path string, error string")
 
 
+def _first_line(error: Exception) -> str:
+    return str(error).splitlines()[0]
+
+
 def export_status(jobs: DataFrame) -> DataFrame:
     """Active, completed and needs-action counts."""
     status = F.col("status")

@@ -138,6 +138,30 @@ def ingest_all_events(spark, folder):
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query(
+    "ingest_dotted_keys",
+    ctes(EV, "keyed AS (SELECT *, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS k FROM ev WHERE quantity > 0)")
+    + """SELECT id, CASE WHEN k % 3 <> 0 THEN CAST(k AS VARCHAR) END AS tier, CASE WHEN k % 3 = 1 THEN '2' END AS zone,
+  k % 3 = 0 AS flat, CASE WHEN k % 3 = 0 THEN 'dimension "service.tier" conflicts with existing metadata' END AS message
+FROM keyed""",
+)
+def ingest_dotted_keys(spark, folder):
+    """A dotted dimension sent as a flat key: it becomes nested, next to what is there, or fails on a plain value."""
+    dotted = F.transform("dimensions", lambda d: d.withField("name", F.lit("service.tier")))
+    meters = materialize(event_meters(spark, folder).withColumn("dimensions", dotted), "dotted-meters")
+    k = F.get_json_object("metadata", "$.k")
+    others = F.when(k.cast("bigint") % 3 == 0, ', "service": 5').when(k.cast("bigint") % 3 == 1, ', "service": {"zone": 2}')
+    sent = F.concat(F.lit('{"service.tier": '), k, F.coalesce(others, F.lit("")), F.lit("}"))
+    raw = raw_from_usage(usage_from_events(spark, folder)).filter("quantity > 0").withColumn("metadata", sent)
+    return ingest.validate(raw, meters, NOW).select(
+        "id",
+        F.get_json_object("metadata", "$.service.tier").alias("tier"),
+        F.get_json_object("metadata", "$.service.zone").alias("zone"),
+        F.array_contains(F.json_object_keys("metadata"), "service.tier").alias("flat"),
+        "message",
+    )
+
+
 _STORED_DAYS = """stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_key
   ORDER BY CAST(id AS BIGINT)) AS rn FROM ev WHERE event_time < TIMESTAMP '2024-01-21') WHERE rn = 1),
 batch AS (SELECT * FROM ev WHERE event_time >= TIMESTAMP '2024-01-21' OR (event_time >= TIMESTAMP '2024-01-19'

@@ -588,6 +588,61 @@ def quota_events(spark, folder):
     return rounded(rows, "current")
 
 
+@query(
+    "quota_state_list",
+    _EVALUATED
+    + """SELECT subject, meter_name, plan_id, period, state, round(current, 6) AS current FROM st2
+WHERE workspace_id = 'ws_1' AND state = 'exceeded' ORDER BY round(current, 6) DESC, subject, meter_name, plan_id, period LIMIT 25""",
+)
+def quota_state_list(spark, folder):
+    """The largest exceeded quotas of a tenant."""
+    rows = rounded(_evaluated(spark, folder), "current")
+    order = [("current", False), ("subject", True), ("meter_name", True), ("plan_id", True), ("period", True)]
+    listed = ent.list_rows(rows, order, 25, workspace_id="ws_1", state="exceeded", subject=None)
+    return listed.select("subject", "meter_name", "plan_id", "period", "state", "current")
+
+
+@query(
+    "quota_event_list",
+    _EVALUATED
+    + """SELECT subject, meter_name, plan_id, period, event_type AS type, previous_state FROM typed
+WHERE workspace_id = 'ws_2' AND event_type IS NOT NULL ORDER BY event_type, subject, meter_name, plan_id, period LIMIT 40""",
+)
+def quota_event_list(spark, folder):
+    """The transition events of a tenant, by type and key."""
+    rows = ent.events_of(_evaluated(spark, folder))
+    order = [(c, True) for c in ("type", "subject", "meter_name", "plan_id", "period")]
+    listed = ent.list_rows(rows, order, 40, workspace_id="ws_2", meter_name="")
+    return listed.select("subject", "meter_name", "plan_id", "period", "type", "previous_state")
+
+
+@query(
+    "period_snapshot_list",
+    ctes(*BASE, _progress_sql("prg", "lim", SQL_NOW))
+    + """SELECT subject, meter_name, plan_id, period, period_start, round(current, 6) AS current FROM prg
+WHERE workspace_id = 'ws_0' AND meter_name = 'click' ORDER BY period_start DESC, subject, plan_id, period LIMIT 30""",
+)
+def period_snapshot_list(spark, folder):
+    """The newest period snapshots of a meter."""
+    t = _Tables(spark, folder)
+    rows = ent.snapshots(ent.progress(t.assignments, t.limits, t.meters, t.counters, NOW))
+    order = [("period_start", False), ("subject", True), ("plan_id", True), ("period", True)]
+    listed = ent.list_rows(rows, order, 30, workspace_id="ws_0", meter_name="click")
+    return rounded(listed.select("subject", "meter_name", "plan_id", "period", "period_start", "current"), "current")
+
+
+@query(
+    "assignment_list_of_plan",
+    ctes(ASG)
+    + f"""SELECT id, subject, assigned_at, CASE WHEN assigned_at > {SQL_NOW} THEN 'scheduled' ELSE 'active' END AS status
+FROM asg WHERE plan_id = 'pro' AND (unassigned_at IS NULL OR unassigned_at > {SQL_NOW})""",
+)
+def assignment_list_of_plan(spark, folder):
+    """The open assignments of one plan."""
+    rows = ent.list_assignments(assignments(spark, folder), plans(spark), NOW, plan_id="pro")
+    return rows.select("id", "subject", "assigned_at", "status")
+
+
 @query(
     "quota_transitions",
     ctes(

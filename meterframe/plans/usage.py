@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from meterframe.operators.breakdown import aggregate_range, breakdown, dimension
 from meterframe.operators.buckets import buckets
 from meterframe.operators.scan import scan
 from meterframe.plans.registry import EV, ITM, MET, ORD, ctes, query, rounded
+from meterframe.plans.spec import QuerySpec, run_together
 from meterframe.schema import AGGREGATIONS
 from meterframe.sources.sinks import bucket_csv, event_csv
 from meterframe.sources.tables import (
     event_meters,
+    meters_from_usage,
     usage_from_events,
     usage_from_lineitem,
     usage_from_orders,
@@ -543,3 +546,49 @@ FROM ev""",
 )
 def csv_events(spark, folder):
     return event_csv(usage_from_events(spark, folder))
+
+
+# --- saved specs ------------------------------------------------------------------------------
+
+_SPECS = {
+    "daily_k": dict(meter="view", bucket_size="day", group_by=["k"], workspace="ws_0"),
+    "rate": dict(meter="click", bucket_size="month", workspace="ws_1"),
+    "loud": dict(
+        meter="purchase",
+        bucket_size="hour",
+        workspace="ws_2",
+        filter={"type": "condition", "field": "metadata.k", "op": "gte", "value": 50},
+    ),
+    "first_subjects": dict(meter="purchase", bucket_size="day", group_by=["subject"], limit=7, workspace="ws_2"),
+    "one_user": dict(meter="error", bucket_size="day", subject="user_4", workspace="ws_1"),
+}
+_SPEC_METERS = {"view": "sum", "click": "rate", "purchase": "max", "error": "last"}
+
+
+@query(
+    "saved_specs_run",
+    ctes(EV)
+    + """SELECT 'daily_k' AS spec, date_trunc('day', event_time)::TIMESTAMP AS bucket_start, '' AS subject,
+  json_extract_string(metadata, '$.k') AS groups, round(sum(quantity), 6) AS quantity
+FROM ev WHERE workspace_id = 'ws_0' AND meter_name = 'view' GROUP BY 2, 4
+UNION ALL SELECT 'rate', TIMESTAMP '2024-01-01', '', '', round(count(*) / (31 * 86400.0), 6)
+FROM ev WHERE workspace_id = 'ws_1' AND meter_name = 'click'
+UNION ALL SELECT 'loud', date_trunc('hour', event_time)::TIMESTAMP, '', '', round(max(quantity), 6)
+FROM ev WHERE workspace_id = 'ws_2' AND meter_name = 'purchase' AND CAST(json_extract_string(metadata, '$.k') AS DOUBLE) >= 50
+GROUP BY 2
+UNION ALL (SELECT 'first_subjects', date_trunc('day', event_time)::TIMESTAMP AS b, subject, subject AS g, round(max(quantity), 6)
+FROM ev WHERE workspace_id = 'ws_2' AND meter_name = 'purchase' GROUP BY 2, 3 ORDER BY b, g LIMIT 7)
+UNION ALL SELECT 'one_user', date_trunc('day', event_time)::TIMESTAMP, 'user_4', '',
+  round(first(quantity ORDER BY event_time DESC, id DESC), 6)
+FROM ev WHERE workspace_id = 'ws_1' AND meter_name = 'error' AND subject = 'user_4' GROUP BY 2""",
+)
+def saved_specs_run(spark, folder):
+    """Five saved queries of four aggregations from one scan of the events."""
+    meters = meters_from_usage(usage_from_events(spark, folder))
+    kinds = F.create_map(*[F.lit(part) for pair in _SPEC_METERS.items() for part in pair])
+    meters = meters.withColumn("aggregation", F.coalesce(F.try_element_at(kinds, "name"), "aggregation"))
+    specs = [
+        (key, QuerySpec.from_json(json.dumps({"start": START, "end": END, **spec}))) for key, spec in _SPECS.items()
+    ]
+    rows = run_together(specs, usage_from_events(spark, folder), meters)
+    return rounded(rows.withColumn("groups", F.concat_ws("|", "groups")), "quantity")
