@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterframe.functions.timecalc import ntz, utc_naive
 from meterframe.operators import entitlements as ent
+from meterframe.plans import alerting
 from meterframe.plans.ingestion import ONE_BATCH, RAW, faulty_raw
 from meterframe.plans.quota import (
     ASG,
@@ -21,8 +22,8 @@ from meterframe.plans.quota import (
     assignments,
     limits,
 )
-from meterframe.plans.registry import EV, ctes, query, rounded
-from meterframe.session import scratch_path
+from meterframe.plans.registry import EV, MET, ctes, query, rounded
+from meterframe.session import materialize, scratch_path
 from meterframe.sources.readers import stream_parquet
 from meterframe.sources.store import EventStore
 from meterframe.sources.tables import as_usage, event_meters, raw_from_usage, table
@@ -176,6 +177,16 @@ def stream_counters(spark, folder):
     return rounded(rows, "quantity_sum")
 
 
+def _two_parts(spark, folder, path: str, before: str, now: str) -> DataFrame:
+    """The raw events up to `before` and then up to `now`, as a stream of two micro-batches."""
+    events = table(spark, folder, "events")
+    # One file after the other, so that the stream takes them in this order.
+    for start, end in (("2023-01-01T00:00:00Z", before), (before, now)):
+        part = events.filter((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return raw_from_usage(as_usage(stream_parquet(spark, path, events.schema, max_files=1)))
+
+
 _BATCH_ENDS = {1: "TIMESTAMP '2024-01-24 12:00:00'", 2: SQL_NOW}
 # The first row of each key, as the store accepts it.
 _ACCEPTED = """ev_ok AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_key
@@ -212,12 +223,7 @@ _ACCEPTED = """ev_ok AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (
 def stream_quota_states(spark, folder):
     """Two micro-batches, each evaluated when it is committed: a key that the second one leaves alone keeps its state."""
     path = scratch_path(spark, "stream-quota")
-    events = table(spark, folder, "events")
-    # One folder after the other, so that the stream takes them in this order.
-    for start, end in (("2023-01-01T00:00:00Z", BEFORE), (BEFORE, NOW)):
-        part = events.filter((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
-        part.coalesce(1).write.mode("append").parquet(f"{path}-input")
-    raw = raw_from_usage(as_usage(stream_parquet(spark, f"{path}-input", events.schema, max_files=1)))
+    raw = _two_parts(spark, folder, f"{path}-input", BEFORE, NOW)
     store, meters = EventStore(spark, path), event_meters(spark, folder)
     history, rules = assignments(spark, folder), limits(spark)
     ticks = iter([utc_naive(BEFORE), utc_naive(NOW)])
@@ -230,3 +236,40 @@ def stream_quota_states(spark, folder):
     ).awaitTermination()
     rows = store.quota_states().select(*ent.STATE_KEY, "state", "current", "limit_value", "evaluated_at")
     return rounded(rows, "current")
+
+
+@query(
+    "stream_alert_states",
+    ctes(
+        EV,
+        MET,
+        _ACCEPTED,
+        alerting._KINDS,
+        alerting._RULES,
+        alerting._EVK.replace("FROM ev)", "FROM ev_ok)"),
+        alerting._values_sql("v1", alerting.SQL_BEFORE),
+        alerting._states_sql("st1", "v1", None),
+        alerting._values_sql("v2", alerting.SQL_NOW),
+        alerting._states_sql("st", "v2", "st1"),
+        f"""now_states AS (SELECT *, {alerting.SQL_NOW} AS evaluated_at FROM st
+  UNION ALL SELECT *, {alerting.SQL_BEFORE} FROM st1 ANTI JOIN st USING (rule_id, group_key, group_value))""",
+    )
+    + """SELECT workspace_id, rule_id, group_key, group_value, status, round(value, 6) AS value, evaluated_at FROM now_states
+WHERE rule_id IN (SELECT rule_id FROM rul WHERE enabled)""",
+)
+def stream_alert_states(spark, folder):
+    """Two micro-batches; each evaluates the rules that it touches or that are due, against the kept states."""
+    path = scratch_path(spark, "stream-alerts")
+    raw = _two_parts(spark, folder, f"{path}-input", alerting.BEFORE, alerting.NOW)
+    store, meters = EventStore(spark, path), event_meters(spark, folder)
+    rules = materialize(alerting.rules(meters), "rules")
+    ticks = iter([utc_naive(alerting.BEFORE), utc_naive(alerting.NOW)])
+
+    def evaluate(batch_id, now):
+        store.evaluate_alerts(batch_id, rules, meters, now)
+
+    start_ingest(
+        store, raw, meters, f"{path}-checkpoint", after_batch=evaluate, clock=lambda: next(ticks)
+    ).awaitTermination()
+    rows = store.alert_states().select("workspace_id", "rule_id", "group_key", "group_value", "status", "value", "evaluated_at")
+    return rounded(rows, "value")
