@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,6 +202,24 @@ def ingest_many_batches(spark, folder):
     return store.matched_keys(firsts, "day-21")
 
 
+@query(
+    "event_page_store",
+    ctes(EV)
+    + """SELECT id, subject, meter_name, quantity, event_time FROM ev WHERE workspace_id = 'ws_1'
+  AND (event_time < TIMESTAMP '2024-01-20 12:00:00' OR (event_time = TIMESTAMP '2024-01-20 12:00:00' AND id < '500'))
+ORDER BY event_time DESC, id DESC LIMIT 401""",
+)
+def event_page_store(spark, folder):
+    """A page of a tenant's stored events after a cursor, from the newest day folders that fill it."""
+    store = EventStore(spark, scratch_path(spark, "pages"))
+    usage = usage_from_events(spark, folder).select(*EVENT_COLUMNS)
+    dated = usage.select("*", F.lit("all").alias("ingest_batch"), F.to_date("event_time").alias("event_date"))
+    store.write("events", dated, "all")
+    store.write("ledger", usage.select("workspace_id", F.lit("bulk").alias("kind"), ntz(NOW).alias("committed_at")).distinct(), "all")
+    found = store.event_page(400, (datetime(2024, 1, 20, 12), "500"), workspace="ws_1")
+    return found.select("id", "subject", "meter_name", "quantity", "event_time")
+
+
 class _StopsHalfWay(EventStore):
     """A store whose ingest ends between the events and the keys of a batch."""
 

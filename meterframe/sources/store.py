@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 
 from meterframe.functions.metadata import meta_text, promoted_column
 from meterframe.functions.timecalc import ntz
-from meterframe.operators import alerts, entitlements, ingest
+from meterframe.operators import alerts, entitlements, ingest, paging
 from meterframe.operators.joins import latest_by, side_join
+from meterframe.operators.scan import scan
 from meterframe.schema import EVENT_COLUMNS, INGESTION_RUN, USAGE_EVENT
 
 EVENTS_SCHEMA = f"{USAGE_EVENT}, ingest_batch string, event_date date, batch_id string"
@@ -196,6 +197,25 @@ class EventStore:
         cutoffs = self._cutoffs()
         return rows if cutoffs is None else self._marked(rows, cutoffs).filter(~F.col("pruned")).drop("pruned")
 
+    def event_page(self, limit: int, after: tuple | None = None, **of) -> DataFrame:
+        """The next `limit + 1` events after the cursor, newest first; `of` is what `scan` takes.
+
+        Reads the newest day folders, four times as many at each attempt, and stops when
+        the page is full. The list of days is the only thing that grows with the history.
+        """
+        days = [r[0] for r in self.raw_table("events").select("event_date").distinct().collect()]
+        if after is not None:
+            days = [day for day in days if day <= after[0].date()]
+        days.sort(reverse=True)
+        rows, span = scan(self.events(), **of), 1
+        while days:
+            part = rows.filter(F.col("event_date").between(F.lit(days[min(span, len(days)) - 1]), F.lit(days[0])))
+            found = paging.event_page(part, limit, after)
+            if span >= len(days) or found.count() > limit:
+                return found
+            span *= 4
+        return paging.event_page(rows.limit(0), limit)
+
     def write(self, table: str, rows: DataFrame, batch_id: str) -> None:
         """Replace this batch's partitions of a table.
 
