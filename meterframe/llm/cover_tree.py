@@ -134,7 +134,10 @@ def _compare_leaves(a, b, xs, ys, threshold, found, same, chunk: int = 50_000) -
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; a power of two brings each row near one first, so that no square over- or underflows."""
     wide = vectors.astype(np.float64)
+    exponent = np.frexp(np.abs(wide).max(axis=1, initial=0.0))[1]
+    wide = np.ldexp(wide, -exponent[:, None])
     return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
 
 

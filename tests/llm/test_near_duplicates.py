@@ -166,3 +166,12 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)] + [(100, n) for n in range(101, 160)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert found == {**dict.fromkeys([1, 2, 3, 7, 8, 9], 1), 20: 20, 21: 20, **dict.fromkeys(range(100, 160), 100)}
+
+
+def test_extreme_components_link(spark):
+    rows = [
+        (1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [1e200, 1.0], 2), (4, [1.1e200, 1.0], 2), (5, [0.0, 1e200], 2),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(frame).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
