@@ -328,6 +328,6 @@ def test_typed_conditions_share_one_parse(make, capsys):
     assert rows.count() == 1
     rows.explain("formatted")
     filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith("Condition")]
-    assert sum(line.count("parse_json") for line in filters) == 1
+    assert sum(line.count("parseJson") for line in filters) == 1
     # The test without types stands before the parse.
-    assert filters[0].index("subject") < filters[0].index("parse_json")
+    assert filters[0].index("subject") < filters[0].index("parseJson")
