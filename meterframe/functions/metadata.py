@@ -69,6 +69,29 @@ def variant_type(value: Column) -> Column:
     return F.coalesce(F.try_element_at(by_first, F.substring(F.to_json(value), 1, 1)), F.lit("number"))
 
 
+def top_key(field: str) -> str:
+    """The top-level metadata key that a field path starts at."""
+    return strip_prefix(field).split(".")[0]
+
+
+def only_keys(keys: list[str], metadata: Column | None = None) -> Column:
+    """The metadata's entries of some top-level keys as JSON text, in the order of `keys`.
+
+    Types and texts stay as they are, so tests on these keys give what they give on the whole
+    metadata. Missing keys and JSON nulls, which no equality meets, drop out.
+    """
+    source = F.col("metadata") if metadata is None else metadata
+    parsed = F.try_parse_json(source)
+
+    def entry(key: str) -> Column:
+        json = F.to_json(F.try_variant_get(parsed, json_path(key), "variant"))
+        # Numbers keep the digits that a text test sees.
+        value = F.when(json.startswith('"'), json).otherwise(meta_text(key, source))
+        return F.concat(F.lit(f'"{key}":'), value)
+
+    return F.concat(F.lit("{"), F.concat_ws(",", *[entry(key) for key in keys]), F.lit("}"))
+
+
 def promoted_column(field: str) -> str:
     """Name of the column that holds a promoted dimension."""
     return f"dim_{strip_prefix(field)}"

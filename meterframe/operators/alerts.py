@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.functions.aggregates import merge_partials, merged, partial_of_events, partial_value
-from meterframe.functions.metadata import json_path_column, json_text
+from meterframe.functions.metadata import json_path_column, json_text, only_keys, top_key
 from meterframe.functions.predicates import metadata_map_matches, metadata_map_matches_strictly
 from meterframe.functions.timecalc import ntz, plus_seconds, rfc3339, seconds_between, utc_naive
 from meterframe.operators.ingest import subject_error
@@ -32,6 +33,12 @@ INTERVAL_DEFAULT, INTERVAL_MIN, INTERVAL_MAX = 60, 1, 86400
 
 TICKS_PER_PIECE = 4096
 
+# Panes divide the shortest window. A window is looked up among the panes of its class only,
+# so a short rule does not meet the panes of a long one.
+PANE_SECONDS = 60
+PANE_KEY = ["workspace_id", "meter_name", "subject", "metadata", "event_time", "received_at"]
+WINDOW_CLASSES = (3600, 86400, 32 * 86400, WINDOW_MAX)
+
 
 # --- rules -------------------------------------------------------------------------
 
@@ -146,9 +153,13 @@ class RuleFacts:
 
 
 def _match(
-    events: DataFrame, rules: DataFrame, facts: RuleFacts, in_window: Column | None = None
+    events: DataFrame,
+    rules: DataFrame,
+    facts: RuleFacts,
+    in_window: Column | None = None,
+    spread: Column | None = None,
 ) -> DataFrame:
-    """Events joined with the rules they count for, plus their group value.
+    """Events (or panes) joined with the rules they count for, plus their group value.
 
     Metadata conditions of global rules compare as text, those of grouped rules by JSON type. Events without a group value do not count for grouped rules.
     """
@@ -159,7 +170,7 @@ def _match(
     residual = (subject.isNull() | (subject == "") | (subject == F.col("subject"))) & same_metadata
     if in_window is not None:
         residual = residual & in_window
-    joined = side_join(events, rules, ["workspace_id", "meter_name"], residual=residual, small=facts.small)
+    joined = side_join(events, rules, ["workspace_id", "meter_name"], "inner", residual, spread, small=facts.small)
     group_value = (
         F.when(F.col("group_key") == "", "")
         .when(F.col("group_key") == "subject", F.col("subject"))
@@ -183,6 +194,76 @@ def rule_values(
     return partials.select(*GROUP, _value(facts.ordered).alias("value"), F.col("event_count").alias("usage_events"))
 
 
+def pane_partials(events: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Events reduced to panes of `PANE_SECONDS`: per meter, subject and values of some metadata fields.
+
+    `event_time` is the pane's start and `metadata` holds the fields' top-level entries only, so
+    panes meet rules, cutoffs and time ranges the way events do. Panes of the same key, from
+    whatever batch, merge.
+    """
+    keys = list(dict.fromkeys(top_key(field) for field in fields))
+    start = F.col("event_time") - F.make_dt_interval(
+        secs=F.pmod(seconds_between(ntz("1970-01-01T00:00:00Z"), F.col("event_time")), F.lit(PANE_SECONDS)).cast("decimal(18,6)")
+    )
+    keyed = events.select(
+        "*", only_keys(keys).alias("__metadata"), start.alias("__start")
+    ).groupBy(
+        "workspace_id",
+        "meter_name",
+        "subject",
+        F.col("__metadata").alias("metadata"),
+        F.col("__start").alias("event_time"),
+        "received_at",
+    )
+    return keyed.agg(*partial_of_events())
+
+
+def of_panes(fields: tuple[str, ...]) -> Column:
+    """Whether panes that hold `fields` answer a (normalized) rule: whole panes in its window, no other field."""
+    known = F.array(*[F.lit(key) for key in dict.fromkeys(top_key(field) for field in fields)]).cast("array<string>")
+
+    def held(path: Column) -> Column:
+        return F.array_contains(known, F.substring_index(path, ".", 1))
+
+    conditions = F.coalesce(F.forall(F.map_keys("metadata"), held), F.lit(True))
+    grouped = F.col("group_by").isin("", "subject") | held(F.col("group_by"))
+    return (F.col("window_seconds") % PANE_SECONDS == 0) & grouped & conditions
+
+
+def on_pane_edge(moment: str | datetime) -> bool:
+    at = utc_naive(moment)
+    return at.second % PANE_SECONDS == 0 and at.microsecond == 0
+
+
+def pane_values(rules: DataFrame, panes: DataFrame, meters: DataFrame, now: str | datetime) -> DataFrame:
+    """`rule_values` from panes; `now` lies on a pane's edge and `of_panes` holds for the rules.
+
+    The rules are split by the length of their window. Each class reads the panes of its own
+    longest window, whatever the other rules look back to.
+    """
+    side = _rule_side(rules, meters)
+    facts, end = RuleFacts.of(side), utc_naive(now)
+    classes = list(zip((0, *WINDOW_CLASSES), WINDOW_CLASSES))
+    window = F.col("window_seconds")
+    in_class = [(window > low) & (window <= high) for low, high in classes]
+    row = side.agg(*[F.max(F.when(test, window)).alias(f"c{i}") for i, test in enumerate(in_class)]).first()
+    in_window = F.col("event_time") >= plus_seconds(ntz(now), -window)
+    spread = F.xxhash64("subject", "metadata", "event_time")
+    matched = [
+        _match(scan(panes, start=end - timedelta(seconds=longest), end=end), side.filter(test), facts, in_window, spread)
+        for test, longest in zip(in_class, row)
+        if longest is not None
+    ]
+    if not matched:
+        matched = [_match(panes.limit(0), side, facts, in_window, spread)]
+    partials = [
+        part.groupBy(*GROUP, "rule_aggregation", "window_seconds").agg(*merge_partials(facts.ordered)) for part in matched
+    ]
+    # A rule is in one class, so the classes' groups need no further merge.
+    values = reduce(DataFrame.unionByName, partials)
+    return values.select(*GROUP, _value(facts.ordered).alias("value"), F.col("event_count").alias("usage_events"))
+
+
 def _value(ordered: bool) -> Column:
     absent = None if ordered else F.lit(None).cast("double")
     return partial_value(F.col("rule_aggregation"), F.col("window_seconds").cast("double"), absent, absent)
@@ -207,9 +288,12 @@ def evaluate(
     meters: DataFrame,
     previous: DataFrame,
     now: str | datetime,
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """New state per (rule, group), with `previous_status` and `event_type`.
 
+    `values` are the enabled rules' values where the caller has them, as a store with panes does.
+
     * a rule or group without events is `no_data`; a remembered group that vanished too;
     * a grouped rule that has and had no group at all gets one row with an empty group;
     * a disabled rule is `ok`.
@@ -223,7 +307,7 @@ def evaluate(
     )
     # New values meet remembered groups in one aggregation: a group is there if it has
     # events now or had a state before.
-    values = rule_values(enabled, events, meters, now)
+    values = rule_values(enabled, events, meters, now) if values is None else values
     new = values.select(*GROUP, "value", "usage_events", F.lit(None).cast("string").alias("previous_status"))
     before = previous.select(
         *GROUP,

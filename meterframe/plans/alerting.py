@@ -12,8 +12,9 @@ from meterframe.operators import alerts
 from meterframe.operators.joins import with_latest_delivery
 from meterframe.plans.registry import EV, MET, ctes, query, rounded
 from meterframe.schema import ALERT_STATE
-from meterframe.session import materialize
-from meterframe.sources.tables import event_meters, table, usage_from_events
+from meterframe.session import materialize, scratch_path
+from meterframe.sources.store import EventStore
+from meterframe.sources.tables import event_meters, raw_from_usage, table, usage_from_events
 
 NOW = "2024-01-25T12:00:00Z"
 BEFORE = "2024-01-25T06:00:00Z"
@@ -148,6 +149,36 @@ def alert_grouped(spark, folder):
     return rounded(rows.select(*alerts.GROUP, "status", "value", "usage_events"), "value")
 
 
+@query(
+    "alert_grouped_panes",
+    ctes(
+        EV,
+        MET,
+        _KINDS,
+        _RULES,
+        # The first batch holds the rows with an odd id, and the first row of a key stays.
+        """ev_ok AS (SELECT * EXCLUDE (rn, received_at), CASE WHEN CAST(id AS BIGINT) % 2 = 1 THEN 1 ELSE 2 END AS received_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, idempotency_key
+    ORDER BY CAST(id AS BIGINT) % 2 DESC, CAST(id AS BIGINT)) AS rn FROM ev WHERE quantity > 0) WHERE rn = 1)""",
+        _EVK.replace("FROM ev)", "FROM ev_ok)"),
+        _values_sql("v2", SQL_NOW),
+        _states_sql("st", "v2", None),
+    )
+    + f"SELECT {_STATE_COLUMNS} FROM st",
+)
+def alert_grouped_panes(spark, folder):
+    """Rules over a store's panes; its two batches overlap in time, so their panes merge."""
+    store = EventStore(spark, scratch_path(spark, "alert-panes"), panes=("k",))
+    meters = event_meters(spark, folder)
+    raw = raw_from_usage(usage_from_events(spark, folder))
+    for part, at in ((1, "2024-02-01T00:00:00Z"), (0, "2024-02-02T00:00:00Z")):
+        store.ingest(raw.filter(F.col("index") % 2 == part), meters, f"part-{part}", at)
+    all_rules = materialize(rules(meters), "rules")
+    values = store.alert_values(all_rules, meters, NOW)
+    states = alerts.evaluate(all_rules, store.events(), meters, _empty_states(spark), NOW, values)
+    return rounded(states.select(*alerts.GROUP, "status", "value", "usage_events"), "value")
+
+
 @query(
     "alert_states",
     _TWO + f"SELECT {_STATE_COLUMNS}, previous_status, event_type, {SQL_NOW} AS evaluated_at FROM typed",

@@ -5,6 +5,7 @@ Layout (every table is partitioned by the columns in brackets):
     events     [event_date, batch_id]   sorted by workspace, meter, subject and time
     keys       [key_bucket, batch_id]   idempotency keys: event id and date, in hash buckets
     duplicates [batch_id]               originals returned for duplicates
+    panes      [event_date, batch_id]   mergeable partials for alert windows, if the store keeps them
     counters   [batch_id]               mergeable quota counter partials
     runs       [batch_id]               ingestion log
     ledger     [batch_id]               committed batches, written last
@@ -81,6 +82,11 @@ ALERT_STATE = (
     "workspace_id string, rule_id string, group_key string, group_value string, status string, value double, "
     "message string, evaluated_at timestamp_ntz, updated_at timestamp_ntz"
 )
+PANES_SCHEMA = (
+    "workspace_id string, meter_name string, subject string, metadata string, event_time timestamp_ntz, "
+    "received_at timestamp_ntz, event_count long, quantity_sum double, quantity_min double, quantity_max double, "
+    f"first_event {POINT}, last_event {POINT}, event_date date, batch_id string"
+)
 LEDGER_SCHEMA = (
     "workspace_id string, kind string, committed_at timestamp_ntz, batch_id string"
 )
@@ -89,6 +95,7 @@ PARTITIONS = {
     "events": ["event_date", "batch_id"],
     "keys": ["key_bucket", "batch_id"],
     "duplicates": ["batch_id"],
+    "panes": ["event_date", "batch_id"],
     "counters": ["batch_id"],
     "runs": ["batch_id"],
     "ledger": ["batch_id"],
@@ -112,6 +119,7 @@ SCHEMAS = {
     "events": EVENTS_SCHEMA,
     "keys": f"{KEYS_SCHEMA}, key_bucket int, batch_id string",
     "duplicates": f"index long, {USAGE_EVENT}, batch_id string",
+    "panes": PANES_SCHEMA,
     "counters": COUNTERS_SCHEMA,
     "runs": f"{INGESTION_RUN}, batch_id string",
     "ledger": LEDGER_SCHEMA,
@@ -144,12 +152,17 @@ class IngestResult:
 
 
 class EventStore:
-    def __init__(self, spark: SparkSession, root: str, promote: tuple[str, ...] = ()):
+    def __init__(
+        self, spark: SparkSession, root: str, promote: tuple[str, ...] = (), panes: tuple[str, ...] | None = None
+    ):
         """`promote` names metadata fields that are stored as text columns as well, for
-        dimensions that many queries group by. It is fixed for the life of a store."""
+        dimensions that many queries group by. `panes` names the metadata fields that alert
+        rules test or group by (none: `()`); the store then keeps panes, from which such rules
+        are evaluated without their events. Both are fixed for the life of a store."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.promote = promote
+        self.pane_fields = panes
         self.promoted = [promoted_column(field) for field in promote]
 
     # --- tables -----------------------------------------------------------------
@@ -229,6 +242,8 @@ class EventStore:
         """Replace the partitions that `rows`, which hold the partition columns, fall into."""
         if table in BUCKET_OF:  # one file for a bucket, more only if it is large
             rows = rows.hint("rebalance", BUCKET_OF[table][0])
+        if table == "panes":
+            rows = rows.hint("rebalance", "event_date")
         if table == "events":
             cluster = ["event_date", "workspace_id", "meter_name"]
             rows = rows.hint("rebalance", *cluster).sortWithinPartitions(*cluster, "subject", "event_time")
@@ -299,6 +314,9 @@ class EventStore:
         self.write("events", dated, batch_id)
 
         mine = self.own("events", batch_id)
+        if self.pane_fields is not None:
+            panes = alerts.pane_partials(mine, self.pane_fields)
+            self.write("panes", panes.withColumn("event_date", F.to_date("event_time")), batch_id)
         keyed = mine.filter(F.col("idempotency_key").isNotNull())
         self.write_keys(keyed, batch_id)
         # The originals are fetched by date folder and id, so only folders that hold
@@ -489,13 +507,41 @@ class EventStore:
         active = rules.join(touched.unionByName(due), ["workspace_id", "rule_id"], "left_semi")
         numbers = self.touched("alert_current", active)
         previous = alerts.of_known_rules(self.alert_states(batch_id, numbers), active)
-        self.write("alert_evaluations", alerts.evaluate(active, self.events(), meters, previous, now), batch_id)
+        values = None if self.pane_fields is None else self.alert_values(active, meters, now)
+        self.write("alert_evaluations", alerts.evaluate(active, self.events(), meters, previous, now, values), batch_id)
         written = self.own("alert_evaluations", batch_id)
         self._replace("alert_current", alerts.states(written), alerts.GROUP, batch_id, numbers)
         if not self.is_committed(batch_id):  # a tick of its own, without ingested events
             entry = self.spark.createDataFrame([(None, "evaluation", None)], LEDGER_SCHEMA.rsplit(",", 1)[0])
             self.write("ledger", entry.withColumn("committed_at", ntz(now)).coalesce(1), batch_id)
 
+    def panes(self) -> DataFrame:
+        """Committed panes that no prune hides; right for meters whose cutoffs lie on pane edges."""
+        rows, cutoffs = self.table("panes").drop("batch_id"), self._cutoffs()
+        return rows if cutoffs is None else self._marked(rows, cutoffs).filter(~F.col("pruned")).drop("pruned")
+
+    def alert_values(self, rules: DataFrame, meters: DataFrame, now: str | datetime) -> DataFrame:
+        """Value and event count per (enabled rule, group) at `now`, from panes where they are exact.
+
+        Events are read only for the rules that panes cannot answer: those with other metadata
+        fields, with a window that is no multiple of a pane, or of a meter with a cutoff inside
+        a pane; and for all rules if `now` lies inside a pane.
+        """
+        rules = alerts.normalize_rules(rules).filter("enabled")
+        if self.pane_fields is None or not alerts.on_pane_edge(now):
+            return alerts.rule_values(rules, self.events(), meters, now)
+        answered = alerts.of_panes(self.pane_fields)
+        paned, rest = rules.filter(answered), rules.filter(~answered)
+        cutoffs = self._cutoffs()
+        if cutoffs is not None:
+            inside = cutoffs.filter(F.exists("cuts", lambda c: c["cutoff"] != F.date_trunc("minute", c["cutoff"]).cast("timestamp_ntz")))
+            rest = rest.unionByName(paned.join(inside, METER, "left_semi").select(*rest.columns))
+            paned = paned.join(inside, METER, "left_anti").select(*rest.columns)
+        values = alerts.pane_values(paned, self.panes(), meters, now)
+        if rest.isEmpty():
+            return values
+        return values.unionByName(alerts.rule_values(rest, self.events(), meters, now))
+
     # --- retention --------------------------------------------------------------
 
     def prune(self, cutoffs: DataFrame, batch_id: str, now: str | datetime) -> None:
@@ -528,7 +574,7 @@ class EventStore:
     def _marked(self, events: DataFrame, cutoffs: DataFrame) -> DataFrame:
         """Adds `pruned`: whether a cutoff hides the event."""
         hidden = F.exists("cuts", lambda c: (F.col("event_time") < c["cutoff"]) & (F.col("received_at") <= c["pruned_at"]))
-        joined = side_join(events, cutoffs, METER, "left")
+        joined = side_join(events, cutoffs, METER, "left", spread=F.xxhash64("subject", "event_time"))
         return joined.withColumn("pruned", F.coalesce(hidden, F.lit(False))).drop("cuts")
 
     def sweep(self) -> list[str]:
@@ -544,7 +590,7 @@ class EventStore:
         if highest is None:
             return []
         reached = self.raw_table("events").filter(F.col("event_date") <= F.lit(highest))
-        rows = reached.select("event_date", "batch_id", *METER, "id", "event_time", "received_at", _folder().alias("folder"))
+        rows = reached.select("event_date", "batch_id", *METER, "subject", "event_time", "received_at", _folder().alias("folder"))
         rows = rows.join(self.committed(), "batch_id", "left_semi")
         dead = self._marked(rows, cutoffs).groupBy("event_date", "folder").agg(F.every("pruned").alias("dead"))
         doomed = [r["folder"] for r in dead.filter("dead").select("folder").toLocalIterator()]

@@ -1,6 +1,7 @@
 """Alert evaluation, transitions, backtest and outbox."""
 
 import json
+import re
 from datetime import timedelta
 
 import pytest
@@ -221,6 +222,83 @@ def test_grouped_rule_compares_metadata_by_type(spark, make, rules):
     assert found == {("r1", "b"): 30.0, ("r2", ""): 50.0}
 
 
+PANE_RULES = (
+    {"rule_id": "sum"},
+    {"rule_id": "long", "window_seconds": 7 * 86400},
+    {"rule_id": "subject", "group_by": "subject", "window_seconds": 7200},
+    {"rule_id": "status", "group_by": "metadata.status", "window_seconds": 86400},
+    {"rule_id": "strict", "group_by": "subject", "metadata": {"status": "200"}},
+    {"rule_id": "text", "metadata": {"status": "200"}},
+    {"rule_id": "nested", "group_by": "geo.land", "metadata": {"geo.land": "x y"}},
+)
+PANE_ROWS = [
+    {
+        "subject": f"s{i % 3}",
+        "quantity": 1.0 + i * 0.25,
+        "timestamp": at("2026-06-08 11:59:59") - timedelta(seconds=i * i * 37),
+        "metadata": json.dumps(
+            {"status": [200, "200", 1.50, None, True][i % 5], "geo": {"land": ["x y", 'q"', 3][i % 3]}, "noise": i}
+        ),
+    }
+    for i in range(120)
+]
+
+
+@pytest.fixture(scope="module")
+def pane_store(spark):
+    """Two batches that overlap in time; a meter's aggregation only matters at evaluation."""
+    return EventStore(spark, scratch_path(spark, "panes"), panes=("status", "geo.land"))
+
+
+def _filled(store, make):
+    if not store.exists("ledger"):
+        for part in range(2):
+            store.ingest(make.raw(*PANE_ROWS[part::2]), make.meters(), f"b{part}", NOW)
+    return store
+
+
+def _values(rows):
+    return sorted((r["rule_id"], r["group_value"], round(r["value"], 6), r["usage_events"]) for r in rows.collect())
+
+
+def test_panes_give_the_values_of_the_events(spark, make, rules, pane_store, capsys):
+    store, table, meters = _filled(pane_store, make), rules(*PANE_RULES), make.meters({"aggregation": "last"})
+    from_panes = store.alert_values(table, meters, NOW)
+    from_panes.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "/panes" in plan and "/events" not in plan
+    for start in ("2026-06-08T11:00", "2026-06-07T12:00", "2026-06-01T12:00"):  # each class its own range
+        assert re.search(rf"PushedFilters: .*GreaterThanOrEqual\(event_time,{start}", plan), start
+    expected = _values(alerts.rule_values(alerts.normalize_rules(table), store.events(), meters, NOW))
+    assert _values(from_panes) == expected and {r[0] for r in expected} == {r["rule_id"] for r in PANE_RULES}
+    store.evaluate_alerts("b1", table, meters, NOW)
+    states = store.alert_states().collect()
+    assert sorted((r["rule_id"], r["group_value"], round(r["value"], 6)) for r in states) == [r[:3] for r in expected]
+
+
+def test_rules_that_panes_cannot_answer_read_the_events(spark, make, rules, pane_store):
+    store, meters = _filled(pane_store, make), make.meters()
+    table = rules(
+        {"rule_id": "sum", "window_seconds": 7200},
+        {"rule_id": "group", "group_by": "noise"},  # a field that the panes do not hold
+        {"rule_id": "metadata", "metadata": {"noise": "1"}},
+        {"rule_id": "window", "window_seconds": 90},
+    )
+
+    def check(now):
+        expected = _values(alerts.rule_values(alerts.normalize_rules(table), store.events(), meters, now))
+        assert _values(store.alert_values(table, meters, now)) == expected
+        return expected
+
+    full = check(NOW)
+    assert {r[0] for r in full} == {"sum", "group", "metadata", "window"}
+    check("2026-06-08T12:00:01Z")
+    schema = "workspace_id string, meter_name string, cutoff timestamp_ntz"
+    for name, cutoff in (("on an edge", "2026-06-08 11:30:00"), ("inside a pane", "2026-06-08 11:40:30")):
+        store.prune(spark.createDataFrame([("ws", "api_calls", at(cutoff))], schema), name, NOW)
+        assert check(NOW) != full
+
+
 # --- saved queries and exports ----------------------------------------------------------
 
 
