@@ -41,6 +41,11 @@ COUNTER_KEY = ["workspace_id", "subject", "meter_name", "period", "period_start"
 # --- assignments -------------------------------------------------------------------
 
 
+def forever() -> Column:
+    """The end of an assignment that has none, where ends are compared."""
+    return F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+
+
 def not_ended(at: Column) -> Column:
     return F.col("unassigned_at").isNull() | (F.col("unassigned_at") > at)
 
@@ -68,43 +73,80 @@ def effective_intervals(assignments: DataFrame) -> DataFrame:
 
     A newer row usually ends an older one for good, and then intervals follow from the next
     start. Only the subjects with a row that outlives a newer one have their history cut at
-    every start and end, each piece taking its newest row.
+    every start and end, each piece taking its newest row (`newest_pieces`).
     """
     real = assignments.filter(F.col("unassigned_at").isNull() | (F.col("unassigned_at") > F.col("assigned_at")))
     history = Window.partitionBy(*SUBJECT).orderBy("assigned_at", "updated_at")
     earlier = history.rowsBetween(Window.unboundedPreceding, -1)
-    forever = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
-    end = F.coalesce("unassigned_at", forever)
-    body = [*SUBJECT, "plan_id", "period_anchor_at"]
+    end = F.coalesce("unassigned_at", forever())
+    shape = [*SUBJECT, "plan_id", "period_anchor_at", "valid_from", "valid_to"]
     marked = real.select(
-        *body,
+        *SUBJECT,
+        "plan_id",
+        "period_anchor_at",
         "updated_at",
         F.col("assigned_at").alias("valid_from"),
         end.alias("ends"),
         F.least("unassigned_at", F.lead("assigned_at").over(history)).alias("valid_to"),
         F.coalesce(F.max(end).over(earlier) > end, F.lit(False)).alias("outlived"),
     )
-    marked = marked.withColumn("comes_back", F.max("outlived").over(Window.partitionBy(*SUBJECT)))
-    shape = [*body, "valid_from", "valid_to"]
-    simple = marked.filter(~F.col("comes_back")).select(*shape)
-
-    nested = marked.filter("comes_back").select(*body, "updated_at", "valid_from", "ends")
-    cuts = nested.select(*SUBJECT, F.explode(F.array("valid_from", "ends")).alias("cut")).distinct()
-    following = F.lead("cut").over(Window.partitionBy(*SUBJECT).orderBy("cut"))
-    pieces = cuts.select(*SUBJECT, "cut", following.alias("until")).filter(F.col("until").isNotNull())
-    alive = (F.col("valid_from") <= F.col("cut")) & (F.col("cut") < F.col("ends"))
-    row = F.struct("plan_id", "period_anchor_at")
-    newest = F.max_by(row, F.struct("valid_from", "updated_at")).alias("row")
-    cut_up = nested.join(pieces, SUBJECT).filter(alive).groupBy(*SUBJECT, "cut", "until").agg(newest)
-    cut_up = cut_up.select(
+    # Written, so that the history is sorted once however often the intervals are used.
+    marked = materialize(marked, "assignment-history")
+    lasting = F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))
+    cut_up = marked.filter("outlived").select(*SUBJECT).distinct()
+    if cut_up.isEmpty():
+        return marked.filter(lasting).select(*shape)
+    simple = marked.join(cut_up, SUBJECT, "left_anti").filter(lasting).select(*shape)
+    pieces = newest_pieces(marked.join(cut_up, SUBJECT, "left_semi"))
+    return simple.unionByName(materialize(pieces.select(*shape), "assignment-pieces"))
+
+
+def newest_pieces(rows: DataFrame) -> DataFrame:
+    """The time of each subject cut at every start and end of its rows, each piece with its newest row.
+
+    Cuts are numbered from 1 per subject, so a row covers a range of pieces. The range falls into at
+    most two aligned blocks of each power of two, each block keeps the newest row that
+    covers it whole, and a piece looks at the blocks that it lies in: n log n rows for n
+    overlapping ones, and never the product of rows and pieces. Equal rows count once.
+    """
+    row = F.struct("valid_from", "updated_at", "plan_id", "period_anchor_at").alias("row")
+    number = F.dense_rank().over(Window.partitionBy(*SUBJECT).orderBy("cut")).cast("long")
+    edges = rows.select(*SUBJECT, row, "ends", F.explode(F.array("valid_from", "ends")).alias("cut"))
+    edges = edges.withColumn("at", number)
+
+    covers = edges.groupBy(*SUBJECT, "row", "ends").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    levels = F.sequence(F.lit(0), F.length(F.bin("high")) - 1)
+
+    def whole_blocks(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        first = F.call_function("shiftright", F.col("low") + size - 1, level)
+        past = F.call_function("shiftright", F.col("high"), level)
+        odd_first = F.when((first < past) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block")))
+        odd_last = F.when((first < past) & (past % 2 == 1), F.struct(level.alias("level"), (past - 1).alias("block")))
+        return F.array(odd_first, odd_last)
+
+    blocks = F.explode(F.array_compact(F.flatten(F.transform(levels, whole_blocks))))
+    newest = covers.select(*SUBJECT, "row", blocks.alias("node")).groupBy(*SUBJECT, "node").agg(F.max("row").alias("row"))
+
+    # A cut begins its piece and ends the one before.
+    starts = F.struct(F.col("at").alias("at"), F.col("cut").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("until"))
+    stops = F.struct((F.col("at") - 1).alias("at"), F.lit(None).cast("timestamp_ntz").alias("valid_from"), F.col("cut").alias("until"))
+    pieces = edges.select(*SUBJECT, F.explode(F.array(starts, stops)).alias("piece")).groupBy(*SUBJECT, "piece.at")
+    pieces = pieces.agg(F.max("piece.valid_from").alias("valid_from"), F.max("piece.until").alias("until")).filter("at > 0")
+
+    def block_of(level: Column) -> Column:
+        return F.struct(level.alias("level"), F.call_function("shiftright", F.col("at"), level).alias("block"))
+
+    nodes = F.transform(F.sequence(F.lit(0), F.length(F.bin("at")) - 1), block_of)
+    looks = pieces.select("*", F.explode(nodes).alias("node"))
+    found = looks.join(newest, [*SUBJECT, "node"]).groupBy(*SUBJECT, "valid_from", "until").agg(F.max("row").alias("row"))
+    return found.select(
         *SUBJECT,
         "row.plan_id",
         "row.period_anchor_at",
-        F.col("cut").alias("valid_from"),
-        F.when(F.col("until") < forever, F.col("until")).alias("valid_to"),
+        "valid_from",
+        F.when(F.col("until") < forever(), F.col("until")).alias("valid_to"),
     )
-    both = simple.unionByName(cut_up.select(*shape))
-    return both.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
 
 
 def with_assignment(
@@ -113,9 +155,8 @@ def with_assignment(
     """Events with the plan and anchor in effect at their event time (as-of join)."""
     time = F.col("event_time")
     residual = (time >= F.col("valid_from")) & (F.col("valid_to").isNull() | (time < F.col("valid_to")))
-    # There are at most two intervals per assignment.
-    small = fits(assignments)
-    joined = side_join(events, effective_intervals(assignments), SUBJECT, how, residual, small=small)
+    intervals = effective_intervals(assignments)
+    joined = side_join(events, intervals, SUBJECT, how, residual, small=fits(intervals))
     return joined.drop("valid_to") if keep_start else joined.drop("valid_from", "valid_to")
 
 

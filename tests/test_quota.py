@@ -219,6 +219,33 @@ def test_effective_intervals_are_disjoint_and_skip_cancelled(make):
     assert got == [("p1", START, at("2026-06-10 00:00")), ("p2", at("2026-06-10 00:00"), None)]
 
 
+def test_a_thousand_overlapping_assignments(make, capsys):
+    """Each piece of time has the newest assignment alive in it; no product of rows and pieces."""
+    random, rows = Random(5), []
+    for i in range(1000):
+        start = START + timedelta(minutes=random.randrange(50_000))
+        end = None if i % 97 == 0 else start + timedelta(minutes=random.choice([1, 60, 3000, 40_000]))
+        rows.append({"id": f"a{i}", "plan_id": f"p{i}", "assigned_at": start, "updated_at": start + timedelta(seconds=i), "unassigned_at": end})
+    far = at("9999-12-31 23:59:59")
+    cuts = sorted({r["assigned_at"] for r in rows} | {r["unassigned_at"] or far for r in rows})
+    expected = set()
+    for cut, until in zip(cuts, cuts[1:]):
+        alive = [r for r in rows if r["assigned_at"] <= cut < (r["unassigned_at"] or far)]
+        if alive:
+            newest = max(alive, key=lambda r: (r["assigned_at"], r["updated_at"]))
+            expected.add((newest["plan_id"], cut, until if until < far else None))
+    table = make.assignments(*rows, {"id": "other", "subject": "org_1", "assigned_at": START})
+    intervals = ent.effective_intervals(table)
+    got = intervals.filter("subject = 'org_123'").collect()
+    assert len(got) == len(expected) and {(r["plan_id"], r["valid_from"], r["valid_to"]) for r in got} == expected
+    assert [r["valid_to"] for r in intervals.filter("subject = 'org_1'").collect()] == [None]
+    ends = F.coalesce("unassigned_at", F.lit(far))
+    ent.newest_pieces(table.withColumn("valid_from", F.col("assigned_at")).withColumn("ends", ends)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Window [") == plan.count("dense_rank(") <= 2
+    assert all("node" in line for line in plan.split("\n") if "Join [" in line)
+
+
 # --- plan changes ---------------------------------------------------------------------
 
 
