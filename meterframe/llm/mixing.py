@@ -6,73 +6,68 @@ the released blocks the one with the earliest deadline takes the slot. With weig
 to one this places every block in its window, so after any number of slots each source is
 less than one block away from its share.
 
-Weights are multiples of 1 / period. The schedule then repeats after one period, is computed
-once for that many slots, and a block's slot follows from its number alone. So nothing but the
-sources' totals passes through the driver, and documents are placed where they are.
+Weights are exact fractions: a given weight counts as the number that its double stands for,
+over the exact sum. So the schedule never drifts from the targets, however long it runs. It is
+computed once over block numbers, of which there are at most `MAX_BLOCKS` and one per source
+(blocks grow beyond that); totals and block numbers are all that passes through the driver, and
+documents are placed where they are.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.llm.common import parallelism
 
-PERIOD = 4_096
 BLOCK_CHARS = 1 << 16
+MAX_BLOCKS = 1 << 20
 TEMPER = 0.5
 NULL_SOURCE = "\u0000"
 
 
-def quantized(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per period for each source, at least one, by largest remainders."""
-    total = sum(weights.values())
-    names = sorted(weights)
-    if any(not w > 0 for w in weights.values()):
+def exact_shares(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Each source's share of the slots; the shares add up to one without rounding."""
+    if any(not 0 < w < float("inf") for w in weights.values()):
         raise ValueError("target weights must be positive")
-    if len(names) > period:
-        raise ValueError("the period must have a slot for each source")
-    exact = {n: weights[n] / total * period for n in names}
-    slots = {n: max(1, math.floor(exact[n])) for n in names}
-    missing = period - sum(slots.values())
-    by_remainder = sorted(names, key=lambda n: (slots[n] - exact[n], n))
-    for i in range(max(0, missing)):
-        slots[by_remainder[i % len(names)]] += 1
-    while sum(slots.values()) > period:  # the minimum of one slot took from the others
-        largest = max(names, key=lambda n: (slots[n] - exact[n], slots[n] > 1, slots[n]))
-        largest = largest if slots[largest] > 1 else max(names, key=lambda n: slots[n])
-        slots[largest] -= 1
-    return slots
-
-
-def window(block: int, slots: int, period: int) -> tuple[int, int]:
+    exact = {name: Fraction(w) for name, w in weights.items()}
+    total = sum(exact.values())
+    return {name: w / total for name, w in exact.items()}
+
+
+def window(block: int, share: Fraction) -> tuple[int, int]:
     """Release slot (inclusive) and deadline (exclusive) of a source's block."""
-    return block * period // slots, -(-(block + 1) * period // slots)
+    part, whole = share.numerator, share.denominator
+    return block * whole // part, -(-(block + 1) * whole // part)
+
 
+def schedule(shares: dict[str, Fraction], blocks: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """For each source the slot, release and deadline of its blocks, by earliest deadline first.
 
-def schedule(slots: dict[str, int], period: int | None = None) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period, by earliest deadline first."""
-    period = period or sum(slots.values())
-    waiting = [(0, name, 0) for name in sorted(slots)]  # (release, source, block)
+    `blocks` are the sources' numbers of blocks. Slots in which no block is released stay empty.
+    """
+    waiting = [(0, name, 0) for name in sorted(shares) if blocks.get(name, 0) > 0]  # (release, source, block)
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    placed: dict[str, list[int]] = {name: [] for name in slots}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, name, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(block, slots[name], period)[1], name, block))
+    ready: list[tuple[int, str, int, int]] = []  # (deadline, source, block, release)
+    placed: dict[str, list[tuple[int, int, int]]] = {name: [] for name in shares}
+    slot = 0
+    while waiting or ready:
         if not ready:
-            continue
-        deadline, name, block = heapq.heappop(ready)
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, name, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (window(block, shares[name])[1], name, block, release))
+        deadline, name, block, release = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError(f"block {block} of {name!r} missed its deadline")
-        placed[name].append(slot)
-        if block + 1 < slots[name]:
-            heapq.heappush(waiting, (window(block + 1, slots[name], period)[0], name, block + 1))
+        placed[name].append((slot, release, deadline))
+        if block + 1 < blocks[name]:
+            heapq.heappush(waiting, (window(block + 1, shares[name])[0], name, block + 1))
+        slot += 1
     return placed
 
 
@@ -87,12 +82,12 @@ def mix(
     documents: DataFrame,
     weights: dict[str | None, float] | None = None,
     block_chars: int = BLOCK_CHARS,
-    period: int = PERIOD,
 ) -> DataFrame:
     """All columns of `documents` and the struct `mix`: block, slot, release, deadline, offset.
 
     A source's documents stand in the order of a hash; `offset` is the number of characters
-    before a document, `block` the block of `block_chars` characters in which it starts. Slots
+    before a document, `block` the block of `block_chars` characters (or of 1 / `MAX_BLOCKS` of all
+    characters, if that is more) in which it starts. Slots
     order the blocks of all sources. The target weights default to the sources' sizes to the
     power 0.5. Nothing is dropped or repeated: when a source has no blocks left, its slots stay
     empty and the rest goes on in its order.
@@ -125,19 +120,22 @@ def mix(
         targets = tempered(totals)
     else:
         targets = {NULL_SOURCE if k is None else k: v for k, v in weights.items()}
-    period = max(period, 1 << max(0, 4 * len(targets) - 1).bit_length()) if len(targets) * 4 > period else period
-    slots = quantized(targets, period) if targets else {}
-    placed = schedule(slots, period) if slots else {}
+    block_chars = max(block_chars, -(-sum(totals.values()) // MAX_BLOCKS))
+    # A document without characters may start where its source ends.
+    blocks = {n: chars // block_chars + 1 for n, chars in totals.items()}
+    placed = schedule(exact_shares(targets), blocks)
+    if any(own and own[-1][2] >= 1 << 63 for own in placed.values()):
+        raise ValueError("a target weight is too small for the size of its source")
     table = spark.createDataFrame(
-        [(n, slots[n], placed[n]) for n in sorted(slots)], "plan_source string, per_period int, plan array<int>"
+        [(n, *([list(column) for column in zip(*own)] or [[], [], []])) for n, own in sorted(placed.items())],
+        "plan_source string, slots array<bigint>, releases array<bigint>, deadlines array<bigint>",
     )
 
     within = Window.partitionBy("__source", "__part").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__before", F.coalesce(F.sum("__chars").over(within), F.lit(0)))
     same = (F.col("__source") == F.col("start_source")) & (F.col("__part") == F.col("start_part"))
     offset = F.col("start") + F.col("__before")
-    turn, at = _div(F.col("__block"), F.col("per_period")), F.col("__block") % F.col("per_period")
-    slot = turn * period + F.element_at("plan", (at + 1).cast("int"))
+    at = (F.col("__block") + 1).cast("int")
     result = (
         local.join(starts, same)
         .withColumn("__offset", offset)
@@ -147,9 +145,9 @@ def mix(
             "mix",
             F.struct(
                 F.col("__block").alias("block"),
-                slot.alias("slot"),
-                _div(F.col("__block") * period, F.col("per_period")).alias("release"),
-                _div((F.col("__block") + 1) * period + F.col("per_period") - 1, F.col("per_period")).alias("deadline"),
+                F.element_at("slots", at).alias("slot"),
+                F.element_at("releases", at).alias("release"),
+                F.element_at("deadlines", at).alias("deadline"),
                 F.col("__offset").alias("offset"),
             ),
         )

@@ -2,6 +2,7 @@ import collections
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 from helpers import LONG, no_documents, odd_documents, sf_documents
@@ -165,6 +166,14 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in scored if r["quality"]) >= 0.97 * sum(r["quality"] for r in scored)
 
 
+def test_quality_learns_a_repeated_id_once(spark):
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, quality int")
+    rows = [(1, "good text here"), (3, "bad words there")]
+    once = spark.createDataFrame(rows, "doc_id bigint, text string")
+    often = spark.createDataFrame(rows + [(1, "other text")] * 500 + rows[1:] * 300, "doc_id bigint, text string")
+    assert (quality.fit(once, labels) == quality.fit(often, labels)).all()
+
+
 def test_quality_on_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 0), (7, 5, 1)], "doc_id bigint, quality int, toxic int")
     docs = odd_documents(spark)
@@ -174,18 +183,39 @@ def test_quality_on_odd_rows(spark):
     assert quality.classify(no_documents(spark), labels).count() == 0
 
 
+def assert_less_than_one_off(weights, slots):
+    """Against the true weights: before and after each block its source is less than one block off."""
+    exact = {n: Fraction(w) for n, w in weights.items()}
+    total = sum(exact.values())
+    blocks = {n: math.ceil(w / total * slots) + 1 for n, w in exact.items()}
+    placed = mixing.schedule(mixing.exact_shares(weights), blocks)
+    assert {n: len(own) for n, own in placed.items()} == blocks
+    used = sorted(slot for own in placed.values() for slot, _, _ in own if slot < slots)
+    assert used == list(range(slots))
+    for name, own in placed.items():
+        for block, (slot, release, deadline) in enumerate(own):
+            assert release <= slot < deadline
+            assert abs(block * total - exact[name] * slot) < total
+            assert abs((block + 1) * total - exact[name] * (slot + 1)) < total
+
+
 def test_every_block_in_its_window_and_less_than_one_off():
     random = np.random.default_rng(1)
     for _ in range(20):
-        weights = {f"s{i}": float(random.random() ** 3 + 1e-4) for i in range(random.integers(1, 40))}
-        slots = mixing.quantized(weights, 512)
-        placed = mixing.schedule(slots)
-        owner = {slot: name for name, own in placed.items() for slot in own}
-        assert sorted(owner) == list(range(512))
-        counts = collections.Counter()
-        for slot in range(512):
-            counts[owner[slot]] += 1
-            assert all(abs(counts[n] - k * (slot + 1) / 512) < 1 for n, k in slots.items())
+        assert_less_than_one_off({f"s{i}": float(random.random() ** 3 + 1e-4) for i in range(random.integers(1, 40))}, 500)
+
+
+def test_schedule_does_not_drift_from_the_true_weights():
+    random = np.random.default_rng(2)
+    assert_less_than_one_off(mixing.tempered({f"s{i}": int(random.integers(1, 10**9)) for i in range(20)}), 120_000)
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 7)
+    docs = sf_documents(spark)
+    rows = mixing.mix(docs, block_chars=1).select("source", "mix.*").collect()
+    sources = {r["source"] for r in rows}
+    assert len(rows) == docs.count() and len({(r["source"], r["block"]) for r in rows}) <= 7 + len(sources)
 
 
 def test_mix_places_all_documents(spark):

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_names_and_stages():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == [
         "keep_good", "keep_one_of_each_group", "mask_personal_data", "mix_sources", "encode",
     ]
@@ -65,6 +65,6 @@ def test_positions_follow_the_schedule(spark):
     sizes = {}
     for r in docs.collect():
         sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"])
-    slots = mixing.quantized(mixing.tempered(sizes))
+    shares = mixing.exact_shares(mixing.tempered(sizes))
     for row in order:  # before a block, its source has had less than one block more or less than its share
-        assert abs(row["block"] - row["slot"] * slots[row["source"]] / mixing.PERIOD) < 1
+        assert abs(row["block"] - row["slot"] * shares[row["source"]]) < 1
