@@ -117,7 +117,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Weights learned from at most `sample_rows` labelled rows outside the held-out fold.
 
     The sample takes the labels in the order of a hash of their id. Labels that are not 0 or 1
-    or have no id are left out; without any label the model is zero (score 0.5). The features
+    or have no id are left out; without any label the model is zero (score 0.5). A labelled id that
+    several documents have counts once, with the smallest of its texts. The features
     are made where the texts are; one task runs the updates over the bounded sample.
     """
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -125,6 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     rows = rows.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
