@@ -6,12 +6,8 @@ rejected row never uses up an idempotency key.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from meterframe.functions.metadata import variant_type
 from meterframe.functions.predicates import metadata_map_matches
@@ -150,56 +146,78 @@ def validate(raw: DataFrame, meters: DataFrame, now, batch_id: str = "", receive
 # --- dotted keys -----------------------------------------------------------------
 
 
-def nest_dotted_keys(text: str, names: list[str]) -> tuple[str, str | None]:
-    """Move flat dotted keys to their nested place; returns (metadata, error)."""
-    data = json.loads(text)
-    for name in names:
-        if name not in data:
-            continue
-        *parents, leaf = name.split(".")
-        node = data
-        for part in parents:
-            node = node.setdefault(part, {})
-            if not isinstance(node, dict):
-                return text, f'dimension "{name}" conflicts with existing metadata'
-        node[leaf] = data[name]
-        del data[name]
-    return json.dumps(data, separators=(",", ":"), ensure_ascii=False), None
+ENTRIES = "map<string,variant>"
+
+
+def _with(value: Column, use) -> Column:
+    """`use(value)`, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _put(text: Column, parts: Column, value: Column, at: int, depth: int) -> Column:
+    """The JSON object `text` with `value` at the path `parts[at:]`; NULL if something else is in its way."""
+
+    def into(entries: Column) -> Column:
+        part = F.get(parts, F.lit(at))
+        inner = value
+        if at + 1 < depth:
+            child = F.coalesce(F.to_json(F.try_element_at(entries, part)), F.lit("{}"))
+            deeper = _with(child, lambda c: F.when(c.startswith("{"), _put(c, parts, value, at + 1, depth)))
+            inner = F.when(F.size(parts) == at + 1, value).otherwise(deeper)
+        others = F.map_filter(entries, lambda key, _: key != part)
+        return _with(inner, lambda v: F.when(v.isNotNull(), F.to_json(F.map_concat(others, F.create_map(part, F.parse_json(v))))))
 
+    return _with(F.from_json(text, ENTRIES), into)
+
+
+def nest_dotted_keys(metadata: Column, names: Column, depth: int) -> Column:
+    """Moves flat dotted keys to their nested place, one after the other; struct of `metadata` and `error`.
+
+    `depth` is the largest number of parts of a name. If a part of a path is there and is
+    no object, the metadata stays as it was and `error` tells the first such name. The objects
+    on a path are written anew, with numbers as VARIANT prints them.
+    """
+
+    def step(state: Column, name: Column) -> Column:
+        def move(entries: Column) -> Column:
+            rest = F.to_json(F.map_filter(entries, lambda key, _: key != name))
+            value = F.to_json(F.try_element_at(entries, name))
+            moved = _put(rest, F.split(name, r"\."), value, 0, depth)
+            return F.when(value.isNull(), state["metadata"]).otherwise(moved)
+
+        conflict = F.concat(F.lit('dimension "'), name, F.lit('" conflicts with existing metadata'))
+        done = _with(
+            _with(F.from_json(state["metadata"], ENTRIES), move),
+            lambda text: F.struct(F.coalesce(text, metadata).alias("metadata"), F.when(text.isNull(), conflict).alias("error")),
+        )
+        return F.when(state["error"].isNotNull(), state).otherwise(done)
 
-@F.pandas_udf(StructType([StructField("metadata", StringType()), StructField("metadata_error", StringType())]))
-def _nest(metadata: pd.Series, names: pd.Series) -> pd.DataFrame:
-    rows = [nest_dotted_keys(text, list(keys)) for text, keys in zip(metadata, names)]
-    return pd.DataFrame(rows, columns=["metadata", "metadata_error"])
+    start = F.struct(metadata.alias("metadata"), F.lit(None).cast("string").alias("error"))
+    return F.aggregate(names, start, step)
 
 
 def normalize_metadata(rows: DataFrame, meters: DataFrame) -> DataFrame:
     """Rewrite flat dotted keys of declared dimensions as nested objects.
 
-    Spark has no function that sets a nested JSON value, so this is an Arrow UDF. It
-    runs only if some meter declares a dotted dimension, and only on the rows that
-    carry such a key.
+    Only if some meter declares a dotted dimension, and only in the rows that carry such a key.
     """
-    no_error = F.lit(None).cast("string").alias("metadata_error")
-    dotted_meter = F.exists("dimensions", lambda d: d["name"].contains("."))
-    if meters.filter(dotted_meter).isEmpty():
-        return rows.select("*", no_error)
+    parts = F.transform("dimensions", lambda d: F.size(F.split(d["name"], r"\.")))
+    depth = meters.agg(F.max(F.array_max(parts))).first()[0] or 0
+    if depth < 2:
+        return rows.select("*", F.lit(None).cast("string").alias("metadata_error"))
     flat_keys = F.json_object_keys("metadata")
     dotted = F.filter(
         F.transform(F.coalesce("meter_dimensions", F.array().cast(f"array<{DIMENSION}>")), lambda d: d["name"]),
         lambda name: name.contains(".") & F.array_contains(flat_keys, name),
     )
     rows = rows.withColumn("flat_dotted", F.when(flat_keys.isNotNull(), dotted))
-    has_flat = F.coalesce(F.size("flat_dotted") > 0, F.lit(False))
-    plain = rows.filter(~has_flat).drop("flat_dotted").select("*", no_error)
-    nested = (
-        rows.filter(has_flat)
-        .withColumn("nested", _nest("metadata", "flat_dotted"))
-        .withColumn("metadata", F.col("nested.metadata"))
-        .withColumn("metadata_error", F.col("nested.metadata_error"))
-        .drop("flat_dotted", "nested")
+    nested = F.when(F.size("flat_dotted") > 0, nest_dotted_keys(F.col("metadata"), F.col("flat_dotted"), depth))
+    rows = rows.withColumn("nested", nested)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("metadata", "flat_dotted", "nested")],
+        F.coalesce("nested.metadata", "metadata").alias("metadata"),
+        F.col("nested.error").alias("metadata_error"),
     )
-    return plain.unionByName(nested)
 
 
 # --- split and deduplicate -------------------------------------------------------

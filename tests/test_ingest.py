@@ -142,6 +142,44 @@ def test_dotted_keys_become_nested(make):
     ]
 
 
+def _nested_by_hand(data: dict, names: list[str]) -> tuple[dict, str | None]:
+    result = json.loads(json.dumps(data))
+    for name in names:
+        if name not in result:
+            continue
+        *parents, leaf = name.split(".")
+        node = result
+        for part in parents:
+            node = node.setdefault(part, {})
+            if not isinstance(node, dict):
+                return data, f'dimension "{name}" conflicts with existing metadata'
+        node[leaf] = result.pop(name)
+    return result, None
+
+
+def test_dotted_keys_equal_a_plain_version(spark):
+    random, names = Random(3), ["a.b", "a.b.c", "a.d", "e.f.g.h", "a.b"]
+    values = [1, -2.5, "x", 'q"\\u00e9', True, None, [1, {"z": "2"}], {"c": 3}, {}, {"b": {"c": 1}, "y": None}]
+    docs = [
+        {key: random.choice(values) for key in random.sample(["a.b", "a.b.c", "a.d", "e.f.g.h", "a", "e", "other", "x.y"], random.randrange(6))}
+        for _ in range(400)
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(d), names) for i, d in enumerate(docs)], "i int, metadata string, names array<string>")
+    found = rows.select("i", ingest.nest_dotted_keys(F.col("metadata"), F.col("names"), 4).alias("n")).select("i", "n.*").collect()
+    conflicts = 0
+    for row in found:
+        expected, error = _nested_by_hand(docs[row["i"]], names)
+        assert (json.loads(row["metadata"]), row["error"]) == (expected, error), docs[row["i"]]
+        conflicts += error is not None
+    assert 20 < conflicts < 380
+
+
+def test_dotted_keys_need_no_python_worker(make, capsys):
+    meters = make.meters({"dimensions": [dim("service.tier")]})
+    ingest.validate(make.raw({"metadata": "{}", "timestamp": T}), meters, NOW).explain()
+    assert "Python" not in capsys.readouterr().out
+
+
 def test_subjects_and_quantities(make):
     good = ["org_123", "customer-42", "acct.abc", "tenant:west"]
     bad = ["", "org 123", "org/123", "gggg-<>ddddd", "-org", "a" * 129]
