@@ -615,6 +615,29 @@ def evaluate(
     )
 
 
+def closed_windows(
+    changed: DataFrame, counters: DataFrame, assignments: DataFrame, limits: DataFrame, meters: DataFrame
+) -> DataFrame:
+    """Snapshots of some windows that are over, under the plan in effect when they ended.
+
+    `changed` holds the windows (`COUNTER_KEY`); only their counter partials are merged. A window
+    whose subject had no plan at its end, or none with a limit for it, has no snapshot.
+    """
+    merged = merge_counters(counters.join(changed, COUNTER_KEY, "left_semi"))
+    last_moment = F.col("period_end") - F.expr("INTERVAL '0.000001' SECOND")
+    rows = merged.withColumns({"event_time": last_moment, "id": F.xxhash64(*COUNTER_KEY)})
+    rows = with_assignment(rows, assignments).drop("event_time", "id", "period_anchor_at")
+    limit_key = ["workspace_id", "plan_id", "meter_name", "period"]
+    rows = rows.join(first_limits(limits).select(*limit_key, "limit_value", "warning_percent"), limit_key)
+    side = meters.select("workspace_id", F.col("name").alias("meter_name"), "aggregation")
+    rows = rows.join(side, ["workspace_id", "meter_name"])
+    seconds = seconds_between(F.col("period_start"), F.col("period_end"))
+    rows = rows.withColumn("current", partial_value(F.col("aggregation"), seconds))
+    current, limit = F.col("current"), F.col("limit_value")
+    state = overage_state(current, limit, F.col("warning_percent"))
+    return snapshots(rows.withColumns({"remaining": above_zero(limit - current), "state": state}))
+
+
 def states(evaluated: DataFrame) -> DataFrame:
     return evaluated.select(
         *STATE_KEY, "state", "current", "limit_value", "remaining", "warning_percent", "message", "evaluated_at"

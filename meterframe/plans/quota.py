@@ -9,8 +9,16 @@ from meterframe.functions.timecalc import ntz
 from meterframe.operators import entitlements as ent
 from meterframe.plans.registry import EV, MET, ORD, ctes, query, rounded
 from meterframe.schema import PLAN, PLAN_LIMIT
-from meterframe.session import materialize
-from meterframe.sources.tables import event_meters, table, usage_from_events, usage_from_orders, workspace_of
+from meterframe.session import materialize, scratch_path
+from meterframe.sources.store import EventStore
+from meterframe.sources.tables import (
+    event_meters,
+    raw_from_usage,
+    table,
+    usage_from_events,
+    usage_from_orders,
+    workspace_of,
+)
 
 NOW = "2024-01-25T12:00:00Z"
 BEFORE = "2024-01-24T12:00:00Z"
@@ -774,3 +782,38 @@ def plan_validation(spark, folder):
     )
     known = part.filter("p_brand <> 'Brand#9'").select(workspace, F.col("p_brand").alias("name")).distinct()
     return ent.validate_plans(plan_rows, limit_rows, known)
+
+
+@query(
+    "late_events",
+    ctes(
+        *BASE[:4],
+        """ev_ok AS (SELECT * EXCLUDE (rn, received_at), late AS received_at FROM (
+  SELECT *, CAST(id AS BIGINT) % 5 = 0 AS late, row_number() OVER (PARTITION BY workspace_id, idempotency_key
+    ORDER BY CAST(id AS BIGINT) % 5 = 0, CAST(id AS BIGINT)) AS rn FROM ev WHERE quantity > 0) WHERE rn = 1)""",
+        CNT.replace("FROM ev e", "FROM ev_ok e"),
+        *BASE[5:],
+        f"""changed AS (SELECT DISTINCT e.workspace_id, e.subject, e.meter_name, w.period, w.period_start
+  FROM placed e JOIN win w ON w.workspace_id = e.workspace_id AND w.subject = e.subject
+   AND e.event_time >= w.period_start AND e.event_time < w.period_end WHERE e.late AND w.period_end <= {SQL_NOW})""",
+        f"""late AS (SELECT c.workspace_id, c.subject, c.meter_name, a.plan_id, c.period, c.period_start, c.event_count,
+    l.limit_value, l.warning_percent, {VALUE} AS current
+  FROM changed JOIN cnt c USING (workspace_id, subject, meter_name, period, period_start)
+  JOIN asg a ON a.workspace_id = c.workspace_id AND a.subject = c.subject AND a.assigned_at < c.period_end
+   AND (a.unassigned_at IS NULL OR a.unassigned_at >= c.period_end)
+  JOIN fst l ON l.workspace_id = c.workspace_id AND l.plan_id = a.plan_id AND l.meter_name = c.meter_name AND l.period = c.period
+  JOIN met m ON m.workspace_id = c.workspace_id AND m.name = c.meter_name)""",
+    )
+    + f"""SELECT workspace_id, subject, meter_name, plan_id, period, period_start, event_count, limit_value,
+  {_state("current", "limit_value", "warning_percent")} AS state, round(current, 6) AS current FROM late""",
+)
+def late_events(spark, folder):
+    """A committed batch, then one with a fifth of the events, all of them old: the closed windows that it changes."""
+    store, meters = EventStore(spark, scratch_path(spark, "late-events")), event_meters(spark, folder)
+    raw, history = raw_from_usage(usage_from_events(spark, folder)), assignments(spark, folder)
+    late = F.col("index") % 5 == 0
+    store.ingest(raw.filter(~late), meters, "on-time", NOW, assignments=history)
+    store.ingest(raw.filter(late), meters, "late", "2024-02-01T00:00:00Z", assignments=history)
+    rows = store.late_windows("late", NOW, history, limits(spark), meters)
+    columns = [*ent.STATE_KEY, "period_start", "event_count", "limit_value", "state", "current"]
+    return rounded(rows.select(*columns), "current")

@@ -496,6 +496,18 @@ class EventStore:
         written = self.own("quota_evaluations", batch_id)
         self._replace("quota_current", entitlements.states(written), entitlements.STATE_KEY, batch_id, numbers)
 
+    def late_windows(
+        self, batch_id: str, closed_by: str | datetime, assignments: DataFrame, limits: DataFrame, meters: DataFrame
+    ) -> DataFrame:
+        """New snapshots of the quota windows that were over by `closed_by` and that a committed batch still changed.
+
+        The batch's own counter partials tell which windows those are; no other window is
+        merged and no event is read. `closed_by` is the time of the evaluation before.
+        """
+        over = self.own("counters", batch_id).filter(F.col("period_end") <= ntz(closed_by))
+        changed = over.select(*entitlements.COUNTER_KEY).distinct()
+        return entitlements.closed_windows(changed, self.table("counters"), assignments, limits, meters)
+
     def evaluate_alerts(self, batch_id: str, rules: DataFrame, meters: DataFrame, now: str | datetime) -> None:
         """Evaluate the rules that are due or that a batch touched; repeating it replaces its own log rows.
 
