@@ -1,28 +1,30 @@
 """Language-model scores by logistic mixing of context bit predictors.
 
 A text is a sequence of bytes between two boundary symbols, and a byte is eight binary
-decisions. For each order (1 to 5 bytes of context) a predictor counts zeros and ones per
-(order, context, bits of the byte so far). The predictors' log odds are added up
-with weights; which set of weights is used is gated by the bit's position and by how much the
-two longest contexts have seen. The weights are learned online, and a last adaptive table
+decisions. A predictor counts zeros and ones per (context, bits of the byte so far);
+the contexts are the last 1 to 5 bytes and the word so far, hashed. The predictors' log odds are
+added up with weights; which set of weights is used is gated by the bit's position and by how much
+the two longest contexts have seen. The weights are learned online, and a last adaptive table
 refines the mixed probability. The sum of all decisions is the text's total bits.
 
-The counts come from all training texts. They are gathered as counts of six-byte grams, which
-hold the counts of all orders. Grams that share their last three context bytes go to one task, which
-has all counts of the orders 3 to 5 for them; those of the orders 1 and 2 are shared. The counts
-are exact: no slot is shared by two contexts, whatever the size of the corpus. Mixing and
-refinement learn online from the grams, each weighted by its count and predicted from the counts
-without one occurrence of itself, task by task, and the tasks' results are averaged. Scoring uses
-the frozen model, so that a text's score does not depend on the other texts in its task. Then a
-byte's cost depends on its gram alone: each distinct gram is costed once, frequent grams are looked
-up where the texts are, and the others go to a join.
+The counts come from all training texts. They are gathered as counts of keys: the last five bytes, the
+byte itself, and a hash of what else the word context holds, which together give the counts of all
+predictors. The count table is as long as the corpus needs; two word contexts share an entry only if
+they end in the same five bytes and their hashes collide. Grams that share their last three context
+bytes form a part, which has all counts of the orders 3 to 5 and of the words for them; those of the
+orders 1 and 2 are shared. Each gram is weighted by its count and predicted from the counts without one
+occurrence of itself. All parts learn at once from the same weights, the executors add up what they
+learned, and rounds repeat until the cost settles. Scoring uses the frozen model, so that a text's
+score does not depend on the other texts in its task. A byte's cost depends on its key alone: each
+distinct key is costed once, frequent ones are looked up where the texts are, and the others go to
+a join.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,24 @@ from meterframe.session import materialize
 FOLDS, HELD_OUT = 7, 2
 BOUNDARY = 0xFF  # never a byte of UTF-8
 ORDERS = 5
-GRAM = ORDERS + 1  # the longest context and the byte itself
-TABLE_BITS = (20, 20, 20, 22, 23)  # slots per order of a Mixer over hashed tables
+GRAM = ORDERS + 1  # the longest plain context and the byte itself
+WORD_BYTES = 12  # the longest word context
+WORD_LEAST = 3  # the shortest: these bytes decide in which part a gram is counted
+HASH_BITS = 15  # of what a word context holds beyond the plain ones
+KEY_BYTES = 8
+PREDICTORS = ORDERS + 1
+INPUTS = PREDICTORS + 1  # the last one is constant
 LOW_ORDERS = 2  # shared by all tasks: at most 2 ** 24 different three-byte grams
 PART_GRAMS = 50_000
 HEAD_GRAMS = 1 << 21
-HELD = np.uint64(1 << 48)  # marks the grams of texts that are not learned from
-GATES = 8 * 4 * 4
+HELD = np.uint64(1 << 63)  # marks the grams of texts that are not learned from
+BIT_GATES = 4 * 4
+GATES = 8 * BIT_GATES
 BUCKETS = 33
-DELTA = 0.4
-RATE = 0.02
+DELTA = 0.05
+PRIOR = 20.0  # what the weights so far count, in decisions, when a part goes on from them
+LONGEST_STEP = 0.5
+ROUNDS, SETTLED = 4, 0.002
 BATCH = 4096
 MEMO_BITS = 21
 PASS = 1 << 20
@@ -52,20 +62,49 @@ FLUSH_WORDS = 400_000
 HEAD_WORDS = 100_000
 END = b" "  # the end token's key; no word holds a space
 WORD_KIND, GRAM_KIND = 0, 1
-# Fixed value: the multiplier of the slot hash.
+# Fixed value: the multiplier of the hash.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[*b" \t\n\v\f\r", BOUNDARY]] = True
+CAPITAL = np.zeros(256, bool)
+CAPITAL[65:91] = True
+CASE = 0x20  # a small letter has this bit more than its capital
+LATIN = 0xC3  # first byte of the letters from U+00C0 on, whose capitals go on with 0x80 to 0x9E
 
 
 def gram_keys(data: bytes) -> np.ndarray:
-    """The grams that end at each byte and at the end boundary, as 48-bit numbers."""
-    padded = np.frombuffer(b"\xff" * (GRAM - 1) + data + b"\xff", np.uint8).astype(np.uint64)
+    """The grams that end at each byte and at the end boundary, as 63-bit numbers.
+
+    The low 48 bits are the byte and the five before it. Where the word so far, with the white
+    space before it, is longer than those five, the upper 15 bits are a hash of the rest (up to
+    `WORD_BYTES`).
+    """
+    padded = np.frombuffer(b"\xff" * WORD_BYTES + data + b"\xff", np.uint8)
     count = len(data) + 1
-    key = padded[:count]
+    wide = padded.astype(np.uint64)
+    first = WORD_BYTES - ORDERS
+    key = wide[first : first + count].copy()
     for i in range(1, GRAM):
-        key = (key << np.uint64(8)) | padded[i : i + count]
+        key = (key << np.uint64(8)) | wide[first + i : first + i + count]
+    latin = np.concatenate(([False], padded[:-1] == LATIN))
+    wide += (CASE * folds(padded, latin)).astype(np.uint64)
+    place = np.arange(len(padded), dtype=np.int64)
+    opened = np.maximum.accumulate(np.where(SEPARATOR[padded], place, 0))
+    length = (place - opened)[WORD_BYTES - 1 : WORD_BYTES - 1 + count] + 1
+    long = np.flatnonzero(length > ORDERS)
+    length, rest = length[long], np.zeros(len(long), np.uint64)
+    for back in range(ORDERS + 1, WORD_BYTES + 1):
+        mixed = (rest + wide[long + (WORD_BYTES - back)] + np.uint64(1)) * PRIME
+        rest = np.where(length >= back, mixed ^ (mixed >> np.uint64(29)), rest)
+    key[long] |= ((rest * PRIME) >> np.uint64(64 - HASH_BITS)) << np.uint64(8 * GRAM)
     return key
 
 
+def folds(byte: np.ndarray, latin: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a capital letter; `latin`: whether the byte before is `LATIN`."""
+    return CAPITAL[byte] | (latin & (byte >= 0x80) & (byte <= 0x9E))
+
+
 class Counts:
     """How often keys occur, for ranges of keys: sorted distinct keys and running sums."""
 
@@ -92,26 +131,18 @@ class Counts:
 
 
 def of_order(key: np.ndarray, order: int) -> np.ndarray:
-    """The last `order + 1` context bytes and the byte itself."""
-    return key & np.uint64((1 << (8 * (order + 2))) - 1)
-
-
-def context_hash(key: np.ndarray, order: int) -> np.ndarray:
-    """Hash of each gram's last `order + 1` context bytes, before the bits are added."""
-    context = (key >> np.uint64(8)) & np.uint64((1 << (8 * (order + 1))) - 1)
-    return (context << np.uint64(11)) * PRIME
-
-
-def finish_slot(base: np.ndarray, key: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """The slot, in its order's table, of a context and the first `bit` bits of the byte."""
-    node = ((key & np.uint64(0xFF)) | np.uint64(0x100)) >> np.uint64(8 - bit)
-    mixed = base + (node * np.uint64(8) + np.uint64(order + 1)) * PRIME
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * PRIME) >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64)
-
-
-def slots_of(key: np.ndarray, order: int, bit: int) -> np.ndarray:
-    return finish_slot(context_hash(key, order), key, order, bit)
+    """The context of a predictor and the byte itself: the last `order + 1` bytes, or the word's."""
+    if order < ORDERS:
+        return key & np.uint64((1 << (8 * (order + 2))) - 1)
+    context = [((key >> np.uint64(8 * back)) & np.uint64(0xFF)).astype(np.uint8) for back in range(ORDERS + 1)]
+    folded = key.copy()
+    for back in range(1, ORDERS + 1):
+        latin = context[back + 1] == LATIN if back < ORDERS else np.zeros(len(key), bool)
+        folded += folds(context[back], latin).astype(np.uint64) * np.uint64(CASE << (8 * back))
+    mask = np.full(len(key), (1 << 64) - 1, np.uint64)
+    for length in range(ORDERS, 0, -1):
+        mask[SEPARATOR[context[length]]] = (1 << (8 * (max(length, WORD_LEAST) + 1))) - 1
+    return folded & mask
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -119,66 +150,66 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predicts the bits of grams from counts in hashed tables, gate weights and the refinement table."""
-
-    def __init__(
-        self,
-        zeros: list[np.ndarray],
-        ones: list[np.ndarray],
-        weights: np.ndarray | None = None,
-        refined: np.ndarray | None = None,
-    ):
-        self.zeros, self.ones = zeros, ones  # counts per order and slot
+    """Predicts the bits of grams from the predictors' counts, gate weights and the refinement table."""
+
+    def __init__(self, counts: list[Counts], weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+        self.counts = counts
         self.weights = start_weights() if weights is None else weights
         self.refined = refined
 
-    def counts(self, key: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        """Per order and bit: the zeros and ones seen in each gram's context."""
-        slots = [[slots_of(key, order, bit) for bit in range(8)] for order in range(ORDERS)]
-        return [
-            [(zeros[s].astype(np.float64), ones[s].astype(np.float64)) for s in own]
-            for zeros, ones, own in zip(self.zeros, self.ones, slots)
-        ]
-
     def inputs(self, key: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit (log odds per order and a constant, gate, the bit itself)."""
-        counts = self.counts(key)
+        """For each bit (log odds per predictor and a constant, gate, the bit itself)."""
+        walks = [own.branches(of_order(key, order)) for order, own in enumerate(self.counts)]
         for bit in range(8):
             value = ((key >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-            x = np.empty((len(key), ORDERS + 1))
-            x[:, ORDERS] = 0.3
-            gate = np.full(len(key), bit * 16)
-            for order in range(ORDERS):
-                n0, n1 = counts[order][bit]
+            x = np.empty((INPUTS, len(key)))
+            x[PREDICTORS] = 0.3
+            gate = np.full(len(key), bit * BIT_GATES)
+            for order, walk in enumerate(walks):
+                n0, n1 = next(walk)
                 if left_out:
                     n0, n1 = np.maximum(0.0, n0 - (1.0 - value)), np.maximum(0.0, n1 - value)
-                x[:, order] = np.log((n1 + DELTA) / (n0 + DELTA))
-                if order >= ORDERS - 2:
+                x[order] = np.log((n1 + DELTA) / (n0 + DELTA))
+                if order >= PREDICTORS - 2:
                     seen = n0 + n1
                     level = (seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)
-                    gate += level * (4 if order == ORDERS - 1 else 1)
+                    gate += level * (4 if order == PREDICTORS - 1 else 1)
             yield x, gate, value
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12.0, 12.0)
-
-    def learn(self, key: np.ndarray, count: np.ndarray, use: np.ndarray) -> None:
-        """One online step per bit position over a batch; `use` collects the weight of each gate."""
-        for x, gate, value in self.inputs(key, left_out=True):
-            error = (value - squash(self.mixed(x, gate))) * count
-            weight = np.bincount(gate, count, GATES)
-            step = np.stack([np.bincount(gate, error * x[:, i], GATES) for i in range(ORDERS + 1)], axis=1)
-            self.weights = self.weights + RATE * step * (8.0 / (weight[:, None] + 8.0))
-            use += weight
-
-    def refine(self, key: np.ndarray, count: np.ndarray, table: np.ndarray) -> None:
-        """Adds to `table` what followed each mixed probability, by node and bucket."""
+        return np.clip(np.einsum("ij,ij->j", x, self.weights.T[:, gate]), -12.0, 12.0)
+
+    def learn(self, key: np.ndarray, count: np.ndarray, trust: np.ndarray, start: "Mixer", table: np.ndarray) -> float:
+        """One online step per gate over a batch; returns the bits that `start` needs for it.
+
+        `trust` holds per gate how sharply all decisions so far fix the weights: the sum of
+        p (1 - p) x x'. A step is the error's gradient over that, so it shrinks as evidence grows.
+        What followed each probability of `start` is added to `table`, by node and bucket.
+        """
+        spent = 0.0
         for bit, (x, gate, value) in enumerate(self.inputs(key, left_out=True)):
-            node, low, part = self._place(key, bit, self.mixed(x, gate))
-            for bucket, share in ((low, 1.0 - part), (low + 1, part)):
-                at = node * BUCKETS + bucket
-                table[0] += np.bincount(at, count * share, 256 * BUCKETS)
-                table[1] += np.bincount(at, count * share * value, 256 * BUCKETS)
+            score = start.mixed(x, gate)
+            p = squash(score)
+            spent -= float(np.log2(np.where(value > 0, p, 1.0 - p)) @ count)
+            node, low, part = self._place(key, bit, score)
+            at = node * BUCKETS + low
+            for shift, share in ((0, count * (1.0 - part)), (1, count * part)):
+                table[0] += np.bincount(at + shift, share, 256 * BUCKETS)
+                table[1] += np.bincount(at + shift, share * value, 256 * BUCKETS)
+            p = squash(self.mixed(x, gate))
+            own, place = slice(bit * BIT_GATES, (bit + 1) * BIT_GATES), gate - bit * BIT_GATES
+            error, sharp = (value - p) * count, np.maximum(p * (1.0 - p), 1e-4) * count
+            gradient = np.stack([np.bincount(place, error * x[i], BIT_GATES) for i in range(INPUTS)], axis=1)
+            for i in range(INPUTS):
+                scaled = sharp * x[i]
+                for j in range(i + 1):
+                    added = np.bincount(place, scaled * x[j], BIT_GATES)
+                    trust[own, i, j] += added
+                    if i != j:
+                        trust[own, j, i] += added
+            step = np.linalg.solve(trust[own], gradient[:, :, None])[:, :, 0]
+            self.weights[own] += np.clip(step, -LONGEST_STEP, LONGEST_STEP)
+        return spent
 
     @staticmethod
     def _place(key: np.ndarray, bit: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +219,10 @@ class Mixer:
         return node, low, scaled - low
 
     def cost(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte after its context, from the frozen model."""
+        """log10 probability of each gram's byte after its context, from the frozen model.
+
+        A decision's probability is kept between 1e-6 and its complement; the two sides still add up to 1.
+        """
         total = np.zeros(len(key))
         for bit, (x, gate, value) in enumerate(self.inputs(key, left_out=False)):
             score = self.mixed(x, gate)
@@ -202,23 +236,16 @@ class Mixer:
         return total
 
 
-class ExactMixer(Mixer):
-    """A mixer over exact counts of each order."""
-
-    def __init__(self, exact: list[Counts], weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        super().__init__([], [], weights, refined)
-        self.exact = exact
-
-    def counts(self, key: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        return [list(own.branches(of_order(key, order))) for order, own in enumerate(self.exact)]
-
-
 def start_weights() -> np.ndarray:
-    start = np.zeros((GATES, ORDERS + 1))
-    start[:, :ORDERS] = 0.35
+    start = np.zeros((GATES, INPUTS))
+    start[:, :PREDICTORS] = 0.3
     return start
 
 
+def start_trust() -> np.ndarray:
+    return np.tile(PRIOR * np.eye(INPUTS), (GATES, 1, 1))
+
+
 def refinement(table: np.ndarray) -> np.ndarray:
     """Probability per node and bucket; a bucket without evidence keeps its own centre."""
     centre = np.tile(squash(np.linspace(-12.0, 12.0, BUCKETS)), 256)
@@ -350,7 +377,7 @@ def gather(rows: DataFrame) -> DataFrame:
                 learned = np.where(keys < HELD, counts, 0)
                 for start in range(0, len(keys), 50_000):
                     stop = min(start + 50_000, len(keys))
-                    some = [raw[8 * i + 8 - GRAM : 8 * i + 8] for i in range(start, stop)]
+                    some = [raw[8 * i : 8 * i + KEY_BYTES] for i in range(start, stop)]
                     yield packed(GRAM_KIND, some, learned[start:stop], (counts - learned)[start:stop])
 
         def drain_words() -> Iterator[pa.RecordBatch]:
@@ -395,7 +422,7 @@ def _read_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarr
     """All grams of a task in order, how often they are learned from, and how often held out."""
     keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        keys.append(_numbers(batch.column(0).to_pylist(), GRAM))
+        keys.append(_numbers(batch.column(0).to_pylist(), KEY_BYTES))
         counts.append(batch.column(1).to_numpy())
         held.append(batch.column(2).to_numpy())
     key = np.concatenate(keys)
@@ -403,69 +430,114 @@ def _read_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarr
     return key[order], np.concatenate(counts)[order], np.concatenate(held)[order]
 
 
-def _packed(values: list) -> list[pa.Array]:
-    return [pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in values]
+PART_SCHEMA = "key binary, n binary, held binary"
+
+
+def parts_of(grams: DataFrame) -> DataFrame:
+    """The grams in parts, one row each, written once and read by every round without a shuffle.
+
+    Grams with the same last three context bytes, case aside, share a part. The number of parts follows from
+    the number of grams alone, so neither cores nor files change what is learned.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _read_grams(batches)
+        if len(arrays[0]):
+            columns = [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "held"])
+
+    number = max(1, -(-grams.count() // PART_GRAMS))
+    context = F.conv(F.hex(F.substring("key", KEY_BYTES - WORD_LEAST, WORD_LEAST)), 16, 10).cast("bigint")
+    context = context.bitwiseOR(F.lit(int.from_bytes(bytes([CASE] * WORD_LEAST), "big")))
+    dealt = grams.select("key", "n", "held").repartition(number, context)
+    return materialize(map_batches(dealt, pack, PART_SCHEMA), "gram-parts")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key, n, held = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in enumerate((np.uint64, np.int64, np.int64)))
+            yield key, n, held
 
 
 def low_counts(grams: DataFrame) -> list[Counts]:
     """Counts of the orders that all tasks share."""
-    short = F.substring("key", GRAM - LOW_ORDERS, LOW_ORDERS + 1)
+    short = F.substring("key", KEY_BYTES - LOW_ORDERS, LOW_ORDERS + 1)
     found = grams.filter("n > 0").groupBy(short.alias("key")).agg(F.sum("n").alias("n")).toArrow()
     key = _numbers(found.column(0).to_pylist(), LOW_ORDERS + 1)
     return [Counts(of_order(key, order), found.column(1).to_numpy()) for order in range(LOW_ORDERS)]
 
 
+def summed(parts: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """The sum over all parts of the `size` numbers that `add(key, count, sums)` adds up.
+
+    Tasks add up their parts, the executors the tasks, by number; `size` numbers reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size)
+        for key, count, _ in _parts(batches):
+            add(key[count > 0], count[count > 0].astype(np.float64), sums)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "value"])
+
+    found = map_batches(parts, run, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    result = np.zeros(size)
+    result[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return result
+
+
 def gram_costs(grams: DataFrame) -> DataFrame:
-    """(key as a number, cost, times) of each gram of (key, n, held), after learning in two rounds."""
-    context = GRAM - 1
-    parts = max(1, -(-grams.count() // PART_GRAMS))
-    dealt = grams.select("key", "n", "held").repartition(parts, F.substring("key", context - LOW_ORDERS, LOW_ORDERS + 1))
+    """(key as a number, cost, times) of each gram of (key, n, held), after learning from all of them.
+
+    Every part learns online from the weights so far, all parts at once. Their weights are averaged
+    by what each part knows (its `trust`), and the next round starts there, until the average saves less
+    than `SETTLED` of the bits, `ROUNDS` at most. The refinement table is that of the weights kept.
+    """
     low = grams.sparkSession.sparkContext.broadcast(low_counts(grams))
+    parts = parts_of(grams)
 
     def exact(key: np.ndarray, count: np.ndarray) -> list[Counts]:
-        return low.value + [Counts(of_order(key, order), count) for order in range(LOW_ORDERS, ORDERS)]
-
-    def mixing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count, _ = _read_grams(batches)
-        key, count = key[count > 0], count[count > 0]
-        mixer, use = ExactMixer(exact(key, count)), np.zeros(GATES)
-        order = np.random.default_rng(0).permutation(len(key))
-        for start in range(0, len(key), BATCH):
-            some = np.sort(order[start : start + BATCH])
-            mixer.learn(key[some], count[some].astype(np.float64), use)
-        if len(key):
-            yield pa.RecordBatch.from_arrays(_packed([mixer.weights, use]), ["weights", "use"])
-
-    weights, use = np.zeros((GATES, ORDERS + 1)), np.zeros(GATES)
-    for row in map_batches(dealt, mixing, "weights binary, use binary").toLocalIterator():
-        own = np.frombuffer(row["use"])
-        weights += np.frombuffer(row["weights"]).reshape(GATES, -1) * own[:, None]
-        use += own
-    weights = np.where(use[:, None] > 0, weights / np.maximum(use, 1e-9)[:, None], start_weights())
-
-    def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count, _ = _read_grams(batches)
-        key, count = key[count > 0], count[count > 0]
-        mixer, sums = ExactMixer(exact(key, count), weights), np.zeros((2, 256 * BUCKETS))
-        for start in range(0, len(key), BATCH):
-            mixer.refine(key[start : start + BATCH], count[start : start + BATCH].astype(np.float64), sums)
-        if len(key):
-            yield pa.RecordBatch.from_arrays(_packed([sums]), ["sums"])
-
-    sums = np.zeros((2, 256 * BUCKETS))
-    for row in map_batches(dealt, refining, "sums binary").toLocalIterator():
-        sums += np.frombuffer(row["sums"]).reshape(2, -1)
-    refined = refinement(sums)
+        return low.value + [Counts(of_order(key, order), count) for order in range(LOW_ORDERS, PREDICTORS)]
+
+    cuts = np.cumsum([1, GATES * INPUTS * INPUTS, GATES * INPUTS])
+
+    def learning(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def add(key: np.ndarray, count: np.ndarray, sums: np.ndarray) -> None:
+            counts = exact(key, count.astype(np.int64))
+            mixer, start, trust = Mixer(counts, weights.copy()), Mixer(counts, weights), start_trust()
+            table = sums[cuts[2] :].reshape(2, -1)
+            order = np.random.default_rng(0).permutation(len(key))
+            for first in range(0, len(key), BATCH):
+                some = np.sort(order[first : first + BATCH])
+                sums[0] += mixer.learn(key[some], count[some], trust, start, table)
+            sums[cuts[0] : cuts[1]] += trust.ravel()
+            sums[cuts[1] : cuts[2]] += np.einsum("gij,gj->gi", trust, mixer.weights).ravel()
+
+        spent, trust, pull, table = np.split(summed(parts, int(cuts[2]) + 2 * 256 * BUCKETS, add), cuts)
+        if trust.any():
+            weights = np.linalg.solve(trust.reshape(GATES, INPUTS, INPUTS), pull.reshape(GATES, INPUTS, 1))[:, :, 0]
+        return float(spent[0]), weights, refinement(table.reshape(2, -1))
+
+    weights = start_weights()
+    spent, better, refined = learning(weights)
+    for _ in range(ROUNDS):
+        if not spent:  # nothing to learn from
+            break
+        before, weights = spent, better
+        spent, better, refined = learning(weights)
+        if before - spent <= SETTLED * before:
+            break
 
     def costing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count, held = _read_grams(batches)
-        mixer = ExactMixer(exact(key, count), weights, refined)
-        for start in range(0, len(key), BATCH):
-            some = slice(start, start + BATCH)
-            columns = [key[some].astype(np.int64), mixer.cost(key[some]), (count + held)[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cost", "times"])
-
-    return map_batches(dealt, costing, "key bigint, cost double, times bigint")
+        for key, count, held in _parts(batches):
+            mixer = Mixer(exact(key, count), weights, refined)
+            for start in range(0, len(key), BATCH):
+                some = slice(start, start + BATCH)
+                columns = [key[some].astype(np.int64), mixer.cost(key[some]), (count + held)[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cost", "times"])
+
+    return map_batches(parts, costing, "key bigint, cost double, times bigint")
 
 
 def head_costs(costs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -112,8 +112,12 @@ def test_base_score_against_brute_force(spark):
 
 def test_mixer_predicts_a_distribution():
     random = np.random.default_rng(0)
-    tables = [[random.integers(0, 9, 1 << b).astype(np.uint8) for b in context_mixing.TABLE_BITS] for _ in "01"]
-    mixer = context_mixing.Mixer(*tables, None, context_mixing.refinement(np.ones((2, 256 * context_mixing.BUCKETS))))
+    seen = context_mixing.gram_keys(bytes(random.choice(list(b"abcdefg "), 5000).astype(np.uint8)))
+    counts = [
+        context_mixing.Counts(context_mixing.of_order(seen, order), random.integers(0, 9, len(seen)))
+        for order in range(context_mixing.PREDICTORS)
+    ]
+    mixer = context_mixing.Mixer(counts, None, context_mixing.refinement(np.ones((2, 256 * context_mixing.BUCKETS))))
     context = context_mixing.gram_keys(b"abcdefg")[6] & ~np.uint64(0xFF)
     keys = context | np.arange(256, dtype=np.uint64)
     assert abs(float((10.0 ** mixer.cost(keys)).sum()) - 1.0) < 1e-4
@@ -128,10 +132,41 @@ def test_counts_over_two_hundred_million_keep_their_ratio():
     keys = context_mixing.gram_keys(b"abcdef")[5] & ~np.uint64(0xFF) | np.array([0, 255], np.uint64)
     exact = [
         context_mixing.Counts(context_mixing.of_order(keys, order), np.array([3 * 10**8, 3 * 10 ** (9 + order)]))
-        for order in range(context_mixing.ORDERS)
+        for order in range(context_mixing.PREDICTORS)
     ]
-    x, _, _ = next(context_mixing.ExactMixer(exact).inputs(keys, False))
-    assert np.allclose(x[0, : context_mixing.ORDERS], np.log(10.0) * np.arange(1, 6))
+    x, _, _ = next(context_mixing.Mixer(exact).inputs(keys, False))
+    assert np.allclose(x[: context_mixing.PREDICTORS, 0], np.log(10.0) * np.arange(1, 7))
+
+
+def test_word_contexts():
+    keys = context_mixing.gram_keys("xy Ecole École école\nécoles, anticipation Anticipation".encode())
+    words = context_mixing.of_order(keys, context_mixing.PREDICTORS - 1)
+    at = {w: "xy Ecole École école\nécoles, anticipation Anticipation".encode().index(w.encode()) for w in
+          ("École", "école\n", "anticipation", "Anticipation")}
+    for i in range(2, len("anticipation")):  # after two letters, whatever the case of the first
+        assert words[at["anticipation"] + i] == words[at["Anticipation"] + i]
+    assert keys[at["anticipation"] + 9] >> np.uint64(48) and not keys[at["anticipation"] + 3] >> np.uint64(48)
+    for i in range(3, len("école".encode())):
+        assert words[at["École"] + i] == words[at["école\n"] + i]
+    assert len(context_mixing.gram_keys(b"")) == 1
+    assert (context_mixing.gram_keys(b"no white space at all") < context_mixing.HELD).all()
+
+
+def test_held_out_bits_a_byte(spark):
+    """Far below the five-byte contexts alone (2.24), near the add-one unigram score, which gets case and white space free."""
+    rows = context_mixing.score_documents(sf_documents(spark, "/root/testdata/sf0.01")).filter("held_out").collect()
+    size = sum(r["n_bytes"] for r in rows)
+    assert -sum(r["score"] for r in rows) * math.log2(10) / size < 2.17
+
+
+def test_learning_does_not_depend_on_tasks(spark):
+    docs = sf_documents(spark)
+    results = []
+    for tasks in (1, 7):
+        rows = context_mixing.score_documents(docs.repartition(tasks)).collect()
+        results.append(sorted((r["doc_id"], r["score"]) for r in rows))
+    assert [r[0] for r in results[0]] == [r[0] for r in results[1]]
+    assert np.allclose([r[1] for r in results[0]], [r[1] for r in results[1]], rtol=1e-9)
 
 
 def test_counts_of_every_context_apart():
