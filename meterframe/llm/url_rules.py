@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from meterframe.llm.common import ROW, parallelism, range_index, sampled_cuts, with_row
 
-HIGHEST = "\U0010ffff"
 BETWEEN = "\u0000"  # sorts below every character of a host or path
 CUT_CHARS = 200
 
@@ -45,6 +44,13 @@ def key_of(labels: Column, path: Column) -> Column:
     return F.concat(F.array_join(labels, "."), F.lit(BETWEEN), path)
 
 
+def cuts_inside(key: Column, cuts: list[str]) -> Column:
+    """How many cuts lie behind the start of the interval of all keys that begin with `key`."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.lit(cuts), lambda c: F.startswith(c, key) & (c > key)))
+
+
 def prepared_rules(rules: DataFrame) -> DataFrame:
     """(key, rule, verdict, rank, depth): one row per host and path, with its nesting depth.
 
@@ -104,7 +110,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column:
         F.lit(None).cast("int").alias("depth"),
     )
     first = range_index(F.col("key"), cuts)
-    last = range_index(F.concat("key", F.lit(HIGHEST)), cuts)
+    last = first + cuts_inside(F.col("key"), cuts)
     placed_rules = (
         swept.withColumn("cell", F.explode(F.sequence(first, last)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), salt_count - 1)))

@@ -63,3 +63,12 @@ def test_repeated_pages_stay(spark):
     frame = spark.createDataFrame([(1, "http://a.net/", "h", "r", "x")] * 3, PAGES)
     rules = spark.createDataFrame([("net", "/", "block")], RULES)
     assert [r["verdict"] for r in url_rules.judge(frame, rules).collect()] == ["block"] * 3
+
+
+def test_interval_reaches_cuts_behind_the_highest_character(spark, monkeypatch):
+    high = "\U0010ffff"
+    pages = [(n, f"http://net/{high * (n % 3)}{n}") for n in range(60)] + [(99, "http://net/"), (98, "http://nets/")]
+    cuts = ["net", "net\0/" + high, "net\0/" + high * 2 + "3", "net\0/" + high * 3, "nets"]
+    monkeypatch.setattr(url_rules, "sampled_cuts", lambda keys, parts: (cuts, [1] * 6))
+    rules = [("net", "/", "block"), ("net", "/" + high, "allow")]
+    assert judged(spark, pages, rules) == {(n, *brute(u, rules)) for n, u in pages}
