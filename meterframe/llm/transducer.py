@@ -22,7 +22,7 @@ from meterframe.llm.common import map_batches, texts
 
 # Fixed value: the word pattern of the vocabulary with word ends; white space is dropped.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CHUNK = 4096
+CHUNK = 256  # bytes that wait at most, next to the lookahead, before stable tokens leave
 TEXT_CHUNK = 1 << 16
 MEMO = 120_000
 MEMO_CHARS = 48
@@ -69,9 +69,6 @@ class Transducer:
 
 def encode_word(vocabulary: bpe.Vocabulary, word: bytes) -> Iterator[list[int]]:
     """The word's tokens in the order and the portions in which they become stable."""
-    if len(word) <= CHUNK:  # nothing can be emitted before the word's end
-        yield vocabulary.merge(vocabulary.symbols(word))
-        return
     machine = Transducer(vocabulary)
     for start in range(0, len(word), CHUNK):
         tokens = machine.push(word[start : start + CHUNK])
@@ -161,6 +158,19 @@ def pack(vocabulary: bpe.Vocabulary, tokens: list[int]) -> tuple[int, bytes, str
     return len(tokens), struct.pack(f"<{len(tokens)}I", *tokens), machine.feed(tokens) + machine.finish()
 
 
+def stream(words: Words, found: list[str]) -> Iterator[list[tuple[int, bytes, str]]]:
+    """The entries of words in order: runs of memoised ones, and long words token portion by portion."""
+    at = 0
+    for place, word in enumerate(found):
+        if len(word) <= MEMO_CHARS:
+            continue
+        yield [words[w] for w in found[at:place]]
+        at = place + 1
+        for tokens in encode_word(words.vocabulary, word.encode("utf-8")):
+            yield [pack(words.vocabulary, tokens)]
+    yield [words[w] for w in found[at:]]
+
+
 def encode(text: str, vocabulary: bpe.Vocabulary, words: Words, pattern: regex.Pattern) -> tuple[int, str, str]:
     """Token count and SHA-256 of the ids and of the decoded text, in one pass over the text."""
     ids, decoded = hashlib.sha256(), hashlib.sha256()
@@ -169,7 +179,7 @@ def encode(text: str, vocabulary: bpe.Vocabulary, words: Words, pattern: regex.P
         if special is not None:
             parts: Iterable[list[tuple[int, bytes, str]]] = [[pack(vocabulary, [special])]]
         else:
-            parts = ([words[w] for w in pattern.findall(normal(p))] for p in portions(piece))
+            parts = (entries for p in portions(piece) for entries in stream(words, pattern.findall(normal(p))))
         for entries in parts:
             if not entries:
                 continue

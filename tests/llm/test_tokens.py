@@ -27,6 +27,10 @@ HARD = [
 ]
 
 
+def digest(data):
+    return hashlib.sha256(data).hexdigest()
+
+
 def words(source):
     vocabulary = bpe.Vocabulary(bpe.read_file(source))
     return vocabulary, transducer.Words(vocabulary), regex.compile(transducer.WORDS)
@@ -96,4 +100,10 @@ def test_queries_on_documents(spark):
             n = len(library.encode(text, add_special_tokens=False).ids)
             expected.append(f"Row(doc_id={row['doc_id']}, n_bytes={len(text.encode())}, n_tokens={n}, over_limit={n > 512})")
         assert counted == sorted(expected)
-        assert transducer.encode_documents(docs, WORD_FILE).count() == len(rows)
+        library, expected = Tokenizer.from_file(WORD_FILE), []
+        for row in rows:
+            ids = library.encode(row["text"] or "", add_special_tokens=False).ids
+            said = library.decode(ids, skip_special_tokens=False)
+            expected.append((str(row["doc_id"]), len(ids), *map(digest, (struct.pack(f"<{len(ids)}I", *ids), said.encode()))))
+        found = transducer.encode_documents(docs, WORD_FILE).collect()
+        assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(expected)
