@@ -57,7 +57,9 @@ LONGEST_STEP = 0.5
 ROUNDS, SETTLED = 4, 0.002
 BATCH = 4096
 MEMO_BITS = 21
-PASS = 1 << 20
+PASS = 1 << 19
+PENDING = 2_000_000  # grams that a task collects before it counts them
+DISTINCT = 2_000_000  # counted ones it keeps at most before it hands them on, besides those
 FLUSH_WORDS = 400_000
 HEAD_WORDS = 100_000
 END = b" "  # the end token's key; no word holds a space
@@ -79,22 +81,34 @@ def gram_keys(data: bytes) -> np.ndarray:
     space before it, is longer than those five, the upper 15 bits are a hash of the rest (up to
     `WORD_BYTES`).
     """
-    padded = np.frombuffer(b"\xff" * WORD_BYTES + data + b"\xff", np.uint8)
-    count = len(data) + 1
-    wide = padded.astype(np.uint64)
-    first = WORD_BYTES - ORDERS
+    return np.concatenate(list(gram_pieces(data)))
+
+
+def gram_pieces(data: bytes) -> Iterator[np.ndarray]:
+    """The grams of a text, at most `PASS` at a time."""
+    before = WORD_BYTES + 1  # one more tells whether the first of them is half a letter
+    padded = np.frombuffer(b"\xff" * before + data + b"\xff", np.uint8)
+    for start in range(0, len(data) + 1, PASS):
+        yield _window_keys(padded[start : start + before + PASS], before)
+
+
+def _window_keys(window: np.ndarray, before: int) -> np.ndarray:
+    """The grams that end at each byte of `window` but the first `before`."""
+    count = len(window) - before
+    wide = window.astype(np.uint64)
+    first = before - ORDERS
     key = wide[first : first + count].copy()
     for i in range(1, GRAM):
         key = (key << np.uint64(8)) | wide[first + i : first + i + count]
-    latin = np.concatenate(([False], padded[:-1] == LATIN))
-    wide += (CASE * folds(padded, latin)).astype(np.uint64)
-    place = np.arange(len(padded), dtype=np.int64)
-    opened = np.maximum.accumulate(np.where(SEPARATOR[padded], place, 0))
-    length = (place - opened)[WORD_BYTES - 1 : WORD_BYTES - 1 + count] + 1
+    latin = np.concatenate(([False], window[:-1] == LATIN))
+    wide += (CASE * folds(window, latin)).astype(np.uint64)
+    place = np.arange(len(window), dtype=np.int32)
+    length = place - np.maximum.accumulate(np.where(SEPARATOR[window], place, 0))
+    length = length[before - 1 : before - 1 + count] + 1
     long = np.flatnonzero(length > ORDERS)
     length, rest = length[long], np.zeros(len(long), np.uint64)
     for back in range(ORDERS + 1, WORD_BYTES + 1):
-        mixed = (rest + wide[long + (WORD_BYTES - back)] + np.uint64(1)) * PRIME
+        mixed = (rest + wide[long + (before - back)] + np.uint64(1)) * PRIME
         rest = np.where(length >= back, mixed ^ (mixed >> np.uint64(29)), rest)
     key[long] |= ((rest * PRIME) >> np.uint64(64 - HASH_BITS)) << np.uint64(8 * GRAM)
     return key
@@ -305,11 +319,10 @@ class Scorer:
             owners.clear()
 
         for i, text in enumerate(data):
-            key = gram_keys(text)
-            for start in range(0, len(key), PASS):
-                keys.append(key[start : start + PASS])
+            for key in gram_pieces(text):
+                keys.append(key)
                 owners.append(i)
-                size += len(keys[-1])
+                size += len(key)
                 if size >= PASS:
                     settle()
                     size = 0
@@ -357,21 +370,17 @@ def gather(rows: DataFrame) -> DataFrame:
             nonlocal size
             keys, counts = np.unique(np.concatenate(pending), return_counts=True)
             pending.clear()
-            grams.append((keys, counts))
             size = 0
-            if len(grams) >= 4:
-                merge()
-
-        def merge() -> None:
-            keys, back = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([g[1] for g in grams])).astype(np.int64)
-            grams[:] = [(keys, counts)]
+            if grams:
+                old, known = grams.pop()
+                merged = Counts(np.concatenate((old, keys)), np.concatenate((known, counts)))
+                keys, counts = merged.keys, np.diff(merged.sums)
+            grams.append((keys, counts))
 
         def drain() -> Iterator[pa.RecordBatch]:
             if pending:
                 squeeze()
             if grams:
-                merge()
                 keys, counts = grams.pop()
                 raw = (keys & (HELD - np.uint64(1))).astype(">u8").tobytes()
                 learned = np.where(keys < HELD, counts, 0)
@@ -389,18 +398,16 @@ def gather(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, held in zip(texts(batch, "text"), batch.column(1).to_pylist()):
-                key = gram_keys(text.encode("utf-8"))
-                if held:
-                    key = key | HELD
-                else:
+                if not held:
                     words.update(words_of(text))
                     words[END] += 1
-                pending.append(key)
-                size += len(key)
-                if size >= 4_000_000:
-                    squeeze()
-                    if len(grams[0][0]) > 2_000_000:
-                        yield from drain()
+                for key in gram_pieces(text.encode("utf-8")):
+                    pending.append(key | HELD if held else key)
+                    size += len(key)
+                    if size >= PENDING:
+                        squeeze()
+                        if len(grams[0][0]) > DISTINCT:
+                            yield from drain()
                 if len(words) >= FLUSH_WORDS:
                     yield from drain_words()
         yield from drain_words()

@@ -138,7 +138,7 @@ def test_counts_over_two_hundred_million_keep_their_ratio():
     assert np.allclose(x[: context_mixing.PREDICTORS, 0], np.log(10.0) * np.arange(1, 7))
 
 
-def test_word_contexts():
+def test_word_contexts(monkeypatch):
     keys = context_mixing.gram_keys("xy Ecole École école\nécoles, anticipation Anticipation".encode())
     words = context_mixing.of_order(keys, context_mixing.PREDICTORS - 1)
     at = {w: "xy Ecole École école\nécoles, anticipation Anticipation".encode().index(w.encode()) for w in
@@ -149,6 +149,10 @@ def test_word_contexts():
     for i in range(3, len("école".encode())):
         assert words[at["École"] + i] == words[at["école\n"] + i]
     assert len(context_mixing.gram_keys(b"")) == 1
+    whole = context_mixing.gram_keys(LONG[:5000].upper().encode())
+    for size in (1, 7, 4096):
+        monkeypatch.setattr(context_mixing, "PASS", size)
+        assert (context_mixing.gram_keys(LONG[:5000].upper().encode()) == whole).all()
     assert (context_mixing.gram_keys(b"no white space at all") < context_mixing.HELD).all()
 
 
