@@ -54,7 +54,7 @@ BUCKETS = 33
 DELTA = 0.05
 PRIOR = 20.0  # what the weights so far count, in decisions, when a part goes on from them
 LONGEST_STEP = 0.5
-ROUNDS, SETTLED = 4, 0.002
+ROUNDS, SETTLED = 4, 0.005
 BATCH = 4096
 MEMO_BITS = 21
 PASS = 1 << 19
