@@ -28,7 +28,7 @@ from meterframe.functions.timecalc import (
     with_window_of,
     with_windows,
 )
-from meterframe.operators.joins import fits, side_join
+from meterframe.operators.joins import dealt_out, fits, side_join
 from meterframe.schema import NAME_MAX_CHARS, PERIODS, WARNING_DEFAULT_PERCENT
 from meterframe.session import materialize
 
@@ -392,6 +392,9 @@ def counter_partials(events: DataFrame, assignments: DataFrame) -> DataFrame:
     daily = placed.groupBy(
         *SUBJECT, "meter_name", "period_anchor_at", day_index(F.col("event_time"), anchor).alias("day_index")
     ).agg(*partial_of_events())
+    # A day's partial becomes four rows that are sorted. Without the anchor these are not the
+    # columns that the aggregate is partitioned by already, else Spark would drop the step.
+    daily = dealt_out(daily, *SUBJECT, "meter_name", "day_index")
     return merge_counters(_fan_out(daily))
 
 

@@ -45,6 +45,15 @@ def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> Dat
     return materialize(counts.filter(F.col("n") > share * even).select(*keys), "hot-keys")
 
 
+def dealt_out(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by `columns` to all shuffle partitions, which adaptive execution then leaves apart.
+
+    For the input of a step that sorts several rows for each row it reads: merged into a few
+    large partitions it would hold memory of a multiple of their size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def spread_by_row() -> Column:
     """A salt source that differs from row to row and is stable across task retries."""
     return F.xxhash64("id")

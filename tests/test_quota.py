@@ -74,6 +74,13 @@ def test_counter_value_by_aggregation(make, aggregation, expected):
     assert row["current"] == pytest.approx(expected)
 
 
+def test_day_partials_fan_out_in_all_shuffle_partitions(make, capsys):
+    """Each day's partial becomes four rows that are sorted: the partials are not merged into a few large tasks before."""
+    ent.counter_partials(used(make, 3, 5, 1), make.assignments({"assigned_at": START})).explain()
+    dealt = [line for line in capsys.readouterr().out.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 1 and "day_index" in dealt[0]
+
+
 def test_events_outside_an_assignment_do_not_count(make):
     assignments = make.assignments({"assigned_at": at("2026-06-02 01:00"), "unassigned_at": at("2026-06-02 03:00")})
     counters = ent.counter_partials(used(make, 1, 10, 100, 1000), assignments)
