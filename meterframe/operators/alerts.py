@@ -18,7 +18,7 @@ from meterframe.functions.metadata import json_path_column, json_text, only_keys
 from meterframe.functions.predicates import metadata_map_matches, metadata_map_matches_strictly
 from meterframe.functions.timecalc import ntz, plus_seconds, rfc3339, seconds_between, utc_naive
 from meterframe.operators.ingest import subject_error
-from meterframe.operators.joins import fits, side_join, with_latest_delivery
+from meterframe.operators.joins import dealt_out, fits, side_join, with_latest_delivery
 from meterframe.operators.paging import LOG_ORDER, page
 from meterframe.operators.scan import scan
 from meterframe.schema import COMPARATORS, DIMENSION_NAME_PATTERN, NAME_MAX_CHARS
@@ -556,6 +556,9 @@ def backtest_runs(
     looks = changes.select(*RULE_COLUMNS, "tick", F.inline(parts))
     block = _floor_div(F.col("at"), span)
     rows = panes.unionByName(looks, allowMissingColumns=True).withColumn("block", block)
+    # Both frames sort all rows of a task, so the tasks are kept small. The threshold is left out: as a
+    # window's key Spark normalizes a double, and then it would shuffle the rows again.
+    rows = dealt_out(rows, *GROUP, "block")
     in_block = Window.partitionBy(*RULE_COLUMNS, "block").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     forward, backward = in_block.orderBy("at"), in_block.orderBy(F.desc("at"))
     running = [

@@ -159,6 +159,14 @@ def test_backtest_of_a_short_interval_looks_at_changes_only(make, rules):
     assert values.groupBy().agg(F.count("*"), F.sum("event_count")).first()[:] == (5400, 7200)  # ticks 36,001 to 41,400 of the second day
 
 
+def test_backtest_frames_run_in_all_shuffle_partitions(make, rules, capsys):
+    """Both frames of a block sort their rows: those are dealt out once, and not merged into a few large tasks."""
+    events, meters = usage(make, ("a", 12, "10:00:00.5", {}), ("a", 1, "10:30", {})), make.meters()
+    alerts.backtest_runs(rules({}), events, meters, at("2026-06-08 00:00"), at("2026-06-09 00:00")).explain()
+    dealt = [line for line in capsys.readouterr().out.splitlines() if "hashpartitioning" in line and "block" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
 def test_primary_state_is_the_worst(make):
     rows = [
         {"group_key": "subject", "group_value": v, "status": s, "updated_at": at(f"2026-06-08 {t}")}
