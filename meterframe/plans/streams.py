@@ -177,14 +177,19 @@ def stream_counters(spark, folder):
     return rounded(rows, "quantity_sum")
 
 
-def _two_parts(spark, folder, path: str, before: str, now: str) -> DataFrame:
-    """The raw events up to `before` and then up to `now`, as a stream of two micro-batches."""
+def _ingest_in_two_parts(spark, folder, path: str, before: str, now: str, store, meters, **options) -> None:
+    """Stream the raw events up to `before` and then up to `now` into a store: two micro-batches of one stream.
+
+    A part is as many files as the table's tasks write, and arrives when the part before is
+    drained, so that a micro-batch holds a whole part and is read by many tasks.
+    """
     events = table(spark, folder, "events")
-    # One file after the other, so that the stream takes them in this order.
     for start, end in (("2023-01-01T00:00:00Z", before), (before, now)):
         part = events.filter((F.col("ts") >= ntz(start)) & (F.col("ts") < ntz(end)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return raw_from_usage(as_usage(stream_parquet(spark, path, events.schema, max_files=1)))
+        part.write.mode("append").parquet(f"{path}-input")
+        raw = raw_from_usage(as_usage(stream_parquet(spark, f"{path}-input", events.schema)))
+        tick = utc_naive(end)
+        start_ingest(store, raw, meters, f"{path}-checkpoint", clock=lambda tick=tick: tick, **options).awaitTermination()
 
 
 _BATCH_ENDS = {1: "TIMESTAMP '2024-01-24 12:00:00'", 2: SQL_NOW}
@@ -223,17 +228,13 @@ _ACCEPTED = """ev_ok AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (
 def stream_quota_states(spark, folder):
     """Two micro-batches, each evaluated when it is committed: a key that the second one leaves alone keeps its state."""
     path = scratch_path(spark, "stream-quota")
-    raw = _two_parts(spark, folder, f"{path}-input", BEFORE, NOW)
     store, meters = EventStore(spark, path), event_meters(spark, folder)
     history, rules = assignments(spark, folder), limits(spark)
-    ticks = iter([utc_naive(BEFORE), utc_naive(NOW)])
 
     def evaluate(batch_id, now):
         store.evaluate_quotas(batch_id, history, rules, meters, now)
 
-    start_ingest(
-        store, raw, meters, f"{path}-checkpoint", assignments=history, after_batch=evaluate, clock=lambda: next(ticks)
-    ).awaitTermination()
+    _ingest_in_two_parts(spark, folder, path, BEFORE, NOW, store, meters, assignments=history, after_batch=evaluate)
     rows = store.quota_states().select(*ent.STATE_KEY, "state", "current", "limit_value", "evaluated_at")
     return rounded(rows, "current")
 
@@ -260,16 +261,12 @@ WHERE rule_id IN (SELECT rule_id FROM rul WHERE enabled)""",
 def stream_alert_states(spark, folder):
     """Two micro-batches; each evaluates the rules that it touches or that are due, against the kept states."""
     path = scratch_path(spark, "stream-alerts")
-    raw = _two_parts(spark, folder, f"{path}-input", alerting.BEFORE, alerting.NOW)
     store, meters = EventStore(spark, path), event_meters(spark, folder)
     rules = materialize(alerting.rules(meters), "rules")
-    ticks = iter([utc_naive(alerting.BEFORE), utc_naive(alerting.NOW)])
 
     def evaluate(batch_id, now):
         store.evaluate_alerts(batch_id, rules, meters, now)
 
-    start_ingest(
-        store, raw, meters, f"{path}-checkpoint", after_batch=evaluate, clock=lambda: next(ticks)
-    ).awaitTermination()
+    _ingest_in_two_parts(spark, folder, path, alerting.BEFORE, alerting.NOW, store, meters, after_batch=evaluate)
     rows = store.alert_states().select("workspace_id", "rule_id", "group_key", "group_value", "status", "value", "evaluated_at")
     return rounded(rows, "value")
