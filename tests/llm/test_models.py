@@ -196,6 +196,81 @@ def test_scores_do_not_depend_on_the_frequent_grams(spark, monkeypatch):
         assert np.allclose([r[2] for r in other], [r[2] for r in results[0]], rtol=1e-9)
 
 
+def test_counts_travel_in_packs(spark):
+    """One row per share and task instead of one per word or gram, with the same counts."""
+    random = np.random.default_rng(0)
+    texts = [bytes(random.choice(list(b"abcdefgh  E"), 600).astype(np.uint8)).decode() for _ in range(400)] + [None, "", "é" * 9]
+    rows = spark.createDataFrame([(t, i % 7 == 2) for i, t in enumerate(texts)], "text string, held_out boolean").repartition(3)
+    found = context_mixing.gather(rows).collect()
+    assert len(found) <= 2 * context_mixing.SHARES
+    learned, held, words = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, text in enumerate(texts):
+        (held if i % 7 == 2 else learned).update(context_mixing.gram_keys((text or "").encode()).tolist())
+        if i % 7 != 2:
+            words.update([*(text or "").encode().lower().split(), b" "])
+    grams = [r for r in found if r["kind"] == context_mixing.GRAM_KIND]
+    for column, expected in (("learned", learned), ("held", held)):
+        counts = collections.Counter()
+        for r in grams:
+            keys, times = context_mixing.unpacked_keys(r["keys"]), context_mixing.unpacked(r[column], np.int64)
+            assert r["n"] == len(keys) == len(set(keys.tolist()))
+            counts.update({k: n for k, n in zip(keys.tolist(), times.tolist()) if n})
+        assert counts == expected
+    mine = [r for r in found if r["kind"] == context_mixing.WORD_KIND]
+    pairs = [p for r in mine for p in zip(
+        context_mixing.unpacked_words(r["keys"]).to_pylist(), context_mixing.unpacked(r["learned"], np.int64).tolist())]
+    assert len(pairs) == len(words) and dict(pairs) == dict(words)
+    assert sum(r["n"] for r in mine) == len(words) and sum(r["times"] for r in mine) == sum(words.values())
+
+
+def test_parts_are_those_of_sparks_hash(spark):
+    keys = context_mixing.gram_keys("A wide Ärea, aßb 日本".encode())
+    contexts = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF) | np.uint64(0x202020)
+    rows = spark.createDataFrame([(int(c),) for c in contexts], "c bigint").selectExpr("hash(c) h").collect()
+    assert context_mixing.spread(keys).tolist() == [r["h"] for r in rows]
+
+
+def test_joined_texts_have_the_grams_of_each(monkeypatch):
+    texts = [b"", "École a École".encode(), b"x" * 900, b"", b"a longer word than that one", LONG[:3000].encode()]
+    expected = [context_mixing.gram_keys(t) for t in texts]
+    for size in (64, 1000, 1 << 17):
+        monkeypatch.setattr(context_mixing, "PASS", size)
+        found = [[] for _ in texts]
+        for keys, owners, starts in context_mixing.joined_grams(texts):
+            for owner, some in zip(owners, np.split(keys, starts[1:])):
+                found[owner].extend(some.tolist())
+        assert found == [e.tolist() for e in expected]
+
+
+def test_lookup_by_hash_and_in_slices(monkeypatch):
+    random = np.random.default_rng(0)
+    keys = np.unique(random.integers(0, 1 << 62, 5000, dtype=np.uint64))
+    costs = random.random(len(keys))
+    monkeypatch.setattr(context_mixing, "HEAD_BITS", 8)  # many share a place
+    head = context_mixing.HeadCosts(keys[::2], costs[::2])
+    assert np.array_equal(head.cost(keys[::2]), costs[::2]) and np.isnan(head.cost(keys[1::2])).all()
+    counts = [context_mixing.Counts(context_mixing.of_order(keys, o), np.ones(len(keys), np.int64)) for o in range(6)]
+    mixer = context_mixing.Mixer(counts)
+    whole = mixer.cost(keys)
+    monkeypatch.setattr(context_mixing, "LOOKED_UP", 700)
+    assert np.allclose(mixer.cost(keys), whole, rtol=1e-12)
+
+
+def test_rare_words_and_grams_are_looked_up(spark, monkeypatch):
+    docs = sf_documents(spark)
+    results = []
+    for words, grams, rare in ((100_000, 1 << 21, 1_000_000), (10, 100, 50)):
+        monkeypatch.setattr(context_mixing, "HEAD_WORDS", words)
+        monkeypatch.setattr(context_mixing, "HEAD_GRAMS", grams)
+        monkeypatch.setattr(context_mixing, "RARE", rare)
+        monkeypatch.setattr(context_mixing, "PART_GRAMS", 3_000)  # more parts than shares
+        monkeypatch.setattr(context_mixing, "SHARES", 1024 if rare > 50 else 3)
+        rows = context_mixing.score_documents(docs).collect()
+        results.append(sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+    assert [r[:3] for r in results[0]] == [r[:3] for r in results[1]]
+    assert np.allclose([r[3:] for r in results[0]], [r[3:] for r in results[1]], rtol=1e-9)
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
